@@ -1,13 +1,13 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Training counts, for each word, the labelled documents of either class that hold it, and keeps the
-words whose log-odds under an informative Dirichlet prior stand out (z-score of at least MIN_Z).  A
+words whose log-odds under an informative Dirichlet prior stand out (z-score of at least MIN_Z, log-odds of at least MIN_ODDS).  A
 document's words then form a sequence of scores, positive for kept words and slightly negative for all
 others; a linear-time scan finds all maximal scoring segments.  Extreme-value statistics turn a
 segment's score S in a text of n words into E = K n exp(-lambda S): lambda solves the Karlin-Altschul
 equation under the clean words' frequencies, K comes from the largest segments of clean documents.
 Segments of E < 1 count; a logistic link, fitted on documents that the scoring lexicon was not counted
-on (two folds), maps the sum of their normalised scores to 0..1.
+on (FOLDS folds), maps the sum of their normalised scores to 0..1.
 
 The fit uses labelled rows only, at most ``bound`` of them for each class, chosen by a hash of the id
 (documented bound); every document is scored, over its whole text.
@@ -36,8 +36,9 @@ from .shared import by_size, materialize, uniform
 WORD = re.compile(r"\w+")
 BOUND = 8000  # labelled rows of a class used by the fit, about
 PRIOR = 0.01  # prior weight as a share of all counts
-MIN_Z, MIN_DOCS = 1.7, 3
-FLOOR = -10.0
+MIN_Z, MIN_ODDS, MIN_DOCS = 1.8, 4.5, 3
+FOLDS = 8
+LOW, HIGH = -4.0, 12.0  # range of the evidence that the link sees
 THRESHOLD = 0.7
 
 
@@ -69,6 +70,11 @@ def segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[float, int
     return [(r - left, int(a), int(b)) for left, r, a, b in kept]
 
 
+def evidence(strengths: list[float]) -> float:
+    """Sum of the significant strengths, else the largest of the others, within LOW..HIGH."""
+    return min(HIGH, max(LOW, sum(x for x in strengths if x > 0) or max([LOW, *strengths])))
+
+
 @dataclass
 class Scorer:
     """Word scores and the extreme-value parameters that go with them."""
@@ -92,14 +98,13 @@ class Scorer:
 
     def statistic(self, text: str) -> float:
         n, found = self.find(text)
-        each = self.strengths(n, found)
-        return sum(x for x in each if x > 0) or max([FLOOR, *each])
+        return evidence(self.strengths(n, found))
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """Probability of label 1, and the character spans of significant segments with their E."""
         n, found = self.find(text)
         each = self.strengths(n, found)
-        stat = sum(x for x in each if x > 0) or max([FLOOR, *each])
+        stat = evidence(each)
         spans = []
         if any(x > 0 for x in each):
             places = [m.span() for m in WORD.finditer(text.lower())]
@@ -108,47 +113,48 @@ class Scorer:
         return 1 / (1 + math.exp(-z)), spans
 
 
-def _count(sample: DataFrame, folds: list[int]) -> tuple[list, list]:
-    """Documents by class that hold each word, for the folds; only words that stand out are returned."""
-    own = sample.filter(F.col("fold").isin(folds)).select("text", "toxic")
+def _count(sample: DataFrame) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """Words that may stand out, and of each the documents that hold it by class (2) and fold (FOLDS); the classes' totals by fold."""
 
     def run(batches):
-        counts, totals = (Counter(), Counter()), [0, 0]
+        counts = [[Counter() for _ in range(FOLDS)] for _ in range(2)]
+        totals = np.zeros((2, FOLDS), np.int64)
         for batch in by_size(batches, "text"):
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
                 found = set(WORD.findall((text or "").lower()))
-                counts[label].update(found)
-                totals[label] += len(found)
-        words = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(["", *words], pa.string()), *(pa.array([totals[k], *(counts[k][w] for w in words)], pa.int64()) for k in (0, 1))], names=["word", "clean", "toxic"])
-
-    by_word = own.mapInArrow(run, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    by_word = by_word.cache()
-    total = by_word.filter("word = ''").collect()
-    if not total or not total[0].clean or not total[0].toxic:
-        by_word.unpersist()
-        return [], [0, 0]
-    n0, n1 = total[0].clean, total[0].toxic
-    prior = PRIOR * (F.col("clean") + F.col("toxic"))
-    all_prior = PRIOR * (n0 + n1)
-    odds = lambda y, n: F.log((F.col(y) + prior) / (F.lit(n + all_prior) - F.col(y) - prior))
-    delta = odds("toxic", n1) - odds("clean", n0)
-    z = delta / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    rows = by_word.filter(f"word <> '' and toxic >= {MIN_DOCS}").select("word", "clean", "toxic", delta.alias("delta"), z.alias("z")).filter(f"z >= {MIN_Z} and delta > 0").collect()
-    by_word.unpersist()
-    return rows, [n0, n1]
-
-
-def _lexicon(sample: DataFrame, folds: list[int]) -> Scorer | None:
-    rows, (n0, n1) = _count(sample, folds)
-    if not n0:
+                counts[label][fold].update(found)
+                totals[label, fold] += len(found)
+        for f in range(FOLDS):
+            words = list(counts[0][f].keys() | counts[1][f].keys())
+            both = [[int(totals[k, f]), *(counts[k][f][w] for w in words)] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(["", *words], pa.string()), pa.array([f] * (len(words) + 1), pa.int32()), *(pa.array(x, pa.int64()) for x in both)], names=["word", "fold", "clean", "toxic"])
+
+    own = lambda c: [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS)]
+    all_of = lambda c: sum((F.col(f"{c}{f}") for f in range(1, FOLDS)), F.col(f"{c}0"))
+    by_word = sample.select("text", "toxic", "fold").mapInArrow(run, "word string, fold int, clean long, toxic long").groupBy("word").agg(*own("clean"), *own("toxic"))
+    # a word that no document of class 0 holds can still stand out, one that is as common there cannot
+    rows = by_word.filter((F.col("word") == "") | ((all_of("toxic") >= MIN_DOCS) & (all_of("toxic") > all_of("clean")))).collect()
+    counts = {r[0]: np.array(r[1:], float).reshape(2, FOLDS) for r in rows}
+    totals = counts.pop("", np.zeros((2, FOLDS)))
+    words = sorted(counts)
+    return words, np.array([counts[w] for w in words]).reshape(-1, 2, FOLDS), totals
+
+
+def _lexicon(words: list[str], counts: np.ndarray, totals: np.ndarray) -> Scorer | None:
+    """The scorer of word counts (words x 2) and class totals: words that stand out and their log-odds."""
+    n0, n1 = totals.tolist()
+    if not n0 or not n1:
         return None
-    kept0, kept1 = sum(r.clean for r in rows), sum(r.toxic for r in rows)
-    gap = min(-1e-3, math.log(max(n1 - kept1, 1) / n1) - math.log(max(n0 - kept0, 1) / n0))
-    scorer = Scorer({r.word: float(r.delta) for r in rows}, gap)
-    if rows:
-        s = np.array([r.delta for r in rows])
-        p = np.array([(r.clean + PRIOR * (r.clean + r.toxic)) / (n0 + PRIOR * (n0 + n1)) for r in rows])
+    clean, toxic = counts[:, 0], counts[:, 1]
+    prior = np.maximum(PRIOR * (clean + toxic), 1e-9)
+    rest = PRIOR * (n0 + n1)
+    delta = np.log((toxic + prior) / (n1 + rest - toxic - prior)) - np.log((clean + prior) / (n0 + rest - clean - prior))
+    z = delta / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
+    keep = (toxic >= MIN_DOCS) & (z >= MIN_Z) & (delta >= MIN_ODDS)
+    gap = min(-1e-3, math.log(max(n1 - toxic[keep].sum(), 1) / n1) - math.log(max(n0 - clean[keep].sum(), 1) / n0))
+    scorer = Scorer({words[i]: float(delta[i]) for i in np.flatnonzero(keep)}, gap)
+    if keep.any():
+        s, p = delta[keep], (clean + prior)[keep] / (n0 + rest)
         f = lambda x: float((p * np.exp(x * s)).sum() + (1 - p.sum()) * math.exp(x * gap) - 1)
         low, high = 1e-3, 4.0
         for _ in range(60):
@@ -158,8 +164,8 @@ def _lexicon(sample: DataFrame, folds: list[int]) -> Scorer | None:
     return scorer
 
 
-def _statistics(sample: DataFrame, by_fold: dict[int, Scorer]) -> list:
-    """Of each sampled document, by the scorer counted on the other fold: label, words, best score and all positive ones."""
+def _statistics(sample: DataFrame, by_fold: list[Scorer]) -> list:
+    """Of each sampled document, by the scorer counted without its fold: label, fold, words, scores of segments."""
     sent = sample.sparkSession.sparkContext.broadcast(by_fold)
 
     def run(batches):
@@ -167,25 +173,33 @@ def _statistics(sample: DataFrame, by_fold: dict[int, Scorer]) -> list:
         for batch in by_size(batches, "text"):
             rows = []
             for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
-                n, found = scorers[1 - fold].find(text or "")
+                n, found = scorers[fold].find(text or "")
                 rows.append((label, fold, n, [s for s, _, _ in found]))
             cols = zip(*rows, strict=True) if rows else ([], [], [], [])
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["label", "fold", "n", "found"])
 
-    return sample.mapInArrow(run, "label int, fold int, n long, found array<double>").collect()
+    return sample.select("text", "toxic", "fold").mapInArrow(run, "label int, fold int, n long, found array<double>").collect()
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> tuple[float, float]:
+    """Intercept and slope by damped Newton steps; the slope is drawn to 1, as evidence is in nats."""
 
+    def loss(a: float, b: float) -> float:
+        z = a + b * x
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge * ((b - 1) ** 2 + a * a / 50) / 2)
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    a = b = 0.0
-    for _ in range(60):
+    a, b = -2.0, 1.0
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a + b * x, -60, 60)))
         w = p * (1 - p)
-        g = np.array([(p - y).sum(), ((p - y) * x).sum() + ridge * b])
-        h = np.array([[w.sum() + 1e-6, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + ridge]])
-        step = np.linalg.solve(h, g)
-        a, b = a - float(np.clip(step[0], -2, 2)), b - float(np.clip(step[1], -2, 2))
-        if abs(step).max() < 1e-8:
+        g = np.array([(p - y).sum() + ridge * a / 50, ((p - y) * x).sum() + ridge * (b - 1)])
+        h = np.array([[w.sum() + ridge / 50, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + ridge]])
+        step, size, now = np.linalg.solve(h, g), 1.0, loss(a, b)
+        while size > 1e-6 and loss(a - size * step[0], b - size * step[1]) > now:
+            size /= 2
+        a, b = a - size * float(step[0]), b - size * float(step[1])
+        if size * abs(step).max() < 1e-8:
             break
     return a, b
 
@@ -198,25 +212,24 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Scorer:
         return Scorer()
     chance = F.when(F.col("toxic") == 1, min(1.0, bound / counts[1])).otherwise(min(1.0, bound / counts[0]))
     chosen = usable.filter(uniform("doc_id") < chance)  # about 2 * bound rows at most
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int")), "toxicity-sample")
-    halves = {k: _lexicon(sample, [k]) for k in (0, 1)}
-    final = _lexicon(sample, [0, 1])
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "toxicity-sample")
+    words, by_word, totals = _count(sample)
+    final = _lexicon(words, by_word.sum(axis=2), totals.sum(axis=1))
     if final is None:
         return Scorer()
-    by_fold = {k: v or final for k, v in halves.items()}
+    by_fold = [_lexicon(words, by_word.sum(axis=2) - by_word[:, :, f], totals.sum(axis=1) - totals[:, f]) or final for f in range(FOLDS)]
     rows = _statistics(sample, by_fold)
-    clean = [(by_fold[1 - r.fold].lam * max([0.0, *r.found]) - math.log(max(r.n, 1))) for r in rows if r.label == 0]
+    clean = [by_fold[r.fold].lam * max([0.0, *r.found]) - math.log(max(r.n, 1)) for r in rows if r.label == 0]
     log_k = float(np.clip(np.mean(clean) - 0.5772156649, -12, 0)) if clean else 0.0
     stats, y = [], []
     for r in rows:
-        scorer = by_fold[1 - r.fold]
+        scorer = by_fold[r.fold]
         scorer.log_k = log_k
-        each = scorer.strengths(r.n, [(s, 0, 0) for s in r.found])
-        stats.append(sum(x for x in each if x > 0) or max([FLOOR, *each]))
+        stats.append(evidence(scorer.strengths(r.n, [(s, 0, 0) for s in r.found])))
         y.append(r.label)
     final.log_k = log_k
     weight = {k: counts[k] / max(1, y.count(k)) for k in (0, 1)}
-    x, y = np.minimum(np.array(stats), 40.0), np.array(y, float)
+    x, y = np.array(stats), np.array(y, float)
     final.a, final.b = _logistic(x, y)
     final.a += math.log(weight[1] / weight[0]) if weight[0] and weight[1] else 0.0
     return final
