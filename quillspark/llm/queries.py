@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, media, neardup, topk, toxicity, warc
+from . import bpe, chat, langid, media, mixing, neardup, pii, topk, toxicity, warc
 
 
 def queries() -> dict:
     return {
-        "op1_media_columns": media.op1, "op2_exact_topk": topk.op2, "op4_chat_format": chat.op4, "op5_toxicity": toxicity.op5, "op6_bpe_round_trip": bpe.op6,
-        "op7_warc": warc.op7, "op9_language_id": langid.op9, "op10_near_duplicates": neardup.op10,
+        "op1_media_columns": media.op1, "op2_exact_topk": topk.op2, "op3_source_mixing": mixing.op3, "op4_chat_format": chat.op4, "op5_toxicity": toxicity.op5, "op6_bpe_round_trip": bpe.op6,
+        "op7_warc": warc.op7, "op8_surrogates": pii.op8, "op9_language_id": langid.op9, "op10_near_duplicates": neardup.op10,
     }
 
 
