@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash bands, odd sketches, exact confirmation, connected components.
 
-One pass over the texts makes, per document, the digest of its shingle set, ROWS * BANDS MinHash
-samples, their band keys, and an odd sketch: every (sample number, value) toggles one of BITS bits.
+One pass over the texts makes, per document, the digest of its shingle set, SAMPLES MinHash samples,
+the band keys of the first of them, and an odd sketch: every (sample number, value) toggles one of BITS bits.
 Documents with equal sets are one entry from then on.  Entries that share a band key are candidates.
 For a pair of sketches, the count of differing bits estimates the similarity; pairs whose count is
 beyond ``distance_limit`` (the mean at the threshold plus 5.2 standard deviations) are passed over,
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .shared import by_size, materialize
 
-ROWS, BANDS, BITS = 5, 32, 512
-SAMPLES = ROWS * BANDS
+ROWS, BANDS = 5, 32
+SAMPLES, BITS = 640, 2048  # of the sketch; the bands use the first ROWS * BANDS samples
 WORDS = BITS // 64
 #: Ids that may be broadcast: 8 bytes each.
 SMALL = 1_000_000
@@ -155,7 +155,7 @@ def distance_limit(percent: int) -> int:
 
 
 def sketch_table(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, key, bands, s0 .. s7) of each row; key, bands and sketch are null for empty sets."""
+    """(doc_id, n, key, bands, s0 .. s31) of each row; key, bands and sketch are null for empty sets."""
     names = ["doc_id", "n", "key", "bands", *(f"s{i}" for i in range(WORDS))]
 
     def run(batches):
@@ -191,19 +191,26 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of representatives, those that link on their full sets."""
-    pairs = materialize(pairs, "neardup-pairs")
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ids")
+def full_sets(docs: DataFrame, ids: DataFrame, k: int, short: bool = False) -> DataFrame:
+    """(doc_id, items) of the documents in ids (doc_id): all shingle hashes, or their low halves."""
 
     def run(batches):
         for batch in by_size(batches, "text", 4 << 20):
             sets = list(shingle_sets([x or "" for x in batch.column("text").to_pylist()], k))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)))
+            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+            flat = flat.astype(np.uint32).view(np.int32) if short else flat.view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "items"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_few(ids), "doc_id", "left_semi")
-    sets = materialize(texts.mapInArrow(run, "doc_id long, items array<long>"), "neardup-sets")
+    return materialize(texts.mapInArrow(run, f"doc_id long, items array<{'int' if short else 'long'}>"), "neardup-sets")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of representatives, those that link on their full sets."""
+    pairs = materialize(pairs, "neardup-pairs")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ids")
+    sets = full_sets(docs, ids, k)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("of_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("of_b")), "b")
     same = F.size(F.array_intersect("of_a", "of_b"))
     return both.filter(same * 100 >= percent * (F.size("of_a") + F.size("of_b") - same)).select("a", "b")
@@ -242,7 +249,7 @@ def link_components(docs: DataFrame, table: DataFrame, k: int, percent: int) ->
     size = F.count("*").over(Window.partitionBy("bucket"))
     shared = materialize(places.withColumn("size", size).filter("size > 1"), "neardup-buckets")
     weight = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
-    members = materialize(shared.select("bucket", "rep").join(entries.select("rep", "n", *cells).join(weight, "rep"), "rep"), "neardup-members")
+    members = materialize(shared.select("bucket", "rep").join(entries.select("rep", "n", "bands", *cells).join(weight, "rep"), "rep"), "neardup-members")
     hub = F.first(F.struct("rep", "n", *cells)).over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "rep", "n"))
     own = F.struct("rep", "n", *cells)
     stars = members.select(own.alias("x"), hub.alias("y")).filter(F.col("x.rep") != F.col("y.rep")).filter(_near("x", "y", limit, percent))
@@ -251,13 +258,18 @@ def link_components(docs: DataFrame, table: DataFrame, k: int, percent: int) ->
     links = materialize(confirm(docs, tested, k, percent), "neardup-links")
     known = components(links)
 
-    named = members.join(known, members.rep == known.id, "left").select("bucket", "rep", "n", *cells, F.coalesce("component", "rep").alias("c"))
+    named = members.join(known, members.rep == known.id, "left").select("bucket", "rep", "n", "bands", *cells, F.coalesce("component", "rep").alias("c"))
     counts = named.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main")
     mixed = materialize(named.join(counts, "bucket"), "neardup-mixed")
+    sets = full_sets(docs, mixed.select(F.col("rep").alias("doc_id")).distinct(), k, short=True)
+    mixed = materialize(mixed.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "neardup-mixed")
     x, y = mixed.filter("c <> main").alias("x"), mixed.alias("y")
-    crossed = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.c") < F.col("y.c"))) & _near("x", "y", limit, percent))
-    more = crossed.select(*pair("x.rep", "y.rep")).distinct().join(tested, ["a", "b"], "left_anti")
-    links2 = materialize(confirm(docs, more, k, percent), "neardup-links")
+    apart = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
+    once = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.bucket")  # in the first bucket that a pair shares
+    # low halves may meet by chance, so this allows one item more; the links are confirmed on all of the hashes
+    alike = (F.size(F.array_intersect("x.items", "y.items")) + 1) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    crossed = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & _near("x", "y", limit, percent) & once & alike)
+    links2 = materialize(confirm(docs, crossed.select(*pair("x.rep", "y.rep")), k, percent), "neardup-links")
     return entries.select("key", "rep"), components(links.unionByName(links2))
 
 
