@@ -8,8 +8,9 @@ list of bytes; its results are kept in a bounded memo.
 Pre-tokens are found without a regular expression engine: code points are classed as white space,
 letter, number or other, and the boundaries that the public pattern draws follow from class changes.
 
-Rows: a null text counts as empty (no ids, empty bytes); repeated rows give repeated results; other
-columns pass through ``encode`` untouched, unless they have the name of an output column (error).
+Rows: a null text counts as empty (no ids, empty bytes); repeated rows give repeated results; an empty
+table gives an empty table; other columns pass through ``encode``, but those with the name of an output
+column are replaced.
 Texts of any length are worked through in pieces cut at white space, so memory follows the longest
 word and not the longest text.
 """
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .shared import by_size
+from .shared import by_size, without
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -368,9 +369,7 @@ class Encoder:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "input_ids", n: str = "n_tokens") -> DataFrame:
     """All rows and columns of ``df`` plus the ids of each whole text and their number."""
-    clash = {ids, n} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    df = without(df, ids, n)
     sent = df.sparkSession.sparkContext.broadcast(Encoder(path))  # bounded by the vocabulary
     schema = T.StructType([*df.schema.fields, T.StructField(n, T.LongType()), T.StructField(ids, T.ArrayType(T.IntegerType()))])
 

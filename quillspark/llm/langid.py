@@ -12,9 +12,10 @@ The fit takes about PER_LANG training texts of each language, chosen by a hash o
 bound), as bitmaps of DIM / 8 bytes; scoring covers whole texts of all documents.
 
 Rows: texts that are null or have no letter get ``und`` and score 0; repeated rows get equal results;
-without any training row every text gets ``und`` and score 0; a null id is never held out; an empty
-table gives an empty table; further columns pass through ``predict`` unless they have the name of an
-output column (error).
+without any training row every text gets ``und`` and score 0; a null id is neither held out nor learned
+from; an empty
+table gives an empty table; further columns pass through ``predict``, but those with the name of an
+output column are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import by_size, uniform
+from .shared import by_size, uniform, without
 from .toxicity import held_out
 
 DIM = 1 << 13
@@ -169,9 +170,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All rows and columns plus ``lang_pred`` and ``lang_score`` (0 to 1)."""
-    clash = {"lang_pred", "lang_score"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    docs = without(docs, "lang_pred", "lang_score")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIM x landmarks
 
     def run(batches):

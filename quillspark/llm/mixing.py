@@ -17,7 +17,7 @@ A source that holds a third of all rows is dealt into as many blocks as its size
 
 Rows: null texts have no tokens and follow their block; a null source is a source of its own; repeated
 rows are documents of their own; an empty table, or one without tokens, passes through once; all columns
-pass through, unless they have the name of an output column (error).
+pass through ``mix``, but those with the name of an output column are replaced.
 """
 
 from __future__ import annotations
@@ -80,12 +80,12 @@ def count_tokens(text: str = "text") -> Column:
 
 def mix(docs: DataFrame, tokens: Column, budget: float | None = None, max_repeat: float | None = MAX_REPEAT, entropy: float | None = None, key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` once for each epoch that shows them, with epoch, block and place (0..1)."""
-    clash = {"epoch", "block", "place"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    sized = docs.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s"), F.xxhash64(F.lit(seed), key).alias("h"), tokens.alias("t"))
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    cell = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(BLOCKS)).cast("int")
+    kept = [c for c in docs.columns if c.lower() not in ("epoch", "block", "place")]
+    packed = docs.select(F.struct(*kept).alias("row"), source.alias("s"), cell.alias("fine"), tokens.alias("t"))
     # a source's own number of blocks needs its size, so blocks are first counted at the finest grain
-    fine = materialize(sized.groupBy("s", F.pmod("h", F.lit(BLOCKS)).cast("int").alias("fine")).agg(F.sum("t").alias("t"), F.count("*").alias("rows")), "mixing-blocks")
+    fine = materialize(packed.groupBy("s", "fine").agg(F.sum("t").alias("t")), "mixing-blocks")
     totals = {r.s: (r.t or 0) for r in fine.groupBy("s").agg(F.sum("t").alias("t")).collect()}
     goal = targets(totals, budget, max_repeat, entropy)
     rows = []
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, tokens: Column, budget: float | None = None, max_repeat
         parts = min(BLOCKS, max(1, 1 << int(math.log2(max(1.0, t / BLOCK_TOKENS)))))
         rows.append((s, parts, *(goal.get(s, (0.0, 0.0, 1.0))[1:])))
     if not rows:
-        return docs.select("*", F.lit(0).alias("epoch"), F.lit(0).alias("block"), F.lit(0.0).alias("place"))
+        return packed.select("row.*", F.lit(0).alias("epoch"), F.lit(0).alias("block"), F.lit(0.0).alias("place"))
     by_source = docs.sparkSession.createDataFrame(rows, "s string, parts int, wanted double, epochs double")
     by_source = F.broadcast(by_source) if len(rows) <= SMALL else by_source
     blocks = fine.join(by_source, "s").groupBy("s", "parts", "wanted", "epochs", F.pmod("fine", F.col("parts")).alias("block")).agg(F.sum("t").alias("t"))
@@ -109,16 +109,15 @@ def mix(docs: DataFrame, tokens: Column, budget: float | None = None, max_repeat
     plan = materialize(plan.select("s", "parts", "block", "epoch", F.least(place, F.lit(1.0)).alias("place")), "mixing-plan")
     shown = plan.groupBy("s", "block").agg(F.max("parts").alias("parts"), F.sort_array(F.collect_list(F.struct("epoch", "place"))).alias("epochs"))
     shown = F.broadcast(shown) if shown.count() <= SMALL else shown
-    named = docs.withColumns({"_s": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "_fine": F.pmod(F.xxhash64(F.lit(seed), key), F.lit(BLOCKS)).cast("int")})
-    named = named.join(by_source.select(F.col("s").alias("_s"), F.col("parts").alias("_parts")), "_s")
-    named = named.withColumn("_block", F.pmod("_fine", F.col("_parts")))
-    found = named.join(shown.select(F.col("s").alias("_s"), F.col("block").alias("_block"), F.col("epochs").alias("_epochs")), ["_s", "_block"])
-    return found.withColumn("_e", F.explode("_epochs")).select(*docs.columns, F.col("_e.epoch").alias("epoch"), F.col("_block").alias("block"), F.col("_e.place").alias("place"))
+    named = packed.join(by_source.select("s", F.col("parts").alias("own")), "s").withColumn("block", F.pmod("fine", F.col("own")))
+    found = named.join(shown.select("s", "block", "epochs"), ["s", "block"]).withColumn("e", F.explode("epochs"))
+    return found.select("row.*", F.col("e.epoch").alias("epoch"), "block", F.col("e.place").alias("place"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shows every document once and those of small sources up to MAX_REPEAT times."""
-    return mix(docs, count_tokens()).select(*docs.columns)
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))  # keeps columns that mix would replace
+    return mix(packed, count_tokens()).select("row.*")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,15 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
 def uniform(*columns: str) -> F.Column:
     """A stable pseudo-random number in [0, 1) made from columns."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it as long as the table has such a column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """The table without its columns of these names, which output columns will have."""
+    return df.drop(*(c for c in df.columns if c.lower() in {n.lower() for n in names}))

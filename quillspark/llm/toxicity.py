@@ -15,7 +15,7 @@ The fit uses labelled rows only, at most ``bound`` of them for each class, chose
 Rows: null and empty texts have no segments and get the score of a text without evidence; a null id
 is never held out; repeated rows get equal scores; a document with several labels counts as toxic if
 one of them says so; without labels of both classes all scores are 0; an empty table gives an empty
-table; further columns pass through ``score`` unless they have the name of an output column (error).
+table; further columns pass through ``score``, but those with the name of an output column are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import by_size, materialize, uniform
+from .shared import by_size, fresh, materialize, uniform, without
 
 WORD = re.compile(r"\w+")
 BOUND = 8000  # labelled rows of a class used by the fit, about
@@ -235,14 +235,12 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Scorer:
     return final
 
 
-def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
-    """All rows and columns plus ``toxicity`` (0 to 1) and ``toxic_spans`` (characters and E)."""
-    clash = {"toxicity", "toxic_spans"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+def score(docs: DataFrame, scorer: Scorer, text: str = "text", value: str = "toxicity", where: str = "toxic_spans") -> DataFrame:
+    """All rows and columns plus the score (0 to 1) and the toxic spans (characters and E)."""
+    docs = without(docs, value, where)
     sent = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by the fit's sample
     span = "array<struct<first:int,end:int,evalue:double>>"
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic_spans", T._parse_datatype_string(span))])
+    schema = T.StructType([*docs.schema.fields, T.StructField(value, T.DoubleType()), T.StructField(where, T._parse_datatype_string(span))])
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("evalue", pa.float64())]))
 
     def run(batches):
@@ -250,7 +248,7 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
         for batch in by_size(batches, text):
             found = [own.score(x or "") for x in batch.column(text).to_pylist()]
             spans = [[{"first": a, "end": b, "evalue": e} for a, b, e in s] for _, s in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.float64()), pa.array(spans, kind)], names=[*batch.schema.names, "toxicity", "toxic_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.float64()), pa.array(spans, kind)], names=[*batch.schema.names, value, where])
 
     return docs.mapInArrow(run, schema)
 
@@ -258,7 +256,8 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that are not predicted toxic."""
     scorer = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, scorer).filter(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+    value, where = fresh(docs, "toxicity"), fresh(docs, "toxic_spans")
+    return score(docs, scorer, value=value, where=where).filter(F.col(value) < THRESHOLD).select(*docs.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
