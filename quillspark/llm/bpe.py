@@ -34,8 +34,8 @@ from .shared import by_size, without
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-PIECE = 1 << 19  # code points worked on at once
-MEMO, WIDTH = 1 << 21, 6  # pre-tokens whose merges a worker remembers, by fingerprint; ids of each at most
+PIECE = 1 << 18  # code points worked on at once
+MEMO, WIDTH = 1 << 20, 6  # pre-tokens whose merges a worker remembers, by fingerprint; ids of each at most
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
@@ -375,7 +375,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "input_ids",
 
     def run(batches):
         encoder = sent.value
-        for batch in by_size(batches, text):
+        for batch in by_size(batches, text, 4 << 20):
             found = list(encoder.encode_batch([x or "" for x in batch.column(text).to_pylist()]))
             sizes = np.array([len(x) for x in found], np.int64)
             flat = pa.array(np.concatenate(found).astype(np.int32)) if found else pa.array([], pa.int32())

@@ -45,7 +45,7 @@ _ADD = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
 _BASE = 0x9E3779B97F4A7C15
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 _STEP = np.uint64(0xA0761D6478BD642F)
-BLOCK = 1 << 21
+BLOCK = 1 << 19  # bytes hashed at once
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -159,7 +159,7 @@ def sketch_table(docs: DataFrame, k: int) -> DataFrame:
     names = ["doc_id", "n", "key", "bands", *(f"s{i}" for i in range(WORDS))]
 
     def run(batches):
-        for batch in by_size(batches, "text", 4 << 20):
+        for batch in by_size(batches, "text", 2 << 20):
             sets = list(shingle_sets([x or "" for x in batch.column("text").to_pylist()], k))
             full = [i for i, x in enumerate(sets) if len(x)]
             keys: list = [None] * len(sets)
@@ -195,7 +195,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, short: bool = False) -> D
     """(doc_id, items) of the documents in ids (doc_id): all shingle hashes, or their low halves."""
 
     def run(batches):
-        for batch in by_size(batches, "text", 4 << 20):
+        for batch in by_size(batches, "text", 2 << 20):
             sets = list(shingle_sets([x or "" for x in batch.column("text").to_pylist()], k))
             flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             flat = flat.astype(np.uint32).view(np.int32) if short else flat.view(np.int64)

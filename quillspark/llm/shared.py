@@ -7,9 +7,10 @@ and Spark runs inside this one process (``local[...]``), as in tests.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -64,6 +66,17 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             yield batch.slice(start)
 
 
+def bounded(f: Callable) -> Callable:
+    """A query or stage that runs with Arrow batches of ARROW_BYTES at most, as executors' memory is shared with Python."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+        return f(spark, *args)
+
+    return run
+
+
 def uniform(*columns: str) -> F.Column:
     """A stable pseudo-random number in [0, 1) made from columns."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
