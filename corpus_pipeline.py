@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import bpe, mixing, neardup, pii, toxicity
-from quillspark.llm.shared import materialize
+from quillspark.llm.shared import bounded, materialize
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,11 +19,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", toxicity.stage),
-    ("near_duplicates", neardup.stage),
-    ("surrogates", pii.stage),
-    ("mixing", mixing.stage),
-    ("token_ids", encode),
+    ("toxicity", bounded(toxicity.stage)),
+    ("near_duplicates", bounded(neardup.stage)),
+    ("surrogates", bounded(pii.stage)),
+    ("mixing", bounded(mixing.stage)),
+    ("token_ids", bounded(encode)),
 ]
 
 #: SQL cannot express the learned, randomised and tokenising stages; tests hold them against brute force.
