@@ -79,7 +79,8 @@ def geo_gold_box(spark, d):
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(0, min(q.x)), 6) AS l, round(least(1, max(q.y)), 6) AS bo FROM k GROUP BY ALL""")
 def geo_rotate(spark, d):
     box = g.rotated(F.col("x"), F.col("l_linenumber"), F.lit(1.0), F.lit(1.25))
-    return boxes(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.element_at(box, 1), 6).alias("l"), F.round(F.element_at(box, 4), 6).alias("bo")).distinct()
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return boxes(spark, d).groupBy(*keys).agg(F.round(F.min(F.element_at(box, 1)), 6).alias("l"), F.round(F.max(F.element_at(box, 4)), 6).alias("bo"))
 
 
 @register("num_ms", "SELECT event_id, round_even(value * 1000 / 16, 0)::BIGINT AS ms FROM events")
