@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import by_size
+from .shared import by_size, materialize, without
 
 KEY = b"set your own key"
 ROUNDS = 8
@@ -243,8 +243,6 @@ def entities(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def choose_key(docs: DataFrame, key: bytes = KEY, text: str = "text") -> int:
     """The first key version under which no two entities share a replacement and none stays."""
-    from .shared import materialize
-
     known = materialize(entities(docs, text), "pii-entities")
     for version in range(VERSIONS):
 
@@ -262,7 +260,8 @@ def choose_key(docs: DataFrame, key: bytes = KEY, text: str = "text") -> int:
 
 
 def replace_entities(docs: DataFrame, key: bytes = KEY, text: str = "text", spans: str | None = None) -> DataFrame:
-    """All rows and columns with rewritten texts, plus the replacements' places in a column if one is named."""
+    """All rows and columns with rewritten texts, plus the replacements' places in a column if one is named (a column of that name is replaced)."""
+    docs = without(docs, spans) if spans else docs
     version = choose_key(docs, key, text)
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
     schema = T.StructType([*docs.schema.fields, *([T.StructField(spans, T._parse_datatype_string("array<struct<first:int,end:int,type:string>>"))] if spans else [])])

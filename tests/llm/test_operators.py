@@ -338,6 +338,7 @@ def test_pii_tables(spark, odd, none):
     assert all(texts[(i, t)] for i, t in TEXTS if i != 8)
     (changed,) = [t for i, t in texts if i == 8]
     assert "x.y7@mail3" not in changed and changed.startswith("Ünï ünï 中文 😀 mail ")
+    assert pii.replace_entities(odd, spans="entities").filter("doc_id = 8").first().entities[0].type == "email"
     docs = table(spark, "documents")
     seen = {(k, e) for r in docs.collect() for a, b, k in pii.find(r.text) for e in [r.text[a:b]]}
     after = " ".join(r.text for r in pii.replace_entities(docs).collect())
