@@ -1,9 +1,11 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Training counts, for each word, the labelled documents of either class that hold it, and keeps the
-words whose log-odds under an informative Dirichlet prior stand out (z-score of at least MIN_Z, log-odds of at least MIN_ODDS).  A
-document's words then form a sequence of scores, positive for kept words and slightly negative for all
-others; a linear-time scan finds all maximal scoring segments.  Extreme-value statistics turn a
+Training counts, for each word, the labelled documents of either class that hold it.  Every counted word
+is scored by its log-odds under an informative Dirichlet prior, weighted by the probability that its rate
+differs between the classes at all (the share of such words is estimated from all counts), and by the
+slightly negative log-odds of the other words for the rest of that probability.  A document's words then
+form a sequence of positive and negative scores; words that the fit has not seen, that only RARE
+clean documents hold, or that score within NEAR of the other words, score as those.  A linear-time scan finds all maximal scoring segments.  Extreme-value statistics turn a
 segment's score S in a text of n words into E = K n exp(-lambda S): lambda solves the Karlin-Altschul
 equation under the clean words' frequencies, K comes from the largest segments of clean documents.
 Segments of E < 1 count; a logistic link, fitted on documents that the scoring lexicon was not counted
@@ -36,7 +38,8 @@ from .shared import by_size, fresh, materialize, uniform, without
 WORD = re.compile(r"\w+")
 BOUND = 8000  # labelled rows of a class used by the fit, about
 PRIOR = 0.01  # prior weight as a share of all counts
-MIN_Z, MIN_ODDS, MIN_DOCS = 1.8, 4.5, 3
+NEAR = 0.05  # nats within which a score is rounded to that of the other words, which are not stored
+RARE = 2  # words of so many clean and no toxic documents are counted together, as they score near the other words
 FOLDS = 8
 LOW, HIGH = -4.0, 12.0  # range of the evidence that the link sees
 THRESHOLD = 0.7
@@ -50,7 +53,7 @@ def held_out(doc_id: str = "doc_id", of: int = 3, rest: int = 1) -> Column:
 def segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[float, int, int]]:
     """All maximal scoring segments, in linear time: (score, first word, last word).
 
-    ``hits``: positions and positive scores, ascending; every other word scores ``gap`` (negative).
+    ``hits``: positions and scores of either sign, ascending; every other word scores ``gap`` (negative).
     """
     kept: list[list[float]] = []  # left sum, right sum, first, last
     total, at = 0.0, -1
@@ -58,6 +61,8 @@ def segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[float, int
         total += gap * (pos - at - 1)
         new = [total, total + weight, pos, pos]
         total, at = new[1], pos
+        if weight <= 0:
+            continue
         while True:
             j = len(kept) - 1
             while j >= 0 and kept[j][0] >= new[0]:
@@ -113,8 +118,8 @@ class Scorer:
         return 1 / (1 + math.exp(-z)), spans
 
 
-def _count(sample: DataFrame) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-    """Words that may stand out, and of each the documents that hold it by class (2) and fold (FOLDS); the classes' totals by fold."""
+def _count(sample: DataFrame) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray, np.ndarray]:
+    """All words of the sample (null: so many rare ones with these counts), and of each the documents that hold it by class (2) and fold (FOLDS); the classes' totals by fold."""
 
     def run(batches):
         counts = [[Counter() for _ in range(FOLDS)] for _ in range(2)]
@@ -129,32 +134,50 @@ def _count(sample: DataFrame) -> tuple[list[tuple], np.ndarray, np.ndarray]:
             both = [[int(totals[k, f]), *(counts[k][f][w] for w in words)] for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(["", *words], pa.string()), pa.array([f] * (len(words) + 1), pa.int32()), *(pa.array(x, pa.int64()) for x in both)], names=["word", "fold", "clean", "toxic"])
 
-    own = lambda c: [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS)]
+    own = lambda c: [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).cast("int").alias(f"{c}{f}") for f in range(FOLDS)]
     all_of = lambda c: sum((F.col(f"{c}{f}") for f in range(1, FOLDS)), F.col(f"{c}0"))
     by_word = sample.select("text", "toxic", "fold").mapInArrow(run, "word string, fold int, clean long, toxic long").groupBy("word").agg(*own("clean"), *own("toxic"))
-    # a word that no document of class 0 holds can still stand out, one that is as common there cannot
-    rows = by_word.filter((F.col("word") == "") | ((all_of("toxic") >= MIN_DOCS) & (all_of("toxic") > all_of("clean")))).collect()
-    counts = {r[0]: np.array(r[1:], float).reshape(2, FOLDS) for r in rows}
-    totals = counts.pop("", np.zeros((2, FOLDS)))
-    words = sorted(counts)
-    return words, np.array([counts[w] for w in words]).reshape(-1, 2, FOLDS), totals
+    columns = [f"{c}{f}" for c in ("clean", "toxic") for f in range(FOLDS)]
+    totals = by_word.filter("word = ''").select(*columns).collect()
+    name = F.when((all_of("toxic") > 0) | (all_of("clean") > RARE), F.col("word"))
+    # bounded by the sample's words
+    rows = by_word.filter("word <> ''").groupBy(name.alias("word"), *columns).agg(F.count("*").cast("int").alias("times")).toArrow().sort_by([("word", "ascending"), *((c, "ascending") for c in columns)])
+    counts = np.stack([rows.column(c).to_numpy() for c in columns], axis=1).reshape(-1, 2, FOLDS)
+    return rows.column("word"), rows.column("times").to_numpy(), counts, np.array(totals[0] if totals else [0] * (2 * FOLDS), np.int64).reshape(2, FOLDS)
+
+
+def _differs(toxic: np.ndarray, clean: np.ndarray, times: np.ndarray, share: float) -> np.ndarray:
+    """Of each word, the probability that its share of class 1 is its own (uniform) and not ``share``; the part of such words is found by EM."""
+    both = toxic + clean
+    log_fact = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, both.max(initial=0) + 1)))])
+    ways = log_fact[both] - log_fact[toxic] - log_fact[clean]
+    bayes = -np.log(both + 1) - ways - toxic * math.log(share) - clean * math.log(1 - share)
+    part = 0.01
+    for _ in range(500):
+        q = 1 / (1 + np.exp(-np.clip(math.log(part / (1 - part)) + bayes, -60, 60)))
+        last, part = part, min(0.5, max(1e-6, float(np.average(q, weights=times)))) if len(q) else part
+        if abs(part - last) < 1e-9:
+            break
+    return q
 
 
-def _lexicon(words: list[str], counts: np.ndarray, totals: np.ndarray) -> Scorer | None:
-    """The scorer of word counts (words x 2) and class totals: words that stand out and their log-odds."""
+def _lexicon(words: pa.ChunkedArray, times: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> Scorer | None:
+    """The scorer of word counts (words x 2) and class totals."""
     n0, n1 = totals.tolist()
     if not n0 or not n1:
         return None
-    clean, toxic = counts[:, 0], counts[:, 1]
-    prior = np.maximum(PRIOR * (clean + toxic), 1e-9)
+    seen = np.flatnonzero(counts.sum(axis=1))
+    clean, toxic, times = counts[seen, 0], counts[seen, 1], times[seen]
+    prior = PRIOR * (clean + toxic)
     rest = PRIOR * (n0 + n1)
     delta = np.log((toxic + prior) / (n1 + rest - toxic - prior)) - np.log((clean + prior) / (n0 + rest - clean - prior))
-    z = delta / np.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
-    keep = (toxic >= MIN_DOCS) & (z >= MIN_Z) & (delta >= MIN_ODDS)
-    gap = min(-1e-3, math.log(max(n1 - toxic[keep].sum(), 1) / n1) - math.log(max(n0 - clean[keep].sum(), 1) / n0))
-    scorer = Scorer({words[i]: float(delta[i]) for i in np.flatnonzero(keep)}, gap)
-    if keep.any():
-        s, p = delta[keep], (clean + prior)[keep] / (n0 + rest)
+    q = _differs(toxic, clean, times, n1 / (n0 + n1))
+    gap = min(-1e-3, math.log(max(n1 - (q * toxic * times).sum(), 1) / n1) - math.log(max(n0 - (q * clean * times).sum(), 1) / n0))
+    named = words.is_valid().to_numpy()[seen]
+    far = np.flatnonzero(named & (abs(q * (delta - gap)) > NEAR))
+    s, p = (gap + q * (delta - gap))[far], ((clean + prior) / (n0 + rest))[far]
+    scorer = Scorer(dict(zip(words.take(pa.array(seen[far])).to_pylist(), s.tolist(), strict=True)), gap)
+    if len(far):
         f = lambda x: float((p * np.exp(x * s)).sum() + (1 - p.sum()) * math.exp(x * gap) - 1)
         low, high = 1e-3, 4.0
         for _ in range(60):
@@ -213,11 +236,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Scorer:
     chance = F.when(F.col("toxic") == 1, min(1.0, bound / counts[1])).otherwise(min(1.0, bound / counts[0]))
     chosen = usable.filter(uniform("doc_id") < chance)  # about 2 * bound rows at most
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "toxicity-sample")
-    words, by_word, totals = _count(sample)
-    final = _lexicon(words, by_word.sum(axis=2), totals.sum(axis=1))
+    words, times, by_word, totals = _count(sample)
+    final = _lexicon(words, times, by_word.sum(axis=2), totals.sum(axis=1))
     if final is None:
         return Scorer()
-    by_fold = [_lexicon(words, by_word.sum(axis=2) - by_word[:, :, f], totals.sum(axis=1) - totals[:, f]) or final for f in range(FOLDS)]
+    by_fold = [_lexicon(words, times, by_word.sum(axis=2) - by_word[:, :, f], totals.sum(axis=1) - totals[:, f]) or final for f in range(FOLDS)]
     rows = _statistics(sample, by_fold)
     clean = [by_fold[r.fold].lam * max([0.0, *r.found]) - math.log(max(r.n, 1)) for r in rows if r.label == 0]
     log_k = float(np.clip(np.mean(clean) - 0.5772156649, -12, 0)) if clean else 0.0

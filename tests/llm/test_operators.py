@@ -207,6 +207,32 @@ def test_toxicity_held_out_and_odd_rows(spark, odd, none):
     assert spans and spans[0][0] >= 100
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(-6, 6)), max_size=8))
+def test_segments_of_words_of_both_signs(steps):
+    gap, hits, at = -0.75, [], -1
+    for skip, w in steps:
+        at += skip + 1
+        hits.append((at, w / 2))
+    scores = [gap] * (at + 1)
+    for i, w in hits:
+        scores[i] = w
+    found = toxicity.segments(hits, gap)
+    assert all(s > 0 and s == sum(scores[a : b + 1]) for s, a, b in found)
+    assert max((s for s, _, _ in found), default=0) == max((sum(scores[i : j + 1]) for i in range(len(scores)) for j in range(i, len(scores))), default=0, key=lambda x: max(x, 0)) or not any(w > 0 for _, w in hits) and not found
+
+
+def test_toxicity_finds_words_that_clean_documents_hold_too(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scorer = toxicity.fit(docs, labels)
+    assert scorer.words["réeuxment"] > 1 and any(w < scorer.gap for w in scorer.words.values())  # 14 toxic documents and 1 clean one
+    got = toxicity.score(docs.select("doc_id", "text", "lang").join(labels, "doc_id").filter(toxicity.held_out()), scorer).select("lang", "toxic", "toxicity").collect()
+    found = collections.Counter((r.lang, r.toxic) for r in got if r.toxicity >= toxicity.THRESHOLD)
+    total = collections.Counter((r.lang, r.toxic) for r in got)
+    assert all(found[lang, 1] >= 0.9 * total[lang, 1] for lang in ("en", "de", "fr", "es"))
+    assert sum(found[lang, 0] for lang in ("en", "de", "fr", "es")) <= 0.01 * sum(total[lang, 0] for lang in ("en", "de", "fr", "es"))
+
+
 def test_held_out_is_the_contract(spark):
     got = spark.range(50).select("id", toxicity.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
