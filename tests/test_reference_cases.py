@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as t
 from quillspark.operators import scoring, transform
-from quillspark.operators.spans import Block, Gold, best_span, match_page, normalize
+from quillspark.operators.spans import Block, Finder, Gold, best_span, match_page, near_spans, normalize
 from quillspark.sources import documents, media, tabular
 from quillspark.streaming import sessions
 
@@ -58,6 +58,30 @@ def page(golds, blocks):
     return match_page(g, b)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab c中", max_size=45), max_size=4), st.text("ab c中", max_size=60), st.data())
+def test_finder_equals_brute_force(patterns, text, data):
+    for p in patterns:  # a copy with a few edits
+        p = list(p)
+        for at in data.draw(st.lists(st.integers(0, 44), max_size=4)):
+            p[at : at + 1] = data.draw(st.sampled_from(["", "x", "bb"]))
+        text += "".join(p)
+    want = [(i, *best_span(p, text)) for i, p in enumerate(patterns) if p]
+    assert sorted(Finder(list(enumerate(patterns))).find(text)) == [r for r in want if r[1] <= len(patterns[r[0]]) // 10]
+
+
+def test_near_spans_in_long_documents(spark):
+    passage = "the quick brown fox jumps over the lazy dog near the bank of the river"
+    near = passage.replace("quick", "quack").replace("river", "rivers")
+    texts = ["filler text " * 600 + near, passage, "nothing", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage), (8, ""), (9, None), (10, "nothing")], "item_id long, pattern string")
+    want = sorted((i, d, *best_span(p, texts[d])) for i, p, d in ((7, passage, 0), (7, passage, 1), (10, "nothing", 2)))
+    for block in (1, 4096):
+        assert sorted(map(tuple, near_spans(docs, items, block).collect())) == want
+    assert want[0][2] == 1
+
+
 def test_assignment_splits_a_merged_block():
     done = page([("l1", "左栏第1段", None, None), ("l2", "左栏第2段", None, None), ("r1", "右栏第1段", None, None)], [("左栏第1段 右栏第1段 左栏第2段", None, None)])
     assert done["r1"][1].raw(*done["r1"][2:]) == "右栏第1段"
