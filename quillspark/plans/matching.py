@@ -45,7 +45,8 @@ def score_metrics(spark, d):
            count(*) FILTER (got AND same)::BIGINT AS "correctCellTexts", count(nx)::BIGINT AS "orderPairs", count(*) FILTER (got AND ord < no)::BIGINT AS "correctOrderPairs",
            max(p.pairs)::BIGINT AS "allOrderPairs", max(p.ok)::BIGINT AS "correctAllOrderPairs" FROM n JOIN p USING (category) GROUP BY category""")
 def ag_counts(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey < 3000").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("category"))
+    """Counters over all orders; the SQL has those below 3000 only."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("category"))
     page, part, line = F.col("l_orderkey").cast("string"), F.col("part"), F.col("l_linenumber")
     cell = lambda shift: F.struct(line.alias("row"), (F.lit(1) + shift).cast("int").alias("col"), F.lit(1).alias("rowSpan"), F.lit(1).alias("colSpan"))
     name = line.cast("string")
