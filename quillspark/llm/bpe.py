@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding with a two-tier lookup.
 
 Tier one is a minimal perfect hash over the vocabulary: it resolves every pre-token that is itself a
-vocabulary entry with two table reads and one fingerprint comparison, for whole blocks of text at a
-time.  Tier two merges the bytes of the other pre-tokens with a heap of candidate pairs over a linked
-list of bytes; its results are kept in a bounded memo.
+vocabulary entry with two table reads and a comparison of all its characters, for whole blocks of text
+at a time.  Tier two merges the bytes of the other pre-tokens with a heap of candidate pairs over a
+linked list of bytes; its results are kept in a bounded memo by text.  Fingerprints only propose: hits
+and groups of equal pre-tokens count after their characters were compared, so no text can be confused
+with another of the same fingerprint.
 
 Pre-tokens are found without a regular expression engine: code points are classed as white space,
 letter, number or other, and the boundaries that the public pattern draws follow from class changes.
@@ -35,7 +37,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 PIECE = 1 << 18  # code points worked on at once
-MEMO, WIDTH = 1 << 20, 6  # pre-tokens whose merges a worker remembers, by fingerprint; ids of each at most
+MEMO, MEMO_CHARS = 1 << 18, 48  # pre-tokens whose merges a worker remembers; characters of each at most
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
@@ -110,6 +112,38 @@ class PerfectHash:
         return np.where(self.key_at[slot] == keys, self.item_at[slot], -1)
 
 
+def equal_runs(x: np.ndarray, at: np.ndarray, y: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether x[at : at + size] equals y[begin : begin + size], run by run; sizes are positive."""
+    if not len(size):
+        return np.empty(0, bool)
+    last = np.cumsum(size)
+    place = np.arange(int(last[-1]))
+    same = x[place + np.repeat(at - (last - size), size)] == y[place + np.repeat(begin - (last - size), size)]
+    return np.logical_and.reduceat(same, last - size)
+
+
+def same_texts(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Group of every slice, equal texts alone sharing one, and the first slice of each group."""
+    group, uniq = pd.factorize(keys)
+    first = np.full(len(uniq), -1)
+    first[group[::-1]] = np.arange(len(group))[::-1]
+    size, rep = ends - starts, first[group]
+    odd = size[rep] != size
+    rest = np.flatnonzero(~odd)
+    odd[rest] = ~equal_runs(points, starts[rest], points, starts[rep[rest]], size[rest])
+    if odd.any():  # fingerprints met: these slices are grouped by their characters
+        more: dict[str, int] = {}
+        extra = []
+        for i in np.flatnonzero(odd).tolist():
+            word = text[starts[i] : ends[i]]
+            if word not in more:
+                more[word] = len(first) + len(extra)
+                extra.append(i)
+            group[i] = more[word]
+        first = np.concatenate((first, np.array(extra, first.dtype)))
+    return group, first
+
+
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """BPE ids of a pre-token: lowest rank first, leftmost first among equals.
 
@@ -186,11 +220,12 @@ class Encoder:
                 pass  # such a token is never a whole pre-token
         flat = _code_points("".join(texts))
         ends = np.cumsum([len(x) for x in texts])
-        keys = self._keys(flat, np.concatenate(([0], ends[:-1])), ends)
-        self.hash = PerfectHash(keys)
-        self.hash.item_at = np.asarray(ids, np.int64)[self.hash.item_at]
+        self.whole_points, self.whole_ids = flat, np.asarray(ids, np.int64)
+        self.whole_start = np.concatenate(([0], ends[:-1]))
+        self.whole_size = ends - self.whole_start
+        self.hash = PerfectHash(self._keys(flat, self.whole_start, ends))
         self.classes = class_table()
-        self.memo = None
+        self.memo: dict[str, list[int]] = {}
 
     @staticmethod
     def _powers(n: int, base: np.uint64) -> np.ndarray:
@@ -246,6 +281,16 @@ class Encoder:
                         start[i + 1 + tail] |= kind[i + 1 + tail] == LETTER
         return np.flatnonzero(start)
 
+    def _whole(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Ids of the pre-tokens that are vocabulary entries, -1 for the others."""
+        item = self.hash.find(keys)
+        hit = np.flatnonzero(item >= 0)
+        hit = hit[self.whole_size[item[hit]] == (ends - starts)[hit]]
+        same = equal_runs(points, starts[hit], self.whole_points, self.whole_start[item[hit]], (ends - starts)[hit])
+        ids = np.full(len(starts), -1, np.int64)
+        ids[hit[same]] = self.whole_ids[item[hit[same]]]
+        return ids
+
     def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some non-empty texts in one array, and where those of each text end."""
         joined = "".join(texts)
@@ -254,14 +299,14 @@ class Encoder:
         starts = self.boundaries(points, np.concatenate(([0], stops[:-1])))
         ends = np.append(starts[1:], len(points))
         keys = self._keys(points, starts, ends)
-        ids = self.hash.find(keys)
+        ids = self._whole(points, starts, ends, keys)
         counts = np.ones(len(ids), np.int64)
         missed = np.flatnonzero(ids < 0)
         if len(missed):
-            inverse, uniq = pd.factorize(keys[missed])
-            where = np.empty(len(uniq), np.int64)
-            where[inverse] = missed
-            flat, sizes = self._merged(uniq, joined, starts[where], ends[where])
+            inverse, first = same_texts(points, starts[missed], ends[missed], keys[missed], joined)
+            found = [self._merged(joined[a:b]) for a, b in zip(starts[missed[first]].tolist(), ends[missed[first]].tolist(), strict=True)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
             offset = np.cumsum(sizes) - sizes
             counts[missed] = sizes[inverse]
         at = np.cumsum(counts)
@@ -275,31 +320,16 @@ class Encoder:
             out[np.repeat(begin, reps) + step] = flat[np.repeat(offset[inverse], reps) + step]
         return out, at[np.searchsorted(starts, stops) - 1]
 
-    def _merged(self, keys: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct pre-tokens outside the vocabulary, in one array, and how many each has."""
-        if self.memo is None:
-            self.memo = np.zeros(MEMO, np.uint64), np.zeros(MEMO, np.uint8), np.zeros((MEMO, WIDTH), np.int32)
-        key_at, size_at, ids_at = self.memo
-        slot = (keys & np.uint64(MEMO - 1)).astype(np.int64)
-        known = (key_at[slot] == keys) & (size_at[slot] > 0)
-        sizes = np.where(known, size_at[slot], 0).astype(np.int64)
-        new = np.flatnonzero(~known)
-        found = [merge_bytes(text[a:b].encode("utf-8", "replace"), self.ranks) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-        sizes[new] = np.fromiter(map(len, found), np.int64, len(found))
-        last = np.cumsum(sizes)
-        out = np.empty(int(last[-1]), np.int32)
-        cells = np.arange(WIDTH)
-        own = cells < sizes[known][:, None]
-        out[((last - sizes)[known][:, None] + cells)[own]] = ids_at[slot[known]][own]
-        if found:
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes[new].sum()))
-            ends_new = np.cumsum(sizes[new])
-            out[np.arange(len(flat)) + np.repeat((last - sizes)[new] - (ends_new - sizes[new]), sizes[new])] = flat
-            keep = sizes[new] <= WIDTH
-            rows, at = slot[new][keep], (ends_new - sizes[new])[keep]
-            key_at[rows], size_at[rows] = keys[new][keep], sizes[new][keep]
-            ids_at[rows] = flat[np.minimum(at[:, None] + cells, len(flat) - 1)]
-        return out, sizes
+    def _merged(self, word: str) -> list[int]:
+        """Ids of a pre-token outside the vocabulary."""
+        found = self.memo.get(word)
+        if found is None:
+            found = merge_bytes(word.encode("utf-8", "replace"), self.ranks)
+            if len(word) <= MEMO_CHARS:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[word] = found
+        return found
 
     def _pieces(self, text: str) -> Iterator[str]:
         """The text in pieces of about PIECE code points, cut where white space begins."""
@@ -364,7 +394,7 @@ class Encoder:
         return b"".join(out)
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": None}
+        return self.__dict__ | {"memo": {}}
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "input_ids", n: str = "n_tokens") -> DataFrame:

@@ -261,6 +261,27 @@ def test_bpe_equals_library(encoder, library):
         assert encoder.decode(ids) == text.encode()
 
 
+def thue_morse(n):
+    """A word over a and b whose polynomial hashes modulo powers of two meet those of its complement."""
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_whose_fingerprints_meet(encoder, library, odd):
+    flip = str.maketrans("ab", "ba")
+    texts = [f"{x}{gap}{x.translate(flip)} {x}" for n in (512, 1024, 2048, 4096, 8192) for x in [thue_morse(n)] for gap in ("\n", " ")]
+    points = bpe._code_points(texts[2])
+    keys = encoder._keys(points, np.array([0, 1025]), np.array([1024, 2049]))
+    assert keys[0] == keys[1]  # the case is one
+    for text, ids in zip(texts, encoder.encode_batch(texts), strict=True):
+        assert ids.tolist() == library.encode_ordinary(text) and encoder.decode(ids) == text.encode()
+
+
+def test_equal_fingerprints_of_all_words(encoder, library, monkeypatch):
+    monkeypatch.setattr(bpe.Encoder, "_keys", staticmethod(lambda points, starts, ends: np.full(len(starts), encoder.hash.key_at[5])))
+    texts = ["some words and somewords andwords zqxzqx zqxzqy zqxzqx", "another zqxzqy"]
+    assert [x.tolist() for x in encoder.encode_batch(texts)] == list(map(library.encode_ordinary, texts))
+
+
 def test_long_texts_in_pieces(encoder, library, monkeypatch):
     monkeypatch.setattr(bpe, "PIECE", 500)
     text = LONG[:20_000] + "z" * 5000 + " \n\n " + LONG[:3000]
