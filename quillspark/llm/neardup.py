@@ -7,17 +7,24 @@ For a pair of sketches, the count of differing bits estimates the similarity; pa
 beyond ``distance_limit`` (the mean at the threshold plus 5.2 standard deviations) are passed over,
 the others are confirmed on the full sets: 100 * intersection >= percent * union.
 
-Pairs are not listed within buckets.  Each bucket first compares its members with one hub, the member
-that shares most bucket places over all bands (the original among copies of it).  Confirmed links give
-components.  Buckets that still hold several components then compare the members outside their largest
-component with all others of another component, with the sketch test inside the join, so only pairs
-that may link are ever made.  A pair inside one component needs no test.  With 5 rows and 32 bands, a
-pair of similarity 0.8 shares no band with probability 3e-6, one of 0.85 with 2e-8.
+Pairs are not listed within buckets.  Each entry is first compared with the hubs of its buckets, the
+members that share most bucket places (the original among copies of it).  Confirmed links give
+components.  What is left are pairs of different components in a bucket.  For the members of all
+buckets that hold several components, a prefix join finds them without loss: items are ordered by how
+often their hash cell occurs, rare ones first, and a pair that links must share an item between the
+first n - ceil(2 t n / (1 + t)) + 1 of the smaller and the first m - ceil(t m) + 1 of the larger set.  So
+texts that are alike in what is common among them, but differ in the rest, never meet.  Items that one
+component alone holds make no pairs, and members of an item's largest component meet others only.
+With 5 rows and 32 bands, a pair of similarity 0.8 shares no band with probability 3e-6, one of 0.85
+with 2e-8.
+
+Words are hashed in lanes of eight bytes, each mixed by a bijection; shingles are 64-bit hashes of those.
 
 Rows: null texts and texts without words have empty sets and link with nothing; texts with fewer words
 than a shingle have their whole sequence as the one shingle; a null id has no component and is kept; an
-id that repeats is one document, linked with what any of its texts link with; an empty table gives an
-empty table; further columns are not read.
+id that repeats is one document, linked with what any of its texts link with, so it has one component;
+``stage`` judges every row by its own text instead, so that an id that repeats loses no text that has no
+near-duplicate; an empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,28 +35,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import by_size, materialize
+from .shared import by_size, discard, materialize
 
 ROWS, BANDS = 5, 32
 SAMPLES, BITS = 640, 2048  # of the sketch; the bands use the first ROWS * BANDS samples
 WORDS = BITS // 64
-#: Ids that may be broadcast: 8 bytes each.
-SMALL = 1_000_000
+#: Rows of ids and set keys that may be broadcast: up to 32 bytes each.
+SMALL = 200_000
 
 _RNG = np.random.default_rng(20240229)
 _MULTIPLY = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
-_BASE = 0x9E3779B97F4A7C15
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 _STEP = np.uint64(0xA0761D6478BD642F)
 BLOCK = 1 << 19  # bytes hashed at once
+LANES = 64  # bytes of a word that are hashed in lanes; longer words are hashed one by one
+CELLS = 18  # bits of the cells in which items are counted to order them
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of a lane
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,33 +68,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        up = np.full(n, _BASE, np.uint64)
-        down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-    return _POWERS
-
-
 def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all lower-cased words in order, and how many words each text has."""
-    raw = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
+    raw = _LOWER[np.frombuffer(b" ".join([b"", *texts, b"        "]), np.uint8)]
     gap = _SEPARATOR[raw]
     starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
     ends = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-    up, down = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWER[raw] + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    hashes = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
+    size = ends - starts
+    lanes = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    hashes = _mix((size.astype(np.uint64) * _STEP) ^ (lanes[starts] & _KEEP[np.minimum(size, 8)]))
+    live = np.arange(len(size))
+    for at in range(8, LANES, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        hashes[live] = _mix(hashes[live] * _STEP ^ (lanes[starts[live] + at] & _KEEP[np.minimum(size[live] - at, 8)]))
+    for i in np.flatnonzero(size > LANES).tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
     stops = np.cumsum([len(x) + 1 for x in texts]) + 1
     last = np.searchsorted(starts, stops)
     return hashes, np.diff(np.concatenate(([0], last)))
 
 
+def set_key(items: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(items.tobytes())
+
+
 def shingle_sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     group: list[bytes] = []
@@ -172,7 +181,7 @@ def sketch_table(docs: DataFrame, k: int) -> DataFrame:
                     bands[i] = x
                 cells[own] = sketch.view(np.int64)
             for i in full:
-                keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes())
+                keys[i] = set_key(sets[i])
             sizes = pa.array([len(x) for x in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array(cells[:, i]) for i in range(WORDS))], names=names)
 
@@ -191,29 +200,41 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int, short: bool = False) -> DataFrame:
-    """(doc_id, items) of the documents in ids (doc_id): all shingle hashes, or their low halves."""
+def full_sets(docs: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """(eid, items) of entries (eid, key, rep): all shingle hashes, in ascending order."""
 
     def run(batches):
+        seen = set()  # rows that repeat an id and its text give their set once a task
         for batch in by_size(batches, "text", 2 << 20):
             sets = list(shingle_sets([x or "" for x in batch.column("text").to_pylist()], k))
-            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            flat = flat.astype(np.uint32).view(np.int32) if short else flat.view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "items"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_few(ids), "doc_id", "left_semi")
-    return materialize(texts.mapInArrow(run, f"doc_id long, items array<{'int' if short else 'long'}>"), "neardup-sets")
-
-
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of representatives, those that link on their full sets."""
-    pairs = materialize(pairs, "neardup-pairs")
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ids")
-    sets = full_sets(docs, ids, k)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("of_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("of_b")), "b")
+            ids, out = [], []
+            for x, key, eid in zip(sets, batch.column("key").to_pylist(), batch.column("eid").to_pylist(), strict=True):
+                if eid not in seen and set_key(x) == key:
+                    seen.add(eid)
+                    ids.append(eid)
+                    out.append(x)
+            flat = np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["eid", "items"])
+
+    wanted = entries.select(F.col("rep").alias("doc_id"), "key", "eid")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_few(wanted), "doc_id").select("text", "key", "eid")
+    sets = materialize(texts.mapInArrow(run, "eid long, items array<long>"), "neardup-sets")
+    if sets.count() > entries.count():
+        once = materialize(sets.dropDuplicates(["eid"]), "neardup-sets")
+        discard(sets)
+        return once
+    return sets
+
+
+def confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of entries, those that link on their full sets.
+
+    ``b`` may be a hub: its set is joined last and so never moves once per pair.
+    """
+    both = pairs.join(sets.select(F.col("eid").alias("a"), F.col("items").alias("of_a")), "a").join(sets.select(F.col("eid").alias("b"), F.col("items").alias("of_b")), "b")
     same = F.size(F.array_intersect("of_a", "of_b"))
-    return both.filter(same * 100 >= percent * (F.size("of_a") + F.size("of_b") - same)).select("a", "b")
+    return materialize(both.filter(same * 100 >= percent * (F.size("of_a") + F.size("of_b") - same)).select("a", "b"), "neardup-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,7 +251,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = materialize(small, "components")
+        before, edges = edges, materialize(small, "components")
+        discard(before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).collect()[0]
         if now == state or not now.n:
             break
@@ -238,60 +260,169 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def link_components(docs: DataFrame, table: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(key, rep) of every different set, and (id, component) of the representatives that link."""
-    limit = distance_limit(percent)
+def _near_pairs(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose sizes and sketches allow a link."""
     cells = [f"s{i}" for i in range(WORDS)]
-    full = table.filter("key is not null and doc_id is not null")
-    entries = full.groupBy("key").agg(F.min_by(F.struct("n", *cells, "bands"), "doc_id").alias("x"), F.min("doc_id").alias("rep")).select("key", "rep", "x.*")
-    entries = materialize(entries, "neardup-entries")
-    places = entries.select("rep", F.explode("bands").alias("bucket"))
-    size = F.count("*").over(Window.partitionBy("bucket"))
-    shared = materialize(places.withColumn("size", size).filter("size > 1"), "neardup-buckets")
-    weight = shared.groupBy("rep").agg(F.sum("size").alias("weight"))
-    members = materialize(shared.select("bucket", "rep").join(entries.select("rep", "n", "bands", *cells).join(weight, "rep"), "rep"), "neardup-members")
-    hub = F.first(F.struct("rep", "n", *cells)).over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "rep", "n"))
-    own = F.struct("rep", "n", *cells)
-    stars = members.select(own.alias("x"), hub.alias("y")).filter(F.col("x.rep") != F.col("y.rep")).filter(_near("x", "y", limit, percent))
-    pair = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-    tested = materialize(stars.select(*pair("x.rep", "y.rep")).distinct(), "neardup-stars")
-    links = materialize(confirm(docs, tested, k, percent), "neardup-links")
-    known = components(links)
-
-    named = members.join(known, members.rep == known.id, "left").select("bucket", "rep", "n", "bands", *cells, F.coalesce("component", "rep").alias("c"))
-    counts = named.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main")
-    mixed = materialize(named.join(counts, "bucket"), "neardup-mixed")
-    sets = full_sets(docs, mixed.select(F.col("rep").alias("doc_id")).distinct(), k, short=True)
-    mixed = materialize(mixed.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "neardup-mixed")
-    x, y = mixed.filter("c <> main").alias("x"), mixed.alias("y")
+    of = lambda c: entries.select(F.col("eid").alias(c), F.struct("n", *cells).alias(f"x{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(_near("xa", "xb", distance_limit(percent), percent)).select("a", "b")
+
+
+def hub_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b) of each member (bucket, eid, size) and the hub of its bucket, once."""
+    weight = shared.groupBy("eid").agg(F.sum("size").alias("weight"))
+    hubs = shared.join(weight, "eid").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("eid")).alias("eid"))).alias("h")).select("bucket", (-F.col("h.eid")).alias("b"))
+    return shared.join(hubs, "bucket").select(F.col("eid").alias("a"), "b").filter("a <> b").distinct()
+
+
+def count_cells(sets: DataFrame) -> np.ndarray:
+    """How many items fall into each of 2**CELLS cells; this bounds what reaches the driver."""
+
+    def run(batches):
+        total = np.zeros(1 << CELLS, np.int64)
+        for batch in batches:
+            total += np.bincount(_cells(batch.column("items").flatten().to_numpy(zero_copy_only=False)), minlength=1 << CELLS)
+        full = np.flatnonzero(total)
+        for a in range(0, len(full), 1 << 16):
+            own = full[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], names=["cell", "n"])
+
+    rows = sets.select("items").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << CELLS, np.int64)
+    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _cells(items: np.ndarray) -> np.ndarray:
+    return (items.view(np.uint64) >> np.uint64(64 - CELLS)).astype(np.int64)
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(item, eid, n, c, low) of the items that a link must meet in; low: among those of a smaller set."""
+
+    def run(batches):
+        for batch in batches:
+            for eid, c, items in zip(batch.column("eid").to_pylist(), batch.column("c").to_pylist(), batch.column("items"), strict=True):
+                own = items.values.to_numpy(zero_copy_only=False)
+                n = len(own)
+                most, least = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                first = own[np.lexsort((own, counts[_cells(own)]))[:most]]
+                yield pa.RecordBatch.from_arrays([pa.array(first), *(pa.array(np.full(most, x)) for x in (eid, n, c)), pa.array(np.arange(most) < least)], names=["item", "eid", "n", "c", "low"])
+
+    return sets.mapInArrow(_together(run), "item long, eid long, n long, c long, low boolean")
+
+
+def _together(f, rows: int = 1 << 16):
+    """Joins the small batches of a function to some of about so many rows."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in f(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
+
+
+def crossing_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components that share an item of their prefixes, once."""
+    mixed = postings.groupBy("item").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("item")
+    live = materialize(postings.join(_few(mixed), "item"), "neardup-items")
+    main = live.groupBy("item", "c").agg(F.count("*").alias("m")).groupBy("item").agg(F.max(F.struct("m", "c")).alias("x")).select("item", F.col("x.c").alias("main"))
+    live = live.join(main, "item")
+    x, y = live.filter("c <> main").alias("x"), live.alias("y")
     apart = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
-    once = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.bucket")  # in the first bucket that a pair shares
-    # low halves may meet by chance, so this allows one item more; the links are confirmed on all of the hashes
-    alike = (F.size(F.array_intersect("x.items", "y.items")) + 1) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-    crossed = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & _near("x", "y", limit, percent) & once & alike)
-    links2 = materialize(confirm(docs, crossed.select(*pair("x.rep", "y.rep")), k, percent), "neardup-links")
-    return entries.select("key", "rep"), components(links.unionByName(links2))
+    n, m = F.col("x.n"), F.col("y.n")
+    alike = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((F.col("x.low") & (n <= m)) | (F.col("y.low") & (m <= n)))
+    return x.join(y, (F.col("x.item") == F.col("y.item")) & apart & alike).select(F.col("x.eid").alias("a"), F.col("y.eid").alias("b")).distinct()
+
+
+def link_components(docs: DataFrame, table: DataFrame, k: int, percent: int, one_id: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, eid) of every row with a set, and (key, eid, c, rep) of every different set: its component c and that one's smallest id.
+
+    With ``one_id`` the sets of an id are linked with one another.
+    """
+    cells = [f"s{i}" for i in range(WORDS)]
+    full = table.filter("key is not null and doc_id is not null")
+    entries = full.groupBy("key").agg(F.min_by(F.struct("n", *cells, "bands"), "doc_id").alias("x"), F.min("doc_id").alias("rep"))
+    entries = materialize(entries.select(F.monotonically_increasing_id().alias("eid"), "key", "rep", "x.*"), "neardup-entries")
+    rows = materialize(full.select("doc_id", "key").join(entries.select("key", "eid"), "key").select("doc_id", "eid"), "neardup-rows")
+    places = entries.select("eid", F.explode("bands").alias("bucket"))
+    sizes = places.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = materialize(places.join(sizes, "bucket"), "neardup-buckets")
+    stars = materialize(_near_pairs(hub_pairs(shared), entries, percent), "neardup-stars")
+    ids = materialize(shared.select("eid").distinct(), "neardup-ids")
+    sets = full_sets(docs, entries.join(_few(ids), "eid", "left_semi"), k)
+    links = confirm(sets, stars, percent)
+    known = materialize(components(links), "neardup-known")
+
+    named = shared.select("bucket", "eid").join(known, shared.eid == known.id, "left").select("bucket", "eid", F.coalesce("component", "eid").alias("c"))
+    buckets = named.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("bucket")
+    members = materialize(named.join(buckets, "bucket", "left_semi").select("eid", "c").distinct(), "neardup-members")
+    open_sets = materialize(sets.join(_few(members), "eid"), "neardup-open")
+    postings = materialize(prefixes(open_sets, count_cells(open_sets), percent), "neardup-prefixes")
+    crossed = materialize(_near_pairs(crossing_pairs(postings, percent), entries, percent), "neardup-crossed")
+    more = confirm(sets, crossed, percent)
+    edges = more
+    if one_id:
+        several = rows.groupBy("doc_id").agg(F.min("eid").alias("b"), F.max("eid").alias("last")).filter("b <> last").select("doc_id", "b")
+        edges = materialize(edges.unionByName(rows.join(_few(several), "doc_id").select(F.col("eid").alias("a"), "b").filter("a <> b").distinct()), "neardup-links")
+    found = known
+    if edges.limit(1).count():
+        found = materialize(components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(edges)), "neardup-known")
+    discard(shared, stars, ids, sets, links, members, open_sets, postings, crossed)
+    label = F.coalesce("component", "eid")
+    own = entries.join(found, entries.eid == found.id, "left").select("key", "eid", "rep", label.alias("c"))
+    least = own.groupBy("c").agg(F.min("rep").alias("least"))
+    return rows, own.join(least, "c").select("key", "eid", "c", F.col("least").alias("rep"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     table = materialize(sketch_table(docs, k), "neardup-sketches")
-    entries, found = link_components(docs, table, k, percent)
-    named = entries.join(found, entries.rep == found.id, "left").select("key", F.coalesce("component", "rep").alias("component"))
-    rows = table.select("doc_id", "n", "key").join(named, "key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    rows, named = link_components(docs, table, k, percent)
+    of_id = rows.join(named.select("eid", "rep"), "eid").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
+    return table.select("doc_id", "n").join(of_id, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def with_set_key(docs: DataFrame, k: int) -> DataFrame:
+    """(key, row, doc_id) of every row; key is null for empty sets."""
+
+    def run(batches):
+        for batch in by_size(batches, "text", 2 << 20):
+            keys = [set_key(x) if len(x) else None for x in shingle_sets([x or "" for x in batch.column("text").to_pylist()], k)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("row"), batch.column("doc_id")], names=["key", "row", "doc_id"])
+
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return packed.mapInArrow(run, T.StructType([T.StructField("key", T.BinaryType()), packed.schema["row"], T.StructField("doc_id", T.LongType())]))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    found = materialize(near_duplicates(docs.select("doc_id", "text")), "neardup-stage")
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    rest = docs.join(_few(gone), "doc_id", "left_anti").select(*docs.columns)
-    shape = found.filter("kept and doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).collect()[0]
-    if shape.n > shape.ids:  # ids that repeat keep one row
-        rest = rest.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.filter("doc_id is null"))
-    return rest
+    """Keeps one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    Each row is judged by its own text: the one with the smallest id of its group stays.  Where an id
+    repeats, the rows of that id with other texts are other documents; of equal rows one stays.  Rows
+    without words or without an id stay.
+    """
+    k, percent = 5, 80
+    table = materialize(sketch_table(docs.select("doc_id", "text"), k), "neardup-sketches")
+    rows, named = link_components(docs, table, k, percent, one_id=False)
+    named = materialize(named, "neardup-named")
+    times = materialize(table.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "neardup-repeated")
+    gone = rows.join(named.select("eid", "rep"), "eid").filter("rep <> doc_id").select("doc_id").unionByName(times).distinct()
+    gone = materialize(gone, "neardup-gone")
+    rest = docs.join(_few(gone), docs.doc_id.cast("long") == gone.doc_id, "left_anti")
+    if not times.limit(1).count():
+        return rest
+    own = with_set_key(docs.join(_few(times), docs.doc_id.cast("long") == times.doc_id, "left_semi"), k).join(named, "key", "left")
+    empty = own.filter("key is null").select("row.*")
+    full = own.filter("rep = doc_id").groupBy("c").agg(F.first("row").alias("row")).select("row.*")
+    return rest.unionByName(empty).unionByName(full)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

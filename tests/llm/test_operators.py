@@ -457,6 +457,83 @@ def test_near_duplicates_against_brute_force(spark, k):
     assert got == brute_components(docs, k, 80)
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    docs = [(3, a), (5, a), (5, b), (7, b), (8, c), (9, None), (9, c), (9, c), (11, ""), (11, d), (12, d), (None, a)]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in docs], "doc_id long, text string, key string, eid int")
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df, 5, 80).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (7, 3, False), (8, 8, True), (9, 8, False), (11, 11, True), (12, 11, False), (None, None, True)}
+    assert {i: x for i, x, _ in got if i} == {i: x for i, (_, x) in brute_components([x for x in docs if x[0]], 5, 80).items()}
+    kept = neardup.stage(spark, df, DATA)
+    assert kept.columns == df.columns
+    assert sorted(map(str, rows(kept, "doc_id", "text"))) == sorted(map(str, [(3, a), (5, b), (8, c), (9, None), (11, ""), (11, d), (None, a)]))
+
+
+def test_stage_keeps_other_texts_of_an_id(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(30)) for x in "abc"]
+    df = spark.createDataFrame([(1, t) for t in [*texts, texts[0], texts[1] + " end"]], "doc_id long, text string")
+    kept = [r.text for r in neardup.stage(spark, df, DATA).collect()]
+    assert len(kept) == 3 and texts[0] in kept and texts[2] in kept and any(t.startswith(texts[1]) for t in kept)
+
+
+def test_words_whose_polynomials_meet():
+    x = thue_morse(1024)
+    y = x.translate(str.maketrans("ab", "ba"))
+    words = [x, y, x.upper(), thue_morse(64), thue_morse(72), "a" * 8, "a" * 9, "a" * 63, "a" * 64, "a" * 65, "é", "Ü"]
+    hashes, counts = neardup._word_hashes([" ".join(words).encode(), b"", b" ", b"aaaaaaaa b"])
+    assert counts.tolist() == [12, 0, 0, 2] and hashes[0] == hashes[2] and hashes[5] == hashes[12] and len(set(hashes.tolist())) == 12
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_shingle_sets_against_real_words(k):
+    rng = random.Random(k)
+    texts = [" ".join(rng.choice(["a", "B", "b", "word", "Ünï", "x" * 70, thue_morse(128)]) for _ in range(rng.randrange(60))) for _ in range(200)]
+    for text, items in zip(texts, neardup.shingle_sets(texts, k), strict=True):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))
+        assert len(items) == (len({tuple(w[j : j + k]) for j in range(len(w) - k + 1)}) if len(w) >= k else min(1, len(w)))
+
+
+def family(n, common, own, seed):
+    """Texts that share a common part and differ in the rest, in which some pairs repeat one another's."""
+    rng = random.Random(seed)
+    shared = [f"s{i}" for i in range(common)]
+    return [" ".join(shared + [f"t{rng.randrange(50 * n)}" for _ in range(own)]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("own", [8, 12, 16])
+def test_alike_texts_around_the_threshold(spark, own):
+    texts = family(150, 60, own, own)
+    rng = random.Random(own)
+    for t in texts[:60]:  # near copies of members, on both sides of the threshold
+        words = t.split()
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(len(words))] = f"u{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 2, 80).collect()}
+    assert got == brute_components(docs, 2, 80)
+
+
+def test_prefixes_lose_no_pair():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 50, 1 << neardup.CELLS)
+    for _ in range(300):
+        n, extra, same = rng.integers(5, 60), rng.integers(0, 8), rng.integers(4, 60)
+        pool = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        a, b = np.unique(pool[: min(same, n) + extra]), np.unique(np.concatenate((pool[: min(same, n)], pool[100 : 100 + rng.integers(0, 8)])))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        first = {}
+        for name, own in (("a", a), ("b", b)):
+            m = len(own)
+            order = own[np.lexsort((own, counts[neardup._cells(own.view(np.int64))]))]
+            first[name] = set(order[: m - -(-80 * m // 100) + 1].tolist()), set(order[: m - -(-160 * m // 180) + 1].tolist())
+        small, large = ("a", "b") if len(a) <= len(b) else ("b", "a")
+        assert first[small][1] & first[large][0]
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
