@@ -329,16 +329,24 @@ def _together(f, rows: int = 1 << 16):
 
 
 def crossing_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share an item of their prefixes, once."""
-    mixed = postings.groupBy("item").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("item")
+    """(a, b) of different components that share an item of their prefixes, once.
+
+    The smaller of a pair is met on a ``low`` item, so an item that is low in no set makes no pair, and
+    of an item's largest component only the members of the others meet it.
+    """
+    several = (F.min("c") != F.max("c")) & (F.max(F.col("low").cast("int")) == 1)
+    mixed = postings.groupBy("item").agg(several.alias("x")).filter("x").select("item")
     live = materialize(postings.join(_few(mixed), "item"), "neardup-items")
     main = live.groupBy("item", "c").agg(F.count("*").alias("m")).groupBy("item").agg(F.max(F.struct("m", "c")).alias("x")).select("item", F.col("x.c").alias("main"))
-    live = live.join(main, "item")
-    x, y = live.filter("c <> main").alias("x"), live.alias("y")
-    apart = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
-    n, m = F.col("x.n"), F.col("y.n")
-    alike = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((F.col("x.low") & (n <= m)) | (F.col("y.low") & (m <= n)))
-    return x.join(y, (F.col("x.item") == F.col("y.item")) & apart & alike).select(F.col("x.eid").alias("a"), F.col("y.eid").alias("b")).distinct()
+    live = materialize(live.join(main, "item"), "neardup-items")
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        alike = (F.col("x.c") != F.col("y.c")) & F.col("x.n").between(F.ceil(F.col("y.n") * percent / 100), F.col("y.n"))
+        return x.join(y, (F.col("x.item") == F.col("y.item")) & alike).select(F.least("x.eid", "y.eid").alias("a"), F.greatest("x.eid", "y.eid").alias("b"))
+
+    other, same = F.col("c") != F.col("main"), F.col("c") == F.col("main")
+    return meet(live.filter(F.col("low") & other), live).unionByName(meet(live.filter(F.col("low") & same), live.filter(other))).distinct()
 
 
 def link_components(docs: DataFrame, table: DataFrame, k: int, percent: int, one_id: bool = True) -> tuple[DataFrame, DataFrame]:
