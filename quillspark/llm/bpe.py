@@ -3,9 +3,9 @@
 Tier one is a minimal perfect hash over the vocabulary: it resolves every pre-token that is itself a
 vocabulary entry with two table reads and a comparison of all its characters, for whole blocks of text
 at a time.  Tier two merges the bytes of the other pre-tokens with a heap of candidate pairs over a
-linked list of bytes; its results are kept in a bounded memo by text.  Fingerprints only propose: hits
-and groups of equal pre-tokens count after their characters were compared, so no text can be confused
-with another of the same fingerprint.
+linked list of bytes; its results are kept in a bounded memo.  Fingerprints only propose: hits and groups of
+equal pre-tokens count after their characters were compared, and remembered ids after their tokens'
+bytes were, so no text can be confused with another of the same fingerprint.
 
 Pre-tokens are found without a regular expression engine: code points are classed as white space,
 letter, number or other, and the boundaries that the public pattern draws follow from class changes.
@@ -37,7 +37,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 PIECE = 1 << 18  # code points worked on at once
-MEMO, MEMO_CHARS = 1 << 18, 48  # pre-tokens whose merges a worker remembers; characters of each at most
+MEMO, WIDTH = 1 << 20, 6  # pre-tokens whose merges a worker remembers, by fingerprint; ids of each at most
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
@@ -225,7 +225,7 @@ class Encoder:
         self.whole_size = ends - self.whole_start
         self.hash = PerfectHash(self._keys(flat, self.whole_start, ends))
         self.classes = class_table()
-        self.memo: dict[str, list[int]] = {}
+        self.memo = None
 
     @staticmethod
     def _powers(n: int, base: np.uint64) -> np.ndarray:
@@ -304,9 +304,8 @@ class Encoder:
         missed = np.flatnonzero(ids < 0)
         if len(missed):
             inverse, first = same_texts(points, starts[missed], ends[missed], keys[missed], joined)
-            found = [self._merged(joined[a:b]) for a, b in zip(starts[missed[first]].tolist(), ends[missed[first]].tolist(), strict=True)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+            words = missed[first]
+            flat, sizes = self._merged(keys[words], joined, points, starts[words], ends[words])
             offset = np.cumsum(sizes) - sizes
             counts[missed] = sizes[inverse]
         at = np.cumsum(counts)
@@ -320,16 +319,50 @@ class Encoder:
             out[np.repeat(begin, reps) + step] = flat[np.repeat(offset[inverse], reps) + step]
         return out, at[np.searchsorted(starts, stops) - 1]
 
-    def _merged(self, word: str) -> list[int]:
-        """Ids of a pre-token outside the vocabulary."""
-        found = self.memo.get(word)
-        if found is None:
-            found = merge_bytes(word.encode("utf-8", "replace"), self.ranks)
-            if len(word) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[word] = found
-        return found
+    def _merged(self, keys: np.ndarray, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pre-tokens outside the vocabulary, in one array, and how many each has."""
+        if self.memo is None:
+            self.memo = np.zeros(MEMO, np.uint64), np.zeros(MEMO, np.uint8), np.zeros((MEMO, WIDTH), np.int32)
+        key_at, size_at, ids_at = self.memo
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+        wide = 1 + (points >= 0x80).astype(np.int64) + ((points >= 0x800) & (points >> 11 != 27)) + (points >= 0x10000) - (points >> 11 == 27)
+        byte_at = np.concatenate(([0], np.cumsum(wide)))  # a lone surrogate is one question mark
+        first, size = byte_at[starts], byte_at[ends] - byte_at[starts]
+        slot = (keys & np.uint64(MEMO - 1)).astype(np.int64)
+        known = (key_at[slot] == keys) & (size_at[slot] > 0)
+        hit = np.flatnonzero(known)
+        known[hit] = self._spells(ids_at[slot[hit]], size_at[slot[hit]], raw, first[hit], size[hit])
+        sizes = np.where(known, size_at[slot], 0).astype(np.int64)
+        new = np.flatnonzero(~known)
+        found = [merge_bytes(raw[a : a + n].tobytes(), self.ranks) for a, n in zip(first[new].tolist(), size[new].tolist(), strict=True)]
+        sizes[new] = np.fromiter(map(len, found), np.int64, len(found))
+        last = np.cumsum(sizes)
+        out = np.empty(int(last[-1]), np.int32)
+        cells = np.arange(WIDTH)
+        own = cells < sizes[known][:, None]
+        out[((last - sizes)[known][:, None] + cells)[own]] = ids_at[slot[known]][own]
+        if found:
+            flat = np.fromiter(chain.from_iterable(found), np.int32, int(sizes[new].sum()))
+            ends_new = np.cumsum(sizes[new])
+            out[np.arange(len(flat)) + np.repeat((last - sizes)[new] - (ends_new - sizes[new]), sizes[new])] = flat
+            keep = sizes[new] <= WIDTH
+            rows, at = slot[new][keep], (ends_new - sizes[new])[keep]
+            key_at[rows], size_at[rows] = keys[new][keep], sizes[new][keep]
+            ids_at[rows] = flat[np.minimum(at[:, None] + cells, len(flat) - 1)]
+        return out, sizes
+
+    def _spells(self, ids: np.ndarray, counts: np.ndarray, raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether remembered ids (rows, of which the first ``counts`` count) stand for raw[first : first + size]."""
+        own = np.arange(WIDTH) < counts[:, None]
+        each = np.where(own, self.token_size[ids], 0)
+        good = each.sum(axis=1) == size
+        rows = np.flatnonzero(good)
+        if len(rows):
+            tokens, n = ids[rows][own[rows]], each[rows][own[rows]]
+            last = np.cumsum(n)
+            spelled = self.token_bytes[np.repeat(self.token_start[tokens] - (last - n), n) + np.arange(int(last[-1]))]
+            good[rows] = equal_runs(raw, first[rows], spelled, np.cumsum(size[rows]) - size[rows], size[rows])
+        return good
 
     def _pieces(self, text: str) -> Iterator[str]:
         """The text in pieces of about PIECE code points, cut where white space begins."""
@@ -394,7 +427,7 @@ class Encoder:
         return b"".join(out)
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": None}
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "input_ids", n: str = "n_tokens") -> DataFrame:
