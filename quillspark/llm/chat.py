@@ -4,7 +4,7 @@ Each segment of a conversation (texts and, for unusual roles, the role's name) i
 and reserved ids, which no text can encode to, are spliced in between as turn marks.  The loss mask
 covers the texts of assistants and nothing else; it is derived from the segments' lengths by prefix
 sums.  So that the decoded form can be parsed as well, control strings that occur in content are
-escaped with a backslash, reversibly.
+broken by a backslash after their first character, reversibly; an escaped text holds none.
 
 The formatted table has rows (conv_id, part, ids, mask): a conversation is cut into parts between
 turns once a part holds PART ids, so that no row grows with the conversation.  Conversations are
@@ -39,8 +39,8 @@ _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
 def escape(text: str) -> str:
-    """Puts a backslash before every backslash and every control string."""
-    return _TO_ESCAPE.sub(lambda m: "\\" + m.group(), text)
+    """Doubles every backslash and puts one after the first character of every control string."""
+    return _TO_ESCAPE.sub(lambda m: m.group()[0] + "\\" + m.group()[1:] if len(m.group()) > 1 else "\\\\", text)
 
 
 def unescape(text: str) -> str:
