@@ -43,6 +43,7 @@ RARE = 2  # words of so many clean and no toxic documents are counted together,
 FOLDS = 8
 LOW, HIGH = -4.0, 12.0  # range of the evidence that the link sees
 THRESHOLD = 0.7
+TIE = 1e-9  # sums that differ by less count as equal, as rounding makes them differ
 
 
 def held_out(doc_id: str = "doc_id", of: int = 3, rest: int = 1) -> Column:
@@ -50,29 +51,38 @@ def held_out(doc_id: str = "doc_id", of: int = 3, rest: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % of == rest, F.lit(False))
 
 
+def words_of(text: str) -> list[str]:
+    """The lower-cased words of a text, one for each place that ``WORD`` finds in it."""
+    low = text.lower()
+    return WORD.findall(low) if len(low) == len(text) else [w.lower() for w in WORD.findall(text)]
+
+
 def segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[float, int, int]]:
     """All maximal scoring segments, in linear time: (score, first word, last word).
 
     ``hits``: positions and scores of either sign, ascending; every other word scores ``gap`` (negative).
+    A candidate points to the last one before it with a smaller left sum, so that a search passes over
+    those between them once and never again.
     """
-    kept: list[list[float]] = []  # left sum, right sum, first, last
+    kept: list[list] = []  # left sum, right sum, first, last, the candidate pointed to
     total, at = 0.0, -1
     for pos, weight in hits:
         total += gap * (pos - at - 1)
-        new = [total, total + weight, pos, pos]
+        new = [total, total + weight, pos, pos, -1]
         total, at = new[1], pos
         if weight <= 0:
             continue
         while True:
             j = len(kept) - 1
-            while j >= 0 and kept[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or kept[j][1] >= new[1]:
+            while j >= 0 and kept[j][0] >= new[0] - TIE:
+                j = kept[j][4]
+            if j < 0 or kept[j][1] >= new[1] - TIE:
                 break
             new[0], new[2] = kept[j][0], kept[j][2]
             del kept[j:]
+        new[4] = j
         kept.append(new)
-    return [(r - left, int(a), int(b)) for left, r, a, b in kept]
+    return [(r - left, a, b) for left, r, a, b, _ in kept]
 
 
 def evidence(strengths: list[float]) -> float:
@@ -92,7 +102,7 @@ class Scorer:
     b: float = 0.0
 
     def find(self, text: str) -> tuple[int, list[tuple[float, int, int]]]:
-        tokens = WORD.findall(text.lower())
+        tokens = words_of(text)
         words = self.words
         hits = [(i, words[t]) for i, t in enumerate(tokens) if t in words]
         return len(tokens), segments(hits, self.gap)
@@ -112,7 +122,7 @@ class Scorer:
         stat = evidence(each)
         spans = []
         if any(x > 0 for x in each):
-            places = [m.span() for m in WORD.finditer(text.lower())]
+            places = [m.span() for m in WORD.finditer(text)]
             spans = [(places[i][0], places[j][1], math.exp(-x)) for x, (_, i, j) in zip(each, found, strict=True) if x > 0]
         z = max(-60.0, min(60.0, self.a + self.b * stat))
         return 1 / (1 + math.exp(-z)), spans
@@ -126,7 +136,7 @@ def _count(sample: DataFrame) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray,
         totals = np.zeros((2, FOLDS), np.int64)
         for batch in by_size(batches, "text"):
             for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
-                found = set(WORD.findall((text or "").lower()))
+                found = set(words_of(text or ""))
                 counts[label][fold].update(found)
                 totals[label, fold] += len(found)
         for f in range(FOLDS):
