@@ -8,8 +8,8 @@ among them, K^(-1/2) maps a text's kernels with the landmarks to features of few
 one ridge regression per language is solved against +1/-1 targets.  Scoring multiplies batches of
 bitmaps by the landmarks' matrix and by the weights.
 
-The fit takes about PER_LANG training texts of each language, chosen by a hash of the id (documented
-bound), as bitmaps of DIM / 8 bytes; scoring covers whole texts of all documents.
+The fit takes about PER_LANG training texts of each language, chosen by a hash of id and text (documented
+bound; it grows with the number of languages), as bitmaps of DIM / 8 bytes; scoring covers whole texts of all documents.
 
 Rows: texts that are null or have no letter get ``und`` and score 0; repeated rows get equal results;
 without any training row every text gets ``und`` and score 0; a null id is neither held out nor learned
@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 from .shared import by_size, uniform, without
 from .toxicity import held_out
 
-DIM = 1 << 13
+BITS = 15
+DIM = 1 << BITS
 PER_LANG = 400
 LANDMARKS = 96
 RIDGE = 1e-2
@@ -73,7 +74,7 @@ def bitmaps(texts: list[str]) -> np.ndarray:
         start = np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
         p2 = np.where(np.arange(len(own)) - start >= 2, np.concatenate(([32, 32], own[:-2]))[: len(own)], 32)
         for gram in (own, own + (p1 + 1 << 8), own + (p1 << 8) + (p2 + 1 << 16)):
-            cell = (gram.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - 13)
+            cell = (gram.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
             out[row, cell] = 1
         group.clear()
 
@@ -159,7 +160,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(keep, pa.int64())), pa.array([x.tobytes() for x in bits], pa.binary())], names=["lang", "bits"])
 
     # about per_lang rows of DIM / 8 bytes for each language
-    rows = usable.filter(uniform("doc_id") < chance).select("text", "lang").mapInArrow(run, "lang string, bits binary").collect()
+    # repeated rows count once here, so that their number is no part of the bound
+    rows = usable.filter(uniform("doc_id", "text") < chance).select("text", "lang").distinct().mapInArrow(run, "lang string, bits binary").collect()
     if not rows:
         return Model([])
     rows.sort(key=lambda r: (r.lang, bytes(r.bits)))
