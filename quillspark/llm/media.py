@@ -6,9 +6,12 @@ below the shared folder and returns rows with the payload's digest and the place
 image only, and, where asked to, reads, verifies and describes the payload itself.
 
 A payload is the text's UTF-8 bytes plus zero bytes up to a positive multiple of 64.  Tar members are
-named by the payload's SHA-256; a writing task stores equal payloads once, so copies share a place.
-Every attempt of a task writes shards of its own name, and rows name the shards of the attempt that
-was committed: a lost executor costs a rerun and no wrong reference.
+named by the payload's SHA-256, and equal texts are stored once in all: digests are counted first, texts
+whose digest is alone are stored where they are read, and of the others one each, after an aggregation
+that leaves a task one copy of each.  Texts that differ in trailing zero characters share a payload and
+its digest, but not a stored form, which knows the unpadded length.  Every attempt of a task writes
+shards of its own name, and rows name the shards of the attempt that was committed: a lost executor
+costs a rerun and no wrong reference.
 
 Rows: a null text counts as empty and is stored as 64 zero samples; repeated rows give repeated rows;
 an empty table gives an empty table; columns other than the key and the text are not read.
@@ -25,14 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import by_size, materialize, open_store, shared_dir
+from .shared import by_size, discard, materialize, open_store, shared_dir
 
 WIDTH = 64
 SHARD_BYTES = 256 << 20
-SEEN = 200_000  # payloads whose place a writing task remembers
+SMALL = 200_000  # digests that may be broadcast: 40 bytes each
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEAD = 8 + 25 + 20  # signature, image header, chunk with the unpadded length
 
@@ -113,34 +117,59 @@ class ShardWriter:
             self.out = None
 
 
-PLACE = "digest string, media_sha256 string, shard string, offset long, length long"
+PLACE = "digest binary, n long, media_sha256 string, shard string, offset long, length long"
 
 
-def write_media(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stores the texts in shards below ``folder`` when run; one row per input row with its place."""
+def payload_digest(text: Column) -> tuple[Column, Column]:
+    """SHA-256 of a text's payload and its length without padding."""
+    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    n = F.octet_length(raw)
+    zeros = F.substr(F.lit(bytearray(WIDTH)), F.lit(1), F.when(n == 0, WIDTH).otherwise(F.pmod(-n, F.lit(WIDTH))).cast("int"))
+    return F.unhex(F.sha2(F.concat(raw, zeros), 256)), n.cast("long")
+
+
+def store(payloads: DataFrame, folder: str) -> DataFrame:
+    """Stores each row (digest, n, text) in shards below ``folder`` when run; its place instead of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
-        writer, seen = ShardWriter(folder, TaskContext.get().partitionId()), {}
-        for batch in by_size(batches, text):
+        writer = ShardWriter(folder, TaskContext.get().partitionId())
+        for batch in by_size(batches, "text"):
             rows = []
-            for x in batch.column(text).to_pylist():
-                payload, n = pad(x or "")
-                # texts that differ in trailing zero characters share a payload, not a stored form
-                digest = hashlib.sha256(payload).hexdigest()
-                place = seen.get((digest, n))
-                if place is None:
-                    media = encode_image(payload, n)
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    shard, at = writer.add(digest, media)
-                    place = seen[digest, n] = digest, hashlib.sha256(media).hexdigest(), shard, at, len(media)
-                rows.append(place)
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c) for c in zip(*rows, strict=True))], names=[key, "digest", "media_sha256", "shard", "offset", "length"])
+            for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                payload, n = pad(text or "")
+                if hashlib.sha256(payload).digest() != digest:
+                    raise ValueError("a text doesn't have the digest it was counted under")
+                media = encode_image(payload, n)
+                shard, at = writer.add(digest.hex(), media)
+                rows.append((hashlib.sha256(media).hexdigest(), shard, at, len(media)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n"), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True))], names=["digest", "n", "media_sha256", "shard", "offset", "length"])
         writer.close()
 
-    return df.select(key, text).mapInArrow(run, T.StructType([df.schema[key], *T._parse_datatype_string(PLACE).fields]))
+    return payloads.mapInArrow(run, PLACE)
+
+
+def write_once(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Stores the different texts now: (key, digest, n) of every row, and the place of every (digest, n)."""
+    digest, n = payload_digest(F.col(text))
+    named = df.select(F.col(key), digest.alias("digest"), n.alias("n"), F.col(text).alias("text"))
+    keys = materialize(named.drop("text"), "media-keys")
+    copies = materialize(keys.groupBy("digest", "n").agg(F.count("*").alias("times")).filter("times > 1").select("digest", "n"), "media-copies")
+    copies_now = F.broadcast(copies) if copies.count() <= SMALL else copies
+    payloads = named.select("digest", "n", F.coalesce("text", F.lit("")).alias("text"))
+    alone = payloads.join(copies_now, ["digest", "n"], "left_anti")
+    once = payloads.join(copies_now, ["digest", "n"], "left_semi").distinct()
+    places = materialize(store(alone.unionByName(once), folder), "media-places")
+    discard(copies)
+    return keys, places
+
+
+def write_media(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stores the texts in shards below ``folder`` now; one row per input row with its place."""
+    keys, places = write_once(df, folder, key, text)
+    return keys.join(places, ["digest", "n"]).select(key, "digest", "media_sha256", "shard", "offset", "length")
 
 
 HEADER = "width long, height long, n_bytes long"
@@ -173,8 +202,8 @@ def read_media(places: DataFrame, folder: str, payload: bool = False) -> DataFra
                         media = head + f.read_at(n - HEAD, at + HEAD)
                         data = decode_image(media)
                         found = hashlib.sha256(data).hexdigest()
-                        if hashlib.sha256(media).hexdigest() != sha or found != digest or len(media) != n:
-                            raise ValueError(f"{shard} at {at} doesn't hold {digest}")
+                        if hashlib.sha256(media).hexdigest() != sha or found != digest.hex() or len(media) != n:
+                            raise ValueError(f"{shard} at {at} doesn't hold {digest.hex()}")
                         known += len(data), found, zlib.crc32(data[-WIDTH:]), n, feature(data)
                     last = shard, at
                 rows.append(known)
@@ -188,8 +217,9 @@ def read_media(places: DataFrame, folder: str, payload: bool = False) -> DataFra
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "media")
-    places = materialize(write_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder), "media-places")
-    found = read_media(places, folder, payload=True)
+    keys, places = write_once(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    stored = read_media(places, folder, payload=True)  # each stored form is read once
+    found = keys.join(stored, ["digest", "n"])
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
 
 
