@@ -1,17 +1,21 @@
 """Surrogates for personal data and secrets.
 
 Detected entities get keyed replacements of the same type and format: digits for digits, letters for
-letters of the same case, valid card numbers for valid ones, octets for octets, names of the same
-gender and script for names after a form of address.  All types but names use a keyed Feistel
-permutation of what may vary, so two different entities of a format never share a replacement.  It
-works on normalised entities (digits without separators, lower-cased addresses), so one entity gets
-one replacement in every spelling and every document: coreference survives.  Each word of a name is
-replaced by itself, also where it stands again in the document without a form of address.
-
-Names are spelled from keyed syllables and could meet; ``choose_key`` therefore checks all different
-entities of the corpus, in an aggregation over entities, for shared replacements and for entities
-that would stay as they are, and goes on to the next key version, with longer names, until there are
-none.
+letters of the same case, card numbers with a valid check digit, IBANs with check digits that are valid
+where theirs were, phone numbers of the same country, addresses of the same kind (public, private,
+loopback, ...), names of the same gender and script for names after a form of address.  Numbers count as
+cards only if their check digit is valid.  All types but names use a keyed Feistel permutation of what
+may vary, so two different entities of a format never share a replacement.  It works on normalised
+entities (digits without separators, lower-cased addresses), so one entity gets one replacement in every
+spelling and every document: coreference survives.  Each word of a name is replaced by itself, also
+where it stands again in the document without a form of address.  Names that never stand after one of
+the forms below, or after a greeting with two words or more, are not found.
+
+Names are spelled from keyed syllables and could meet; ``choose_key`` therefore checks what would be
+written for all different spellings of the corpus, in aggregations over entities, for shared
+replacements, for entities with several, and for entities that would stay as they are, and goes on to
+the next key version, with longer names, until there are none.  Entities are found in one pass over the
+texts, which writes the texts with their places for the pass that replaces them.
 
 Rows: null texts stay null and empty texts empty; texts without entities stay as they are, byte for
 byte; repeated rows get equal results; an empty table gives an empty table; all columns pass through.
@@ -22,14 +26,17 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import struct
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import by_size, materialize, without
+from .shared import by_size, discard, fresh, materialize, without
 
 KEY = b"set your own key"
 ROUNDS = 8
@@ -38,6 +45,15 @@ VERSIONS = 12  # key versions tried before giving up
 # Forms of address: fixed values.
 MALE = ("Mr", "Mister", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Signor", "Don", "Господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Madame", "Mademoiselle", "Mme", "Mlle", "Señora", "Señorita", "Signora", "Doña", "Госпожа")
+GREETING = ("Dear", "Liebe", "Lieber", "Cher", "Chère", "Estimado", "Estimada", "Querido", "Querida")
+GREETED = {"Liebe": "f", "Lieber": "m", "Cher": "m", "Chère": "f", "Estimado": "m", "Estimada": "f", "Querido": "m", "Querida": "f"}
+# Calling codes of two digits; 1 and 7 have one, all others three: fixed values.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+# Address blocks that are not public, as (first octets, what may vary after them).
+BLOCKS = [
+    ((10,), (256, 256, 256)), ((127,), (256, 256, 256)), ((0,), (256, 256, 256)), ((192, 168), (256, 256)), ((169, 254), (256, 256)),
+    *(((172, x), (256, 256)) for x in range(16, 32)), *(((x,), (256, 256, 256)) for x in range(224, 256)),
+]
 
 _NAME = r"[^\W\d_a-z](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
 PATTERNS = [
@@ -51,10 +67,13 @@ PATTERNS = [
     ("phone", r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])"),
     ("phone", r"(?<![\w.+-])\+\d{9,15}(?![\w-])"),
     ("name", rf"\b(?:{'|'.join((*MALE, *FEMALE))})\b\.?[ \u00a0]{_NAME}(?:[ \u00a0]{_NAME}){{0,2}}"),
+    ("name", rf"\b(?:{'|'.join(GREETING)})[ \u00a0]{_NAME}(?:[ \u00a0]{_NAME}){{1,2}}"),
 ]
 MASTER = re.compile("|".join(f"(?P<p{i}>{p})" for i, (_, p) in enumerate(PATTERNS)))
-HINT = re.compile(rf"\d|@|[=:]|\b(?:{'|'.join((*MALE, *FEMALE))})\b")
+HINT = re.compile(rf"\d|@|[=:]|\b(?:{'|'.join((*MALE, *FEMALE, *GREETING))})\b")
 NAME = re.compile(_NAME)
+WORD = re.compile(r"(?<![^\W_])[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*(?![^\W_])")
+PART = re.compile(r"[^\W\d_]+")
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Consonants, vowels and endings (male, female, family) of the scripts names are spelled in.
@@ -73,6 +92,16 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_check(country: str, account: str) -> int:
+    """The check digits that make an IBAN valid."""
+    return 98 - int("".join(str(int(c, 36)) for c in f"{account}{country}00")) % 97
+
+
+def block_of(octets: list[int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The block of an address that is not public: its first octets and the ranges of the rest; empty for public ones."""
+    return next((b for b in BLOCKS if tuple(octets[: len(b[0])]) == b[0]), ((), ()))
+
+
 class Surrogates:
     """Keyed replacements of one key version."""
 
@@ -83,30 +112,20 @@ class Surrogates:
         return int.from_bytes(hashlib.blake2b(repr((tweak, *values)).encode(), key=self.key, digest_size=32).digest(), "big")
 
     def permute(self, tweak: str, digits: list[int], radices: list[int]) -> list[int]:
-        """A keyed permutation of the numbers with these radices: Feistel rounds on two halves."""
+        """A keyed permutation of the numbers with these radices (256 at most): Feistel rounds on two halves, in linear time."""
         if len(digits) < 2:
             return [(d + self._number(tweak, i)) % r for i, (d, r) in enumerate(zip(digits, radices, strict=True))]
         half = len(digits) // 2
-
-        def pack(a: int, b: int) -> tuple[int, int]:
-            value = size = 0
-            size = 1
-            for d, r in zip(digits[a:b], radices[a:b], strict=True):
-                value, size = value * r + d, size * r
-            return value, size
-
-        (left, n), (right, m) = pack(0, half), pack(half, len(digits))
+        left, right, n, m = digits[:half], digits[half:], radices[:half], radices[half:]
         for k in range(ROUNDS):
-            left = (left + self._number(tweak, 2 * k, right)) % n
-            right = (right + self._number(tweak, 2 * k + 1, left)) % m
-        out = []
-        for value, part in ((left, radices[:half]), (right, radices[half:])):
-            own = []
-            for r in reversed(part):
-                value, d = divmod(value, r)
-                own.append(d)
-            out += own[::-1]
-        return out
+            left = self._shift(f"{tweak} {2 * k}", left, n, right)
+            right = self._shift(f"{tweak} {2 * k + 1}", right, m, left)
+        return left + right
+
+    def _shift(self, tweak: str, digits: list[int], radices: list[int], other: list[int]) -> list[int]:
+        """Each digit moved on by a number that depends on the other half."""
+        stream = hashlib.shake_256(self.key + tweak.encode() + b"\0" + bytes(other)).digest(4 * len(digits))
+        return [(d + x) % r for d, x, r in zip(digits, struct.unpack(f"<{len(digits)}I", stream), radices, strict=True)]
 
     def by_class(self, kind: str, text: str, hexadecimal: bool = False) -> str:
         """Each digit and letter for one of its class; other characters stay."""
@@ -140,14 +159,21 @@ class Surrogates:
         """What is the same in all spellings of an entity."""
         if kind in ("card", "ssn", "phone"):
             return ("+" if entity.startswith("+") else "") + re.sub(r"\D", "", entity)
-        if kind == "email":
+        if kind == "email" or kind.startswith("name"):
             return entity.lower()
         return entity.replace(" ", "") if kind == "iban" else entity
 
     def replace(self, kind: str, entity: str) -> str:
         """The replacement of an entity other than a name, in its spelling."""
         if kind == "ip":
-            return ".".join(map(str, self.permute(kind, [int(x) for x in entity.split(".")], [256] * 4)))
+            octets = list(map(int, entity.split(".")))
+            first, rest = block_of(octets)
+            if first:
+                return ".".join(map(str, (*first, *self.permute(f"{kind} {first}", octets[len(first) :], list(rest)))))
+            while True:  # walks until the address is public, which keeps this a permutation of public ones
+                octets = self.permute(kind, octets, [256] * 4)
+                if not block_of(octets)[0]:
+                    return ".".join(map(str, octets))
         if kind == "email":
             local, _, domain = entity.lower().partition("@")
             host, dot, top = domain.rpartition(".")
@@ -159,7 +185,9 @@ class Surrogates:
             return self.by_class(kind, entity, hexadecimal=bool(re.fullmatch("[0-9a-f]+", entity)))
         if kind == "iban":
             raw = entity.replace(" ", "")
-            new = iter(raw[:2] + self.by_class(kind, raw[2:]))
+            country, check, account = raw[:2], int(raw[2:4]), raw[4:]
+            given = self.by_class(f"{kind} {country}", account)
+            new = iter(f"{country}{(iban_check(country, given) + check - iban_check(country, account)) % 100:02d}{given}")
             return "".join(c if c == " " else next(new) for c in entity)
         raw = re.sub(r"\D", "", entity)
         if kind == "card":
@@ -170,8 +198,7 @@ class Surrogates:
                 if luhn(new) == valid:
                     break
         elif kind == "phone":
-            keep = len(re.match(r"\+(\d{1,3})[ .(-]", entity).group(1)) if re.match(r"\+\d{1,3}[ .(-]", entity) else 0
-            keep = keep or (len(raw) - 10 if entity.startswith("+") and len(raw) > 10 else 0)
+            keep = 0 if not entity.startswith("+") else 1 if raw[0] in "17" else 2 if raw[:2] in TWO_DIGITS else 3
             new = raw[:keep] + self.digits(f"{kind} {raw[:keep]}", raw[keep:])
         else:
             new = self.digits(kind, raw)
@@ -190,31 +217,50 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if kind == "secret":
             out.append((*m.span(m.lastindex + 1), kind))  # the value alone; its group follows the pattern's own
         elif kind == "card":
-            n = len(re.sub(r"\D", "", m.group()))
-            if 13 <= n <= 19:
+            raw = re.sub(r"\D", "", m.group())
+            if 13 <= len(raw) <= 19 and luhn(raw):
                 out.append((*m.span(), kind))
         elif kind == "name":
-            own = list(NAME.finditer(text, *m.span()))[1:]
-            gender = "m" if m.group().startswith(MALE) and not m.group().startswith(FEMALE) else "f"
+            title, *own = (w.group() for w in NAME.finditer(text, *m.span()))
+            gender = "f" if title in FEMALE else "m" if title in MALE else GREETED.get(title, "-")
             for k, w in enumerate(own):
-                words.setdefault(w.group(), f"name-{gender if k < len(own) - 1 else '-'}")
+                words.setdefault(w, f"name-{gender if k < len(own) - 1 else '-'}")
         else:
             out.append((*m.span(), kind))
-    if words:
-        again = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(map(re.escape, words), key=len, reverse=True)) + r")(?![^\W_])")
-        taken = sorted(out)
-        out += [(*w.span(), words[w.group()]) for w in again.finditer(text) if not any(a < w.end() and w.start() < b for a, b, _ in taken)]
-    return sorted(out)
+    return merge(out, named(text, words)) if words else out
+
+
+def named(text: str, words: dict[str, str]) -> list[tuple[int, int, str]]:
+    """Places of the words of names: whole words, else the parts between apostrophes and hyphens."""
+    out = []
+    for m in WORD.finditer(text):
+        if m.group() in words:
+            out.append((*m.span(), words[m.group()]))
+        elif not m.group().isalpha():
+            out += [(*p.span(), words[p.group()]) for p in PART.finditer(text, *m.span()) if p.group() in words]
+    return out
+
+
+def merge(taken: list[tuple[int, int, str]], more: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Both lists of places in order, without those of the second that meet the first; each is in order."""
+    out, i = [], 0
+    for a, b, kind in more:
+        while i < len(taken) and taken[i][1] <= a:
+            out.append(taken[i])
+            i += 1
+        if i == len(taken) or b <= taken[i][0]:
+            out.append((a, b, kind))
+    return out + taken[i:]
 
 
 def replacement(own: Surrogates, kind: str, entity: str) -> str:
     return own.word(entity, kind[-1]) if kind.startswith("name") else own.replace(kind, entity)
 
 
-def rewrite(text: str, own: Surrogates) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with replacements, and where they stand in it."""
+def rewrite(text: str, own: Surrogates, found: list[tuple[int, int, str]] | None = None) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with replacements of what was found in it, and where they stand in it."""
     out, spans, at, size = [], [], 0, 0
-    for a, b, kind in find(text):
+    for a, b, kind in find(text) if found is None else found:
         new = replacement(own, kind, text[a:b])
         out += [text[at:a], new]
         size += a - at
@@ -229,32 +275,44 @@ def _bounded(f: Callable, name: str = "text"):
     return lambda batches: (f(batch) for batch in by_size(batches, name))
 
 
-def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The different entities of all documents: type and normalised entity."""
+def _spans(found: list[list[tuple[int, int, str]]]) -> pa.Array:
+    """Places as lists of structs, built column by column."""
+    flat = [x for own in found for x in own]
+    columns = [pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.StructArray.from_arrays(columns, names=["first", "end", "type"]))
+
+
+SPANS = "array<struct<first:int,end:int,type:string>>"
+
+
+def detect(docs: DataFrame, text: str, spans: str) -> DataFrame:
+    """All rows and columns, plus the places of entities in a column of this name."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(spans, T._parse_datatype_string(SPANS))])
+    run = lambda batch: pa.RecordBatch.from_arrays([*batch.columns, _spans([find(x) if x else [] for x in batch.column(text).to_pylist()])], names=[f.name for f in schema])
+    return docs.mapInArrow(_bounded(run, text), schema)
 
-    def run(batch):
-        normal = Surrogates().normal
-        found = {(k, normal(k, x[a:b]) if not k.startswith("name") else x[a:b].lower()) for x in batch.column(text).to_pylist() if x for a, b, k in find(x)}
-        kinds, values = zip(*sorted(found), strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "entity"])
 
-    return docs.select(text).mapInArrow(_bounded(run, text), "kind string, entity string").distinct()
+def spellings(found: DataFrame, text: str, spans: str) -> DataFrame:
+    """The different spellings of all entities found: type and spelling."""
+    rows = found.filter(F.size(spans) > 0).select(text, F.explode(spans).alias("x"))
+    return rows.select(F.col("x.type").alias("kind"), F.substring(text, F.col("x.first") + 1, F.col("x.end") - F.col("x.first")).alias("entity")).distinct()
 
 
-def choose_key(docs: DataFrame, key: bytes = KEY, text: str = "text") -> int:
-    """The first key version under which no two entities share a replacement and none stays."""
-    known = materialize(entities(docs, text), "pii-entities")
+def choose_key(known: DataFrame, key: bytes = KEY) -> int:
+    """The first key version under which no two entities (kind, entity) share a replacement, none has several, and none stays."""
     for version in range(VERSIONS):
 
         def run(batch, version=version):
             own = Surrogates(key, version)
             kinds, values = batch.column("kind").to_pylist(), batch.column("entity").to_pylist()
-            new = [own.normal(k, replacement(own, k, x)) if not k.startswith("name") else own.word(x, k[-1]).lower() for k, x in zip(kinds, values, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(new, pa.string())], names=["kind", "entity", "new"])
-
-        mapped = known.mapInArrow(_bounded(run, "entity"), "kind string, entity string, new string")
-        bad = mapped.groupBy("kind", "new").agg(F.count("*").alias("n"), F.max((F.col("entity") == F.col("new")).cast("int")).alias("stays")).filter("n > 1 or stays = 1")
-        if bad.limit(1).count() == 0:
+            old = [own.normal(k, x) for k, x in zip(kinds, values, strict=True)]
+            new = [own.normal(k, replacement(own, k, x)) for k, x in zip(kinds, values, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (kinds, old, new)], names=["kind", "old", "new"])
+
+        mapped = known.mapInArrow(_bounded(run, "entity"), "kind string, old string, new string").distinct()
+        shared = mapped.groupBy("kind", "new").agg(F.count("*").alias("n"), F.max((F.col("old") == F.col("new")).cast("int")).alias("stays")).filter("n > 1 or stays = 1")
+        several = mapped.groupBy("kind", "old").agg(F.count("*").alias("n"), F.lit(0).alias("stays")).filter("n > 1")
+        if shared.select("kind").unionByName(several.select("kind")).limit(1).count() == 0:
             return version
     raise ValueError(f"entities share replacements under {VERSIONS} key versions")
 
@@ -262,20 +320,24 @@ def choose_key(docs: DataFrame, key: bytes = KEY, text: str = "text") -> int:
 def replace_entities(docs: DataFrame, key: bytes = KEY, text: str = "text", spans: str | None = None) -> DataFrame:
     """All rows and columns with rewritten texts, plus the replacements' places in a column if one is named (a column of that name is replaced)."""
     docs = without(docs, spans) if spans else docs
-    version = choose_key(docs, key, text)
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("type", pa.string())]))
-    schema = T.StructType([*docs.schema.fields, *([T.StructField(spans, T._parse_datatype_string("array<struct<first:int,end:int,type:string>>"))] if spans else [])])
+    places = fresh(docs, "places")
+    found = materialize(detect(docs, text, places), "pii-found")
+    known = materialize(spellings(found, text, places), "pii-spellings")
+    version = choose_key(known, key)
+    discard(known)
+    schema = T.StructType([*docs.schema.fields, *([T.StructField(spans, T._parse_datatype_string(SPANS))] if spans else [])])
     names = docs.columns
 
     def run(batch):
         own = Surrogates(key, version)
-        found = [(None, []) if x is None else rewrite(x, own) for x in batch.column(text).to_pylist()]
-        columns = [pa.array([x for x, _ in found], pa.string()) if n == text else batch.column(n) for n in names]
-        if spans:
-            columns.append(pa.array([[{"first": a, "end": b, "type": k} for a, b, k in s] for _, s in found], kind))
-        return pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema])
-
-    return docs.mapInArrow(_bounded(run, text), schema)
+        columns = batch.column(places).flatten()
+        flat = list(zip(*(columns.field(i).to_pylist() for i in range(3)), strict=True))
+        ends = np.cumsum(pc.list_value_length(batch.column(places)).to_numpy(zero_copy_only=False)).tolist()
+        new = [(None, []) if x is None else rewrite(x, own, flat[a:b]) for x, a, b in zip(batch.column(text).to_pylist(), [0, *ends], ends, strict=False)]
+        columns = [pa.array([x for x, _ in new], pa.string()) if n == text else batch.column(n) for n in names]
+        return pa.RecordBatch.from_arrays(columns + [_spans([x for _, x in new])] * bool(spans), names=[f.name for f in schema])
+
+    return found.mapInArrow(_bounded(run, text), schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
