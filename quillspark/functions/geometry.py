@@ -35,7 +35,8 @@ def contained(gold: Column, other: Column) -> Column:
     """Share of the gold box inside the other; 0 without a box or an area."""
     (a, b, c, d), (e, f, g, h) = parts(gold), parts(other)
     wide, high = F.greatest(F.lit(0.0), F.least(c, g) - F.greatest(a, e)), F.greatest(F.lit(0.0), F.least(d, h) - F.greatest(b, f))
-    return F.coalesce(F.try_divide(wide * high, area(gold)), F.lit(0.0))
+    share = F.when(gold.isNotNull() & other.isNotNull(), F.try_divide(wide * high, area(gold)))  # greatest and least pass over nulls
+    return F.coalesce(share, F.lit(0.0))
 
 
 def gold_box(observed: Column, box: Column, rotation: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import guard_formula
+from ..functions.text import guard_formula, timestamp_ms
 
 BAD = "_bad_record"
 
@@ -32,6 +32,47 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.select(*(guard_formula(F.col(c)).alias(c) if c in names else c for c in df.columns)).write.option("header", True).mode("errorifexists").csv(path)
 
 
+def append_journal(df: DataFrame, path: str) -> None:
+    """Adds a table's rows to a journal of JSON lines, in one commit: a reader sees all of them or none."""
+    df.write.mode("append").json(path)
+
+
+def export(df: DataFrame, path: str, kind: str = "csv") -> DataFrame:
+    """Writes a table to a path that doesn't exist yet, and the manifest of it below: format, columns, rows, digest of all rows.
+
+    CSV has its text guarded against formulas; the manifest counts the texts that were.  Returns the manifest.
+    """
+    names = [c for c, k in df.dtypes if k == "string"]
+    hit = sum((F.coalesce((guard_formula(F.col(c)) != F.col(c)).cast("int"), F.lit(0)) for c in names), F.lit(0)) if kind == "csv" else F.lit(0)
+    if kind == "csv":
+        export_csv(df, f"{path}/data")
+    else:
+        publish(df, f"{path}/data", kind=kind)
+    digest = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
+    made = df.agg(F.lit(kind).alias("format"), F.lit(",".join(df.columns)).alias("columns"), F.count("*").alias("rows"), F.coalesce(F.sum(hit), F.lit(0)).alias("guarded"), F.hex(F.xxhash64(digest)).alias("digest"))
+    publish(made, f"{path}/manifest")
+    return df.sparkSession.read.schema(made.schema).json(f"{path}/manifest")
+
+
+def subtitles(rows: DataFrame, kind: str, key: str = "doc", first: str = "first_ms", last: str = "last_ms", text: str = "text", order: str = "no") -> DataFrame:
+    """One text per ``key`` of its segments, in order: kind txt, json, srt or vtt."""
+    comma = "," if kind == "srt" else "."
+    span = lambda x: F.concat(timestamp_ms(x["a"], comma), F.lit(" --> "), timestamp_ms(x["b"], comma))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(first).alias("a"), F.col(last).alias("b"), F.col(text).alias("t"))))
+    held = rows.groupBy(key).agg(parts.alias("p"))
+    if kind == "txt":
+        body = F.array_join(F.transform("p", lambda x: x["t"]), "\n")
+    elif kind == "json":
+        body = F.to_json(F.transform("p", lambda x: F.struct(x["a"].alias("startMs"), x["b"].alias("endMs"), x["t"].alias("text"))))
+    elif kind == "srt":
+        body = F.array_join(F.transform("p", lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), span(x), F.lit("\n"), x["t"], F.lit("\n"))), "\n")
+    elif kind == "vtt":
+        body = F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("p", lambda x: F.concat(span(x), F.lit("\n"), x["t"], F.lit("\n"))), "\n"))
+    else:
+        raise ValueError(f"no subtitles of kind {kind}")
+    return held.select(key, body.alias("body"))
+
+
 def same_content(a: DataFrame, b: DataFrame) -> bool:
     """Whether two inventories have as many files and bytes."""
     count = lambda x: tuple(x.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).collect()[0])

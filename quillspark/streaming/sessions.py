@@ -21,8 +21,12 @@ FRAME = RATE // 100
 
 @dataclass
 class Rules:
-    """A segment ends after this much silence that follows speech, or at this length."""
+    """Seconds after which a segment ends: of silence without speech, of silence after speech, and in all.
 
+    Each end begins a new segment; one without text gives no final.
+    """
+
+    still: float = 2.0
     silence: float = 0.8
     longest: float = 20.0
     char_seconds: float = 0.5
@@ -65,7 +69,8 @@ class Segmenter:
                 self.speech, self.trailing = self.speech + len(frame), 0
             else:
                 self.trailing += len(frame)
-        if self.speech and (self.trailing >= rules.silence * RATE or self.speech + self.trailing >= rules.longest * RATE):
+        quiet = self.trailing >= (rules.silence if self.speech else rules.still) * RATE
+        if quiet or self.total - self.start >= rules.longest * RATE:
             return "", self._close(rules)
         return self.text(rules), []
 
@@ -166,10 +171,11 @@ def idle_sessions(events: DataFrame, key: str, ts: str, gap: str, order: str) ->
     return marked.groupBy(key, "_n").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("events")).drop("_n")
 
 
-def admit(sessions: DataFrame, most: int) -> DataFrame:
+def admit(sessions: DataFrame, most: int, by: str | None = None) -> DataFrame:
     """Which sessions (session_id, first_ts, last_ts) get one of ``most`` places, in order of arrival.
 
-    A rejected session never holds a place, so this is sequential by nature: one group, small inputs.
+    A rejected session never holds a place, so this is sequential by nature: one group, small inputs
+    (the log of one server).  A log of many servers has its own groups: the column ``by``.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -184,7 +190,7 @@ def admit(sessions: DataFrame, most: int) -> DataFrame:
                 out.append((r.session_id, "rejected"))
         return pd.DataFrame(out, columns=["session_id", "status"])
 
-    return sessions.withColumn("_all", F.lit("all")).groupBy("_all").applyInPandas(run, "session_id string, status string")
+    return sessions.withColumn("_of", F.col(by) if by else F.lit(0)).groupBy("_of").applyInPandas(run, "session_id string, status string")
 
 
 def load_counts(log: DataFrame, engine: str, model: str, ts: str, idle: str, order: str) -> DataFrame:
