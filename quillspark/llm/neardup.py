@@ -7,10 +7,11 @@ For a pair of sketches, the count of differing bits estimates the similarity; pa
 beyond ``distance_limit`` (the mean at the threshold plus 5.2 standard deviations) are passed over,
 the others are confirmed on the full sets: 100 * intersection >= percent * union.
 
-Pairs are not listed within buckets.  Each entry is first compared with the hubs of its buckets, the
-members that share most bucket places (the original among copies of it).  Confirmed links give
-components.  What is left are pairs of different components in a bucket.  For the members of all
-buckets that hold several components, a prefix join finds them without loss: items are ordered by how
+Each entry is first compared with the hubs of its buckets, the members that share most bucket places
+(the original among copies of it).  Confirmed links give components.  What is left are pairs of
+different components in a bucket.  In buckets of up to WORK such pairs, the members outside the largest
+component are compared with those of other components, inside a join that makes links only.  For the
+members of all other buckets a prefix join finds the pairs without loss: items are ordered by how
 often their hash cell occurs, rare ones first, and a pair that links must share an item between the
 first n - ceil(2 t n / (1 + t)) + 1 of the smaller and the first m - ceil(t m) + 1 of the larger set.  So
 texts that are alike in what is common among them, but differ in the rest, never meet.  Items that one
@@ -54,6 +55,7 @@ _FOLD = np.uint64(0xD6E8FEB86659FD93)
 _STEP = np.uint64(0xA0761D6478BD642F)
 BLOCK = 1 << 19  # bytes hashed at once
 LANES = 64  # bytes of a word that are hashed in lanes; longer words are hashed one by one
+WORK = 1 << 24  # pairs of a bucket that may be compared one by one; the members of others meet by prefixes
 CELLS = 18  # bits of the cells in which items are counted to order them
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
@@ -328,6 +330,23 @@ def _together(f, rows: int = 1 << 16):
     return run
 
 
+def crossing_links(mixed: DataFrame, entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the entries of different components that share a bucket (bucket, eid, c, main) and link.
+
+    Sketches and sets stand in the join's condition, so that only links are made.
+    """
+    cells = [f"s{i}" for i in range(WORDS)]
+    rows = materialize(mixed.join(entries.select("eid", "n", "bands", *cells), "eid").join(sets, "eid"), "neardup-crossing")
+    x, y = rows.filter("c <> main").alias("x"), rows.alias("y")
+    apart = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
+    once = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.bucket")  # in the first bucket that a pair shares
+    link = F.size(F.array_intersect("x.items", "y.items")) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    joined = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & _near("x", "y", distance_limit(percent), percent) & once & link)
+    links = materialize(joined.select(F.col("x.eid").alias("a"), F.col("y.eid").alias("b")), "neardup-links")
+    discard(rows)
+    return links
+
+
 def crossing_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """(a, b) of different components that share an item of their prefixes, once.
 
@@ -369,12 +388,18 @@ def link_components(docs: DataFrame, table: DataFrame, k: int, percent: int, one
     known = materialize(components(links), "neardup-known")
 
     named = shared.select("bucket", "eid").join(known, shared.eid == known.id, "left").select("bucket", "eid", F.coalesce("component", "eid").alias("c"))
-    buckets = named.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("bucket")
-    members = materialize(named.join(buckets, "bucket", "left_semi").select("eid", "c").distinct(), "neardup-members")
-    open_sets = materialize(sets.join(_few(members), "eid"), "neardup-open")
-    postings = materialize(prefixes(open_sets, count_cells(open_sets), percent), "neardup-prefixes")
-    crossed = materialize(_near_pairs(crossing_pairs(postings, percent), entries, percent), "neardup-crossed")
-    more = confirm(sets, crossed, percent)
+    groups = named.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "c")).alias("x"), F.sum("m").alias("size"), F.count("*").alias("parts"))
+    groups = groups.filter("parts > 1").select("bucket", F.col("x.c").alias("main"), ((F.col("size") - F.col("x.m")) * F.col("size")).alias("work"))
+    mixed = materialize(named.join(groups, "bucket"), "neardup-mixed")
+    more = crossing_links(mixed.filter(F.col("work") <= WORK).select("bucket", "eid", "c", "main"), entries, sets, percent)
+    hot = materialize(mixed.filter(F.col("work") > WORK).select("eid", "c").distinct(), "neardup-hot")
+    if hot.limit(1).count():
+        few = more
+        open_sets = materialize(sets.join(_few(hot), "eid"), "neardup-open")
+        postings = materialize(prefixes(open_sets, count_cells(open_sets), percent), "neardup-prefixes")
+        crossed = materialize(_near_pairs(crossing_pairs(postings, percent), entries, percent), "neardup-crossed")
+        more = materialize(few.unionByName(confirm(sets, crossed, percent)), "neardup-links")
+        discard(few, open_sets, postings, crossed)
     edges = more
     if one_id:
         several = rows.groupBy("doc_id").agg(F.min("eid").alias("b"), F.max("eid").alias("last")).filter("b <> last").select("doc_id", "b")
@@ -382,7 +407,7 @@ def link_components(docs: DataFrame, table: DataFrame, k: int, percent: int, one
     found = known
     if edges.limit(1).count():
         found = materialize(components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(edges)), "neardup-known")
-    discard(shared, stars, ids, sets, links, members, open_sets, postings, crossed)
+    discard(shared, stars, ids, sets, links, mixed, hot)
     label = F.coalesce("component", "eid")
     own = entries.join(found, entries.eid == found.id, "left").select("key", "eid", "rep", label.alias("c"))
     least = own.groupBy("c").agg(F.min("rep").alias("least"))

@@ -7,6 +7,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import duckdb
@@ -39,6 +40,10 @@ def none(odd):
     return odd.limit(0)
 
 
+def shape(text):
+    return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", text)))
+
+
 def rows(df, *keys):
     return sorted((tuple(r[k] for k in keys) for r in df.collect()), key=str)
 
@@ -68,6 +73,20 @@ def test_media_round_trip(spark, odd, none):
     assert media.read_media(media.write_media(none, folder), folder, payload=True).count() == 0
 
 
+def test_equal_texts_are_stored_once(spark):
+    docs = [(i, t) for i in range(300) for t in [None if i % 7 == 0 else f"text {i % 5}"]] + [(1, "x\0"), (2, "x"), (3, "alone")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    folder = shared.shared_dir(spark, "test-media")
+    keys, places = media.write_once(df, folder)
+    assert places.count() == 9 and places.select("digest").distinct().count() == 8  # "x" and "x\0" share a payload
+    assert media.write_media(df, folder).select("digest", "shard", "offset").distinct().count() == 9 and keys.count() == len(docs)
+    fs, path = shared.open_store(folder)
+    import tarfile
+
+    names = [m.name for x in fs.get_file_info(shared.pafs.FileSelector(path)) for m in tarfile.open(x.path).getmembers()]
+    assert len(names) == 18 and set(names) == {r.digest.hex() for r in places.collect()}  # written twice above
+
+
 def test_damaged_media_are_found():
     payload, n = media.pad("some text")
     good = media.encode_image(payload, n)
@@ -126,6 +145,41 @@ def test_exponent_meets_its_targets():
     assert mixing.exponent(np.array([5.0, 5.0]), max_repeat=1.0) == 0.0
 
 
+def test_entropies_beyond_the_natural_one():
+    n = np.array([100.0, 10.0, 1.0])
+    for target in (0.2, 0.05, 1e-4, 0.353, 1.0, math.log(3)):
+        a = mixing.exponent(n, entropy=target)
+        p = (n / n.sum()) ** a
+        p /= p.sum()
+        assert -(p * np.log(np.maximum(p, 1e-300))).sum() == pytest.approx(target, abs=1e-6)
+    for target in (5.0, -0.1):
+        with pytest.raises(ValueError):
+            mixing.exponent(n, entropy=target)
+    with pytest.raises(ValueError):
+        mixing.exponent(np.array([7.0, 7.0, 1.0]), entropy=0.5)  # two equal sources can't weigh less than ln 2
+    assert mixing.exponent(np.array([5.0]), entropy=0.0) == 0.0
+
+
+@pytest.mark.parametrize("goal", [{"max_repeat": 3.0}, {"entropy": 0.2}, {"entropy": 1.3}, {"budget": 900_000.0, "max_repeat": 4.0}])
+def test_realised_shares_meet_their_targets(spark, goal):
+    rng, sizes = random.Random(6), {"a": 4000, "b": 700, "c": 60, None: 300}
+    docs = [(i, s, rng.randrange(0, 300)) for i, (s, n) in enumerate((s, n) for s, n in sizes.items() for _ in range(n))]
+    docs += [(None, "b", 50), (None, "b", 51), (5, "a", 7), (5, "a", 8), (1, "empty", 0)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    totals = collections.Counter()
+    for _, s, n in docs:
+        totals[s] += n
+    want = mixing.targets(totals, **({"max_repeat": mixing.MAX_REPEAT} | goal))
+    named = df.groupBy(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s")).agg(F.sum("n_tokens").alias("t"))
+    table_want = {r.s[1:] or None: (r.weight, r.wanted, r.epochs) for r in mixing.source_targets(named, **({"max_repeat": mixing.MAX_REPEAT} | goal)).collect() if r.t}
+    assert table_want.keys() == want.keys() and all(table_want[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+    out = mixing.mix(df, F.col("n_tokens"), **goal)
+    got = {r.source: r.n for r in out.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    blocks = {r.source: r.n for r in out.filter("epoch = 0").groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).groupBy("source").agg(F.max("n").alias("n")).collect()}
+    for s, (_, wanted, _) in want.items():
+        assert abs(got.get(s, 0) - wanted) <= blocks.get(s, totals[s]) / 2 + 1e-6 * wanted, s
+
+
 def test_mixing_keeps_all_and_repeats_within_limits(spark, odd, none):
     docs = table(spark, "documents")
     out = mixing.mix(docs, mixing.count_tokens()).cache()
@@ -148,6 +202,13 @@ def test_escaping_round_trip():
         assert chat.unescape(chat.escape(text)) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*chat.CONTROLS, "\\", "<", "/", "s>", "[", "INST]", "x"]), max_size=8))
+def test_escaped_texts_hold_no_control_string(parts):
+    text = "".join(parts)
+    assert chat.unescape(chat.escape(text)) == text and not any(c in chat.escape(text) for c in chat.CONTROLS)
+
+
 def test_chats_against_brute_force(spark):
     odd_turns = [(900, 0, "user", None), (900, 1, "assistant", "</s>[INST] \\x"), (901, 0, None, "t"), (901, 1, "tool [TEXT]", "call"), (902, 0, "assistant", ""), (902, 1, "assistant", "é中"), (902, 1, "assistant", "é中"), (903, 0, "assistant", LONG)]
     turns = table(spark, "conversations").unionByName(spark.createDataFrame(odd_turns, "conv_id long, turn long, role string, text string"))
@@ -190,6 +251,44 @@ def test_segments_are_maximal(steps):
     assert not hits and not found or max(s for s, _, _ in found) == pytest.approx(best)
 
 
+def plain_segments(scores):
+    """Maximal scoring segments by their definition: the best segment, then those left and right of it."""
+    if not scores:
+        return []
+    best = max(((sum(scores[i : j + 1]), -i, i - j, i, j) for i in range(len(scores)) for j in range(i, len(scores))))
+    s, _, _, i, j = best
+    if s <= 0:
+        return []
+    return plain_segments(scores[:i]) + [(s, i, j)] + [(t, a + j + 1, b + j + 1) for t, a, b in plain_segments(scores[j + 1 :])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-9, 9), max_size=14))
+def test_segments_against_their_definition(raw):
+    scores = [x + 1 / (7 + i) / 100 for i, x in enumerate(raw)]  # no ties
+    found = toxicity.segments([(i, x) for i, x in enumerate(scores)], -1.0)
+    assert [(a, b) for _, a, b in found] == [(a, b) for _, a, b in plain_segments(scores)]
+
+
+def test_segments_in_linear_time():
+    def seconds(n):
+        hits = [(2 * i, 1.0 + 1e-9 * i) for i in range(n)]
+        began = time.perf_counter()
+        toxicity.segments(hits, -1.5)
+        toxicity.segments([(i, 1.0 if i % 2 else -1.0 - 1e-6) for i in range(n)], -1.5)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert min(seconds(160_000) for _ in range(3)) < 64 * min(seconds(10_000) for _ in range(3))  # 16 times the work; 256 times if it were quadratic
+
+
+def test_spans_are_places_in_the_text():
+    scorer = toxicity.Scorer({"bad": 6.0, "word": 6.0}, gap=-0.1, lam=1.0, log_k=-2.0, a=-4.0, b=1.0)
+    for text in ("İİİİ bad word", "İ" * 50 + " x BAD Word y", "plain bad word"):
+        _, spans = scorer.score(text)
+        assert [text[a:b].lower() for a, b, _ in spans] == ["bad word"]
+
+
 def test_toxicity_held_out_and_odd_rows(spark, odd, none):
     big = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
@@ -355,13 +454,116 @@ def test_surrogates_keep_type_and_format():
     assert [k for _, _, k in old] == ["email", "ip", "card", "phone", "phone", "cloud_key", "secret", "secret", "email"] and len(spans) == len(old)
     got = [new[a:b] for a, b, _ in spans]
     for (a, b, k), x in zip(old, got, strict=True):
-        assert x != text[a:b] and re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d+", "9", x))) is not None
-        assert k == "ip" or [c.isdigit() for c in x] == [c.isdigit() for c in text[a:b]] or k == "secret"
+        assert x != text[a:b]
+        if k == "secret":
+            assert len(x) == b - a and re.fullmatch("[0-9a-f]+", x)
+        elif k == "ip":
+            assert re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", x)
+        else:
+            assert shape(x) == shape(text[a:b])
     assert pii.luhn(got[2]) and got[3].replace("(", "").replace(")", "").replace(" ", "-") == got[4]
     assert got[8].lower() == got[0] and new.startswith(got[0]) and "password=" in new and 'token = "' in new
     assert pii.rewrite("version 3. CC 4.0, 2024-01-02 at 10:30, 1,234.50", own) == ("version 3. CC 4.0, 2024-01-02 at 10:30, 1,234.50", [])
 
 
+def spelled(rng, digits, groups):
+    out, at = [], 0
+    while at < len(digits):
+        n = rng.choice(groups)
+        out.append(digits[at : at + n])
+        at += n
+    return rng.choice([" ", "-"]).join(out) if rng.random() < 0.7 else "".join(out)
+
+
+def test_one_surrogate_for_all_spellings():
+    rng, own = random.Random(8), pii.Surrogates()
+    for plain, pretty in (("+358401234567", "+358 40 123 4567"), ("+14155552671", "+1 (415) 555-2671"), ("+442079460958", "+44 20 7946 0958")):
+        (a,), (b,) = ([x[i:j] for i, j, _ in spans] for x, spans in (pii.rewrite(t, own) for t in (plain, pretty)))
+        assert shape(a) == shape(plain) and shape(b) == shape(pretty)
+        assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != re.sub(r"\D", "", plain)
+        assert a[: 4 if plain[1] == "3" else 2] == plain[: 4 if plain[1] == "3" else 2]
+    seen = {}
+    for _ in range(3000):
+        body = "4" + "".join(rng.choice("0123456789") for _ in range(14))
+        card = next(body + c for c in "0123456789" if pii.luhn(body + c))
+        news = {re.sub(r"\D", "", pii.rewrite(x, own)[0]) for x in (card, f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}")}
+        assert len(news) == 1 and pii.luhn(next(iter(news))) and news != {card}
+        assert seen.setdefault(news.pop(), card) == card
+    assert pii.find("order 4111111111111112") == []  # no card, its check digit is wrong
+
+
+def test_ibans_stay_valid():
+    rng, own, seen = random.Random(9), pii.Surrogates(), {}
+    for i in range(2000):
+        country = rng.choice(["DE", "FR", "GB"])
+        account = {"DE": "", "FR": "", "GB": "NWBK"}[country] + "".join(rng.choice("0123456789") for _ in range(18 if country == "DE" else 14 if country == "GB" else 23))
+        good = f"{country}{pii.iban_check(country, account):02d}{account}"
+        assert int("".join(str(int(c, 36)) for c in good[4:] + good[:4])) % 97 == 1
+        for iban in (good, " ".join(good[k : k + 4] for k in range(0, len(good), 4))):
+            assert [k for _, _, k in pii.find(iban)] == ["iban"]
+            new = pii.rewrite(iban, own)[0]
+            raw = new.replace(" ", "")
+            assert shape(new) == shape(iban) and raw[:2] == country and raw != good and int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 == 1
+            assert seen.setdefault(raw, good) == good
+    bad = "DE00370400440532013000"
+    raw = pii.rewrite(bad, own)[0]
+    assert int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97 != 1
+
+
+def test_addresses_keep_their_kind():
+    import ipaddress
+
+    own, seen = pii.Surrogates(), {}
+    for i in range(5000):
+        old = ["10.{}.3.{}", "192.168.{}.{}", "172.20.{}.{}", "127.0.{}.{}", "8.{}.7.{}", "224.1.{}.{}"][i % 6].format(i // 6 % 256, i // 1536)
+        new = own.replace("ip", old)
+        a, b = ipaddress.ip_address(old), ipaddress.ip_address(new)
+        assert (a.is_loopback, a.is_multicast) == (b.is_loopback, b.is_multicast) and (not a.is_private or b.is_private)
+        assert seen.setdefault(new, old) == old
+
+
+def test_many_entities_and_long_secrets_in_linear_time():
+    def seconds(n):
+        text = " ".join(f"Mr. Smith 10.{i % 256}.3.{i // 256}" for i in range(n)) + " token=" + "aB3" * n
+        began = time.perf_counter()
+        new, spans = pii.rewrite(text, pii.Surrogates())
+        assert len(spans) == 2 * n + 1 and len(new.split()) == 3 * n + 1
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(48_000) < 24 * min(seconds(6_000) for _ in range(3))  # 8 times the work; 64 times if it were quadratic
+
+
+def test_places_merge_without_meeting():
+    rng = random.Random(3)
+    for _ in range(300):
+        cuts = sorted(rng.sample(range(60), 20))
+        taken = [(a, b, "x") for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        cuts = sorted(rng.sample(range(60), 20))
+        more = [(a, b, "y") for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        want = sorted(taken + [m for m in more if not any(a < m[1] and m[0] < b for a, b, _ in taken)])
+        assert pii.merge(taken, more) == want
+
+
+def test_surrogates_of_a_corpus_are_distinct(spark):
+    rng = random.Random(2)
+    docs, facts = [], []
+    for i in range(400):
+        mail, phone = f"user{i}@host{i % 7}.example.com", f"+49 30 {rng.randrange(100, 999)} {1000 + i}"
+        facts.append((mail, re.sub(r"\D", "", phone)))
+        docs += [(2 * i, f"write to {mail} or {phone} soon"), (2 * i + 1, f"{mail.upper()} called {phone.replace(' ', '-')}")]
+    out = {r.doc_id: r.text.split() for r in pii.replace_entities(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    mails = [out[2 * i][2] for i in range(400)]
+    phones = [re.sub(r"\D", "", " ".join(out[2 * i][4:8])) for i in range(400)]
+    assert len(set(mails)) == len(set(phones)) == 400 and not set(mails) & {m for m, _ in facts} and not set(phones) & {p for _, p in facts}
+    assert all(out[2 * i + 1][0].lower() == mails[i] and re.sub(r"\D", "", out[2 * i + 1][2]) == phones[i] for i in range(400))
+
+
+def test_names_after_greetings():
+    texts = ["Dear Anna Smith, welcome", "Liebe Frau Meier", "Chère Marie Curie,", "Dear Customer", "Dear Sir or Madam"]
+    assert [bool(pii.find(t)) for t in texts] == [True, True, True, False, False]
+
+
 def test_names_keep_gender_and_coreference():
     new, spans = pii.rewrite("Mr. John Smith met Mrs. Mary Smith. John left. Госпожа Анна Иванова.", pii.Surrogates())
     got = [new[a:b] for a, b, _ in spans]
@@ -408,6 +610,12 @@ def test_language_held_out(spark, odd, none):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(none)).collect()} == {"und"}
 
 
+def test_long_texts_do_not_fill_the_cells():
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(20_000))
+    assert langid.bitmaps([text]).mean() < 0.5
+
+
 def test_kernel_counts_shared_grams():
     a, b = (set(np.flatnonzero(x)) for x in langid.bitmaps(["abc", "abd"]))
     assert len(a & b) >= 5 and a != b
@@ -500,8 +708,9 @@ def family(n, common, own, seed):
     return [" ".join(shared + [f"t{rng.randrange(50 * n)}" for _ in range(own)]) for _ in range(n)]
 
 
-@pytest.mark.parametrize("own", [8, 12, 16])
-def test_alike_texts_around_the_threshold(spark, own):
+@pytest.mark.parametrize(("own", "work"), [(8, 0), (12, 0), (16, 0), (8, neardup.WORK), (12, 300)])
+def test_alike_texts_around_the_threshold(spark, own, work, monkeypatch):
+    monkeypatch.setattr(neardup, "WORK", work)  # both ways to meet give the same
     texts = family(150, 60, own, own)
     rng = random.Random(own)
     for t in texts[:60]:  # near copies of members, on both sides of the threshold
