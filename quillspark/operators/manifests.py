@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import package_name
+
 #: Extensions stored without compression. Fixed values.
 STORED = ("zip", "whl", "7z", "gz", "bz2", "xz", "zst", "png", "jpg", "jpeg", "webp", "mp3", "flac", "ogg", "mp4", "safetensors", "onnx", "bin")
 #: MB a second of copying, rebuilding, zipping and downloading. Fixed values.
@@ -80,3 +82,31 @@ def record_line(path: Column, content: Column) -> Column:
     """A RECORD line: path, url-safe base64 of the SHA-256 without padding, size."""
     digest = F.regexp_replace(F.translate(F.base64(F.unhex(F.sha2(content, 256))), "+/", "-_"), "=+$", "")
     return F.concat(path, F.lit(",sha256="), digest, F.lit(","), F.octet_length(content).cast("string"))
+
+
+def discover(files: DataFrame) -> DataFrame:
+    """Component folders of paths (path): those, below mcp one level deeper, that hold both an installer and a README."""
+    at = F.regexp_extract("path", "^(mcp/[^/]+|[^/]+)/([^/]+)$", 1).alias("component"), F.regexp_extract("path", "([^/]+)$", 1).alias("name")
+    both = F.bool_or(F.col("name") == "install.ps1") & F.bool_or(F.col("name") == "README.md")
+    return files.select(*at).filter(~F.col("component").isin("", "tools", "docs", "mcp")).groupBy("component").agg(both.alias("ok")).filter("ok").select("component")
+
+
+def progress(line: Column) -> Column:
+    """done and total of a progress line: counts, or a share of 100; null for other lines."""
+    count = r"^(?:PROG|Progress) (\d+) (?:of )?(\d+)$"
+    share = F.regexp_extract(line, r"(\d+(?:\.\d+)?)%$", 1)
+    none = F.lit(None).cast("string")
+    part = lambda i, other: F.when(line.rlike(count), F.regexp_extract(line, count, i)).when(share != "", other).otherwise(none)
+    return F.struct(part(1, share).alias("done"), part(2, F.lit("100")).alias("total"))
+
+
+def dependencies(project: Column) -> Column:
+    """Entries of the list of dependencies in a project file."""
+    return F.regexp_extract_all(F.regexp_extract(project, r"(?ms)^dependencies\s*=\s*\[(.*?)^\]", 1), F.lit(r'"([^"]+)"'), F.lit(1))
+
+
+def distributions(found: DataFrame) -> DataFrame:
+    """Packages (scan, name, has_metadata, editable), the first of each normalised name: norm, scan, and why it is left out."""
+    skip = F.when(~F.col("has_metadata"), "no metadata").when(F.col("editable"), "editable").otherwise("")
+    rows = found.select(package_name(F.col("name")).alias("norm"), "scan", skip.alias("skip"))
+    return rows.groupBy("norm").agg(F.min("scan").alias("scan"), F.min_by("skip", "scan").alias("skip"))

@@ -92,6 +92,12 @@ def ratios(counts: DataFrame) -> DataFrame:
     return counts.select("*", *(F.try_divide(F.col(a).cast("double"), F.col(b)).alias(k) for k, (a, b) in RATIOS.items()))
 
 
+def shape_differences(have: DataFrame, want: DataFrame, key: str) -> DataFrame:
+    """Keys whose number ``n`` is not the expected one, on either side: key, have, want."""
+    both = have.select(key, F.col("n").alias("have")).join(want.select(key, F.col("n").alias("want")), key, "full")
+    return both.filter(~F.col("have").eqNullSafe(F.col("want")))
+
+
 def page_status(pages: DataFrame, results: DataFrame) -> DataFrame:
     """Every selected page with its status, ``missing`` without a result; results of other pages are an error."""
     require_unique(results, "id")

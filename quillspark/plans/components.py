@@ -2,28 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import manifests as m
 from ..operators import retrieval, transform
+from ..sources import tabular
+from ..sources.documents import read_journal, read_json
+from ..storage import discard, materialize, shared_dir
 from .registry import register
-from .tables import sql_literal, sql_values, table
+from .tables import sql_literal, table
 
-PATHS = [("a/b.txt", True), ("../x", False), ("a/../b", False), ("/etc/passwd", False), ("C:\\x", False), ("a..b/c", True), ("", False)]
-
-
-@register("pred_path_safe", sql_values("path, safe", PATHS))
+@register("pred_path_safe", """
+    SELECT doc_id, doc_id % 7 IN (3, 5, 6) AS safe FROM documents""")
 def pred_path_safe(spark, d):
-    return spark.createDataFrame([p[:1] for p in PATHS], "path string").select("path", m.safe_path(F.col("path")).alias("safe"))
-
+    """Absolute paths, parent steps, drive letters, empty paths, and names that only begin with two dots."""
+    k, name = F.col("doc_id") % 7, F.concat(F.col("source"), F.lit("-"), F.col("doc_id").cast("string"))
+    path = F.when(k == 0, F.concat(F.lit("/"), name)).when(k == 1, F.concat(name, F.lit("/../x"))).when(k == 2, F.concat(F.lit("C:\\"), name)).when(k == 3, F.concat(F.lit("a/.."), name)).when(k == 4, "").when(k == 5, F.concat(name, F.lit("/b.txt"))).otherwise(name)
+    return table(spark, d, "documents").select("doc_id", m.safe_path(path).alias("safe"))
 
-DIRS = [("m1", "config.json"), ("m1", "a.safetensors"), ("m2", "config.json"), ("m2", "a.bin.incomplete"), ("m3", "b.bin")]
 
-
-@register("pred_installed", sql_values("dir, installed", [("m1", True), ("m2", False), ("m3", False)]))
+@register("pred_installed", """
+    SELECT s_nationkey::VARCHAR AS dir, bool_or(s_suppkey % 4 = 0) AND bool_or(s_suppkey % 4 = 1) AS installed FROM supplier GROUP BY 1""")
 def pred_installed(spark, d):
-    return m.installed(spark.createDataFrame(DIRS, "dir string, name string"))
+    k = F.col("s_suppkey") % 4
+    name = F.when(k == 0, "config.json").when(k == 1, F.concat("s_name", F.lit(".safetensors"))).when(k == 2, F.concat("s_name", F.lit(".bin.incomplete"))).otherwise(F.concat("s_name", F.lit(".txt")))
+    return m.installed(table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("dir"), name.alias("name")))
 
 
 @register("pred_lang_fmt", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'json' WHEN o_orderkey % 4 = 1 THEN 'text' ELSE 'error' END AS format FROM orders")
@@ -38,20 +43,26 @@ def chk_problems(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.array_join(broken, "|").alias("problems"))
 
 
-ROUTES = [("GET", "/health?x=1", "/health"), ("POST", "/health", "405"), ("POST", "/v1/stream/sessions/", "/v1/stream/sessions"), ("POST", "/v1/stream/sessions/ab12/audio#f", "audio"), ("DELETE", "/v1/stream/sessions/ab12", "session"), ("GET", "/v1/stream/sessions/ab12", "405"), ("GET", "/nope", "404")]
-
-
-@register("rt_method_path", sql_values("method, path, route", ROUTES))
+@register("rt_method_path", """
+    WITH r AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'GET' WHEN 'view' THEN 'POST' ELSE 'DELETE' END AS verb, event_id % 7 AS k FROM events)
+    SELECT event_id, CASE k WHEN 0 THEN CASE WHEN verb = 'GET' THEN '/health' ELSE '405' END WHEN 1 THEN CASE WHEN verb = 'GET' THEN '/v1/models' ELSE '405' END WHEN 2 THEN CASE WHEN verb = 'POST' THEN '/v1/stream/sessions' ELSE '405' END
+           WHEN 3 THEN CASE WHEN verb = 'POST' THEN 'audio' ELSE '405' END WHEN 4 THEN CASE WHEN verb = 'POST' THEN 'finish' ELSE '405' END WHEN 5 THEN CASE WHEN verb = 'DELETE' THEN 'session' ELSE '405' END ELSE '404' END AS route FROM r""")
 def rt_method_path(spark, d):
-    return spark.createDataFrame([r[:2] for r in ROUTES], "method string, path string").select("method", "path", m.route(F.col("method"), F.col("path")).alias("route"))
-
+    """Requests with queries, fragments and trailing slashes."""
+    k, e = F.col("event_id") % 7, F.col("event_id").cast("string")
+    verb = F.when(F.col("event_type") == "click", "GET").when(F.col("event_type") == "view", "POST").otherwise("DELETE")
+    inner = F.concat(F.lit("/v1/stream/sessions/s"), e)
+    path = F.when(k == 0, F.concat(F.lit("/health?x="), e)).when(k == 1, "/v1/models/").when(k == 2, "/v1/stream/sessions").when(k == 3, F.concat(inner, F.lit("/audio#f"))).when(k == 4, F.concat(inner, F.lit("/finish/?a=b"))).when(k == 5, inner).otherwise(F.concat(F.lit("/nope/"), e))
+    return table(spark, d, "events").select("event_id", m.route(verb, path).alias("route"))
 
-ERRORS = [("No space left on device", "disk"), ("Read Timed out", "timeout"), ("Access Denied", "permission"), ("SSL error", "network"), ("sha256 differs", "hash"), ("what", "")]
 
-
-@register("err_classify", sql_values("message, kind", ERRORS))
+@register("err_classify", """
+    SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'disk' WHEN 1 THEN 'timeout' WHEN 2 THEN 'permission' WHEN 3 THEN 'network' WHEN 4 THEN 'hash' WHEN 5 THEN 'disk' ELSE '' END AS kind FROM events""")
 def err_classify(spark, d):
-    return spark.createDataFrame([e[:1] for e in ERRORS], "message string").select("message", m.classify_error(F.col("message")).alias("kind"))
+    """Messages of each class, and some of two classes, of which the first counts."""
+    found = ("No space left on device", "Read Timed out", "Access Denied", "SSL error", "sha256 differs", "connection lost: ENOSPC", "what")
+    text = F.concat(F.lit("item "), F.col("event_id").cast("string"), F.lit(": "), F.get(F.array(*map(F.lit, found)), (F.col("event_id") % 7).cast("int")))
+    return table(spark, d, "events").select("event_id", m.classify_error(text).alias("kind"))
 
 
 @register("flt_only_skip", "SELECT count(*) FILTER (quality = 1)::BIGINT AS ok, count(*) FILTER (quality <> 1)::BIGINT AS failed FROM labels WHERE doc_id % 2 = 0 AND doc_id % 5 <> 0")
@@ -60,22 +71,24 @@ def flt_only_skip(spark, d):
     return kept.agg(F.count_if(F.col("quality") == 1).alias("ok"), F.count_if(F.col("quality") != 1).alias("failed"))
 
 
-FOUND = [("a/install.ps1",), ("a/README.md",), ("b/install.ps1",), ("mcp/c/install.ps1",), ("mcp/c/README.md",), ("tools/install.ps1",), ("tools/README.md",)]
-
-
-@register("flt_discover", sql_values("component", [("a",), ("mcp/c",)]))
+@register("flt_discover", """
+    WITH f AS (SELECT s_nationkey, bool_or(s_suppkey % 3 = 0) AND bool_or(s_suppkey % 3 = 1) AS ok FROM supplier GROUP BY 1)
+    SELECT CASE WHEN s_nationkey % 4 = 1 THEN 'mcp/' ELSE '' END || 'c' || s_nationkey AS component FROM f WHERE ok AND s_nationkey % 4 < 3""")
 def flt_discover(spark, d):
-    f = spark.createDataFrame(FOUND, "path string").select(F.regexp_extract("path", "^(mcp/[^/]+|[^/]+)/([^/]+)$", 1).alias("component"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
-    both = f.filter(~F.col("component").isin("tools", "docs", "mcp")).groupBy("component").agg((F.bool_or(F.col("name") == "install.ps1") & F.bool_or(F.col("name") == "README.md")).alias("ok"))
-    return both.filter("ok").select("component")
-
-
-ENTRIES = [("a.PNG", 1970, "store", 1980, "a.PNG"), ("b.txt", 2024, "deflate", 2024, "b.txt"), ("x" * 70 + ".md", 2000, "deflate", 2000, "…" + "x" * 56 + ".md")]
+    """Folders (below mcp one level deeper) that have both files; tools is no component."""
+    n, k = F.col("s_nationkey"), F.col("s_suppkey") % 3
+    folder = F.when(n % 4 == 1, F.concat(F.lit("mcp/c"), n)).when(n % 4 == 3, "tools").otherwise(F.concat(F.lit("c"), n))
+    paths = table(spark, d, "supplier").select(F.concat(folder, F.when(k == 0, "/install.ps1").when(k == 1, "/README.md").otherwise("/other.txt")).alias("path"))
+    return m.discover(paths)
 
 
-@register("prj_compress", sql_values('path, method, "year", label', [(p, k, y, n) for p, _, k, y, n in ENTRIES]))
+@register("prj_compress", """
+    WITH f AS (SELECT p_partkey, repeat(replace(p_name, ' ', '_'), 1 + p_partkey % 9) || CASE p_partkey % 3 WHEN 0 THEN '.PNG' WHEN 1 THEN '.txt' ELSE '.safetensors' END AS path, 1970 + p_size AS y FROM part)
+    SELECT p_partkey, CASE WHEN p_partkey % 3 = 1 THEN 'deflate' ELSE 'store' END AS method, greatest(y, 1980)::INT AS "year", CASE WHEN length(path) > 60 THEN '…' || right(path, 59) ELSE path END AS label FROM f""")
 def prj_compress(spark, d):
-    return spark.createDataFrame([e[:2] for e in ENTRIES], "path string, modified int").select("path", m.archive_entry(F.col("path"), F.col("modified")).alias("e")).select("path", "e.method", "e.year", "e.label")
+    k = F.col("p_partkey")
+    path = F.concat(F.repeat(F.replace("p_name", F.lit(" "), F.lit("_")), (1 + k % 9).cast("int")), F.when(k % 3 == 0, ".PNG").when(k % 3 == 1, ".txt").otherwise(".safetensors"))
+    return table(spark, d, "part").select("p_partkey", m.archive_entry(path, F.col("p_size") + 1970).alias("e")).select("p_partkey", "e.method", "e.year", "e.label")
 
 
 @register("prj_placeholder", "SELECT s_suppkey, '--dir ' || s_name || '/x ' || s_name AS args FROM supplier")
@@ -114,20 +127,22 @@ def ag_percentile(spark, d):
 
 
 @register("ag_asr_metrics", """
-    WITH p AS (SELECT item_id, left(regexp_replace(text, '[^\\x00-\\x7f]', '?', 'g'), 50) AS a FROM benchmark)
+    WITH p AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7f]', '?', 'g') AS a FROM benchmark)
     SELECT item_id % 5 AS part, round(sum(levenshtein(a, replace(a, 'e', '')))::DOUBLE / sum(length(a)), 6) AS cer, round(sum(item_id)::DOUBLE / sum(length(a)), 6) AS rtf FROM p GROUP BY 1""")
 def ag_asr_metrics(spark, d):
-    a = F.left(t.ascii_fold(F.col("text")), F.lit(50))
-    rows = table(spark, d, "benchmark").select("item_id", a.alias("a"))
+    """Over whole passages, folded to ASCII as the SQL counts bytes."""
+    rows = table(spark, d, "benchmark").select("item_id", t.ascii_fold(F.col("text")).alias("a"))
     return rows.groupBy((F.col("item_id") % 5).alias("part")).agg(
         F.round(t.error_rate(F.levenshtein("a", F.replace("a", F.lit("e"), F.lit(""))), F.length("a")), 6).alias("cer"), F.round(F.try_divide(F.sum("item_id").cast("double"), F.sum(F.length("a"))), 6).alias("rtf"))
 
 
-@register("snk_response", """SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '{"text":"' || role || '"}' WHEN 1 THEN '{"task":"transcribe","text":"' || role || '","segments":[]}' ELSE role END AS body FROM conversations""")
+@register("snk_response", """SELECT conv_id, turn, sha256(CASE turn % 3 WHEN 0 THEN to_json({text: text})::VARCHAR WHEN 1 THEN to_json({task: 'transcribe', text: text, segments: []::VARCHAR[]})::VARCHAR ELSE text END) AS digest FROM conversations""")
 def snk_response(spark, d):
-    short = F.to_json(F.struct(F.col("role").alias("text")))
-    long = F.to_json(F.struct(F.lit("transcribe").alias("task"), F.col("role").alias("text"), F.array().cast("array<string>").alias("segments")))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, short).when(F.col("turn") % 3 == 1, long).otherwise(F.col("role")).alias("body"))
+    """Bodies of three formats with whole texts; digests, as the results are long."""
+    short = F.to_json(F.struct("text"))
+    long = F.to_json(F.struct(F.lit("transcribe").alias("task"), "text", F.array().cast("array<string>").alias("segments")))
+    body = F.when(F.col("turn") % 3 == 0, short).when(F.col("turn") % 3 == 1, long).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.sha2(body, 256).alias("digest"))
 
 
 @register("snk_wheel", "SELECT item_id, 'p/' || item_id || '.py,sha256=' || rtrim(translate(to_base64(unhex(sha256(text))), '+/', '-_'), '=') || ',' || strlen(text) AS line FROM benchmark")
@@ -136,18 +151,99 @@ def snk_wheel(spark, d):
     return table(spark, d, "benchmark").select("item_id", m.record_line(path, F.col("text").cast("binary")).alias("line"))
 
 
-@register("snk_zip_verify", "SELECT count(*)::BIGINT AS files, sum(strlen(text))::BIGINT AS bytes, true AS same FROM documents")
+@register("snk_zip_verify", """
+    SELECT 'whole' AS copy, count(*)::BIGINT AS files, sum(strlen(text))::BIGINT AS bytes, true AS same FROM documents
+    UNION ALL SELECT 'cut', count(*), sum(strlen(text)), false FROM documents WHERE doc_id % 10 <> 0""")
 def snk_zip_verify(spark, d):
-    one = lambda: table(spark, d, "documents").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
-    other = one().select(F.col("files").alias("f"), F.col("bytes").alias("b"))
-    return one().join(F.broadcast(other), (F.col("files") == F.col("f")) & (F.col("bytes") == F.col("b")), "left").select("files", "bytes", F.col("f").isNotNull().alias("same"))
-
-
-@register("snk_audio_export", """
-    SELECT event_id, lpad((ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((ms % 3600000 // 60000)::VARCHAR, 2, '0') || ':' || lpad((ms % 60000 // 1000)::VARCHAR, 2, '0') || ',' || lpad((ms % 1000)::VARCHAR, 3, '0') AS stamp
-    FROM (SELECT event_id, event_id * 997 AS ms FROM events)""")
+    """Copies that were written and read back against their source: a whole one, and one that lost a tenth of its files."""
+    source = table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("bytes"))
+    copies = [(n, materialize(df, "copy")) for n, df in (("whole", source), ("cut", source.filter("doc_id % 10 <> 0")))]
+    rows = [(n, *df.agg(F.count("*"), F.sum("bytes")).first(), tabular.same_content(df, source)) for n, df in copies]
+    discard(*(df for _, df in copies))
+    return spark.createDataFrame(rows, "copy string, files long, bytes long, same boolean")
+
+
+def _back(spark, d, kind):
+    return shared_dir(spark, kind), table(spark, d, "labels")
+
+
+@register("snk_json_once", "SELECT doc_id, quality, toxic, 'refused' AS again FROM labels")
+def snk_json_once(spark, d):
+    """Writes a table once and reads it back; writing it again is refused."""
+    path, labels = _back(spark, d, "once")
+    tabular.publish(labels, path)
+    try:
+        tabular.publish(labels.limit(0), path)
+        again = "written"
+    except AnalysisException:
+        again = "refused"
+    return spark.read.schema(labels.schema).json(path).withColumn("again", F.lit(again))
+
+
+@register("snk_json_replace", "SELECT doc_id, quality, toxic FROM labels WHERE quality = 1")
+def snk_json_replace(spark, d):
+    path, labels = _back(spark, d, "replace")
+    tabular.publish(labels, path)
+    tabular.publish(labels.filter("quality = 1"), path, replace=True)
+    return spark.read.schema(labels.schema).json(path)
+
+
+@register("src_json", "SELECT n_regionkey, n_nationkey, n_name FROM nation")
+def src_json(spark, d):
+    """JSON documents of many lines, one a file."""
+    path, _ = _back(spark, d, "json")
+    rows = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("nations"))
+    pretty = F.to_json(F.struct("n_regionkey", "nations"), {"pretty": "true"})
+    rows.select(pretty.alias("value"), F.col("n_regionkey").alias("file")).write.partitionBy("file").text(path)
+    read = read_json(spark, path, "n_regionkey int, nations array<struct<n_nationkey:int,n_name:string>>")
+    return read.select("n_regionkey", F.explode("nations").alias("n")).select("n_regionkey", "n.*")
+
+
+@register("snk_journal", "SELECT doc_id, quality, toxic FROM labels")
+def snk_journal(spark, d):
+    """A journal that three appends made, replayed."""
+    path, labels = _back(spark, d, "journal")
+    for part in range(3):
+        tabular.append_journal(labels.filter(F.col("doc_id") % 3 == part), path)
+    return read_journal(spark, path, "doc_id long, quality int, toxic int").select("record.*")
+
+
+@register("snk_export", """
+    SELECT k.format, 'p_partkey,p_name,formula' AS columns, count(*)::BIGINT AS rows, CASE WHEN k.format = 'csv' THEN count(*) FILTER (p_partkey % 3 = 0) ELSE 0 END::BIGINT AS guarded, count(*)::BIGINT AS read_back
+    FROM part, (VALUES ('csv'), ('parquet')) k(format) GROUP BY 1""")
+def snk_export(spark, d):
+    """Exports with their manifests, read back: guarded texts are in the CSV alone, negative numbers stay."""
+    k = F.col("p_partkey")
+    df = table(spark, d, "part").select("p_partkey", "p_name", F.when(k % 3 == 0, F.concat(F.lit("=A"), k)).when(k % 3 == 1, F.concat(F.lit("-"), k)).otherwise("p_name").alias("formula"))
+    out = []
+    for kind in ("csv", "parquet"):
+        path, _ = _back(spark, d, "export")
+        made = tabular.export(df, path, kind)
+        read = spark.read.schema(df.schema).option("header", True).csv(f"{path}/data") if kind == "csv" else spark.read.parquet(f"{path}/data")
+        restored = read.withColumn("formula", F.regexp_replace("formula", "^'", ""))
+        out.append(made.select("format", "columns", "rows", "guarded").withColumn("read_back", F.lit(restored.join(df, df.columns, "left_semi").count())))
+    return out[0].unionByName(out[1])
+
+
+def _stamp(ms, mark):
+    return f"lpad(({ms} // 3600000)::VARCHAR, 2, '0') || ':' || lpad(({ms} % 3600000 // 60000)::VARCHAR, 2, '0') || ':' || lpad(({ms} % 60000 // 1000)::VARCHAR, 2, '0') || '{mark}' || lpad(({ms} % 1000)::VARCHAR, 3, '0')"
+
+
+@register("snk_audio_export", f"""
+    WITH s AS (SELECT user_id, event_id, event_type, event_id * 997 AS a, event_id * 997 + 900 AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+    SELECT user_id, 'txt' AS kind, sha256(string_agg(event_type, chr(10) ORDER BY n)) AS digest FROM s GROUP BY 1
+    UNION ALL SELECT user_id, 'json', sha256('[' || string_agg('{{"startMs":' || a || ',"endMs":' || b || ',"text":"' || event_type || '"}}', ',' ORDER BY n) || ']') FROM s GROUP BY 1
+    UNION ALL SELECT user_id, 'srt', sha256(string_agg(n || chr(10) || {_stamp('a', ',')} || ' --> ' || {_stamp('b', ',')} || chr(10) || event_type || chr(10), chr(10) ORDER BY n)) FROM s GROUP BY 1
+    UNION ALL SELECT user_id, 'vtt', sha256('WEBVTT' || chr(10) || chr(10) || string_agg({_stamp('a', '.')} || ' --> ' || {_stamp('b', '.')} || chr(10) || event_type || chr(10), chr(10) ORDER BY n)) FROM s GROUP BY 1""")
 def snk_audio_export(spark, d):
-    return table(spark, d, "events").select("event_id", t.timestamp_ms(F.col("event_id") * 997).alias("stamp"))
+    """A user's events as segments of a recording, in the four formats."""
+    at = F.col("event_id") * 997
+    rows = table(spark, d, "events").select("user_id", "event_id", at.alias("first_ms"), (at + 900).alias("last_ms"), F.col("event_type").alias("text"))
+    out = None
+    for kind in ("txt", "json", "srt", "vtt"):
+        one = tabular.subtitles(rows, kind, key="user_id", order="event_id").select("user_id", F.lit(kind).alias("kind"), F.sha2("body", 256).alias("digest"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("snk_html_sheet", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.quality = 1 THEN 'ok' ELSE 'diff' END AS class FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -156,36 +252,42 @@ def snk_html_sheet(spark, d):
     return table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.when(F.col("quality").isNull(), "missing").when(F.col("quality") == 1, "ok").otherwise("diff").alias("class"))
 
 
-LINES = [(1, "PROG 10 100", "10", "100"), (2, "noise", None, None), (3, "Progress 30 of 120", "30", "120"), (4, "50.5%", "50.5", "100")]
-
-
-@register("src_progress", sql_values("line, done, total", [(a, b, c) for a, _, b, c in LINES]))
+@register("src_progress", """
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id::VARCHAR WHEN 2 THEN (event_id % 50)::VARCHAR WHEN 3 THEN (event_id % 100) || '.5' END AS done, CASE event_id % 4 WHEN 0 THEN (event_id * 2)::VARCHAR WHEN 2 THEN '120' WHEN 3 THEN '100' END AS total FROM events""")
 def src_progress(spark, d):
-    rows = spark.createDataFrame([x[:2] for x in LINES], "line int, raw string")
-    both, share = F.regexp_extract("raw", r"^(?:PROG|Progress) (\d+) (?:of )?(\d+)$", 1), F.regexp_extract("raw", r"(\d+(?:\.\d+)?)%$", 1)
-    total = F.regexp_extract("raw", r"^(?:PROG|Progress) (\d+) (?:of )?(\d+)$", 2)
-    return rows.select("line", F.when(both != "", both).when(share != "", share).alias("done"), F.when(both != "", total).when(share != "", "100").alias("total"))
-
-
-PROJECT = '[project]\ndependencies = [\n  "numpy>=1.2",\n  "uvicorn[standard]>=0.30",\n]\n[tool.x]\nother = ["z"]\n'
+    e = F.col("event_id")
+    raw = F.when(e % 4 == 0, F.concat(F.lit("PROG "), e, F.lit(" "), e * 2)).when(e % 4 == 1, F.concat(F.lit("noise "), e)).when(e % 4 == 2, F.concat(F.lit("Progress "), e % 50, F.lit(" of 120"))).otherwise(F.concat(e % 100, F.lit(".5%")))
+    return table(spark, d, "events").select("event_id", m.progress(raw).alias("p")).select("event_id", "p.done", "p.total")
 
 
-@register("src_pyproject", sql_values("dep", [("numpy>=1.2",), ("uvicorn[standard]>=0.30",)]))
+@register("src_pyproject", "SELECT n_regionkey, replace(n_name, ' ', '-') || '>=' || n_nationkey AS dep FROM nation")
 def src_pyproject(spark, d):
-    block = F.regexp_extract("raw", r"(?ms)^dependencies\s*=\s*\[(.*?)^\]", 1)
-    return spark.createDataFrame([(PROJECT,)], "raw string").select(F.explode(F.regexp_extract_all(block, F.lit(r'"([^"]+)"'), F.lit(1))).alias("dep"))
+    """Project files with one list of dependencies and other lists around it."""
+    dep = F.concat(F.lit('  "'), F.replace("n_name", F.lit(" "), F.lit("-")), F.lit(">="), "n_nationkey", F.lit('",\n'))
+    raw = F.concat(F.lit('[project]\nkeywords = ["a"]\ndependencies = [\n'), F.array_join(F.collect_list(dep), ""), F.lit(']\n[tool.x]\nother = ["z"]\n'))
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(raw.alias("raw")).select("n_regionkey", F.explode(m.dependencies(F.col("raw"))).alias("dep"))
 
 
-@register("src_distinfo", "SELECT lower(replace(p_type, ' ', '-')) AS norm, min(p_partkey) AS first, CASE WHEN min(p_size) < 3 THEN 'small' ELSE '' END AS skip FROM part GROUP BY 1")
+@register("src_distinfo", """
+    WITH p AS (SELECT p_partkey, lower(regexp_replace(CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '_') ELSE upper(replace(p_name, ' ', '.')) END, '[-_.]+', '-', 'g')) AS norm,
+               CASE WHEN p_size = 1 THEN 'no metadata' WHEN p_size = 2 THEN 'editable' ELSE '' END AS skip FROM part)
+    SELECT norm, p_partkey AS scan, skip FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY p_partkey) AS n FROM p) WHERE n = 1""")
 def src_distinfo(spark, d):
-    norm = t.package_name(F.replace("p_type", F.lit(" "), F.lit("_")))
-    return table(spark, d, "part").groupBy(norm.alias("norm")).agg(F.min("p_partkey").alias("first"), F.when(F.min("p_size") < 3, "small").otherwise("").alias("skip"))
+    """Installed packages as found by a scan: of a name in any spelling the first counts, with why it is left out."""
+    name = F.when(F.col("p_partkey") % 2 == 0, F.replace("p_name", F.lit(" "), F.lit("_"))).otherwise(F.upper(F.replace("p_name", F.lit(" "), F.lit("."))))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("scan"), name.alias("name"), (F.col("p_size") != 1).alias("has_metadata"), (F.col("p_size") == 2).alias("editable"))
+    return m.distributions(rows)
 
 
-@register("src_text_pdf", "SELECT page_id, CASE WHEN trim(regexp_replace(left(html, 15), '[^a-z]', '', 'g')) = '' THEN 'unsupported/no_text_layer' ELSE 'succeeded' END AS status FROM pages")
+@register("src_text_pdf", """
+    WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[ \\t\\n\\r\\f]', '', 'g') AS layer FROM pages UNION ALL SELECT -page_id - 1, '' FROM pages WHERE page_id % 10 = 0)
+    SELECT page_id, CASE WHEN layer = '' THEN 'unsupported/no_text_layer' ELSE 'succeeded' END AS status, length(layer)::INT AS chars FROM t""")
 def src_text_pdf(spark, d):
-    layer = F.trim(F.regexp_replace(F.left("html", F.lit(15)), "[^a-z]", ""))
-    return table(spark, d, "pages").select("page_id", F.when(layer == "", "unsupported/no_text_layer").otherwise("succeeded").alias("status"))
+    """Status by the text of the whole page without its tags; for every tenth page, one with tags alone as well."""
+    pages = table(spark, d, "pages").select("page_id", "html")
+    bare = pages.filter("page_id % 10 = 0").select((-F.col("page_id") - 1).alias("page_id"), F.array_join(F.regexp_extract_all("html", F.lit("<[^>]*>"), F.lit(0)), "\n ").alias("html"))
+    layer = F.regexp_replace(F.regexp_replace("html", "<[^>]*>", ""), r"[ \t\n\r\f]", "")
+    return pages.unionByName(bare).select("page_id", F.when(layer == "", "unsupported/no_text_layer").otherwise("succeeded").alias("status"), F.length(layer).alias("chars"))
 
 
 CATEGORIES = ("text", "scan", "skew", "merged", "mixed", "table")

@@ -153,15 +153,6 @@ def src_docling(spark, d):
     return rows.select("idx", "text", F.get("bbox", F.lit(0)).alias("left"), F.coalesce("cell.colSpan", F.lit(0)).alias("cells"))
 
 
-LIST = {"width": 100, "height": 100, "parsing_res_list": [{"block_bbox": [0, 0, 10, 10], "block_content": "先", "block_label": "text"}, {"block_bbox": [0, 50, 100, 70], "block_content": "<table><tr><td>a</td><td></td></tr></table>", "block_label": "table"}], "table_res_list": [{"cell_box_list": [[0, 50, 50, 70], [50, 50, 100, 70]]}]}
-
-
-@register("src_paddle", sql_values('idx, text, "left"', [(0, "先", 0.0), (1, "a", 0.0), (2, "", 0.5)]).replace("0.0)", "0.0::DOUBLE)"))
-def src_paddle(spark, d):
-    rows = documents.engine_blocks(spark.createDataFrame([("p", json.dumps(LIST))], "page_id string, raw string"), "list")
-    return rows.select("idx", "text", F.get("bbox", F.lit(0)).alias("left"))
-
-
 @register("src_jsonl", sql_values("id, n", [("a", 1), ("b", 2)]))
 def src_jsonl(spark, d):
     """A journal whose last record is cut off."""

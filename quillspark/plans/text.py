@@ -45,54 +45,68 @@ def txt_numbers(spark, d):
 
 
 @register("pred_number_whole", f"""
-    WITH a AS (SELECT doc_id, {sql_normal('text')} AS n, {sql_normal("regexp_extract(text, '[0-9][0-9.,]*', 0)")} AS tok FROM documents)
-    SELECT doc_id, tok, regexp_matches(n, '(^|[^\\d.,])' || replace(replace(tok, '.', '\\.'), ',', ',') || '($|[^\\d.,%])') AS whole FROM a WHERE tok <> ''""")
+    WITH a AS (SELECT doc_id, {sql_normal('text')} AS n, unnest(list_distinct(regexp_extract_all(text, '[0-9][0-9.,]*'))) AS tok FROM documents)
+    SELECT doc_id, tok, regexp_matches(n, '(^|[^\\d.,])' || replace(tok, '.', '\\.') || '($|[^\\d.,%])') AS whole FROM a""")
 def pred_number_whole(spark, d):
-    token = F.regexp_extract("text", "[0-9][0-9.,]*", 0)
-    rows = table(spark, d, "documents").select("doc_id", t.normalize(token).alias("tok"), t.whole_number(F.col("text"), token).alias("whole"))
-    return rows.filter("tok <> ''")
+    """Every different number of a text against the whole text."""
+    rows = table(spark, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9][0-9.,]*"), F.lit(0)))).alias("tok"))
+    return rows.select("doc_id", "tok", t.whole_number(F.col("text"), F.col("tok")).alias("whole"))
 
 
 def _passages(spark, d):
-    """Each benchmark passage with the one after it."""
-    w = Window.partitionBy(F.lit(0)).orderBy("item_id")
-    return table(spark, d, "benchmark").select("item_id", "text", F.lead("text").over(w).alias("other")).filter("other is not null")
+    """Each benchmark passage with the one of the next id."""
+    own = table(spark, d, "benchmark").select("item_id", "text")
+    return own.join(own.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other")), "item_id")
 
 
-@register("txt_distance_folded", """
-    WITH p AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS other FROM benchmark),
-    f AS (SELECT item_id, left(regexp_replace(text, '[^\\x00-\\x7f]', '?', 'g'), 60) AS a, left(regexp_replace(other, '[^\\x00-\\x7f]', '?', 'g'), 60) AS b FROM p WHERE other IS NOT NULL)
-    SELECT item_id, levenshtein(a, b)::INT AS edits, length(a)::INT AS chars FROM f""")
+PASSAGES = "p AS (SELECT a.item_id, a.text, b.text AS other FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)"
+FOLDED = f"{PASSAGES}, f AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7f]', '?', 'g') AS a, regexp_replace(other, '[^\\x00-\\x7f]', '?', 'g') AS b FROM p)"
+
+
+@register("txt_distance_folded", f"WITH {FOLDED} SELECT item_id, levenshtein(a, b)::INT AS edits, length(a)::INT AS chars FROM f")
 def txt_distance_folded(spark, d):
-    a, b = (F.left(t.ascii_fold(F.col(c)), F.lit(60)) for c in ("text", "other"))
+    """Edits between whole passages, folded to ASCII as the SQL counts bytes."""
+    a, b = t.ascii_fold(F.col("text")), t.ascii_fold(F.col("other"))
     return _passages(spark, d).select("item_id", F.levenshtein(a, b).alias("edits"), F.length(a).alias("chars"))
 
 
-@register("txt_cer_folded", """
-    WITH p AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS other FROM benchmark),
-    f AS (SELECT item_id, left(regexp_replace(text, '[^\\x00-\\x7f]', '?', 'g'), 60) AS a, left(regexp_replace(other, '[^\\x00-\\x7f]', '?', 'g'), 60) AS b FROM p WHERE other IS NOT NULL)
-    SELECT (item_id % 4)::INT AS part, round(sum(levenshtein(a, b))::DOUBLE / sum(length(a)), 6) AS cer FROM f GROUP BY 1""")
+@register("txt_distance")
+def txt_distance(spark, d):
+    """Edits between whole passages, by characters."""
+    return _passages(spark, d).select("item_id", F.levenshtein("text", "other").alias("edits"), F.length("text").alias("chars"))
+
+
+@register("txt_cer_folded", f"WITH {FOLDED} SELECT (item_id % 4)::INT AS part, round(sum(levenshtein(a, b))::DOUBLE / sum(length(a)), 6) AS cer FROM f GROUP BY 1")
 def txt_cer_folded(spark, d):
-    a, b = (F.left(t.ascii_fold(F.col(c)), F.lit(60)) for c in ("text", "other"))
+    a, b = t.ascii_fold(F.col("text")), t.ascii_fold(F.col("other"))
+    rows = _passages(spark, d).select((F.col("item_id") % 4).cast("int").alias("part"), F.levenshtein(a, b).alias("e"), F.length(a).alias("n"))
+    return rows.groupBy("part").agg(F.round(t.error_rate(F.col("e"), F.col("n")), 6).alias("cer"))
+
+
+@register("txt_cer")
+def txt_cer(spark, d):
+    """Error rate of whole passages after normalising both."""
+    a, b = t.normalize(F.col("text")), t.normalize(F.col("other"))
     rows = _passages(spark, d).select((F.col("item_id") % 4).cast("int").alias("part"), F.levenshtein(a, b).alias("e"), F.length(a).alias("n"))
     return rows.groupBy("part").agg(F.round(t.error_rate(F.col("e"), F.col("n")), 6).alias("cer"))
 
 
-@register("txt_absent_share", """
-    WITH p AS (SELECT item_id, text, lead(text) OVER (ORDER BY item_id) AS other FROM benchmark)
-    SELECT item_id, round(len(list_filter(string_split(text, ''), lambda x: NOT contains(other, x)))::DOUBLE / length(text), 6) AS absent FROM p WHERE other IS NOT NULL""")
+@register("txt_absent_share", f"WITH {PASSAGES} SELECT item_id, round(len(list_filter(string_split(text, ''), lambda x: NOT contains(other, x)))::DOUBLE / length(text), 6) AS absent FROM p")
 def txt_absent_share(spark, d):
     return _passages(spark, d).select("item_id", F.round(t.absent_share(F.col("text"), F.col("other")), 6).alias("absent"))
 
 
 @register("txt_join_cjk", """
-    WITH p AS (SELECT conv_id, turn, trim(left(text, 40), ' ') || CASE WHEN turn % 2 = 0 THEN '。' ELSE '' END AS s FROM conversations),
-    l AS (SELECT conv_id, turn, s, lag(s) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM p)
-    SELECT conv_id, string_agg(CASE WHEN before IS NULL OR right(before, 1) = '。' THEN s ELSE ' ' || s END, '' ORDER BY turn) AS joined FROM l GROUP BY conv_id""")
+    WITH p AS (SELECT conv_id, turn, trim(text, ' ') || CASE WHEN turn % 2 = 0 THEN '。' ELSE '' END AS s FROM conversations),
+    l AS (SELECT conv_id, turn, s, lag(s) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM p WHERE s <> '')
+    SELECT conv_id, sum(length(CASE WHEN before IS NULL OR right(before, 1) = '。' OR left(s, 1) = '。' THEN s ELSE ' ' || s END))::INT AS chars,
+           sha256(string_agg(CASE WHEN before IS NULL OR right(before, 1) = '。' OR left(s, 1) = '。' THEN s ELSE ' ' || s END, '' ORDER BY turn)) AS digest FROM l GROUP BY conv_id""")
 def txt_join_cjk(spark, d):
-    part = F.concat(F.trim(F.left("text", F.lit(40))), F.when(F.col("turn") % 2 == 0, "。").otherwise(""))
+    """Whole turns in one transcript each; digests, as the results are long."""
+    part = F.concat(F.trim(F.col("text")), F.when(F.col("turn") % 2 == 0, "。").otherwise(""))
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("s")))).alias("parts"))
-    return rows.select("conv_id", t.join_transcript(F.col("parts.s")).alias("joined"))
+    joined = rows.select("conv_id", t.join_transcript(F.col("parts.s")).alias("joined")).filter("joined <> ''")
+    return joined.select("conv_id", F.length("joined").alias("chars"), F.sha2("joined", 256).alias("digest"))
 
 
 @register("txt_hotwords", """
@@ -117,17 +131,31 @@ VERSIONS = [
 
 @register("pred_version", sql_values("version, spec, ok", VERSIONS))
 def pred_version(spark, d):
+    """The golden cases; pred_version_parts has the operators over a table."""
     rows = spark.createDataFrame([r[:2] for r in VERSIONS], "version string, spec string")
     return rows.select("version", "spec", t.satisfies(F.col("version"), F.col("spec")).alias("ok"))
 
 
-REQUIREMENTS = [("uvicorn[standard]>=0.30 ; python_version>'3.9'", "uvicorn", ">=0.30"), ("numpy", "numpy", ""), ("torch == 2.5.*", "torch", "==2.5.*"), ("a.b-c_d >=1, <2", "a.b-c_d", ">=1,<2")]
+@register("pred_version_parts", """
+    WITH v AS (SELECT p_partkey, p_partkey % 8 AS k, [p_size, p_partkey % 7, p_partkey % 3] AS a, [25, p_partkey % 5, 1] AS b FROM part)
+    SELECT p_partkey, CASE k WHEN 0 THEN a >= b WHEN 1 THEN a <= b WHEN 2 THEN a > b WHEN 3 THEN a < b WHEN 4 THEN a = b WHEN 5 THEN a <> b WHEN 6 THEN a[1:2] = b[1:2] ELSE a >= b AND a[1:2] = b[1:2] END AS ok FROM v""")
+def pred_version_parts(spark, d):
+    """Versions of three numbers, some with a local part, against each kind of clause."""
+    k = F.col("p_partkey")
+    version = F.concat(F.concat_ws(".", "p_size", k % 7, k % 3), F.when(k % 5 == 0, "+cu128").otherwise(""))
+    want = F.concat_ws(".", F.lit(25), k % 5, F.lit(1))
+    ops = F.array(*map(F.lit, (">=", "<=", ">", "<", "==", "!=", "==", "~=")))
+    spec = F.when(k % 8 == 6, F.concat(F.lit("=="), F.concat_ws(".", F.lit(25), k % 5), F.lit(".*"))).otherwise(F.concat(F.get(ops, (k % 8).cast("int")), want))
+    return table(spark, d, "part").select("p_partkey", t.satisfies(version, spec).alias("ok"))
 
 
-@register("txt_requirement", sql_values("raw, name, spec", REQUIREMENTS))
+@register("txt_requirement", """
+    SELECT p_partkey, replace(p_name, ' ', '_') AS name, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '>=' || p_size || '.0' WHEN 2 THEN '>=1,<' || (p_size + 1) ELSE '==' || p_size || '.*' END AS spec FROM part""")
 def txt_requirement(spark, d):
-    rows = spark.createDataFrame([r[:1] for r in REQUIREMENTS], "raw string")
-    return rows.select("raw", t.requirement(F.col("raw")).alias("r")).select("raw", "r.name", "r.spec")
+    k, n = F.col("p_partkey") % 4, F.col("p_size")
+    spec = F.when(k == 0, "").when(k == 1, F.concat(F.lit(" >="), n, F.lit(".0"))).when(k == 2, F.concat(F.lit(">=1, <"), n + 1)).otherwise(F.concat(F.lit(" == "), n, F.lit(".*")))
+    raw = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.when(F.col("p_partkey") % 3 == 0, "[standard,x]").otherwise(""), spec, F.when(F.col("p_partkey") % 5 == 0, " ; python_version > '3.9'").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", t.requirement(raw).alias("r")).select("p_partkey", "r.name", "r.spec")
 
 
 @register("txt_pkg_norm", "SELECT p_partkey, lower(regexp_replace(p_name, '[-_.]+', '-', 'g')) AS norm FROM (SELECT p_partkey, replace(p_name, ' ', '._') AS p_name FROM part)")
@@ -135,27 +163,31 @@ def txt_pkg_norm(spark, d):
     return table(spark, d, "part").select("p_partkey", t.package_name(F.replace("p_name", F.lit(" "), F.lit("._"))).alias("norm"))
 
 
-VARIANTS = [("2.11.0+cu128", "nvidia"), ("2.5.0+cpu", "cpu"), ("2.9.1+rocm7.2.1", "amd"), ("2.4.0", "unknown")]
-
-
-@register("txt_torch_variant", sql_values("version, variant", VARIANTS))
+@register("txt_torch_variant", """
+    SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'nvidia' WHEN 1 THEN 'amd' WHEN 2 THEN 'cpu' ELSE 'unknown' END AS variant FROM part""")
 def txt_torch_variant(spark, d):
-    return spark.createDataFrame([r[:1] for r in VARIANTS], "version string").select("version", t.build_variant(F.col("version")).alias("variant"))
-
-
-MODELS = [("Org/Big-Model-1.7B-hf", "big-model-1.7b"), ("leaf", "leaf"), ("a/b/C-HF/", "c"), ("", "")]
+    k = F.col("p_partkey") % 4
+    local = F.when(k == 0, F.concat(F.lit("+cu1"), "p_size")).when(k == 1, F.concat(F.lit("+rocm7."), "p_size")).when(k == 2, "+cpu").otherwise("")
+    return table(spark, d, "part").select("p_partkey", t.build_variant(F.concat(F.lit("2."), "p_size", local)).alias("variant"))
 
 
-@register("txt_model_name", sql_values("repo, name", MODELS))
+@register("txt_model_name", """
+    WITH m AS (SELECT p_partkey, replace(p_name, ' ', '-') || '-' || p_size || '.5B' AS leaf FROM part)
+    SELECT p_partkey, lower(leaf) AS name FROM m""")
 def txt_model_name(spark, d):
-    return spark.createDataFrame([r[:1] for r in MODELS], "repo string").select("repo", t.model_name(F.col("repo")).alias("name"))
+    """Repository paths of one to three parts, with and without a suffix and a trailing slash."""
+    k, leaf = F.col("p_partkey"), F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), "p_size", F.lit(".5B"))
+    path = F.concat(F.when(k % 3 == 0, "").when(k % 3 == 1, "Org/").otherwise("a/Org/"), leaf, F.when(k % 2 == 0, "-HF").otherwise(""), F.when(k % 5 == 0, "/").otherwise(""))
+    return table(spark, d, "part").select("p_partkey", t.model_name(path).alias("name"))
 
 
 @register("txt_split_raw", """
-    SELECT doc_id, left(lang, 40) AS lang, trim(left(text, 80)) AS text FROM documents""")
+    WITH r AS (SELECT doc_id, left(lang, 40) AS lang, trim(replace(replace(replace(text, '<|im_end|>', ''), '<|endoftext|>', ''), '</s>', ''), ' ') AS text FROM documents)
+    SELECT doc_id, lang, length(text)::INT AS chars, sha256(text) AS digest FROM r""")
 def txt_split_raw(spark, d):
-    raw = F.concat(F.lit(" language "), F.col("lang"), F.lit("<asr_text> "), F.left("text", F.lit(80)), F.lit("<|im_end|></s>"))
-    return table(spark, d, "documents").select("doc_id", t.split_transcript(raw).alias("r")).select("doc_id", "r.lang", "r.text")
+    raw = F.concat(F.lit(" language "), F.col("lang"), F.lit("<asr_text> "), F.col("text"), F.lit("<|im_end|></s>"))
+    rows = table(spark, d, "documents").select("doc_id", t.split_transcript(raw).alias("r"))
+    return rows.select("doc_id", "r.lang", F.length("r.text").alias("chars"), F.sha2("r.text", 256).alias("digest"))
 
 
 @register("txt_printable", """
@@ -215,9 +247,11 @@ def txt_csv_guard(spark, d):
 
 
 @register("txt_bigram", """
-    SELECT conv_id, turn, array_to_string(list_concat(['合计', '计表'], regexp_extract_all(lower(left(text, 60)), '[a-z0-9]+')), '|') AS terms FROM conversations""")
+    WITH w AS (SELECT conv_id, turn, list_concat(['合计', '计表'], regexp_extract_all(lower(text), '[a-z0-9]+')) AS terms FROM conversations)
+    SELECT conv_id, turn, len(terms)::INT AS n, sha256(array_to_string(terms, '|')) AS digest FROM w""")
 def txt_bigram(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(t.search_terms(F.concat(F.lit("合计表"), F.left("text", F.lit(60)))), "|").alias("terms"))
+    terms = t.search_terms(F.concat(F.lit("合计表"), "text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(terms).alias("n"), F.sha2(F.array_join(terms, "|"), 256).alias("digest"))
 
 
 @register("txt_chunk", """
@@ -231,22 +265,25 @@ def txt_chunk(spark, d):
     return at.select("doc_id", F.floor(F.col("a") / 224).cast("int").alias("chunk"), F.size(own).alias("n"), F.sha2(F.array_join(own, " "), 256).alias("digest"))
 
 
-@register("txt_specs_cli", sql_values("component, kind, models", [("a", "offline", "x|y"), ("b", "offline", "q"), ("b", "streaming", "p")]))
+@register("txt_specs_cli", """
+    WITH s AS (SELECT n_regionkey, 'c' || n_regionkey AS component, CASE WHEN n_nationkey % 3 = 0 THEN 'streaming' ELSE 'offline' END AS kind, n_name FROM nation)
+    SELECT component, kind, string_agg(n_name, '|' ORDER BY n_name) AS models FROM s GROUP BY 1, 2""")
 def txt_specs_cli(spark, d):
-    specs = spark.createDataFrame([("a=x,y;b=streaming:p,offline:q",)], "spec string").select(F.explode(F.split("spec", ";")).alias("s"))
-    each = specs.select(F.split_part("s", F.lit("="), F.lit(1)).alias("component"), F.explode(F.split(F.split_part("s", F.lit("="), F.lit(2)), ",")).alias("m"))
+    """Specifications such as a=x,streaming:y, one line a component."""
+    k = F.col("n_nationkey") % 3
+    item = F.concat(F.when(k == 0, "streaming:").when(k == 1, "offline:").otherwise(""), "n_name")
+    lines = table(spark, d, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("c"), "n_regionkey", F.lit("="), F.array_join(F.collect_list(item), ",")).alias("s"))
+    each = lines.select(F.split_part("s", F.lit("="), F.lit(1)).alias("component"), F.explode(F.split(F.split_part("s", F.lit("="), F.lit(2)), ",")).alias("m"))
     kind = F.when(F.instr("m", ":") > 0, F.split_part("m", F.lit(":"), F.lit(1))).otherwise("offline")
-    rows = each.groupBy("component", kind.alias("kind")).agg(F.array_join(F.array_sort(F.collect_list(F.element_at(F.split("m", ":"), -1))), "|").alias("models"))
-    return rows
+    return each.groupBy("component", kind.alias("kind")).agg(F.array_join(F.array_sort(F.collect_list(F.element_at(F.split("m", ":"), -1))), "|").alias("models"))
 
 
 @register("txt_best_span", """
-    WITH p AS (SELECT b.item_id, d.doc_id, strpos(d.text, left(b.text, 40)) - 1 AS first, length(left(b.text, 40)) AS n FROM benchmark b JOIN documents d ON d.n_chars <= 4000 AND contains(d.text, left(b.text, 40)))
-    SELECT item_id, doc_id, 0::INT AS cost, first::INT AS start, (first + n)::INT AS "end" FROM p""")
+    SELECT b.item_id, d.doc_id, 0::INT AS cost, (strpos(d.text, b.text) - 1)::INT AS start, (strpos(d.text, b.text) - 1 + length(b.text))::INT AS "end" FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def txt_best_span(spark, d):
     """Whole passages in whole documents, with spans of up to a tenth of the passage's characters in edits.
 
-    The SQL has the spans of cost 0 of 40 characters in documents of up to 4,000 only, so it gives other rows.
+    SQL knows exact hits alone; the tables hold no others, and tests hold near ones against brute force.
     """
     items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("pattern"))
     return near_spans(table(spark, d, "documents"), items)
