@@ -203,7 +203,7 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, entries: DataFrame, k: int) -> DataFrame:
-    """(eid, items) of entries (eid, key, rep): all shingle hashes, in ascending order."""
+    """(eid, items, low) of entries (eid, key, rep): all shingle hashes, in ascending order, and their low halves."""
 
     def run(batches):
         seen = set()  # rows that repeat an id and its text give their set once a task
@@ -216,12 +216,13 @@ def full_sets(docs: DataFrame, entries: DataFrame, k: int) -> DataFrame:
                     ids.append(eid)
                     out.append(x)
             flat = np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["eid", "items"])
+            ends = pa.array(np.cumsum([0, *map(len, out)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (flat, flat.view(np.uint64).astype(np.uint32).view(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["eid", "items", "low"])
 
     wanted = entries.select(F.col("rep").alias("doc_id"), "key", "eid")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_few(wanted), "doc_id").select("text", "key", "eid")
-    sets = materialize(texts.mapInArrow(run, "eid long, items array<long>"), "neardup-sets")
+    sets = materialize(texts.mapInArrow(run, "eid long, items array<long>, low array<int>"), "neardup-sets")
     if sets.count() > entries.count():
         once = materialize(sets.dropDuplicates(["eid"]), "neardup-sets")
         discard(sets)
@@ -333,17 +334,21 @@ def _together(f, rows: int = 1 << 16):
 def crossing_links(mixed: DataFrame, entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the entries of different components that share a bucket (bucket, eid, c, main) and link.
 
-    Sketches and sets stand in the join's condition, so that only links are made.
+    Sketches and sets stand in the join's condition, so that hardly any pairs are made but links.  The
+    join has the low halves of the sets' hashes, which may meet by chance: it allows for many times as many
+    lost items as chance would take, and what passes is confirmed on the whole hashes.
     """
     cells = [f"s{i}" for i in range(WORDS)]
-    rows = materialize(mixed.join(entries.select("eid", "n", "bands", *cells), "eid").join(sets, "eid"), "neardup-crossing")
+    rows = materialize(mixed.join(entries.select("eid", "n", "bands", *cells), "eid").join(sets.select("eid", "low"), "eid"), "neardup-crossing")
     x, y = rows.filter("c <> main").alias("x"), rows.alias("y")
     apart = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
     once = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.bucket")  # in the first bucket that a pair shares
-    link = F.size(F.array_intersect("x.items", "y.items")) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    slack = 2 + F.shiftright(F.col("x.n") * F.col("y.n"), 27)
+    link = (F.size(F.array_intersect("x.low", "y.low")) + slack) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     joined = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & _near("x", "y", distance_limit(percent), percent) & once & link)
-    links = materialize(joined.select(F.col("x.eid").alias("a"), F.col("y.eid").alias("b")), "neardup-links")
-    discard(rows)
+    pairs = materialize(joined.select(F.col("x.eid").alias("a"), F.col("y.eid").alias("b")), "neardup-pairs")
+    links = confirm(sets, pairs, percent)
+    discard(rows, pairs)
     return links
 
 
@@ -395,7 +400,7 @@ def link_components(docs: DataFrame, table: DataFrame, k: int, percent: int, one
     hot = materialize(mixed.filter(F.col("work") > WORK).select("eid", "c").distinct(), "neardup-hot")
     if hot.limit(1).count():
         few = more
-        open_sets = materialize(sets.join(_few(hot), "eid"), "neardup-open")
+        open_sets = materialize(sets.select("eid", "items").join(_few(hot), "eid"), "neardup-open")
         postings = materialize(prefixes(open_sets, count_cells(open_sets), percent), "neardup-prefixes")
         crossed = materialize(_near_pairs(crossing_pairs(postings, percent), entries, percent), "neardup-crossed")
         more = materialize(few.unionByName(confirm(sets, crossed, percent)), "neardup-links")
