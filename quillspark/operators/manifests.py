@@ -110,3 +110,11 @@ def distributions(found: DataFrame) -> DataFrame:
     skip = F.when(~F.col("has_metadata"), "no metadata").when(F.col("editable"), "editable").otherwise("")
     rows = found.select(package_name(F.col("name")).alias("norm"), "scan", skip.alias("skip"))
     return rows.groupBy("norm").agg(F.min("scan").alias("scan"), F.min_by("skip", "scan").alias("skip"))
+
+
+def pick_files(files: DataFrame) -> DataFrame:
+    """One file (model, file) of each role: int8 ones are wanted, but for decoders, which have a full one if there is any; then by name."""
+    f = files.withColumn("role", F.regexp_extract("file", "^(encoder|decoder|joiner)", 1)).filter("role <> ''")
+    small = F.col("file").contains("int8")
+    wanted = F.when(F.col("role") == "decoder", ~small).otherwise(small)
+    return f.groupBy("model", "role").agg(F.min_by("file", F.struct(~wanted, "file")).alias("file"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -357,15 +358,15 @@ def ag_group(spark, d):
 def dedupe_report(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
     kept = transform.transform(docs, [{"step": "deduplicate", "by": ["h"], "order": "doc_id"}])
-    return docs.agg(F.count("*").alias("before")).join(F.broadcast(kept.agg(F.count("*").alias("after"))))
+    return docs.select(F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(kept.select(F.lit(0).alias("b"), F.lit(1).alias("a"))).agg(F.sum("b").alias("before"), F.sum("a").alias("after"))
 
 
 def _queries(spark, d):
-    return table(spark, d, "embeddings").filter("vec_id % 50 = 7")
+    return table(spark, d, "embeddings").filter("vec_id % 100 = 0")
 
 
 COSINE = """
-    q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS ql FROM embeddings WHERE vec_id % 50 = 7),
+    q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS ql FROM embeddings WHERE vec_id % 100 = 0),
     s AS (SELECT query_id, ql, vec_id AS id, label, round(list_inner_product(q, embedding::DOUBLE[]) / (sqrt(list_inner_product(q, q)) * sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 9) AS score FROM q JOIN embeddings ON vec_id <> query_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
 
@@ -373,23 +374,22 @@ COSINE = """
 @register("vec_cosine", f"WITH {COSINE} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 8")
 def vec_cosine(spark, d):
     """From the design specification: exact scan for a stated set of queries; a top-k report."""
-    ranks = retrieval.cosine_ranks(_queries(spark, d), table(spark, d, "embeddings"))
-    return ranks.filter(F.col("rank") <= retrieval.TOP).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return retrieval.cosine_ranks(_queries(spark, d), table(spark, d, "embeddings"), top=retrieval.TOP).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @register("wn_rank_rrf", f"""
     WITH {COSINE},
-    o AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY (label = ql) DESC, id) AS rank FROM s),
-    f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM r UNION ALL SELECT * FROM o) GROUP BY 1, 2)
+    o AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM s WHERE label = ql),
+    f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM r WHERE rank <= 100 UNION ALL SELECT * FROM o WHERE rank <= 100) GROUP BY 1, 2)
     SELECT query_id, id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 8""")
 def wn_rank_rrf(spark, d):
-    from pyspark.sql import Window
-
-    vectors = table(spark, d, "embeddings")
-    first = retrieval.cosine_ranks(_queries(spark, d), vectors)
-    q = _queries(spark, d).select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    pairs = vectors.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", F.col("vec_id").alias("id"), (F.col("label") == F.col("ql")).alias("same"))
-    second = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("same"), "id")))
+    """Fusion of the 100 nearest and the first 100 of the same label."""
+    vectors, queries = table(spark, d, "embeddings"), _queries(spark, d)
+    first = retrieval.cosine_ranks(queries, vectors)
+    of_label = Window.partitionBy("label").orderBy("vec_id")
+    leading = vectors.withColumn("n", F.row_number().over(of_label)).filter(F.col("n") <= retrieval.DEPTH + 1).select("label", F.col("vec_id").alias("id"))
+    second = queries.select(F.col("vec_id").alias("query_id"), "label").join(leading, "label").filter("id <> query_id")
+    second = second.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).filter(F.col("rank") <= retrieval.DEPTH)
     return retrieval.fuse([first, second]).select("query_id", "id", "rank")
 
 
@@ -399,8 +399,9 @@ def wn_rank_rrf(spark, d):
     h AS (SELECT query_id, count(*) FILTER (rank <= 5) AS found, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1.0) ELSE 0 END) AS dcg FROM r WHERE label = ql GROUP BY 1)
     SELECT t.query_id, round(coalesce(found, 0)::DOUBLE / total, 6) AS recall_5, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(total, 10) + 1), lambda i: 1 / log2(i + 1.0))), 6) AS ndcg_10 FROM t LEFT JOIN h USING (query_id)""")
 def ag_ir_metrics(spark, d):
+    """Relevant are the others of a query's label."""
     vectors, queries = table(spark, d, "embeddings"), _queries(spark, d)
-    ranks = retrieval.cosine_ranks(queries, vectors)
-    q = queries.select(F.col("vec_id").alias("query_id"), "label")
-    relevant = vectors.join(F.broadcast(q), "label").filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"))
-    return retrieval.retrieval_metrics(ranks, relevant)
+    label = queries.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    sizes = vectors.groupBy(F.col("label").alias("ql")).agg((F.count("*") - 1).alias("total"))
+    ranks = retrieval.cosine_ranks(queries, vectors, top=10).join(vectors.select(F.col("vec_id").alias("id"), "label"), "id").join(label, "query_id")
+    return retrieval.retrieval_metrics(ranks, F.col("label") == F.col("ql"), label.join(sizes, "ql").select("query_id", "total"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import absent_share
 from ..operators import scoring
+from ..operators.manifests import pick_files
 from ..operators.spans import assign
 from ..sources import documents
 from ..sources.media import html_cells
 from .registry import register
-from .tables import sql_values, table
+from .tables import table
 
 def _gold(spark, d):
     """Line items with a place each as gold blocks: the pair (order, line) is the row of a table of parts."""
@@ -308,15 +309,15 @@ def wn_topk_one(spark, d):
     return table(spark, d, "part").groupBy("p_brand").agg(F.coalesce(F.max(fits)["p_partkey"], F.min("p_partkey")).alias("pick"))
 
 
-FILES = [("m1", "encoder.int8.onnx"), ("m1", "encoder.onnx"), ("m1", "decoder.int8.onnx"), ("m1", "decoder.onnx"), ("m1", "joiner.onnx"), ("m2", "encoder-b.onnx"), ("m2", "decoder-a.int8.onnx")]
-
-
-@register("wn_pick_file", sql_values("model, role, file", [("m1", "decoder", "decoder.onnx"), ("m1", "encoder", "encoder.int8.onnx"), ("m1", "joiner", "joiner.onnx"), ("m2", "decoder", "decoder-a.int8.onnx"), ("m2", "encoder", "encoder-b.onnx")]))
+@register("wn_pick_file", """
+    WITH f AS (SELECT s_nationkey::VARCHAR AS model, CASE s_suppkey % 3 WHEN 0 THEN 'encoder' WHEN 1 THEN 'decoder' ELSE 'joiner' END AS role, s_acctbal > 3000 AS small, s_name FROM supplier),
+    n AS (SELECT *, role || '-' || s_name || CASE WHEN small THEN '.int8' ELSE '' END || '.onnx' AS file FROM f)
+    SELECT model, role, coalesce(min(file) FILTER (small = (role <> 'decoder')), min(file)) AS file FROM n GROUP BY 1, 2""")
 def wn_pick_file(spark, d):
-    f = spark.createDataFrame(FILES, "model string, file string").withColumn("role", F.regexp_extract("file", "^(encoder|decoder|joiner)", 1))
-    small = F.col("file").contains("int8")
-    wanted = F.when(F.col("role") == "decoder", ~small).otherwise(small)
-    return f.groupBy("model", "role").agg(F.min_by("file", F.struct(~wanted, "file")).alias("file"))
+    """Of a model's files of a role: a small one, or for decoders a full one, where there is one."""
+    role = F.when(F.col("s_suppkey") % 3 == 0, "encoder").when(F.col("s_suppkey") % 3 == 1, "decoder").otherwise("joiner")
+    file = F.concat(role, F.lit("-"), "s_name", F.when(F.col("s_acctbal") > 3000, ".int8").otherwise(""), F.lit(".onnx"))
+    return pick_files(table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("model"), file.alias("file")))
 
 
 @register("wn_vendor", "SELECT o_custkey, CASE WHEN bool_or(o_orderpriority LIKE '1-%') THEN 'nvidia' WHEN bool_or(o_orderpriority LIKE '2-%') THEN 'amd' ELSE 'cpu' END AS vendor FROM orders GROUP BY 1")

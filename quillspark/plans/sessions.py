@@ -95,6 +95,69 @@ def st_feed(spark, d):
     return out.select("session_id", "seq", "status", "partial", F.size("finals").alias("finals"), F.coalesce(F.get("finals", F.lit(0))["endMs"], F.lit(0)).alias("end_ms"))
 
 
+def _audio(spark, d, unit: int = 480):
+    """Every user's events as chunks of audio of 30 to 240 ms, two in five without sound, after an opening and before a finish."""
+    e = table(spark, d, "events")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    n = ((1 + F.col("event_id") % 8) * unit).cast("int")
+    still = F.col("event_type").isin("error", "view")
+    chunks = e.select(F.col("user_id").cast("string").alias("session_id"), seq.cast("long").alias("seq"), F.lit("audio").alias("control"), F.unhex(F.repeat(F.when(still, "0000").otherwise("401F"), n)).alias("pcm16"))
+    control = lambda at, name: e.select(F.col("user_id").cast("string").alias("session_id")).distinct().select("session_id", F.lit(at).cast("long").alias("seq"), F.lit(name).alias("control"), F.lit(None).cast("binary").alias("pcm16"))
+    return chunks.unionByName(control(0, "open")).unionByName(control(1 << 40, "finish")).unionByName(control((1 << 40) + 1, "audio")).unionByName(control((1 << 40) + 2, "delete"))
+
+
+#: Rules at a tenth of their usual length, for chunks at a tenth of theirs; 30 ms of speech are a character.
+SHORT_RULES = s.Rules(still=0.2, silence=0.08, longest=2.0, char_seconds=0.03)
+
+
+SEGMENTED = """
+    c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, (1 + event_id % 8) * 480 AS n, event_type IN ('error', 'view') AS still FROM events),
+    r AS (
+      SELECT user_id, 0::BIGINT AS seq, 0::BIGINT AS total, 0::BIGINT AS first, 0::BIGINT AS speech, 0::BIGINT AS quiet, 0::BIGINT AS chars, false AS ended, 0::BIGINT AS a, 0::BIGINT AS b FROM (SELECT DISTINCT user_id FROM events)
+      UNION ALL
+      SELECT user_id, seq, total, CASE WHEN ended THEN total ELSE first END, CASE WHEN ended THEN 0 ELSE speech END, CASE WHEN ended THEN 0 ELSE quiet END, speech // 480, ended, first, total FROM (
+        SELECT *, quiet >= CASE WHEN speech > 0 THEN 1280 ELSE 3200 END OR total - first >= 32000 AS ended FROM (
+          SELECT r.user_id, c.seq, r.total + c.n AS total, r.first, r.speech + CASE WHEN still THEN 0 ELSE c.n END AS speech, CASE WHEN still THEN r.quiet + c.n ELSE 0 END AS quiet
+          FROM r JOIN c ON c.user_id = r.user_id AND c.seq = r.seq + 1))),
+    z AS (SELECT user_id, max_by(total, seq) AS total, max_by(first, seq) AS first, max_by(speech, seq) AS speech FROM r GROUP BY 1)"""
+
+
+@register("st_endpoint", f"""
+    WITH RECURSIVE {SEGMENTED}
+    SELECT user_id::VARCHAR AS session_id, seq, 'ok' AS status, CASE WHEN ended THEN 0 ELSE chars END::INT AS partial, CASE WHEN ended AND chars > 0 THEN 1 ELSE 0 END::INT AS finals,
+           CASE WHEN ended AND chars > 0 THEN a // 16 END::BIGINT AS start_ms, CASE WHEN ended AND chars > 0 THEN b // 16 END::BIGINT AS end_ms, CASE WHEN ended AND chars > 0 THEN chars ELSE 0 END::INT AS chars FROM r WHERE seq > 0
+    UNION ALL SELECT DISTINCT user_id::VARCHAR, 0, 'open', 0, 0, NULL, NULL, 0 FROM events
+    UNION ALL SELECT user_id::VARCHAR, 1099511627776, 'finished', 0, CASE WHEN speech >= 480 THEN 1 ELSE 0 END, CASE WHEN speech >= 480 THEN first // 16 END, CASE WHEN speech >= 480 THEN total // 16 END, (speech // 480)::INT FROM z
+    UNION ALL SELECT DISTINCT user_id::VARCHAR, 1099511627777, 'unknown_session', 0, 0, NULL, NULL, 0 FROM events
+    UNION ALL SELECT DISTINCT user_id::VARCHAR, 1099511627778, 'unknown_session', 0, 0, NULL, NULL, 0 FROM events""")
+def st_endpoint(spark, d):
+    """All sessions chunk by chunk under the three rules; leading silence moves the start, a finish closes, later rows find no session."""
+    out = s.segment_batch(_audio(spark, d), SHORT_RULES)
+    last = F.get("finals", F.lit(0))
+    return out.select("session_id", "seq", "status", F.length("partial").alias("partial"), F.size("finals").alias("finals"), last["startMs"].alias("start_ms"), last["endMs"].alias("end_ms"), F.coalesce(F.length(last["text"]), F.lit(0)).alias("chars"))
+
+
+@register("st_serial", f"""
+    WITH RECURSIVE {SEGMENTED}, f AS (
+      SELECT user_id, seq > 0 AS chunk, ended AND chars > 0 AS final, CASE WHEN ended THEN chars ELSE 0 END AS chars FROM r UNION ALL SELECT user_id, false, speech >= 480, speech // 480 FROM z)
+    SELECT user_id::VARCHAR AS session_id, count(*) FILTER (chunk)::BIGINT AS chunks, count(*) FILTER (final)::BIGINT AS finals, sum(chars)::BIGINT AS chars FROM f GROUP BY 1""")
+def st_serial(spark, d):
+    """What sessions come to, whatever order their rows arrive in: each is worked through in its own order."""
+    mixed = _audio(spark, d).orderBy(F.xxhash64("session_id", "seq"))
+    out = s.segment_batch(mixed, SHORT_RULES)
+    return out.groupBy("session_id").agg(F.count_if(F.col("status") == "ok").alias("chunks"), F.sum(F.size("finals")).cast("long").alias("finals"), F.sum(F.coalesce(F.length(F.get("finals", F.lit(0))["text"]), F.lit(0))).alias("chars"))
+
+
+@register("st_close", "SELECT DISTINCT user_id::VARCHAR AS session_id, 'closed' AS first, 'unknown_session' AS second, 'open' AS again FROM events")
+def st_close(spark, d):
+    """An explicit close, a second one, and an opening after it."""
+    users = table(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id")).distinct()
+    control = F.array(*map(F.lit, ("open", "delete", "delete", "open")))
+    rows = users.select("session_id", F.posexplode(control).alias("seq", "control")).select("session_id", F.col("seq").cast("long").alias("seq"), "control", F.lit(None).cast("binary").alias("pcm16"))
+    at = lambda n: F.max(F.when(F.col("seq") == n, F.col("status")))
+    return s.segment_batch(rows).groupBy("session_id").agg(at(1).alias("first"), at(2).alias("second"), at(3).alias("again"))
+
+
 STATES = "CASE WHEN bool_or(event_type = 'purchase') THEN 'succeeded' WHEN bool_or(event_type = 'error') THEN 'failed' WHEN count(*) > 3 THEN 'running' ELSE 'queued' END"
 
 

@@ -1,4 +1,4 @@
-"""Queries over the decoders and readers, on literals whose results are known."""
+"""Queries over the decoders and readers, on bodies and files that are built from the tables."""
 
 from __future__ import annotations
 
@@ -11,10 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators.spans import normalize
+from ..functions.audio import mixed_down, pcm16_column
+from ..operators.spans import raw_span
 from ..sources import documents, media
 from .registry import register
-from .tables import sql_values
+from .tables import sql_values, table
 
 
 def wav(samples: bytes, width: int = 2, channels: int = 1, rate: int = 16000) -> bytearray:
@@ -37,10 +38,30 @@ def _wavs(spark):
 WAVS = [("mono", "ok", 8000, 0.5), ("stereo", "ok", 4000, 0.5), ("cd", "ok", 16000, 0.5), ("8 bit", "ok", 160, 0.5), ("24 bit", "ok", 160, 0.5), ("32 bit", "ok", 160, 0.5), ("empty", "invalid", None, None), ("junk", "unsupported", None, None)]
 
 
-@register("src_wav_std", sql_values("name, status, samples, peak", WAVS).replace("0.5", "0.5::DOUBLE"))
+def _little(n, width):
+    """A number's bytes, low byte first, as hexadecimal digits."""
+    digits = F.lpad(F.hex(n.cast("long")), 16, "0")
+    return F.concat(*(F.substring(digits, 15 - 2 * i, 2) for i in range(width)))
+
+
+def _recordings(spark, d):
+    """Every part as a WAV file of p_size hundredths of a second: 1, 2, 3 or 4 bytes a sample, one or two channels, 8 or 16 kHz; half the full amplitude."""
+    k = F.col("p_partkey")
+    width, channels, rate = 1 + k % 4, 1 + F.floor(k / 4) % 2, F.when(F.floor(k / 8) % 2 == 0, 16000).otherwise(8000)
+    half = F.get(F.array(F.lit("C0"), F.lit("0040"), F.lit("000040"), F.lit("00000040")), (k % 4).cast("int"))
+    frames = F.col("p_size") * rate / 100
+    data = F.repeat(half, (frames * channels).cast("int"))
+    size = frames * channels * width
+    head = F.concat(F.lit("52494646"), _little(size + 36, 4), F.lit("57415645666D7420"), _little(F.lit(16), 4), _little(F.lit(1), 2), _little(channels, 2), _little(rate, 4), _little(rate * channels * width, 4), _little(channels * width, 2), _little(8 * width, 2), F.lit("64617461"), _little(size, 4))
+    content = F.when(k % 11 == 0, F.lit("6A756E6B")).otherwise(F.concat(head, data))
+    return table(spark, d, "part").select("p_partkey", F.unhex(content).alias("content"))
+
+
+@register("src_wav_std", """
+    SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'unsupported' ELSE 'ok' END AS status, CASE WHEN p_partkey % 11 <> 0 THEN p_size * 160 END::BIGINT AS samples, CASE WHEN p_partkey % 11 <> 0 THEN 0.5 END::DOUBLE AS peak FROM part""")
 def src_wav_std(spark, d):
-    """PCM of 8, 16, 24 and 32 bits, mixed down and resampled."""
-    return _wavs(spark).select("name", media.wav_frames("content").alias("r")).select("name", "r.status", "r.samples", F.round("r.peak", 6).alias("peak"))
+    """PCM of 8, 16, 24 and 32 bits, mixed down and resampled to 16 kHz; every eleventh is no WAV file."""
+    return _recordings(spark, d).select("p_partkey", media.wav_frames("content").alias("r")).select("p_partkey", "r.status", "r.samples", F.round("r.peak", 6).alias("peak"))
 
 
 @register("src_wav_strict", sql_values("name, status", [(n, "unsupported" if n in ("empty", "junk") else s) for n, s, _, _ in WAVS]))
@@ -66,22 +87,22 @@ def src_soundfile(spark, d):
     return spark.createDataFrame([("flac", bytearray(b"fLaC" + bytes(20)))], "name string, content binary").select("name", status("content").alias("status"))
 
 
-@register("aud_pcm16", sql_values("place, sample", [(0, -1.0), (1, 0.999969), (2, 0.0)]).replace("-1.0", "-1.0::DOUBLE"))
+@register("aud_pcm16", "SELECT p_partkey, round(((p_partkey * 7919) % 65536 - 32768) / 32768.0::DOUBLE, 6) AS first, round(-(p_size::DOUBLE) / 32768, 6) AS last FROM part")
 def aud_pcm16(spark, d):
-    """Little-endian samples without leaving the engine: two hexadecimal digits a byte, low byte first."""
-    digits = F.hex("data")
-    at = lambda i: F.conv(F.concat(F.substring(digits, i * 4 + 3, F.lit(2)), F.substring(digits, i * 4 + 1, F.lit(2))), 16, 10).cast("int")
-    rows = spark.createDataFrame([(bytearray(b"\x00\x80\xff\x7f\x00\x00"),)], "data binary").select("data", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: at(i))).alias("place", "raw"))
-    signed = F.when(F.col("raw") > 32767, F.col("raw") - 65536).otherwise(F.col("raw"))
-    return rows.select("place", F.round(signed / F.lit(32768.0), 6).alias("sample"))
+    """Little-endian samples without leaving the engine."""
+    raw = lambda n: _little(F.pmod(n, F.lit(65536)), 2)
+    data = F.unhex(F.concat(raw(F.col("p_partkey") * 7919 % 65536 - 32768), raw(-F.col("p_size"))))
+    rows = table(spark, d, "part").select("p_partkey", pcm16_column(data).alias("x"))
+    return rows.select("p_partkey", F.round(F.get("x", F.lit(0)), 6).alias("first"), F.round(F.get("x", F.lit(1)), 6).alias("last"))
 
 
-@register("aud_mixdown", sql_values("frame, mean", [(0, 1.5), (1, 3.5)]).replace("1.5)", "1.5::DOUBLE)"))
+@register("aud_mixdown", """
+    WITH f AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS n FROM lineitem GROUP BY 1, 2)
+    SELECT l_orderkey, (n // 2)::INT AS frame, sum(part)::DOUBLE / 2 AS mean FROM f GROUP BY 1, 2 HAVING count(*) = 2""")
 def aud_mixdown(spark, d):
-    """Means of two channels; a ragged tail is dropped."""
-    x = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 9.0],)], "x array<double>")
-    frames = F.sequence(F.lit(0), F.floor(F.size("x") / 2).cast("int") - 1)
-    return x.select("x", F.explode(frames).alias("frame")).select("frame", ((F.get("x", F.col("frame") * 2) + F.get("x", F.col("frame") * 2 + 1)) / 2).alias("mean"))
+    """Means of two channels, the lines of an order in turn; a ragged tail is dropped."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "part"))).alias("x"))
+    return lines.select("l_orderkey", F.posexplode(mixed_down(F.transform("x", lambda v: v["part"].cast("double")), 2)).alias("frame", "mean"))
 
 
 @register("aud_resample", sql_values("source, n, last", [(8000, 8, 3.0), (32000, 2, 3.0)]).replace("3.0)", "3.0::DOUBLE)"))
@@ -94,89 +115,105 @@ def aud_resample(spark, d):
     return spark.createDataFrame([(8000,), (32000,)], "source int").select("source", run("source").alias("r")).select("source", "r.n", "r.last")
 
 
-def _form() -> bytes:
-    head = b'--b\r\nContent-Disposition: form-data; name="file"; filename*=UTF-8\'\'%E4%B8%AD.wav\r\nContent-Type: audio/wav\r\n\r\n'
-    return head + b'data --b inside\r\n--b\r\nContent-Disposition: form-data; name="language"\r\n\r\nzh\r\n--b--\r\n'
+def _forms(spark, d):
+    """Every customer as a form body: a file whose data hold the mark, and a field."""
+    head = F.concat(F.lit("--b\r\nContent-Disposition: form-data; name=\"file\"; filename*=UTF-8''%E4%B8%AD"), "c_custkey", F.lit(".wav\r\nContent-Type: audio/wav\r\n\r\n"))
+    body = F.concat(head, F.repeat(F.lit("data --b inside "), (F.col("c_custkey") % 5).cast("int")), F.lit('\r\n--b\r\nContent-Disposition: form-data; name="language"\r\n\r\n'), "c_mktsegment", F.when(F.col("c_custkey") % 7 == 0, "").otherwise("\r\n--b--\r\n"))
+    return table(spark, d, "customer").select("c_custkey", F.encode(body, "UTF-8").alias("body"), F.lit("b").alias("mark"))
 
 
-@register("src_multipart", sql_values("name, filename, content_type, bytes", [("file", "中.wav", "audio/wav", 15), ("language", None, "", 2)]))
+@register("src_multipart", """
+    SELECT c_custkey, 'file' AS name, '中' || c_custkey || '.wav' AS filename, 'audio/wav' AS content_type, (c_custkey % 5 * 16)::INT AS bytes FROM customer WHERE c_custkey % 7 <> 0
+    UNION ALL SELECT c_custkey, 'language', NULL, '', strlen(c_mktsegment)::INT FROM customer WHERE c_custkey % 7 <> 0""")
 def src_multipart(spark, d):
-    rows = spark.createDataFrame([(bytearray(_form()), "b")], "body binary, mark string").select(media.form_parts("body", "mark").alias("r"))
-    return rows.select(F.explode("r.parts").alias("p")).select("p.name", "p.filename", "p.content_type", F.octet_length("p.data").alias("bytes"))
+    """Parts of all bodies; those that are cut off have none."""
+    rows = _forms(spark, d).select("c_custkey", media.form_parts("body", "mark").alias("r"))
+    return rows.select("c_custkey", F.explode("r.parts").alias("p")).select("c_custkey", "p.name", "p.filename", "p.content_type", F.octet_length("p.data").alias("bytes"))
 
 
-@register("sel_part", sql_values("language, file, none", [("zh", "", "")]))
+@register("sel_part", "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment ELSE '' END AS language, '' AS file, '' AS none FROM customer")
 def sel_part(spark, d):
-    rows = spark.createDataFrame([(bytearray(_form()), "b")], "body binary, mark string").select(media.form_parts("body", "mark").alias("r"))
+    rows = _forms(spark, d).select("c_custkey", media.form_parts("body", "mark").alias("r"))
     parts = F.col("r.parts")
-    return rows.select(media.first_field(parts, "language").alias("language"), media.first_field(parts, "file").alias("file"), media.first_field(parts, "x").alias("none"))
+    first = lambda name: F.coalesce(media.first_field(parts, name), F.lit(""))
+    return rows.select("c_custkey", first("language").alias("language"), first("file").alias("file"), first("x").alias("none"))
 
 
-@register("src_chunked", sql_values("name, result", [("good", "abcde"), ("large", "error"), ("cut", "error")]))
+@register("src_chunked", """
+    SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 OR length(p_name) + length(p_type) > 18 THEN 'error' ELSE p_name || p_type END AS result FROM part""")
 def src_chunked(spark, d):
+    """Bodies of two chunks under a limit of 18 bytes; every fifth is cut off."""
+
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
         def one(v):
             try:
-                return media.decode_chunked(bytes(v), 6).decode()
+                return media.decode_chunked(bytes(v), 18).decode()
             except ValueError:
                 return "error"
 
         return values.map(one)
 
-    rows = [("good", bytearray(b"3\r\nabc\r\n2;x=1\r\nde\r\n0\r\n\r\n")), ("large", bytearray(b"9\r\nabcdefghi\r\n0\r\n\r\n")), ("cut", bytearray(b"5\r\nab"))]
-    return spark.createDataFrame(rows, "name string, body binary").select("name", run("body").alias("result"))
+    size = lambda c: F.lower(F.hex(F.length(c)))
+    body = F.concat(size("p_name"), F.lit("\r\n"), "p_name", F.lit("\r\n"), size("p_type"), F.lit(";x=1\r\n"), "p_type", F.when(F.col("p_partkey") % 5 == 0, "").otherwise("\r\n0\r\n\r\n"))
+    return table(spark, d, "part").select("p_partkey", run(F.encode(body, "UTF-8")).alias("result"))
 
 
-@register("txt_params", sql_values("name, value", [("name", "a\"b"), ("filename*", "中 x"), ("q", "1")]))
+@register("txt_params", """
+    SELECT s_suppkey, 'name' AS name, s_name || '"x' AS value FROM supplier UNION ALL SELECT s_suppkey, 'filename*', '中 ' || s_suppkey FROM supplier UNION ALL SELECT s_suppkey, 'q', s_nationkey::VARCHAR FROM supplier""")
 def txt_params(spark, d):
+    """Quoted, extended and plain parameters of headers."""
+
     @F.pandas_udf("map<string,string>")
     def run(values: pd.Series) -> pd.Series:
         return values.map(media.header_params)
 
-    rows = spark.createDataFrame([('form-data; name="a\\"b"; filename*=UTF-8\'\'%E4%B8%AD%20x; q=1',)], "v string")
-    return rows.select(F.explode(run("v")).alias("name", "value"))
-
-
-TREE = {
-    "pages": {"1": {"size": {"width": 100, "height": 200}}}, "body": {"children": [{"$ref": "#/groups/0"}, {"$ref": "#/tables/0"}]},
-    "groups": [{"self_ref": "#/groups/0", "children": [{"$ref": "#/texts/0"}]}],
-    "texts": [{"self_ref": "#/texts/0", "text": "标题", "prov": [{"bbox": {"l": 10, "t": 190, "r": 50, "b": 180, "coord_origin": "BOTTOMLEFT"}}]}],
-    "tables": [{"self_ref": "#/tables/0", "data": {"grid": [[{"start_row_offset_idx": 0, "start_col_offset_idx": 0, "text": x, "row_span": 1, "col_span": 2} for x in ("a", "a")]]}}],
-}
+    value = F.concat(F.lit('form-data; name="'), "s_name", F.lit("\\\"x\"; filename*=UTF-8''%E4%B8%AD%20"), "s_suppkey", F.lit("; q="), "s_nationkey")
+    return table(spark, d, "supplier").select("s_suppkey", F.explode(run(value)).alias("name", "value"))
 
 
-@register("src_docling", sql_values('idx, text, "left", cells', [(0, "标题", 0.1, 0), (1, "a", None, 2)]).replace("0.1,", "0.1::DOUBLE,"))
+@register("src_docling", """
+    WITH l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem GROUP BY 1, 2)
+    SELECT l_orderkey::VARCHAR AS page_id, 0::INT AS idx, 'order ' || l_orderkey AS text, 0.1::DOUBLE AS "left", 0.05::DOUBLE AS top, 0::INT AS spans FROM l GROUP BY l_orderkey
+    UNION ALL SELECT l_orderkey::VARCHAR, n::INT, part::VARCHAR, NULL, NULL, 2 FROM l""")
 def src_docling(spark, d):
-    """A layout tree in reading order; a spanning cell comes once."""
-    rows = documents.engine_blocks(spark.createDataFrame([("p", json.dumps(TREE))], "page_id string, raw string"), "tree")
-    return rows.select("idx", "text", F.get("bbox", F.lit(0)).alias("left"), F.coalesce("cell.colSpan", F.lit(0)).alias("cells"))
-
-
-@register("src_jsonl", sql_values("id, n", [("a", 1), ("b", 2)]))
+    """Orders as layout trees: a group with a line of text, and a table whose cells span two columns and so come twice in the grid."""
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "part"))).alias("lines"))
+    ref = lambda x: F.struct(F.lit(x).alias("$ref"))
+    size = F.struct(F.struct(F.struct(F.lit(100).alias("width"), F.lit(200).alias("height")).alias("size")).alias("1"))
+    box = F.struct(F.lit(10).alias("l"), F.lit(190).alias("t"), F.lit(50).alias("r"), F.lit(180).alias("b"), F.lit("BOTTOMLEFT").alias("coord_origin"))
+    cell = lambda x: F.struct(x["l_linenumber"].alias("start_row_offset_idx"), F.lit(0).alias("start_col_offset_idx"), x["part"].cast("string").alias("text"), F.lit(1).alias("row_span"), F.lit(2).alias("col_span"))
+    grid = F.transform("lines", lambda x: F.array(cell(x), cell(x)))
+    raw = F.to_json(F.struct(
+        size.alias("pages"), F.struct(F.array(ref("#/groups/0"), ref("#/tables/0")).alias("children")).alias("body"), F.array(F.struct(F.lit("#/groups/0").alias("self_ref"), F.array(ref("#/texts/0")).alias("children"))).alias("groups"),
+        F.array(F.struct(F.lit("#/texts/0").alias("self_ref"), F.concat(F.lit("order "), "l_orderkey").alias("text"), F.array(F.struct(box.alias("bbox"))).alias("prov"))).alias("texts"),
+        F.array(F.struct(F.lit("#/tables/0").alias("self_ref"), F.struct(grid.alias("grid")).alias("data"))).alias("tables")))
+    found = documents.engine_blocks(rows.select(F.col("l_orderkey").cast("string").alias("page_id"), raw.alias("raw")), "tree")
+    return found.select("page_id", "idx", "text", F.get("bbox", F.lit(0)).alias("left"), F.round(F.get("bbox", F.lit(1)), 6).alias("top"), F.coalesce("cell.colSpan", F.lit(0)).alias("spans"))
+
+
+@register("src_jsonl", "SELECT conv_id::VARCHAR AS id, turn::INT AS n FROM conversations")
 def src_jsonl(spark, d):
-    """A journal whose last record is cut off."""
-    lines = spark.createDataFrame([('{"id": "a", "n": 1}\n{"id": "b", "n": 2}\n{"id": "c',)], "value string")
+    """A journal for each conversation, all with a blank line and a last record that is cut off."""
+    record = F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.col("turn").alias("n")))
+    journals = table(spark, d, "conversations").groupBy("conv_id").agg(F.concat(F.array_join(F.collect_list(record), "\n\n"), F.lit('\n{"id": "cut')).alias("value"))
 
     def run(frames):
         for frame in frames:
             yield pd.DataFrame([(json.dumps(r),) for v in frame.value for r in documents.journal_records(v)], columns=["json"])
 
-    return lines.mapInPandas(run, "json string").select(F.from_json("json", "id string, n int").alias("r")).select("r.*")
+    return journals.select("value").mapInPandas(run, "json string").select(F.from_json("json", "id string, n int").alias("r")).select("r.*")
 
 
 @register("src_inventory")
 def src_inventory(spark, d):
-    """The small tables' files with sizes and digests."""
-    return documents.inventory(spark, d).filter(F.col("path").rlike("^(region|nation|part)"))
+    """All tables' files with sizes and digests."""
+    return documents.inventory(spark, d)
 
 
-@register("txt_span_map", sql_values("start, stop, raw", [(0, 2, "１ ２"), (1, 3, "２ 元")]))
+@register("txt_span_map", """
+    SELECT item_id, substr(regexp_replace(text, '\\s+', '', 'g'), length(regexp_extract(text, '^\\S*')) + 1, 1) AS after, left(regexp_extract(text, '\\S+'), 1) AS first FROM benchmark""")
 def txt_span_map(spark, d):
-    """Offsets in normalised text to the raw characters that they came from."""
-    text = " １ ２ 元 "
-    at = [i for i, c in enumerate(text) if normalize(c)]
-    rows = spark.createDataFrame([(0, 2), (1, 3)], "start int, stop int")
-    places = F.array(*map(F.lit, at))
-    first, last = F.get(places, "start"), F.get(places, F.col("stop") - 1)
-    return rows.select("start", "stop", F.substring(F.lit(text), first + 1, last - first + 1).alias("raw"))
+    """Spans of normalised passages back to the raw text: the first character after a blank, and the very first."""
+    rows = table(spark, d, "benchmark").select("item_id", "text", F.length(F.regexp_extract("text", r"^\S*", 0)).alias("a"))
+    return rows.select("item_id", raw_span("text", "a", F.col("a") + 1).alias("after"), raw_span("text", F.lit(0), F.lit(1)).alias("first"))

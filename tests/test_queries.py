@@ -1,22 +1,23 @@
 """Registered queries against their SQL, at the smallest scale; names and pairs of queries and SQL."""
 
 import glob
+import hashlib
 import os
 
 import duckdb
 import pytest
 
+from quillspark.operators import retrieval
 from quillspark.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ["entry_label_coverage", "txt_normalize", "txt_chunk", "geo_contained", "ag_counts", "jn_neighbour", "st_sessions", "st_feed", "jn_reconcile", "wn_rank_rrf"]
 
 
 def test_every_sql_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in glob.glob(f"{DATA}/*.parquet"):
@@ -41,3 +42,45 @@ def test_counts_of_all_orders(spark):
     got = registry.queries()["ag_counts"](spark, data).collect()
     assert sorted(tuple(r[c] for c in columns) for r in got) == want
     assert sum(r.blocks for r in got) == con.execute("SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)").fetchone()[0]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_distances_of_whole_passages(spark):
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    want = {i: (edits(x, texts[i + 1]), len(x)) for i, x in texts.items() if i + 1 in texts}
+    assert {r.item_id: (r.edits, r.chars) for r in registry.queries()["txt_distance"](spark, DATA).collect()} == want
+    bare = {i: "".join(x.split()) for i, x in texts.items()}
+    rates = {p: round(sum(edits(bare[i], bare[i + 1]) for i in want if i % 4 == p) / sum(len(bare[i]) for i in want if i % 4 == p), 6) for p in {i % 4 for i in want}}
+    assert {r.part: r.cer for r in registry.queries()["txt_cer"](spark, DATA).collect()} == pytest.approx(rates, abs=1e-6)
+
+
+def test_inventory_of_the_tables(spark):
+    want = sorted((os.path.basename(f), os.path.getsize(f), hashlib.sha256(open(f, "rb").read()).hexdigest()) for f in glob.glob(f"{DATA}/*.parquet"))
+    assert sorted(map(tuple, registry.queries()["src_inventory"](spark, DATA).collect())) == want
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    whole = sorted(map(tuple, registry.queries()["vec_cosine"](spark, DATA).collect()))
+    monkeypatch.setattr(retrieval, "BLOCK", 2)
+    assert whole and sorted(map(tuple, registry.queries()["vec_cosine"](spark, DATA).collect())) == whole
+
+
+def test_assigned_passages_and_wrapped_lines(spark):
+    found = registry.queries()["assign_greedy"](spark, DATA).collect()
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet").collect()
+    assert len(found) == len(items) and all(r.status == "proposed" and r.cost == 0 for r in found)
+    lines = {}
+    for r in registry.queries()["txt_wrap"](spark, DATA).orderBy("item_id", "line").collect():
+        lines.setdefault(r.item_id, []).append(r.text)
+    assert all("".join("".join(lines[r.item_id]).split()) == "".join(r.text.split()) for r in items)
+    first = registry.queries()["src_synth_text"](spark, DATA)
+    assert first.count() == 60 and sorted(map(tuple, first.collect())) == sorted(map(tuple, registry.queries()["src_synth_text"](spark, DATA).repartition(3).collect()))
