@@ -33,6 +33,7 @@ DICTIONARY_MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 64 << 20
 DICTIONARY_PAGES, DICTIONARY_BYTES = 300, 32 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SMALL = 200_000  # digests that may be broadcast, with an id each: 28 bytes
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -189,12 +190,13 @@ def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
 def with_originals(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages plus ``original``: the smallest page id with the same payload, where others share it.
 
-    Payloads of under ``min_bytes`` bytes are never shared.  Ids and digests alone are aggregated; the
-    join that brings the result back is one on digests, which adaptive execution splits where hot.
+    Payloads of under ``min_bytes`` bytes are never shared.  Ids and digests alone are aggregated and, up to
+    SMALL digests that repeat, alone are moved: these are broadcast, beyond that pages are joined on digests.
     """
     known = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
     shared = known.filter(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1 and original is not null").select("digest", "original")
-    return known.join(shared, "digest", "left")
+    shared = materialize(shared, "warc-shared")
+    return known.join(F.broadcast(shared) if shared.count() <= SMALL else shared, "digest", "left")
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
