@@ -13,7 +13,8 @@ Equal vectors are one entry that lists its k + 1 smallest ids, enough for any qu
 Rows: vectors that are null or hold null or non-finite components, and rows without an id, take no
 part; shorter vectors count as padded with zeros; a row that repeats an id and vector counts once; an id
 with several vectors is a candidate with its best score, and as a query stands for its smallest vector;
-an empty table gives an empty result; further columns are not read.
+an empty table gives an empty result; further columns are not read.  Components are whole numbers of
+up to 2**53 in size after scaling, and scores of up to 2**63; beyond that nothing is promised.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from .shared import materialize
 
 CELLS = 256
 BLOCK = 4096
+HELD = 64 << 20
 K = 10
 
 
@@ -41,25 +43,33 @@ def integer_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """One row per different vector: its k + 1 smallest ids. Tasks collapse their own copies first."""
+    """One row per different vector: its k + 1 smallest ids. Tasks collapse their own copies first, HELD bytes of vectors at a time."""
 
     def run(batches):
-        held: dict[tuple, list[int]] = {}
+        held: dict[bytes, list[int]] = {}
+        size = 0
 
         def out():
-            keys = list(held)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array([held[x] for x in keys], pa.list_(pa.int64()))], names=["ints", "ids"])
+            ends = pa.array(np.cumsum([0, *(len(x) // 8 for x in held)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(held), np.int64))), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["ints", "ids"])
             held.clear()
 
         for batch in batches:
-            for i, x in zip(batch.column("vec_id").to_pylist(), batch.column("ints").to_pylist(), strict=True):
-                own = held.setdefault(tuple(x), [])
+            column = batch.column("ints")
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(np.asarray(pc.list_value_length(column).to_numpy(zero_copy_only=False))).tolist()
+            for i, a, b in zip(batch.column("vec_id").to_pylist(), [0, *ends], ends, strict=False):
+                x = flat[a:b].tobytes()
+                if x not in held:
+                    size += len(x)
+                own = held.setdefault(x, [])
                 if i not in own:
                     own.append(i)
                     own.sort()
                     del own[k + 1 :]
-            if len(held) > 50_000:
+            if size > HELD:
                 yield from out()
+                size = 0
         yield from out()
 
     merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
