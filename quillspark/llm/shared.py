@@ -1,15 +1,8 @@
-"""Shared storage, materialised tables and Arrow helpers used by the corpus operators.
-
-Files that more than one process needs go below ``spark.checkpoint.dir``, which the cluster shares
-between the driver and its executors.  A temporary folder is used only where that setting is unset
-and Spark runs inside this one process (``local[...]``), as in tests.
-"""
+"""Storage and Arrow helpers of the corpus operators; tables and folders are those of ``quillspark.storage``."""
 
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,35 +11,11 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-ARROW_BYTES = 8 << 20
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name below the shared folder; nothing is created yet."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        base = _LOCAL.setdefault(app, "") or _LOCAL.__setitem__(app, tempfile.mkdtemp(prefix="quill-")) or _LOCAL[app]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from ..storage import discard, materialize, shared_dir
 
+__all__ = ["bounded", "by_size", "discard", "fresh", "materialize", "open_store", "shared_dir", "strings", "uniform", "without"]
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.quill_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes materialised tables that no later plan reads."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.quill_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+ARROW_BYTES = 8 << 20
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
