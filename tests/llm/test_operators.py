@@ -73,6 +73,22 @@ def test_media_round_trip(spark, odd, none):
     assert media.read_media(media.write_media(none, folder), folder, payload=True).count() == 0
 
 
+def test_stored_forms_and_features_against_the_files(spark):
+    texts = ["", "plain", "x" * 64, "Ünï 中文 😀" * 30, "\x00\x7f\x80é"]
+    df = spark.createDataFrame([(i, t, "z", 9) for i, t in enumerate(texts)], "doc_id long, text string, digest string, n int")
+    folder = shared.shared_dir(spark, "test-media")
+    places = shared.materialize(media.write_media(df, folder), "test-places")
+    fs, path = shared.open_store(folder)
+    out = media.read_media(places, folder, payload=True).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(texts)))
+    for r in out:
+        payload = texts[r.doc_id].encode() + bytes(-len(texts[r.doc_id].encode()) % 64 or (0 if texts[r.doc_id] else 64))
+        counts = collections.Counter(b // 32 for b in payload)
+        stored = fs.open_input_file(f"{path}/{r.shard}").read_at(r.length, r.offset)
+        assert r.feature == ",".join(str(counts[i]) for i in range(8)) and sum(counts.values()) == r.payload_bytes
+        assert r.media_sha256 == hashlib.sha256(stored).hexdigest() and media.decode_image(stored) == payload and r.media_bytes == len(stored)
+
+
 def test_equal_texts_are_stored_once(spark):
     docs = [(i, t) for i in range(300) for t in [None if i % 7 == 0 else f"text {i % 5}"]] + [(1, "x\0"), (2, "x"), (3, "alone")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
@@ -224,6 +240,13 @@ def test_chats_against_brute_force(spark):
     assert chat.read_chats(chat.format_chats(turns.limit(0), VOCABULARY), VOCABULARY).count() == 0
 
 
+def test_chats_without_id_and_with_clashing_columns(spark):
+    turns = [(None, 0, "user", "hi", 1, b"m", "p"), (None, 1, "assistant", "yo", 1, b"m", "p"), (1, 0, "assistant", "one", 1, b"m", "p")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, ids int, mask binary, part string")
+    out = {r.conv_id: r for r in chat.read_chats(shared.materialize(chat.format_chats(df, VOCABULARY), "test-chats"), VOCABULARY).collect()}
+    assert set(out) == {None, 1} and (out[None].n_turns, out[None].loss_chars, out[1].loss_chars) == (2, 2, 3)
+
+
 def test_chat_query_has_its_probe(spark):
     r = chat.op4(spark, DATA).filter("conv_id = -1").first()
     probe = "</s>[INST] ok [/INST]"
@@ -282,6 +305,20 @@ def test_segments_in_linear_time():
     assert min(seconds(160_000) for _ in range(3)) < 64 * min(seconds(10_000) for _ in range(3))  # 16 times the work; 256 times if it were quadratic
 
 
+def test_scores_against_their_definition():
+    rng = random.Random(4)
+    scorer = toxicity.Scorer({"a": 2.0137, "b": 1.3311, "c": -0.8173, "d": 3.1193}, gap=-0.2071, lam=0.9, log_k=-1.5, a=-3.0, b=0.7)
+    for _ in range(300):
+        words = [rng.choice("abcdxyzw") for _ in range(rng.randrange(14))]
+        values = [scorer.words.get(w, scorer.gap) for w in words]  # of which no few sum to nothing
+        strengths = [0.9 * s + 1.5 - math.log(max(1, len(words))) for s, _, _ in plain_segments(values)]
+        total = sum(x for x in strengths if x > 0)
+        stat = min(toxicity.HIGH, max(toxicity.LOW, total if total > 0 else max([toxicity.LOW, *strengths])))
+        want = 1 / (1 + math.exp(3.0 - 0.7 * stat))
+        got, spans = scorer.score(" ".join(words))
+        assert got == pytest.approx(want) and len(spans) == sum(x > 0 for x in strengths)
+
+
 def test_spans_are_places_in_the_text():
     scorer = toxicity.Scorer({"bad": 6.0, "word": 6.0}, gap=-0.1, lam=1.0, log_k=-2.0, a=-4.0, b=1.0)
     for text in ("İİİİ bad word", "İ" * 50 + " x BAD Word y", "plain bad word"):
@@ -426,6 +463,13 @@ def test_warc_against_brute_force(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0), folder), folder).count() == 0
 
 
+def test_warc_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "same", "d", 5, 6), (2, "u", "same", "d", 5, 6), (3, None, None, None, None, None)], "page_id long, url string, html string, digest string, original int, n int")
+    folder = shared.shared_dir(spark, "test-warc")
+    out = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(df, folder), folder).collect()}
+    assert out == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None)}
+
+
 def test_warc_validation():
     good = warc.build_record(1, "http://x", b"abc", None, False)
     assert warc.parse_record(good)[:2] == (1, 3)
@@ -610,6 +654,25 @@ def test_language_held_out(spark, odd, none):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(none)).collect()} == {"und"}
 
 
+def test_values_against_the_kernel_by_its_definition():
+    texts = ["the cat sat on the mat", "der hund und die katze", "le chat et le chien", "the dog and the cat", "ein hund", "un chat noir"]
+    model = langid.solve(langid.bitmaps(texts[:3]), ["en", "de", "fr"])
+    grams = [set(np.flatnonzero(x).tolist()) for x in langid.bitmaps(texts)]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    marks = [grams[["en", "de", "fr"].index(x)] for x in model.langs]  # one landmark a language, in order of the languages
+    values = model.values(langid.bitmaps(texts))
+    for g, own in zip(grams, values, strict=True):
+        want = np.array([kernel(g, m) for m in marks]) @ model.weights[:-1] + model.weights[-1]
+        assert own == pytest.approx(want, abs=1e-4)
+    assert [model.langs[i] for i in values.argmax(axis=1)] == ["en", "de", "fr", "en", "de", "fr"]
+
+
+def test_languages_with_clashing_columns(spark):
+    df = spark.createDataFrame([(i, t, x, "a", 0.5, 1) for i, (t, x) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "en"), ("the the", None)] * 9)], "doc_id long, text string, lang string, lang_pred string, lang_score double, bits int")
+    out = langid.predict(df, langid.fit(df)).collect()
+    assert {(r.text, r.lang_pred) for r in out} == {("the cat and the dog", "en"), ("der hund und die katze", "de"), (None, "und"), ("the the", "en")}
+
+
 def test_long_texts_do_not_fill_the_cells():
     rng = random.Random(1)
     text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(20_000))
