@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
+from ..storage import materialize
 
 COUNTERS = (
     "characters", "edits", "blocks", "correctSources", "numbers", "correctNumbers", "cells", "correctCells", "correctCellTexts",
@@ -65,6 +66,7 @@ def counters(gold: DataFrame, actual: DataFrame, provisional: bool = False) -> D
         "want": want, "have": have, "next_ord": F.lead("a_ord").over(order), "has_next": F.lead(F.lit(True)).over(order).isNotNull(),
         "text_ok": got & (want == have), "n_num": key.cast("int") + F.size(tokens), "ok_num": (key & got & (want == have)).cast("int") + F.when(got, whole).otherwise(0),
     })
+    rows = materialize(rows, "score-rows")  # read by the sums and by both sides of the pairs
     n = lambda c: F.sum(c.cast("long"))
     blocks = rows.groupBy("category").agg(
         n(F.length("want")).alias("characters"), n(F.levenshtein("want", "have")).alias("edits"), F.count("*").alias("blocks"),
