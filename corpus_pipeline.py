@@ -1,7 +1,8 @@
 """Corpus pipeline: toxicity, near-duplicates, surrogates for personal data, source mixing, token ids.
 
 Each stage reads what the stage before it wrote as Parquet.  Stages return the columns of documents,
-the last one doc_id, source, n_tokens and input_ids.
+the last one doc_id, source, n_tokens and input_ids.  What stages do with nulls, empty and long texts,
+repeated rows and ids, and empty tables stands in the modules of their operators.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from quillspark.llm.shared import bounded, materialize
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text."""
+    """Token ids of every whole text.
+
+    Null and empty texts have none; repeated rows and ids give a row each; an empty table gives an empty table;
+    columns other than doc_id, source and text are not read.
+    """
     return bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken")).drop("text")
 
 
