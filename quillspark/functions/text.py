@@ -196,3 +196,28 @@ def sniff(data: Column) -> Column:
         .when(at(1, 4) == name("OggS"), "ogg").when(at(1, 4) == "1A45DFA3", "webm").when(at(5, 4) == name("ftyp"), "m4a").when(at(1, 3) == name("ID3"), "mp3")
         .when(at(1, 2).rlike("^FF[EF]"), "mp3").when(at(1, 4) == name("caff"), "caf").when(at(1, 5) == name("#!AMR"), "amr").otherwise("unknown")
     )
+
+
+#: Characters that a prompt, a language and a model name are cut to, and bytes that an upload, a chunk and a JSON body may have. Fixed values.
+CUTS = {"prompt": 2000, "language": 40, "model": 4096}
+CAPS = {"upload": 25 << 20, "chunk": 1 << 20, "json": 64 << 10}
+
+
+def cut(c: Column, kind: str) -> Column:
+    return F.left(c, F.lit(CUTS[kind]))
+
+
+def body_status(size: Column, kind: str) -> Column:
+    """413 for bodies of more bytes than their kind may have."""
+    return F.when(size > CAPS[kind], 413).otherwise(200)
+
+
+def new_tokens(seconds: Column) -> Column:
+    """Twenty for each second, between 64 and 1,024."""
+    return F.least(F.lit(1024), F.greatest(F.lit(64), F.floor(seconds * 20).cast("int")))
+
+
+def masked(text: Column, spans: Column, mark: str = "\0") -> Column:
+    """The text with every character of the spans (array of start, end) replaced by the mark."""
+    fill = lambda t, s: F.concat(F.left(t, s["start"]), F.repeat(F.lit(mark), s["end"] - s["start"]), F.substring(t, s["end"] + 1, F.length(t)))
+    return F.aggregate(spans, text, fill)

@@ -94,6 +94,17 @@ def ratios(counts: DataFrame) -> DataFrame:
     return counts.select("*", *(F.try_divide(F.col(a).cast("double"), F.col(b)).alias(k) for k, (a, b) in RATIOS.items()))
 
 
+def rising_pairs(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Rows with ``rising``: whether the value is below that of the next row of its group; false where one is missing."""
+    after = F.lead(value).over(Window.partitionBy(*by).orderBy(order))
+    return rows.withColumn("rising", F.coalesce(F.col(value) < after, F.lit(False)))
+
+
+def minus(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Different rows of the first table that the second hasn't."""
+    return a.distinct().join(b.distinct(), a.columns, "left_anti")
+
+
 def shape_differences(have: DataFrame, want: DataFrame, key: str) -> DataFrame:
     """Keys whose number ``n`` is not the expected one, on either side: key, have, want."""
     both = have.select(key, F.col("n").alias("have")).join(want.select(key, F.col("n").alias("want")), key, "full")

@@ -392,3 +392,29 @@ def src_html_table(spark, d):
 def html_blocks(spark, d):
     n = lambda p: F.regexp_count("html", F.lit(p))
     return table(spark, d, "pages").select("page_id", n("<p[ >]").alias("paragraphs"), n("<li[ >]").alias("items"), n("<a ").alias("anchors"))
+
+
+@register("sel_runner", "SELECT 'dev' AS selection, count(*)::BIGINT AS pages FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT 'holdout', NULL")
+def sel_runner(spark, d):
+    """What a runner gets of each split; the holdout is refused (null)."""
+    pages = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "holdout").otherwise("dev").alias("split"), F.lit(False).alias("pilot"))
+    rows = []
+    for split in ("dev", "holdout"):
+        try:
+            rows.append((split, scoring.select_pages(pages, split, runner=True).count()))
+        except scoring.GuardError:
+            rows.append((split, None))
+    return spark.createDataFrame(rows, "selection string, pages long")
+
+
+@register("wn_lead_pair", "SELECT l_orderkey, l_linenumber, coalesce(part < lead(part) OVER w, false) AS rising FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)")
+def wn_lead_pair(spark, d):
+    """Whether a block's order is below that of the next one; the last has none."""
+    return scoring.rising_pairs(_gold(spark, d), ["l_orderkey"], "l_linenumber", "part").select("l_orderkey", "l_linenumber", "rising")
+
+
+@register("set_minus", "SELECT 'unknown' AS side, l_orderkey AS k FROM lineitem EXCEPT SELECT 'unknown', o_orderkey FROM orders UNION ALL (SELECT 'unused', o_orderkey FROM orders EXCEPT SELECT 'unused', l_orderkey FROM lineitem)")
+def set_minus(spark, d):
+    """Keys that one table has and the other hasn't, both ways."""
+    lines, orders = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    return scoring.minus(lines, orders).select(F.lit("unknown").alias("side"), "k").unionByName(scoring.minus(orders, lines).select(F.lit("unused").alias("side"), "k"))

@@ -59,6 +59,14 @@ def eng_load_sim(spark, d):
     return s.load_counts(table(spark, d, "events"), "user_id", "event_type", "ts", "30 minutes", "event_id")
 
 
+@register("eng_lifecycle", """
+    WITH m AS (SELECT *, lag(event_type) OVER w AS p, ts - lag(ts) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    k AS (SELECT user_id, CASE WHEN p IS NULL THEN 'first' WHEN gap >= INTERVAL 30 MINUTE THEN 'idle' WHEN p <> event_type THEN 'switch' ELSE 'warm' END AS kind FROM m)
+    SELECT user_id, count(*) FILTER (kind <> 'warm')::BIGINT AS loads, count(*) FILTER (kind = 'idle')::BIGINT AS idle_unloads, count(*) FILTER (kind = 'switch')::BIGINT AS switch_unloads, count(*) FILTER (kind = 'warm')::BIGINT AS warm FROM k GROUP BY 1""")
+def eng_lifecycle(spark, d):
+    return s.lifecycle(table(spark, d, "events"), "user_id", "event_type", "ts", "30 minutes", "event_id")
+
+
 @register("st_segments", """
     WITH m AS (SELECT *, CASE WHEN (event_type = 'error') IS DISTINCT FROM (lag(event_type) OVER w = 'error') THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM m)
@@ -148,6 +156,34 @@ def st_serial(spark, d):
     return out.groupBy("session_id").agg(F.count_if(F.col("status") == "ok").alias("chunks"), F.sum(F.size("finals")).cast("long").alias("finals"), F.sum(F.coalesce(F.length(F.get("finals", F.lit(0))["text"]), F.lit(0))).alias("chars"))
 
 
+def _fed(spark, d):
+    return s.segment_batch(_audio(spark, d), SHORT_RULES)
+
+
+@register("st_finish", f"""
+    WITH RECURSIVE {SEGMENTED}
+    SELECT user_id::VARCHAR AS session_id, CASE WHEN speech >= 480 THEN first // 16 END AS start_ms, CASE WHEN speech >= 480 THEN total // 16 END AS end_ms FROM z""")
+def st_finish(spark, d):
+    """The tail that a finish gives out, if it holds text."""
+    last = F.get("finals", F.lit(0))
+    return _fed(spark, d).filter("status = 'finished'").select("session_id", last["startMs"].alias("start_ms"), last["endMs"].alias("end_ms"))
+
+
+@register("st_partial_reset", f"""
+    WITH RECURSIVE {SEGMENTED}, n AS (SELECT *, lead(first) OVER w AS next_first, lead(speech) OVER w AS next_speech FROM r WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+    SELECT user_id::VARCHAR AS session_id, count(*) FILTER (ended AND chars > 0)::BIGINT AS finals, count(*) FILTER (seq > 0 AND (ended OR chars = 0))::BIGINT AS empty_partials FROM n GROUP BY 1""")
+def st_partial_reset(spark, d):
+    """Finals, and chunks after which the partial text is empty: each end of a segment empties it."""
+    chunks = _fed(spark, d).filter("status = 'ok'")
+    return chunks.groupBy("session_id").agg(F.count_if(F.size("finals") > 0).alias("finals"), F.count_if(F.col("partial") == "").alias("empty_partials"))
+
+
+@register("st_unknown", "SELECT user_id::VARCHAR AS session_id, 2::BIGINT AS unknown FROM events GROUP BY 1")
+def st_unknown(spark, d):
+    """Audio and a close after a finish find no session."""
+    return _fed(spark, d).filter("status = 'unknown_session'").groupBy("session_id").agg(F.count("*").alias("unknown"))
+
+
 @register("st_close", "SELECT DISTINCT user_id::VARCHAR AS session_id, 'closed' AS first, 'unknown_session' AS second, 'open' AS again FROM events")
 def st_close(spark, d):
     """An explicit close, a second one, and an opening after it."""

@@ -293,3 +293,39 @@ def txt_best_span(spark, d):
 def txt_wrap(spark, d):
     lines = table(spark, d, "benchmark").select("item_id", wrapped("text", 40).alias("lines"))
     return lines.select("item_id", F.posexplode("lines").alias("line", "text"))
+
+
+@register("txt_mask", """
+    SELECT doc_id, sha256(left(text, 3) || repeat('#', 5) || substr(text, 9, 12) || repeat('#', 10) || substr(text, 31)) AS digest FROM documents WHERE length(text) >= 30""")
+def txt_mask(spark, d):
+    """Two claimed spans of every text replaced."""
+    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((3, 8), (20, 30))))
+    return table(spark, d, "documents").filter(F.length("text") >= 30).select("doc_id", F.sha2(t.masked(F.col("text"), spans, "#"), 256).alias("digest"))
+
+
+@register("txt_bound", f"""
+    WITH {FOLDED}
+    SELECT item_id, (len(list_filter(string_split(a, ''), lambda x: NOT contains(b, x))) <= levenshtein(a, b)) AS holds, len(list_filter(string_split(a, ''), lambda x: NOT contains(b, x)))::INT AS absent FROM f""")
+def txt_bound(spark, d):
+    """Characters that the other passage lacks are a lower bound of the edits."""
+    rows = _passages(spark, d).select("item_id", t.ascii_fold(F.col("text")).alias("a"), t.ascii_fold(F.col("other")).alias("b"))
+    absent = F.round(t.absent_share(F.col("a"), F.col("b")) * F.length("a")).cast("int")
+    return rows.select("item_id", (absent <= F.levenshtein("a", "b")).alias("holds"), absent.alias("absent"))
+
+
+@register("set_missing_chars", f"""
+    WITH {PASSAGES} SELECT item_id, array_to_string(list_sort(list_distinct(list_filter(string_split(text, ''), lambda x: NOT contains(other, x)))), '') AS chars FROM p""")
+def set_missing_chars(spark, d):
+    chars = F.array_except(F.split("text", ""), F.split("other", ""))
+    return _passages(spark, d).select("item_id", F.array_join(F.array_sort(F.filter(chars, lambda x: x != "")), "").alias("chars"))
+
+
+@register("lim_caps", """
+    WITH c AS (SELECT doc_id, repeat(text, 8) AS x, n_chars * 100 AS size FROM documents)
+    SELECT doc_id, length(left(x, 2000))::INT AS prompt, length(left(x, 40))::INT AS language, length(left(x, 4096))::INT AS model, CASE WHEN size > 26214400 THEN 413 ELSE 200 END::INT AS upload, CASE WHEN size > 1048576 THEN 413 ELSE 200 END::INT AS chunk,
+           CASE WHEN size > 65536 THEN 413 ELSE 200 END::INT AS json, least(1024, greatest(64, size // 1000 * 20))::INT AS tokens FROM c""")
+def lim_caps(spark, d):
+    """Texts cut and bodies refused beyond their limits; tokens by seconds."""
+    x, size = F.repeat("text", F.lit(8)), F.col("n_chars") * 100
+    cuts = [F.length(t.cut(x, k)).alias(k) for k in ("prompt", "language", "model")]
+    return table(spark, d, "documents").select("doc_id", *cuts, *(t.body_status(size, k).alias(k) for k in ("upload", "chunk", "json")), t.new_tokens(F.floor(size / 1000)).alias("tokens"))

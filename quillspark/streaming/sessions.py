@@ -196,7 +196,21 @@ def admit(sessions: DataFrame, most: int, by: str | None = None) -> DataFrame:
 def load_counts(log: DataFrame, engine: str, model: str, ts: str, idle: str, order: str) -> DataFrame:
     """Loads and unloads of engines that serve one model at a time: a request loads if it is an engine's
     first, asks for another model, or comes at least ``idle`` after the one before."""
+    marked = _kinds(log, engine, model, ts, idle, order)
+    return marked.groupBy("kind").agg(F.count("*").alias("requests"))
+
+
+def _kinds(log: DataFrame, engine: str, model: str, ts: str, idle: str, order: str) -> DataFrame:
     w = Window.partitionBy(engine).orderBy(ts, order)
     before, late = F.lag(model).over(w), (F.col(ts) - F.lag(ts).over(w)) >= F.expr(f"INTERVAL {idle}")
-    marked = log.select(F.when(before.isNull(), "first").when(late, "idle").when(before != F.col(model), "switch").otherwise("warm").alias("kind"))
-    return marked.groupBy("kind").agg(F.count("*").alias("requests"))
+    return log.select(engine, F.when(before.isNull(), "first").when(late, "idle").when(before != F.col(model), "switch").otherwise("warm").alias("kind"))
+
+
+def lifecycle(log: DataFrame, engine: str, model: str, ts: str, idle: str, order: str) -> DataFrame:
+    """Of each engine: loads, unloads after idleness, unloads before another model, requests that found it loaded.
+
+    A switch unloads before it loads, so at no time two models are loaded; the last one is still loaded at the end.
+    """
+    kinds = _kinds(log, engine, model, ts, idle, order)
+    n = lambda *k: F.count_if(F.col("kind").isin(*k))
+    return kinds.groupBy(engine).agg(n("first", "idle", "switch").alias("loads"), n("idle").alias("idle_unloads"), n("switch").alias("switch_unloads"), n("warm").alias("warm"))
