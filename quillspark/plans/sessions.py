@@ -80,10 +80,21 @@ def st_segments(spark, d):
     return runs.groupBy("user_id", "k").agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"), F.count("*").alias("n")).drop("k")
 
 
-@register("st_open", sql_values("session_id, status", [("a", "open"), ("b", "open"), ("c", "rejected"), ("d", "open")]))
+@register("st_open", f"""
+    WITH RECURSIVE {ISLANDS},
+    i AS (SELECT user_id % 15 AS server, user_id || '-' || lpad(row_number() OVER (PARTITION BY user_id ORDER BY first_ts)::VARCHAR, 4, '0') AS session_id, first_ts, last_ts FROM sessions),
+    q AS (SELECT *, row_number() OVER (PARTITION BY server ORDER BY first_ts, session_id) AS k FROM i),
+    a AS (
+      SELECT server, 0::BIGINT AS k, NULL::VARCHAR AS session_id, NULL::TIMESTAMP AS x, NULL::TIMESTAMP AS y, true AS ok FROM (SELECT DISTINCT server FROM q)
+      UNION ALL
+      SELECT server, k, session_id, CASE WHEN x IS NULL THEN last_ts ELSE x END, CASE WHEN x IS NULL THEN y WHEN y IS NULL THEN last_ts ELSE y END, x IS NULL OR y IS NULL FROM (
+        SELECT q.server, q.k, q.session_id, q.last_ts, CASE WHEN a.x >= q.first_ts THEN a.x END AS x, CASE WHEN a.y >= q.first_ts THEN a.y END AS y FROM a JOIN q ON q.server = a.server AND q.k = a.k + 1))
+    SELECT session_id, CASE WHEN ok THEN 'open' ELSE 'rejected' END AS status FROM a WHERE k > 0""")
 def st_open(spark, d):
-    rows = spark.createDataFrame([("a", 0, 10), ("b", 1, 4), ("c", 2, 9), ("d", 5, 6)], "session_id string, first_ts long, last_ts long")
-    return s.admit(rows, 2)
+    """Sessions of fifteen servers with two places each, in order of arrival; a rejected one holds no place."""
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("first_ts"))
+    rows = _sessions(spark, d).select((F.col("user_id") % 15).alias("server"), F.concat("user_id", F.lit("-"), F.lpad(n.cast("string"), 4, "0")).alias("session_id"), "first_ts", "last_ts")
+    return s.admit(rows, 2, by="server")
 
 
 def _chunks(spark):

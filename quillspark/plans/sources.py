@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import json
-import struct
-import wave
 
 import numpy as np
 import pandas as pd
@@ -18,26 +15,6 @@ from .registry import register
 from .tables import sql_values, table
 
 
-def wav(samples: bytes, width: int = 2, channels: int = 1, rate: int = 16000) -> bytearray:
-    out = io.BytesIO()
-    with wave.open(out, "wb") as f:
-        f.setparams((channels, width, rate, 0, "NONE", ""))
-        f.writeframes(samples)
-    return bytearray(out.getvalue())
-
-
-def _wavs(spark):
-    half = struct.pack("<h", 16384)
-    rows = [
-        ("mono", wav(half * 8000)), ("stereo", wav(half * 8000, channels=2)), ("cd", wav(half * 44100, rate=44100)), ("8 bit", wav(b"\xc0" * 160, width=1)), ("24 bit", wav(b"\x00\x00\x40" * 160, width=3)),
-        ("32 bit", wav(b"\x00\x00\x00\x40" * 160, width=4)), ("empty", wav(b"")), ("junk", bytearray(b"no wav at all")),
-    ]
-    return spark.createDataFrame(rows, "name string, content binary")
-
-
-WAVS = [("mono", "ok", 8000, 0.5), ("stereo", "ok", 4000, 0.5), ("cd", "ok", 16000, 0.5), ("8 bit", "ok", 160, 0.5), ("24 bit", "ok", 160, 0.5), ("32 bit", "ok", 160, 0.5), ("empty", "invalid", None, None), ("junk", "unsupported", None, None)]
-
-
 def _little(n, width):
     """A number's bytes, low byte first, as hexadecimal digits."""
     digits = F.lpad(F.hex(n.cast("long")), 16, "0")
@@ -64,9 +41,9 @@ def src_wav_std(spark, d):
     return _recordings(spark, d).select("p_partkey", media.wav_frames("content").alias("r")).select("p_partkey", "r.status", "r.samples", F.round("r.peak", 6).alias("peak"))
 
 
-@register("src_wav_strict", sql_values("name, status", [(n, "unsupported" if n in ("empty", "junk") else s) for n, s, _, _ in WAVS]))
+@register("src_wav_strict", "SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'unsupported' ELSE 'ok' END AS status, CASE WHEN p_partkey % 11 <> 0 THEN p_size / 100.0 END::DOUBLE AS seconds FROM part")
 def src_wav_strict(spark, d):
-    return _wavs(spark).select("name", media.wav_frames("content", strict=True).alias("r")).select("name", "r.status")
+    return _recordings(spark, d).select("p_partkey", media.wav_frames("content", strict=True).alias("r")).select("p_partkey", "r.status", F.round("r.seconds", 6).alias("seconds"))
 
 
 @register("src_soundfile", sql_values("name, status", [("flac", "unsupported")]))
@@ -105,14 +82,18 @@ def aud_mixdown(spark, d):
     return lines.select("l_orderkey", F.posexplode(mixed_down(F.transform("x", lambda v: v["part"].cast("double")), 2)).alias("frame", "mean"))
 
 
-@register("aud_resample", sql_values("source, n, last", [(8000, 8, 3.0), (32000, 2, 3.0)]).replace("3.0)", "3.0::DOUBLE)"))
+@register("aud_resample", """
+    SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size * 2 ELSE round_even(p_size / 2.0, 0) END::BIGINT AS n, CASE WHEN p_partkey % 2 = 0 OR p_size > 2 THEN p_size - 1 END::DOUBLE AS last FROM part""")
 def aud_resample(spark, d):
+    """Ramps of p_size samples at 8 and 32 kHz; lengths are rounded half to even, and of more than one sample the last stays."""
+
     @F.pandas_udf("n long, last double")
-    def run(rate: pd.Series) -> pd.DataFrame:
-        out = [media.resample_linear(np.arange(4, dtype=np.float32), int(r)) for r in rate]
-        return pd.DataFrame({"n": [len(x) for x in out], "last": [float(x[-1]) for x in out]})
+    def run(rate: pd.Series, size: pd.Series) -> pd.DataFrame:
+        out = [media.resample_linear(np.arange(n, dtype=np.float32), int(r)) for r, n in zip(rate, size, strict=True)]
+        return pd.DataFrame({"n": [len(x) for x in out], "last": [float(x[-1]) if len(x) > 1 else None for x in out]})
 
-    return spark.createDataFrame([(8000,), (32000,)], "source int").select("source", run("source").alias("r")).select("source", "r.n", "r.last")
+    rate = F.when(F.col("p_partkey") % 2 == 0, 8000).otherwise(32000)
+    return table(spark, d, "part").select("p_partkey", run(rate, "p_size").alias("r")).select("p_partkey", "r.n", "r.last")
 
 
 def _forms(spark, d):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -196,12 +195,12 @@ def txt_printable(spark, d):
     return table(spark, d, "documents").select("doc_id", t.printable(F.col("text")).alias("token"))
 
 
-TAGS = [("a", ["cp310-cp310-linux", "cp310-abi3-linux", "cp311-abi3-any"], "cp310.cp311-cp310.abi3-linux.any"), ("b", ["py3-none-any"], "py3-none-any")]
-
-
-@register("txt_wheel_tag", sql_values("name, tag", [(a, c) for a, _, c in TAGS]))
+@register("txt_wheel_tag", """
+    SELECT p_partkey, 'cp310' || CASE WHEN p_partkey % 2 = 1 THEN '.cp311' ELSE '' END || CASE WHEN p_partkey % 3 = 2 THEN '.cp312' WHEN p_partkey % 3 = 1 AND p_partkey % 2 = 0 THEN '.cp311' ELSE '' END || '-cp310.abi3-linux.any' AS tag FROM part""")
 def txt_wheel_tag(spark, d):
-    return spark.createDataFrame([r[:2] for r in TAGS], "name string, tags array<string>").select("name", t.distinct_tags(F.col("tags")).alias("tag"))
+    k = F.col("p_partkey")
+    tags = F.array(F.lit("cp310-cp310-linux"), F.concat(F.lit("cp31"), k % 2, F.lit("-abi3-linux")), F.concat(F.lit("cp31"), k % 3, F.lit("-abi3-any")))
+    return table(spark, d, "part").select("p_partkey", t.distinct_tags(tags).alias("tag"))
 
 
 ALIASES = {"gpu": "cuda", "nvidia": "cuda", "cuda": "cuda", "amd": "rocm", "rocm": "rocm", "cpu": "cpu", "auto": "auto"}
