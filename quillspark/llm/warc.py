@@ -25,7 +25,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import by_size, materialize, open_store, shared_dir
 
