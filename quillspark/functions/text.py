@@ -47,6 +47,14 @@ def error_rate(edits: Column, characters: Column) -> Column:
     return F.try_divide(F.sum(edits).cast("double"), F.sum(characters))
 
 
+def word_edits(a: Column, b: Column) -> Column:
+    """Edits between two arrays of words: each different word as one character, up to 20,000 of them."""
+    known = F.array_distinct(F.concat(a, b))
+    letter = lambda w: F.decode(F.unhex(F.hex(F.array_position(known, w) + 0x4DFF)), "UTF-16BE")
+    spelled = lambda x: F.array_join(F.transform(x, letter), "")
+    return F.levenshtein(spelled(a), spelled(b))
+
+
 def ascii_fold(c: Column) -> Column:
     """Every character beyond ASCII as a question mark (for byte-counting edit distances)."""
     return F.regexp_replace(c, r"[^\x00-\x7f]", "?")

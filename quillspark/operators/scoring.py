@@ -94,6 +94,19 @@ def ratios(counts: DataFrame) -> DataFrame:
     return counts.select("*", *(F.try_divide(F.col(a).cast("double"), F.col(b)).alias(k) for k, (a, b) in RATIOS.items()))
 
 
+def manifest_problems(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """(page_id, problem) of a manifest (page_id, sha, annotation_sha, split, pilot, reviewed) against what is found (page_id, sha, annotation_sha)."""
+    repeats = manifest.groupBy("page_id").agg(F.count("*").alias("n")).filter("n > 1").select("page_id", F.lit("repeats").alias("problem"))
+    have = found.select("page_id", F.col("sha").alias("f_sha"), F.col("annotation_sha").alias("f_annotation"), F.lit(True).alias("here"))
+    rows = manifest.join(have, "page_id", "left")
+    rules = {
+        "no source": F.col("here").isNull(), "source changed": F.col("here") & ~F.col("sha").eqNullSafe(F.col("f_sha")), "annotation changed": F.col("here") & ~F.col("annotation_sha").eqNullSafe(F.col("f_annotation")),
+        "holdout in pilot": (F.col("split") == "holdout") & F.col("pilot"), "unreviewed": ~F.coalesce("reviewed", F.lit(False)),
+    }
+    broken = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items())))
+    return rows.select("page_id", F.explode(broken).alias("problem")).distinct().unionByName(repeats)
+
+
 def rising_pairs(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """Rows with ``rising``: whether the value is below that of the next row of its group; false where one is missing."""
     after = F.lead(value).over(Window.partitionBy(*by).orderBy(order))

@@ -418,3 +418,16 @@ def set_minus(spark, d):
     """Keys that one table has and the other hasn't, both ways."""
     lines, orders = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
     return scoring.minus(lines, orders).select(F.lit("unknown").alias("side"), "k").unionByName(scoring.minus(orders, lines).select(F.lit("unused").alias("side"), "k"))
+
+
+@register("guard_manifest", """
+    SELECT doc_id AS page_id, 'repeats' AS problem FROM documents WHERE doc_id % 100 = 1 UNION ALL SELECT doc_id, 'no source' FROM documents WHERE doc_id % 90 = 5
+    UNION ALL SELECT doc_id, 'source changed' FROM documents WHERE doc_id % 50 = 0 AND doc_id % 90 <> 5 UNION ALL SELECT doc_id, 'annotation changed' FROM documents WHERE doc_id % 60 = 0 AND doc_id % 90 <> 5
+    UNION ALL SELECT doc_id, 'holdout in pilot' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 10 = 0 UNION ALL SELECT doc_id, 'unreviewed' FROM documents WHERE doc_id % 7 = 0""")
+def guard_manifest(spark, d):
+    """A manifest of all documents with pages that repeat, are gone, were changed, are held out of the pilot, or unreviewed."""
+    docs, k = table(spark, d, "documents"), F.col("doc_id")
+    sha = lambda c, every: F.sha2(F.concat(F.coalesce(c, F.lit("")), F.when(k % every == 0, "x").otherwise("") if every else F.lit("")), 256)
+    rows = docs.select(k.alias("page_id"), sha("text", 0).alias("sha"), sha("lang", 0).alias("annotation_sha"), F.when(k % 3 == 0, "holdout").otherwise("dev").alias("split"), (k % 10 == 0).alias("pilot"), (k % 7 != 0).alias("reviewed"))
+    found = docs.filter(k % 90 != 5).select(k.alias("page_id"), sha("text", 50).alias("sha"), sha("lang", 60).alias("annotation_sha"))
+    return scoring.manifest_problems(rows.unionByName(rows.filter("page_id % 100 = 1")), found)

@@ -90,6 +90,14 @@ def txt_cer(spark, d):
     return rows.groupBy("part").agg(F.round(t.error_rate(F.col("e"), F.col("n")), 6).alias("cer"))
 
 
+@register("txt_wer")
+def txt_wer(spark, d):
+    """Word error rate of each passage against the next."""
+    a, b = F.split("text", r"\s+"), F.split("other", r"\s+")
+    rows = _passages(spark, d).select("item_id", t.word_edits(a, b).alias("edits"), F.size(a).alias("words"))
+    return rows.select("item_id", "edits", "words", F.round(F.try_divide(F.col("edits").cast("double"), "words"), 6).alias("wer"))
+
+
 @register("txt_absent_share", f"WITH {PASSAGES} SELECT item_id, round(len(list_filter(string_split(text, ''), lambda x: NOT contains(other, x)))::DOUBLE / length(text), 6) AS absent FROM p")
 def txt_absent_share(spark, d):
     return _passages(spark, d).select("item_id", F.round(t.absent_share(F.col("text"), F.col("other")), 6).alias("absent"))

@@ -3,6 +3,7 @@
 import glob
 import hashlib
 import os
+import re
 
 import duckdb
 import pytest
@@ -63,6 +64,13 @@ def test_distances_of_whole_passages(spark):
     assert {r.part: r.cer for r in registry.queries()["txt_cer"](spark, DATA).collect()} == pytest.approx(rates, abs=1e-6)
 
 
+def test_word_error_rates(spark):
+    texts = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    got = {r.item_id: (r.edits, r.words) for r in registry.queries()["txt_wer"](spark, DATA).collect()}
+    words = {i: re.split(r"\s+", x) for i, x in texts.items()}
+    assert got == {i: (edits(words[i], words[i + 1]), len(words[i])) for i in texts if i + 1 in texts}
+
+
 def test_inventory_of_the_tables(spark):
     want = sorted((os.path.basename(f), os.path.getsize(f), hashlib.sha256(open(f, "rb").read()).hexdigest()) for f in glob.glob(f"{DATA}/*.parquet"))
     assert sorted(map(tuple, registry.queries()["src_inventory"](spark, DATA).collect())) == want
