@@ -41,6 +41,7 @@ PRIOR = 0.01  # prior weight as a share of all counts
 NEAR = 0.05  # nats within which a score is rounded to that of the other words, which are not stored
 RARE = 2  # words of so many clean and no toxic documents are counted together, as they score near the other words
 FOLDS = 8
+HELD = 200_000  # words of documents that a task counts before it passes them on
 LOW, HIGH = -4.0, 12.0  # range of the evidence that the link sees
 THRESHOLD = 0.7
 TIE = 1e-9  # sums that differ by less count as equal, as rounding makes them differ
@@ -133,16 +134,27 @@ def _count(sample: DataFrame) -> tuple[pa.ChunkedArray, np.ndarray, np.ndarray,
 
     def run(batches):
         counts = [[Counter() for _ in range(FOLDS)] for _ in range(2)]
-        totals = np.zeros((2, FOLDS), np.int64)
+        totals, held = np.zeros((2, FOLDS), np.int64), 0
+
+        def out():
+            for f in range(FOLDS):
+                words = list(counts[0][f].keys() | counts[1][f].keys())
+                both = [[int(totals[k, f]), *(counts[k][f][w] for w in words)] for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(["", *words], pa.string()), pa.array([f] * (len(words) + 1), pa.int32()), *(pa.array(x, pa.int64()) for x in both)], names=["word", "fold", "clean", "toxic"])
+                counts[0][f].clear()
+                counts[1][f].clear()
+            totals[:] = 0
+
         for batch in by_size(batches, "text"):
             for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
                 found = set(words_of(text or ""))
                 counts[label][fold].update(found)
                 totals[label, fold] += len(found)
-        for f in range(FOLDS):
-            words = list(counts[0][f].keys() | counts[1][f].keys())
-            both = [[int(totals[k, f]), *(counts[k][f][w] for w in words)] for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(["", *words], pa.string()), pa.array([f] * (len(words) + 1), pa.int32()), *(pa.array(x, pa.int64()) for x in both)], names=["word", "fold", "clean", "toxic"])
+                held += len(found)
+            if held > HELD:
+                yield from out()
+                held = 0
+        yield from out()
 
     own = lambda c: [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).cast("int").alias(f"{c}{f}") for f in range(FOLDS)]
     all_of = lambda c: sum((F.col(f"{c}{f}") for f in range(1, FOLDS)), F.col(f"{c}0"))
@@ -171,8 +183,8 @@ def _differs(toxic: np.ndarray, clean: np.ndarray, times: np.ndarray, share: flo
     return q
 
 
-def _lexicon(words: pa.ChunkedArray, times: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> Scorer | None:
-    """The scorer of word counts (words x 2) and class totals."""
+def _lexicon(named: np.ndarray, times: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> tuple[Scorer, np.ndarray] | None:
+    """The scorer of word counts (words x 2) and class totals, without its words, and their scores (nan: as the other words)."""
     n0, n1 = totals.tolist()
     if not n0 or not n1:
         return None
@@ -183,10 +195,11 @@ def _lexicon(words: pa.ChunkedArray, times: np.ndarray, counts: np.ndarray, tota
     delta = np.log((toxic + prior) / (n1 + rest - toxic - prior)) - np.log((clean + prior) / (n0 + rest - clean - prior))
     q = _differs(toxic, clean, times, n1 / (n0 + n1))
     gap = min(-1e-3, math.log(max(n1 - (q * toxic * times).sum(), 1) / n1) - math.log(max(n0 - (q * clean * times).sum(), 1) / n0))
-    named = words.is_valid().to_numpy()[seen]
-    far = np.flatnonzero(named & (abs(q * (delta - gap)) > NEAR))
+    far = np.flatnonzero(named[seen] & (abs(q * (delta - gap)) > NEAR))
     s, p = (gap + q * (delta - gap))[far], ((clean + prior) / (n0 + rest))[far]
-    scorer = Scorer(dict(zip(words.take(pa.array(seen[far])).to_pylist(), s.tolist(), strict=True)), gap)
+    scores = np.full(len(named), np.nan)
+    scores[seen[far]] = s
+    scorer = Scorer({}, gap)
     if len(far):
         f = lambda x: float((p * np.exp(x * s)).sum() + (1 - p.sum()) * math.exp(x * gap) - 1)
         low, high = 1e-3, 4.0
@@ -194,25 +207,31 @@ def _lexicon(words: pa.ChunkedArray, times: np.ndarray, counts: np.ndarray, tota
             mid = (low + high) / 2
             low, high = (mid, high) if f(mid) < 0 else (low, mid)
         scorer.lam = low
-    return scorer
+    return scorer, scores
 
 
-def _statistics(sample: DataFrame, by_fold: list[Scorer]) -> list:
-    """Of each sampled document, by the scorer counted without its fold: label, fold, words, scores of segments."""
-    sent = sample.sparkSession.sparkContext.broadcast(by_fold)
+def _statistics(sample: DataFrame, words: pa.Array, by_fold: list[tuple[Scorer, np.ndarray]]) -> list:
+    """Of each sampled document, by the scores counted without its fold: label, fold, words, scores of segments."""
+    table = np.stack([scores for _, scores in by_fold])
+    kept = np.flatnonzero(~np.isnan(table).all(axis=0))
+    sent = sample.sparkSession.sparkContext.broadcast((words.take(pa.array(kept)), [x.gap for x, _ in by_fold], table[:, kept]))
 
     def run(batches):
-        scorers = sent.value
+        words, gaps, scores = sent.value
+        row = {w: i for i, w in enumerate(words.to_pylist())}  # the folds share the words
         for batch in by_size(batches, "text"):
             rows = []
             for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
-                n, found = scorers[fold].find(text or "")
-                rows.append((label, fold, n, [s for s, _, _ in found]))
+                tokens, own = words_of(text or ""), scores[fold]
+                hits = [(i, x) for i, t in enumerate(tokens) if (j := row.get(t)) is not None and (x := float(own[j])) == x]
+                rows.append((label, fold, len(tokens), [s for s, _, _ in segments(hits, gaps[fold])]))
             cols = zip(*rows, strict=True) if rows else ([], [], [], [])
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["label", "fold", "n", "found"])
 
-    return sample.select("text", "toxic", "fold").mapInArrow(run, "label int, fold int, n long, found array<double>").collect()
+    found = sample.select("text", "toxic", "fold").mapInArrow(run, "label int, fold int, n long, found array<double>").collect()
+    sent.destroy()
+    return found
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> tuple[float, float]:
@@ -247,11 +266,16 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Scorer:
     chosen = usable.filter(uniform("doc_id") < chance)  # about 2 * bound rows at most
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "toxicity-sample")
     words, times, by_word, totals = _count(sample)
-    final = _lexicon(words, times, by_word.sum(axis=2), totals.sum(axis=1))
-    if final is None:
+    named = words.is_valid().to_numpy()
+    whole = _lexicon(named, times, by_word.sum(axis=2), totals.sum(axis=1))
+    if whole is None:
         return Scorer()
-    by_fold = [_lexicon(words, times, by_word.sum(axis=2) - by_word[:, :, f], totals.sum(axis=1) - totals[:, f]) or final for f in range(FOLDS)]
-    rows = _statistics(sample, by_fold)
+    final, scores = whole
+    folds = [_lexicon(named, times, by_word.sum(axis=2) - by_word[:, :, f], totals.sum(axis=1) - totals[:, f]) or whole for f in range(FOLDS)]
+    by_fold = [Scorer({}, x.gap, x.lam) for x, _ in folds]
+    rows = _statistics(sample, words.combine_chunks(), folds)
+    kept = np.flatnonzero(~np.isnan(scores))
+    final.words = dict(zip(words.take(pa.array(kept)).to_pylist(), scores[kept].tolist(), strict=True))
     clean = [by_fold[r.fold].lam * max([0.0, *r.found]) - math.log(max(r.n, 1)) for r in rows if r.label == 0]
     log_k = float(np.clip(np.mean(clean) - 0.5772156649, -12, 0)) if clean else 0.0
     stats, y = [], []
