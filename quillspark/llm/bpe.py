@@ -26,7 +26,6 @@ from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -36,7 +35,7 @@ from .shared import by_size, without
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-PIECE = 1 << 18  # code points worked on at once
+PIECE = 1 << 17  # code points worked on at once
 MEMO, WIDTH = 1 << 20, 6  # pre-tokens whose merges a worker remembers, by fingerprint; ids of each at most
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -124,9 +123,7 @@ def equal_runs(x: np.ndarray, at: np.ndarray, y: np.ndarray, begin: np.ndarray,
 
 def same_texts(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Group of every slice, equal texts alone sharing one, and the first slice of each group."""
-    group, uniq = pd.factorize(keys)
-    first = np.full(len(uniq), -1)
-    first[group[::-1]] = np.arange(len(group))[::-1]
+    _, first, group = np.unique(keys, return_index=True, return_inverse=True)
     size, rep = ends - starts, first[group]
     odd = size[rep] != size
     rest = np.flatnonzero(~odd)
@@ -438,7 +435,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "input_ids",
 
     def run(batches):
         encoder = sent.value
-        for batch in by_size(batches, text, 4 << 20):
+        for batch in by_size(batches, text, 2 << 20):
             found = list(encoder.encode_batch([x or "" for x in batch.column(text).to_pylist()]))
             sizes = np.array([len(x) for x in found], np.int64)
             flat = pa.array(np.concatenate(found).astype(np.int32)) if found else pa.array([], pa.int32())
@@ -454,7 +451,7 @@ def round_trip_digests(df: DataFrame, path: str, key: str = "doc_id", text: str
 
     def run(batches):
         encoder = sent.value
-        for batch in by_size(batches, text):
+        for batch in by_size(batches, text, 2 << 20):
             texts = [x or "" for x in batch.column(text).to_pylist()]
             rows = [(len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(encoder.decode(x)).hexdigest()) for x in encoder.encode_batch(texts)]
             sizes, of_ids, of_bytes = zip(*rows, strict=True) if rows else ((), (), ())
