@@ -126,13 +126,14 @@ def solve(bits: np.ndarray, langs: list[str]) -> Model:
     y = np.array([names.index(x) for x in langs])
     order = [np.flatnonzero(y == k) for k in range(len(names))]
     marks = [int(own[i]) for i in range(max(map(len, order))) for own in order if i < len(own)][: max(LANDMARKS, 8 * len(names))]
-    x = bits.astype(np.float64)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    z = x[marks]
-    values, vectors = np.linalg.eigh(z @ z.T)
+    size = np.sqrt(np.maximum(bits.sum(axis=1, dtype=np.int64), 1))
+    z = (bits[marks] / size[marks][:, None]).astype(np.float32)
+    # a few rows at a time, as bitmaps are wide
+    kernel = np.vstack([bits[a : a + 128].astype(np.float32) @ z.T for a in range(0, len(bits), 128)]).astype(np.float64) / size[:, None]
+    values, vectors = np.linalg.eigh((kernel[marks] + kernel[marks].T) / 2)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    features = x @ z.T @ root
+    features = kernel @ root
     features = np.hstack((features, np.ones((len(features), 1))))
     share = np.bincount(y, minlength=len(names))
     w = (1 / share)[y] * len(y) / len(names)  # languages weigh the same
@@ -141,7 +142,7 @@ def solve(bits: np.ndarray, langs: list[str]) -> Model:
     penalty[-1, -1] = 1e-9
     beta = np.linalg.solve(features.T @ (features * w[:, None]) / 1 + penalty * 1e-2, features.T @ (target * w[:, None]))
     weights = np.vstack((root @ beta[:-1], beta[-1:]))
-    return Model(names, np.ascontiguousarray(z.T).astype(np.float32), weights.astype(np.float32))
+    return Model(names, np.ascontiguousarray(z.T), weights.astype(np.float32))
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
