@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -229,9 +230,14 @@ def test_stream_equals_batch(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     out = sessions.segment_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
     q = out.writeStream.format("memory").queryName("segments").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    want = sessions.segment_batch(rows).collect()
+    for _ in range(120):  # a query with timers of processing time doesn't end by itself
+        if spark.table("segments").count() >= len(want) or not q.isActive:
+            break
+        time.sleep(1)
+    q.stop()
     key = lambda r: (r.session_id, r.seq)
-    assert sorted(spark.table("segments").collect(), key=key) == sorted(sessions.segment_batch(rows).collect(), key=key)
+    assert sorted(spark.table("segments").collect(), key=key) == sorted(want, key=key)
 
 
 def test_hotwords(spark):
