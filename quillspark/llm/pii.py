@@ -298,7 +298,13 @@ def spellings(found: DataFrame, text: str, spans: str) -> DataFrame:
     return rows.select(F.col("x.type").alias("kind"), F.substring(text, F.col("x.first") + 1, F.col("x.end") - F.col("x.first")).alias("entity")).distinct()
 
 
-def choose_key(known: DataFrame, key: bytes = KEY) -> int:
+def choose_key(docs: DataFrame, key: bytes = KEY, text: str = "text") -> int:
+    """The key version that the texts of ``docs`` are rewritten under."""
+    places = fresh(docs, "places")
+    return key_for(materialize(spellings(detect(docs, text, places), text, places), "pii-spellings"), key)
+
+
+def key_for(known: DataFrame, key: bytes = KEY) -> int:
     """The first key version under which no two entities (kind, entity) share a replacement, none has several, and none stays."""
     for version in range(VERSIONS):
 
@@ -323,7 +329,7 @@ def replace_entities(docs: DataFrame, key: bytes = KEY, text: str = "text", span
     places = fresh(docs, "places")
     found = materialize(detect(docs, text, places), "pii-found")
     known = materialize(spellings(found, text, places), "pii-spellings")
-    version = choose_key(known, key)
+    version = key_for(known, key)
     discard(known)
     schema = T.StructType([*docs.schema.fields, *([T.StructField(spans, T._parse_datatype_string(SPANS))] if spans else [])])
     names = docs.columns
