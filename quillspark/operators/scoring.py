@@ -60,7 +60,9 @@ def counters(gold: DataFrame, actual: DataFrame, provisional: bool = False) -> D
     key = F.coalesce("key_number", F.lit(False))
     tokens = F.coalesce("numbers", F.array().cast("array<string>"))
     quoted = lambda t: F.concat(F.lit(r"(?<![\d.,])\Q"), normalize(t), F.lit(r"\E(?![\d.,%])"))
-    whole = F.size(F.filter(tokens, lambda t: F.regexp_like(have, quoted(t))))
+    # patterns that differ by row are compiled for each, so only texts that hold more than the number come to that
+    holds = lambda t: F.when(have == normalize(t), True).when(~F.contains(have, normalize(t)), False).otherwise(F.regexp_like(have, quoted(t)))
+    whole = F.size(F.filter(tokens, holds))
     order = Window.partitionBy("page_id").orderBy("pos")
     rows = rows.withColumns({
         "want": want, "have": have, "next_ord": F.lead("a_ord").over(order), "has_next": F.lead(F.lit(True)).over(order).isNotNull(),
