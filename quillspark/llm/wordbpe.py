@@ -6,8 +6,9 @@ first) and their ids are put one after the other, which gives the ids of the unc
 last fragment carries the end-of-word mark.
 
 Texts are first taken apart at blanks, tabs and line ends, which the vocabulary's own splitting always drops and
-over which its normalisation never reaches; each different part is normalised and split once and
-remembered by the worker in a table of bounded size.  Special tokens inside a text are found in the raw
+over which its normalisation never reaches; each different part is encoded once and remembered by the worker
+in two tables of bounded size, the older of which goes when the newer is full.  Parts of Latin-1 are split
+by a pattern that equals the vocabulary's for them and merged together, fragment beside fragment, in numpy.  Special tokens inside a text are found in the raw
 text, as the tokenizers library finds them.
 
 Rows: a null text counts as empty (no ids, the empty text); repeated rows give repeated results; an empty
@@ -29,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from .merges import BLANKS, LATIN, LETTERS, NUMBERS, Pairs, latin_words
 from .shared import by_size, strings, without
 
 SLICE = 1 << 20  # characters of a text worked on at once
-KNOWN = 300_000  # parts of texts, and fragments, that a worker remembers
+KNOWN = 300_000  # parts of texts that a worker remembers, and as many of those before
 SHORT = 64  # characters of the longest remembered part
+WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+|\n")
 
 
 def byte_characters() -> list[str]:
@@ -43,6 +46,14 @@ def byte_characters() -> list[str]:
     return [chr(hidden.get(b, b)) for b in range(256)]
 
 
+#: The normalisation and splitting that WORD stands for: canonical composition, lower case, words of these kinds. Fixed value.
+PLAIN = json.dumps([
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}])
+
+
 def slices(text: str, size: int = SLICE) -> Iterator[str]:
     """The text in slices of ``size`` characters or more that end before a blank; the blank between two is left out."""
     a = 0
@@ -77,7 +88,10 @@ class WordBpe:
         self.rank, self.made = {}, []
         for r, (a, b) in enumerate(model["merges"]):
             self.rank[vocabulary[a] << 32 | vocabulary[b]] = r
-            self.made.append(vocabulary[a + b if not mark else a.removesuffix(mark) + b])
+            self.made.append(vocabulary[a.removesuffix(mark) + b if mark else a + b])
+        self.pairs = Pairs([k >> 32 for k in self.rank], [k & 0xFFFFFFFF for k in self.rank], list(self.rank.values()), self.made)
+        # whether the vocabulary normalises and splits as WORD does after lower-casing, for texts of Latin-1
+        self.plain = json.dumps([data["normalizer"], data["pre_tokenizer"]]) == PLAIN
         self.cut = np.ones((256, 256), bool)
         for t in vocabulary:
             own = [byte_of[c] for c in (t.removesuffix(mark) if mark else t)]
@@ -87,10 +101,10 @@ class WordBpe:
 
     def _start(self) -> None:
         self.parts: dict[str, bytes] = {"": b""}
-        self.fragments: dict[tuple[bytes, bool], list[int]] = {}
+        self.before: dict[str, bytes] = {}  # parts of the table that was full
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("parts", "fragments", "library", "raw")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("parts", "before", "library", "raw")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -138,47 +152,77 @@ class WordBpe:
                 out += [w.translate(self.to_bytes).encode("latin-1") for w, _ in found]
         return out
 
+    def _slow(self, part: str) -> bytes:
+        """Ids of a part of any kind: normalised and split by the library, fragments merged one by one."""
+        ids: list[int] = []
+        for w in self.words(part):
+            if isinstance(w, int):
+                ids.append(w)
+                continue
+            raw = np.frombuffer(w, np.uint8)
+            cuts = [0, *(np.flatnonzero(self.cut[raw[:-1], raw[1:]]) + 1).tolist(), len(w)]
+            for a, b in zip(cuts, cuts[1:]):
+                ids += self.merge(w[a:b], b == len(w))
+        return np.array(ids, "<u4").tobytes()
+
     def learn(self, new: list[str]) -> None:
-        """Encodes parts that are not known yet, all their words at once."""
-        found = [self.words(x) for x in new]
-        words = [w for own in found for w in own if isinstance(w, bytes)]
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-        begins = np.ones(len(raw), bool)
-        begins[1:] = self.cut[raw[:-1], raw[1:]]
-        begins[ends[:-1]] = True
-        starts = np.flatnonzero(begins)
-        stops = np.append(starts[1:], len(raw)) if len(raw) else starts
-        last = np.isin(stops, ends)
-        whole, fragments = raw.tobytes(), iter(zip(starts.tolist(), stops.tolist(), last.tolist(), strict=True))
-        for part, own in zip(new, found, strict=True):
-            ids: list[int] = []
-            for w in own:
-                if isinstance(w, int):
-                    ids.append(w)
-                    continue
-                for a, b, end in fragments:
-                    key = whole[a:b], end
-                    if key not in self.fragments:
-                        self.fragments[key] = self.merge(*key)
-                    ids += self.fragments[key]
-                    if end:
-                        break
-            self.parts[part] = np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> Iterator[bytes]:
-        """Ids of a text, slice by slice, as little-endian unsigned 32-bit integers."""
-        for own in slices(text):
-            parts = own.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            new = sorted(set(parts).difference(self.parts))
-            if new:
-                self.learn(new)
-            yield b"".join(map(self.parts.__getitem__, parts))
-            for x in new:
-                if len(x) > SHORT:
-                    del self.parts[x]
-            if len(self.parts) > KNOWN or len(self.fragments) > KNOWN:
-                self._start()
+        """Encodes parts that are not known yet: short ones of Latin-1 all at once, the others one by one."""
+        whole = "\n".join(new)
+        special = [t for t in self.special if t in whole]
+        quick = [x for x in new if len(x) <= SHORT and LATIN.fullmatch(x) and not any(t in x for t in special)] if self.plain else []
+        raw, sizes, part = latin_words("\n".join([*quick, ""]).lower(), WORD)
+        if len(raw):
+            last = np.cumsum(sizes) - 1
+            begins = np.ones(len(raw), bool)
+            begins[1:] = self.cut[raw[:-1], raw[1:]]
+            begins[last[:-1] + 1] = True
+            symbols = np.array(self.inner)[raw]
+            symbols[last] = np.array(self.final)[raw[last]]
+            starts = np.flatnonzero(begins)
+            ids, counts = self.pairs.merge(symbols, np.diff(starts, append=len(raw)))
+            owner = np.repeat(part, sizes)[starts]
+            ends = (4 * np.cumsum(np.bincount(owner, counts, minlength=len(quick)).astype(np.int64))).tolist()
+            flat = ids.astype("<u4").tobytes()
+            self.parts.update((x, flat[a:b]) for x, a, b in zip(quick, [0, *ends], ends, strict=False))
+        else:
+            self.parts.update((x, b"") for x in quick)
+        for x in set(new).difference(quick):
+            self.parts[x] = self._slow(x)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[int, bytes]]:
+        """Number of a text and ids of a slice of it, in order, as little-endian unsigned 32-bit integers; parts that are new are learned together."""
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for own in slices(text):
+                held.append((k, own.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+                size += len(own)
+                if size >= SLICE:
+                    yield from self._slices(held)
+                    held, size = [], 0
+        yield from self._slices(held)
+
+    def _slices(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes]]:
+        new = set().union(*(own for _, own in held)).difference(self.parts)
+        again = new.intersection(self.before)
+        self.parts.update((x, self.before[x]) for x in again)
+        new -= again
+        if new:
+            self.learn(sorted(new))
+        for k, own in held:
+            yield k, b"".join(map(self.parts.__getitem__, own))
+        for x in new:
+            if len(x) > SHORT:
+                del self.parts[x]
+        if len(self.parts) > KNOWN:
+            self.before, self.parts = self.parts, {"": b""}
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        found: list[list[bytes]] = [[] for _ in texts]
+        for k, x in self.encode(texts):
+            found[k].append(x)
+        return [np.frombuffer(b"".join(x), "<i4") for x in found]
 
     def decode(self, ids: bytes) -> str:
         """The tokens of the ids, a blank between each two, as a vocabulary without a decoder has it."""
@@ -193,7 +237,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "input_ids",
 
     def run(batches):
         for batch in by_size(batches, text, 2 << 20):
-            found = [np.frombuffer(b"".join(sent.value.encode(x)), "<i4") for x in strings(batch.column(text))]
+            found = sent.value.ids(strings(batch.column(text)))
             sizes = np.array([len(x) for x in found], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate([np.empty(0, "<i4"), *found])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes), lists], names=[f.name for f in schema])
@@ -219,18 +263,19 @@ def round_trip_digests(df: DataFrame, path: str, key: str = "doc_id", text: str
     """Encodes every text, decodes its ids again, and returns the digests of both (null: empty text)."""
     sent = df.sparkSession.sparkContext.broadcast(WordBpe(path))
 
-    def digests(bpe: WordBpe, x: str) -> tuple[int, str, str]:
-        n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
-        for ids in bpe.encode(x):
+    def digests(bpe: WordBpe, texts: list[str]) -> list[tuple[int, str, str]]:
+        out = [[0, hashlib.sha256(), hashlib.sha256()] for _ in texts]
+        for k, ids in bpe.encode(texts):
             if ids:
-                of_text.update(f"{' ' if n else ''}{bpe.decode(ids)}".encode())
-                of_ids.update(ids)
-                n += len(ids) // 4
-        return n, of_ids.hexdigest(), of_text.hexdigest()
+                own = out[k]
+                own[1].update(ids)
+                own[2].update(f"{' ' if own[0] else ''}{bpe.decode(ids)}".encode())
+                own[0] += len(ids) // 4
+        return [(n, a.hexdigest(), b.hexdigest()) for n, a, b in out]
 
     def run(batches):
-        for batch in by_size(batches, text, 2 << 20):
-            rows = [digests(sent.value, x) for x in strings(batch.column(text))]
+        for batch in by_size(batches, text, 4 << 20):
+            rows = digests(sent.value, strings(batch.column(text)))
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(key), *columns], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
