@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import in_blocks
+
 #: Constant of reciprocal rank fusion; the specification leaves it open.
 FUSION = 60
 TOP, MOST = 8, 20
@@ -53,15 +55,7 @@ def cosine_ranks(queries: DataFrame, vectors: DataFrame, top: int = DEPTH) -> Da
 
         return rows.mapInPandas(run, "query_id long, id long, score double")
 
-    found, held = None, []
-    for r in queries.filter("embedding is not null").select("vec_id", "embedding").toLocalIterator():
-        held.append((r.vec_id, r.embedding))
-        if len(held) == BLOCK:
-            found, held = (compare(held) if found is None else found.unionByName(compare(held))), []
-    if held:
-        found = compare(held) if found is None else found.unionByName(compare(held))
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, id long, score double")
+    found = in_blocks(spark, queries.filter("embedding is not null").select("vec_id", "embedding"), BLOCK, compare, "query_id long, id long, score double")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= top)
 
 
@@ -71,14 +65,6 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(size > 0, size, 1)
 
 
-def term_ranks(queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """Ranks by number of shared different terms: inputs (query_id, terms) and (id, terms)."""
-    q = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    t = texts.select("id", F.explode(F.array_distinct("terms")).alias("term"))
-    shared = q.join(t, "term").groupBy("query_id", "id").agg(F.count("*").alias("score"))
-    return shared.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
-
-
 def fuse(lists: Sequence[DataFrame], top: int = TOP) -> DataFrame:
     """Reciprocal rank fusion of lists (query_id, id, rank): the ``top`` best of each query (MOST at most)."""
     every = lists[0].select("query_id", "id", "rank")

@@ -162,7 +162,7 @@ def st_endpoint(spark, d):
     SELECT user_id::VARCHAR AS session_id, count(*) FILTER (chunk)::BIGINT AS chunks, count(*) FILTER (final)::BIGINT AS finals, sum(chars)::BIGINT AS chars FROM f GROUP BY 1""")
 def st_serial(spark, d):
     """What sessions come to, whatever order their rows arrive in: each is worked through in its own order."""
-    mixed = _audio(spark, d).orderBy(F.xxhash64("session_id", "seq"))
+    mixed = _audio(spark, d).repartition(F.xxhash64("session_id", "seq"))
     out = s.segment_batch(mixed, SHORT_RULES)
     return out.groupBy("session_id").agg(F.count_if(F.col("status") == "ok").alias("chunks"), F.sum(F.size("finals")).cast("long").alias("finals"), F.sum(F.coalesce(F.length(F.get("finals", F.lit(0))["text"]), F.lit(0))).alias("chars"))
 
@@ -216,16 +216,6 @@ def st_job(spark, d):
     return table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(state.alias("state"))
 
 
-@register("document_read", """
-    WITH c AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations)
-    SELECT conv_id, turn, ((upto - n) // 1000)::BIGINT AS page FROM c""")
-def document_read(spark, d):
-    """From the design specification: cursor pages of about 1,000 characters."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    n = F.length("text")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.floor((F.sum(n).over(w) - n) / 1000).alias("page"))
-
-
 @register("library_index", "SELECT min(doc_id) AS doc_id, sha256(text) AS digest FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0) GROUP BY text")
 def library_index(spark, d):
     """From the design specification: what an incremental index adds, by content digest."""

@@ -261,17 +261,6 @@ def txt_bigram(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.size(terms).alias("n"), F.sha2(F.array_join(terms, "|"), 256).alias("digest"))
 
 
-@register("txt_chunk", """
-    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
-    s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), 224)) AS a FROM w)
-    SELECT doc_id, (a // 224)::INT AS chunk, len(list_slice(w, a + 1, a + 256))::INT AS n, sha256(array_to_string(list_slice(w, a + 1, a + 256), ' ')) AS digest FROM s""")
-def txt_chunk(spark, d):
-    words = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w"))
-    at = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 1, F.lit(0)), F.lit(224))).alias("a"))
-    own = F.slice("w", F.col("a") + 1, F.lit(256))
-    return at.select("doc_id", F.floor(F.col("a") / 224).cast("int").alias("chunk"), F.size(own).alias("n"), F.sha2(F.array_join(own, " "), 256).alias("digest"))
-
-
 @register("txt_specs_cli", """
     WITH s AS (SELECT n_regionkey, 'c' || n_regionkey AS component, CASE WHEN n_nationkey % 3 = 0 THEN 'streaming' ELSE 'offline' END AS kind, n_name FROM nation)
     SELECT component, kind, string_agg(n_name, '|' ORDER BY n_name) AS models FROM s GROUP BY 1, 2""")

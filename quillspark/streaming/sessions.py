@@ -5,6 +5,7 @@ Two clocks are kept apart: segments are timed by a session's own samples, idlene
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.ordered import by_key, in_order
+
 RATE = 16000
 FRAME = RATE // 100
 
@@ -106,17 +109,17 @@ NAMES = ["session_id", "seq", "status", "partial", "finals"]
 
 
 def segment_batch(rows: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """Replays rows (session_id, seq, control, pcm16) of each session in order of seq."""
+    """Replays rows (session_id, seq, control, pcm16) of each session in order of seq.
+
+    Rows are streamed in that order and only the segmenter's six numbers are kept from one to the next.
+    """
     own = rules or Rules()
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for r in frame.sort_values("seq").itertuples():
-            state, *rest = _step(state, r.control, r.pcm16, own)
-            out.append(_row(r.session_id, r.seq, *rest))
-        return pd.DataFrame(out, columns=NAMES)
+    def step(state: Segmenter | None, r) -> tuple[Segmenter | None, tuple]:
+        state, *rest = _step(state, r.control, r.pcm16, own)
+        return state, _row(r.session_id, r.seq, *rest)
 
-    return rows.groupBy("session_id").applyInPandas(run, OUT)
+    return in_order(rows.select("session_id", "seq", "control", "pcm16"), ["session_id"], ["seq"], by_key(lambda: None, step, NAMES, "session_id"), OUT)
 
 
 class SessionProcessor(StatefulProcessor):
@@ -174,23 +177,20 @@ def idle_sessions(events: DataFrame, key: str, ts: str, gap: str, order: str) ->
 def admit(sessions: DataFrame, most: int, by: str | None = None) -> DataFrame:
     """Which sessions (session_id, first_ts, last_ts) get one of ``most`` places, in order of arrival.
 
-    A rejected session never holds a place, so this is sequential by nature: one group, small inputs
-    (the log of one server).  A log of many servers has its own groups: the column ``by``.
+    A rejected session never holds a place, so a server's log is worked through in sequence; logs of several
+    servers go side by side (the column ``by``).  Only the ends of the ``most`` open sessions are kept.
     """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        busy: list = []
-        out = []
-        for r in frame.sort_values(["first_ts", "session_id"]).itertuples():
-            busy = [t for t in busy if t >= r.first_ts]
-            if len(busy) < most:
-                busy.append(r.last_ts)
-                out.append((r.session_id, "open"))
-            else:
-                out.append((r.session_id, "rejected"))
-        return pd.DataFrame(out, columns=["session_id", "status"])
+    def step(busy: list, r) -> tuple[list, tuple]:
+        while busy and busy[0] < r.first_ts:
+            heapq.heappop(busy)
+        if len(busy) == most:
+            return busy, (r.session_id, "rejected")
+        heapq.heappush(busy, r.last_ts)
+        return busy, (r.session_id, "open")
 
-    return sessions.withColumn("_of", F.col(by) if by else F.lit(0)).groupBy("_of").applyInPandas(run, "session_id string, status string")
+    rows = sessions.select((F.col(by) if by else F.lit(0)).alias("server"), "session_id", "first_ts", "last_ts")
+    return in_order(rows, ["server"], ["first_ts", "session_id"], by_key(list, step, ["session_id", "status"], "server"), "session_id string, status string")
 
 
 def load_counts(log: DataFrame, engine: str, model: str, ts: str, idle: str, order: str) -> DataFrame:

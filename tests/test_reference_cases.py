@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as t
 from quillspark.operators import scoring, transform
-from quillspark.operators.spans import ENGINE, GOLD, Finder, _offer, assign, best_span, near_spans, normalize
+from quillspark.operators.spans import ENGINE, GOLD, Block, Finder, assign, best_span, near_spans, normalize
 from quillspark.sources import documents, media, tabular
 from quillspark.streaming import sessions
 
@@ -69,6 +69,13 @@ def pages(spark, given):
     return out
 
 
+def offered(want, have, whole, claims):
+    block = Block(have)
+    for a, b in claims:
+        block.claim(a, b)
+    return block.offer(want, whole)
+
+
 def plainly(golds, blocks):
     """Gold id -> (block, start, end) by the plain rule: the best offer of a page time and again, priced anew if its span is gone."""
     claims, offers, done = {i: [] for i in range(len(blocks))}, {}, {}
@@ -83,7 +90,7 @@ def plainly(golds, blocks):
         (y, place, spot), want = blocks[i], normalize(x)
         have, whole = normalize(y), cell is not None and spot is None
         if want:
-            found = have and not (whole and abs(len(have) - len(want)) > 0.5 * len(want)) and _offer(want, have, whole, claims[i])
+            found = have and not (whole and abs(len(have) - len(want)) > 0.5 * len(want)) and offered(want, have, whole, claims[i])
         else:
             found = not have and not claims[i] and cell is not None and cell == spot and (0, 0, 0)
         return found and (len(want) < 4, found[0] / max(1, len(want)), inside(box, place) < 0.5, i, found[1], k, found[2])
