@@ -310,15 +310,45 @@ def src_synth_text(spark, d):
     return spark.range(60).select("id", F.concat_ws(" ", pick(("revenue", "cost", "margin"), "a"), pick(("rose", "fell"), "b"), F.lit("to"), money).alias("sentence"))
 
 
-@register("src_tabular", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
+ORDERS = """
+    o AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'not a price' WHEN o_orderkey % 2 = 0 THEN format('{:,.2f}', o_totalprice::DOUBLE) ELSE printf('%.2f', o_totalprice::DOUBLE) END AS price, o_orderkey % 7 = 0 AS bad, o_orderkey % 11 = 0 AS failed FROM orders)"""
+
+
+def _orders_csv(spark, d) -> str:
+    """All orders as CSV files: every second price with group commas, every eleventh none, every seventh row with a field too many."""
+    k, path = F.col("o_orderkey"), shared_dir(spark, "orders")
+    price = F.when(k % 11 == 0, "not a price").when(k % 2 == 0, F.concat(F.lit('"'), F.format_number(F.col("o_totalprice").cast("double"), 2), F.lit('"'))).otherwise(F.format_string("%.2f", F.col("o_totalprice").cast("double")))
+    line = F.concat_ws(",", k, price, F.lpad((k % 1000).cast("string"), 6, "0"), F.when(k % 5 == 0, "").otherwise("2024-01-31"), F.when(k % 7 == 0, "extra,field"))
+    rows = table(spark, d, "orders").select(line.alias("value"))
+    rows.write.text(f"{path}/rows")
+    # a header stands at the head of every file
+    files = spark.read.text(f"{path}/rows").withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
+    heads = files.select("part").distinct().select("part", F.lit(-1).cast("long").alias("at"), F.lit("key,price,code,day").alias("value"))
+    files.select("part", "at", "value").unionByName(heads).repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(f"{path}/files")
+    return f"{path}/files/*"
+
+
+@register("src_tabular", f"""
+    WITH {ORDERS}, g AS (SELECT *, NOT bad AS good FROM o)
+    SELECT 'key' AS name, 'bigint' AS type, count(*)::BIGINT AS rows, count(*)::BIGINT AS "values", 0::BIGINT AS without, 0::BIGINT AS failed, '' AS warnings FROM g WHERE good
+    UNION ALL SELECT 'price', 'decimal(12,2)', count(*), count(*), 0, count(*) FILTER (failed), 'thousands separators; values of several kinds' FROM g WHERE good
+    UNION ALL SELECT 'code', 'string', count(*), count(*), 0, 0, 'leading zeros' FROM g WHERE good
+    UNION ALL SELECT 'day', 'date', count(*), count(*) FILTER (k % 5 <> 0), count(*) FILTER (k % 5 = 0), 0, '' FROM g WHERE good""")
 def src_tabular(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    """From the design specification: the import report of all orders, with the price's type given and the others inferred."""
+    _, report = tabular.import_csv(spark, _orders_csv(spark, d), {"price": "decimal(12,2)", "key": "bigint"})
+    return report.withColumn("warnings", F.array_join("warnings", "; "))
 
 
-@register("src_preview", "SELECT count(*)::BIGINT AS rows, count(*) FILTER (TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'x' ELSE event_id::VARCHAR END AS INT) IS NULL)::BIGINT AS bad_rows FROM events")
+@register("src_preview", f"""
+    WITH {ORDERS} SELECT count(*)::BIGINT AS rows, count(*) FILTER (bad)::BIGINT AS bad_rows, count(*) FILTER (failed AND NOT bad)::BIGINT AS failed_rows,
+      sum(CASE WHEN NOT bad AND NOT failed THEN replace(price, ',', '')::DECIMAL(12,2) END)::DECIMAL(22,2) AS total, 0::BIGINT AS repeats FROM o""")
 def src_preview(spark, d):
-    raw = F.when(F.col("event_id") % 7 == 0, "x").otherwise(F.col("event_id").cast("string"))
-    return table(spark, d, "events").agg(F.count("*").alias("rows"), F.count_if(raw.try_cast("int").isNull()).alias("bad_rows"))
+    """From the design specification: counts of all rows, the sum of what could be read, and row numbers that repeat in a file or leave a gap."""
+    rows, _ = tabular.import_csv(spark, _orders_csv(spark, d), {"price": "decimal(12,2)"})
+    gaps = rows.groupBy("_source").agg((F.max("_row") - F.countDistinct("_row")).alias("gap")).agg(F.sum("gap").alias("repeats"))
+    total = rows.agg(F.sum("price").alias("total"))
+    return tabular.preview(rows)[1].join(F.broadcast(total)).join(F.broadcast(gaps))  # a row each
 
 
 @register("flt_transform", "SELECT o_orderpriority, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(28,2) AS total, count(o_orderkey)::BIGINT AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
