@@ -7,7 +7,8 @@ overlap of two tokens.  Ends that both share close groups, and the product of a
 A blank after anything but white space begins a token of both tokenizers, whatever stands before it: the first
 one's splitting takes a blank only in front, and no piece of the second one holds a blank behind another character
 (the vocabulary is checked for it).  Texts are cut there, and each different part is encoded and aligned once,
-all new parts of a batch together, and remembered by the worker in a table of bounded size.  A group never
+all new parts of a batch together, and remembered by the worker in a table of bounded size.  Short parts of printable Latin-1 are merged together in numpy by the merges of both
+vocabularies; all others are encoded by the libraries.  A group never
 reaches over such a cut, so what a text has is the sum over its parts.
 
 Counts of linked id pairs are made over all texts (each text counts a pair once) by one aggregation.  The
@@ -35,15 +36,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .merges import BLANKS, LETTERS, NUMBERS, Pairs, latin_words
 from .shared import by_size, discard, materialize, strings
 from .wordbpe import byte_characters
 
 SLICE = 1 << 20  # characters of a text worked on at once
-KNOWN = 200_000  # parts that a worker remembers
+KNOWN = 300_000  # parts that a worker remembers; of a full table those stay that stood in texts more than once
 SHORT = 64  # characters of the longest remembered part
 MOST = 1 << 21  # pairs whose counts are broadcast
 PRODUCT = 1 << 16  # links of a group that are spelled out; beyond, equal ids are counted first
 CUT = re.compile(r"(?<=\S) ")
+WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\0{BLANKS}{LETTERS}{NUMBERS}]+|\n|\0")
 
 
 def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,20 +127,66 @@ class Aligner:
                 raise ValueError("a piece holds a blank behind another character")
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if pieces.is_byte(i) else b"" if pieces.is_control(i) or pieces.is_unknown(i) else piece.replace("▁", " ").encode())
         self.wide = len(self.bytes_b)
+        self._plain(data, pieces)
         self.size_a, self.size_b = (np.array([len(x) for x in own]) for own in (self.bytes_a, self.bytes_b))
+        self.spelled = list(map(str, range(max(len(self.bytes_a), self.wide))))
         self.pair_type = T.IntegerType() if len(self.bytes_a) * self.wide < 1 << 31 else T.LongType()
         self._start()
 
+    def _plain(self, data: dict, pieces) -> None:
+        """Merges of both sides for parts of printable Latin-1, which are taken together; any other vocabulary goes part by part."""
+        model = data["model"]
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        usual = data["normalizer"] is None and data["pre_tokenizer"] == byte_level and model["type"] == "BPE"
+        if not usual or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            self.short = re.compile("(?!)")
+            return
+        ids = model["vocab"]
+        self.symbol_a = np.array([ids[c] for c in byte_characters()])
+        left, right = zip(*((ids[a], ids[b]) for a, b in model["merges"]), strict=True)
+        self.pairs_a = Pairs(left, right, range(len(left)), [ids[a + b] for a, b in model["merges"]])
+        normal = {pieces.id_to_piece(i): i for i in range(len(pieces)) if self.bytes_b[i] and not pieces.is_byte(i) and not pieces.is_unused(i)}
+        splits = [(normal[p[:k]], normal[p[k:]], i) for p, i in normal.items() for k in range(1, len(p)) if p[:k] in normal and p[k:] in normal]
+        place = {i: r for r, i in enumerate(sorted(normal.values(), key=lambda i: (-pieces.get_score(i), i)))}
+        left, right, made = zip(*splits, strict=True)
+        self.pairs_b = Pairs(left, right, [place[i] for i in made], made)
+        shown = [c for c in map(chr, (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))) if c in normal]
+        self.blank, self.symbol_b = normal["▁"], np.zeros(256, np.int64)
+        self.symbol_b[[ord(c) for c in shown]] = [normal[c] for c in shown]
+        self.symbol_b[10] = normal["\n"] if "\n" in normal else pieces.piece_to_id("<0x0A>")
+        shown = f"[{re.escape(''.join(shown))}]+"
+        self.short = re.compile(rf"(?=[^\0]{{1,{SHORT}}}\Z){shown}(?:\n{shown})*")  # a line end between two words is a token of its own on both sides
+
     def _start(self) -> None:
         self.known: dict[str, int] = {}
         self.groups: list[str] = []  # the groups of each part as text
         self.numbers = Growing(np.int64, 5)  # n_a, n_b, n_groups, n_links, and 1 for parts that can't be spelled
         self.begin, self.count = Growing(np.int64), Growing(np.int64)  # where the pairs of each part stand
         self.pairs, self.times = Growing(np.int64), Growing(np.int64)
+        self.uses = Growing(np.int64)
         self.library = getattr(self, "library", None)
 
+    def _thin(self) -> None:
+        """Keeps of a full table the parts used most, a quarter of it, without those used once."""
+        texts, rows = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        uses = self.uses.held[rows]
+        best = np.argsort(-uses, kind="stable")[: KNOWN // 4]
+        best = best[uses[best] > 1]
+        rows, old = rows[best], (self.groups, self.numbers.held, self.begin.held, self.count.held, self.pairs.held, self.times.held)
+        self._start()
+        groups, numbers, begin, count, pairs, times = old
+        self.known = {texts[i]: k for k, i in enumerate(best.tolist())}
+        self.groups = [groups[i] for i in rows.tolist()]
+        self.numbers.add(numbers[rows])
+        at = spread(begin[rows], count[rows])
+        self.begin.add(np.cumsum(count[rows]) - count[rows])
+        self.count.add(count[rows])
+        self.pairs.add(pairs[at])
+        self.times.add(times[at])
+        self.uses.add(np.zeros(len(rows), np.int64))
+
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("known", "groups", "numbers", "begin", "count", "pairs", "times", "library")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "groups", "numbers", "begin", "count", "pairs", "times", "uses", "library")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -156,19 +205,38 @@ class Aligner:
         blank = [second.piece_to_id("▁")]  # which the library adds to everything but the empty text
         return [first.encode(f" {x}", add_special_tokens=False).ids for x in parts], [own if x else blank for x, own in zip(parts, second.encode(parts, num_threads=1), strict=True)]
 
+    def _quick(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and how many each part has, then those of B, for parts that ``short`` matches, all at once."""
+        raw, sizes, part = latin_words("".join(f" {x}\0" for x in parts), WORD, 0)
+        a, count = self.pairs_a.merge(self.symbol_a[raw], sizes)
+        n_a = np.bincount(part, count, minlength=len(parts)).astype(np.int64)
+        n = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+        symbols = np.full(int(n.sum()), self.blank)
+        inner = np.ones(len(symbols), bool)
+        inner[np.cumsum(n) - n] = False
+        symbols[inner] = self.symbol_b[np.frombuffer("".join(parts).encode("latin-1"), np.uint8)]
+        b, n_b = self.pairs_b.merge(symbols, n)
+        return a, n_a, b, n_b
+
     def learn(self, parts: list[str]) -> None:
         """Encodes and aligns parts that are not known yet, all at once."""
-        of_a, of_b = self.tokens(parts)
-        good = []
-        for x, a, b in zip(parts, of_a, of_b, strict=True):
-            whole = f" {x}".encode()
-            good.append(b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole)
-        of_a, of_b = ([x if ok else [] for x, ok in zip(own, good, strict=True)] for own in (of_a, of_b))
-        a, b = (np.array([i for x in own for i in x], np.int64) for own in (of_a, of_b))
+        quick = [x for x in parts if self.short.fullmatch(x)]
+        others = sorted(set(parts).difference(quick))
+        empty = np.empty(0, np.int64)
+        a, own_a, b, own_b = self._quick(quick) if quick else (empty, empty, empty, empty)
+        bad = np.zeros(len(parts), bool)
+        if others:
+            of_a, of_b = self.tokens(others)
+            for k, x in enumerate(others):
+                whole = f" {x}".encode()
+                if b"".join(map(self.bytes_a.__getitem__, of_a[k])) != whole or b"".join(map(self.bytes_b.__getitem__, of_b[k])) != whole:
+                    bad[len(quick) + k], of_a[k], of_b[k] = True, [], []
+            a, b = (np.concatenate((x, np.array([i for own in more for i in own], np.int64))) for x, more in ((a, of_a), (b, of_b)))
+            own_a, own_b = (np.concatenate((x, np.array([len(own) for own in more], np.int64))) for x, more in ((own_a, of_a), (own_b, of_b)))
+        parts = quick + others
         owner_a, owner_b, closes = intervals(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
         end_a, end_b = owner_a[closes] + 1, owner_b[closes] + 1
         n_a, n_b = np.diff(end_a, prepend=0), np.diff(end_b, prepend=0)
-        own_a, own_b = (np.array([len(x) for x in own], np.int64) for own in (of_a, of_b))
         part = np.searchsorted(np.cumsum(own_a), end_a)  # of each group; parts without tokens have none
         n = len(parts)
         link, codes, times = products(a, b, end_a - n_a, n_a, end_b - n_b, n_b, self.wide)
@@ -177,13 +245,14 @@ class Aligner:
         groups = np.bincount(part, minlength=n)
         links = np.zeros(n, np.int64)
         np.add.at(links, part, n_a * n_b)
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        text_a, text_b = list(map(self.spelled.__getitem__, a.tolist())), list(map(self.spelled.__getitem__, b.tolist()))
         sides = zip((end_a - n_a).tolist(), end_a.tolist(), (end_b - n_b).tolist(), end_b.tolist(), strict=True)
-        spelled = [f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in sides]
+        spelled = [f"{text_a[i]}|{text_b[k]}" if j - i == 1 == m - k else f"{','.join(text_a[i:j])}|{','.join(text_b[k:m])}" for i, j, k, m in sides]
         at = np.cumsum(groups).tolist()
         self.known |= zip(parts, range(len(self.groups), len(self.groups) + n), strict=True)
         self.groups += [";".join(spelled[i:j]) for i, j in zip([0, *at], at, strict=False)]
-        self.numbers.add(np.stack((own_a, own_b, groups, links, ~np.array(good, bool)), axis=1))
+        self.numbers.add(np.stack((own_a, own_b, groups, links, bad), axis=1))
+        self.uses.add(np.zeros(n, np.int64))
         self.begin.add(self.pairs.size + np.cumsum(count) - count)
         self.count.add(count)
         self.pairs.add(keys & 0xFFFFFFFF)
@@ -200,7 +269,7 @@ class Aligner:
     def batch(self, texts: list[str], spell: bool = False) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: n_a, n_b, n_groups, n_links; digest or spelling of its groups; number, values and times of its pairs."""
         numbers = np.zeros((len(texts), 5), np.int64)
-        digests, rows, found, amounts = [], [], [], []
+        rows, found, amounts = [], [], []
         held: list[tuple[int, np.ndarray]] = []
 
         def collect() -> None:
@@ -208,7 +277,9 @@ class Aligner:
                 ends = np.cumsum([len(x) for _, x in held])
                 keys, n = np.unique(np.repeat([k << 32 for k, _ in held], np.diff(ends, prepend=0)) | np.concatenate([x for _, x in held]), return_counts=True)
                 row, part = keys >> 32, keys & 0xFFFFFFFF
-                np.add.at(numbers, row, self.numbers.held[part] * n[:, None])
+                self.uses.held[: self.uses.size] += np.bincount(part, n, minlength=self.uses.size).astype(np.int64)
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                numbers[row[first]] += np.add.reduceat(self.numbers.held[part] * n[:, None], first)
                 count = self.count.held[part]
                 at = spread(self.begin.held[part], count)
                 # pairs of a row are told apart by the row's place among those of the batch
@@ -219,32 +290,44 @@ class Aligner:
                 found.append(pair[first])
                 amounts.append(np.add.reduceat(times, first) if len(first) else times)
                 held.clear()
-            if len(self.known) > KNOWN or self.pairs.size > 16 * KNOWN:
-                self._start()
-
+            if len(self.groups) > KNOWN or self.pairs.size > 16 * KNOWN:
+                self._thin()
+
+        digest = [hashlib.sha256() for _ in texts]
+        whole: list[list[str]] = [[] for _ in texts]
+        waiting: list[tuple[int, list[str]]] = []
+
+        def settle() -> None:
+            new = sorted(set().union(*(own for _, own in waiting)).difference(self.known))
+            if new:
+                self.learn(new)
+            for k, own in waiting:
+                at = list(map(self.known.__getitem__, own))
+                held.append((k, np.array(at, np.int64)))
+                spelled = ";".join(map(self.groups.__getitem__, at))
+                if k in begun:
+                    spelled = f";{spelled}"
+                begun.add(k)
+                digest[k].update(spelled.encode())
+                if spell:
+                    whole[k].append(spelled)
+            for x in new:
+                if len(x) > SHORT:
+                    del self.known[x]
+            waiting.clear()
+            collect()
+
+        begun: set[int] = set()
         size = 0
         for k, text in enumerate(texts):
-            digest, sep, whole = hashlib.sha256(), "", []
             for parts in self.parts(text) if text else ():
-                new = sorted(set(parts).difference(self.known))
-                if new:
-                    self.learn(new)
-                at = list(map(self.known.__getitem__, parts))
-                for x in new:
-                    if len(x) > SHORT:
-                        del self.known[x]
-                held.append((k, np.array(at, np.int64)))
-                own = sep + ";".join(map(self.groups.__getitem__, at))
-                digest.update(own.encode())
-                if spell:
-                    whole.append(own)
-                sep = ";"
-                size += len(at)
+                waiting.append((k, parts))
+                size += len(parts)
                 if size > SLICE:
-                    collect()
+                    settle()
                     size = 0
-            digests.append("".join(whole) if spell else digest.hexdigest() if text else "")
-        collect()
+        settle()
+        digests = ["".join(x) if spell else d.hexdigest() if t else "" for x, d, t in zip(whole, digest, texts, strict=True)]
         of, pairs, times = (np.concatenate([np.empty(0, np.int64), *x]) for x in (rows, found, amounts))
         if len(rows) > 1:  # a text may reach over collections
             order = np.lexsort((pairs, of))
@@ -273,7 +356,7 @@ def link_texts(df: DataFrame, aligner: Aligner, key: str, text: str, spell: bool
     arrow = pa.int32() if kind == T.IntegerType() else pa.int64()
 
     def run(batches):
-        for batch in by_size(batches, text, 2 << 20):
+        for batch in by_size(batches, text, 4 << 20):
             numbers, digests, sizes, pairs, times = sent.value.batch(strings(batch.column(text)), spell)
             columns = [pa.array(numbers[:, i]) for i in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(key), *columns, pa.array(digests, pa.string()), lists(sizes, pa.array(pairs.astype(arrow.to_pandas_dtype()))), lists(sizes, pa.array(times))], names=[f.name for f in fields])
