@@ -4,17 +4,21 @@ Detected entities get keyed replacements of the same type and format: digits for
 letters of the same case, card numbers with a valid check digit, IBANs with check digits that are valid
 where theirs were, phone numbers of the same country, addresses of the same kind (public, private,
 loopback, ...), names of the same gender and script for names after a form of address.  Numbers count as
-cards only if their check digit is valid.  All types but names use a keyed Feistel permutation of what
-may vary, so two different entities of a format never share a replacement.  It works on normalised
+cards only if their check digit is valid.  All types but names use a keyed permutation of what may vary:
+a Feistel network P, of which P backwards after one step on after P is applied.  That is one cycle through all
+values, so two different entities of a format never share a replacement and none stays, however
+many of the format's values are in use; what has no digit and no letter has nothing to replace.  It works on normalised
 entities (digits without separators, lower-cased addresses), so one entity gets one replacement in every
 spelling and every document: coreference survives.  Each word of a name is replaced by itself, also
-where it stands again in the document without a form of address.  Names that never stand after one of
-the forms below, or after a greeting with two words or more, are not found.
-
-Names are spelled from keyed syllables and could meet; ``choose_key`` therefore checks what would be
-written for all different spellings of the corpus, in aggregations over entities, for shared
-replacements, for entities with several, and for entities that would stay as they are, and goes on to
-the next key version, with longer names, until there are none.  Entities are found in one pass over the
+where it stands again in the document without a form of address, and so are the parts between its hyphens and
+apostrophes, which stay.  Names that never stand after one of the forms below, or after a greeting with two
+words or more, are not found; words for offices (ROLES) are no names.
+
+Latin, Cyrillic and Greek names are spelled from keyed syllables and could meet; ``choose_key`` therefore
+checks what would be written for all different spellings of the corpus, in aggregations over entities, for shared
+replacements, for entities with several, and for names that would stay as they are, and goes on to
+the next key version, with longer names, until there are none.  Names of any other script are permuted among
+that script's letters, each within its block of code points.  Entities are found in one pass over the
 texts, which writes the texts with their places for the pass that replaces them.
 
 Rows: null texts stay null and empty texts empty; texts without entities stay as they are, byte for
@@ -23,10 +27,13 @@ byte; repeated rows get equal results; an empty table gives an empty table; all
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
+import ipaddress
 import re
 import struct
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -45,6 +52,10 @@ VERSIONS = 12  # key versions tried before giving up
 # Forms of address: fixed values.
 MALE = ("Mr", "Mister", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Signor", "Don", "Господин")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Madame", "Mademoiselle", "Mme", "Mlle", "Señora", "Señorita", "Signora", "Doña", "Госпожа")
+NEUTRAL = ("Dr", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "Доктор")
+FORMS = (*MALE, *FEMALE, *NEUTRAL)
+# Words that stand where a name could and are none.
+ROLES = {"President", "Präsident", "Président", "Chairman", "Chairwoman", "Speaker", "Minister", "Secretary", "Mayor", "Judge", "Director", "Manager", "Hiring", "Customer", "Customers", "Colleague", "Colleagues", "Team", "Friend", "Friends", "Members", "Editor", "Client", "Support", "Sales", "Service", "Recruiter", "Committee"}
 GREETING = ("Dear", "Liebe", "Lieber", "Cher", "Chère", "Estimado", "Estimada", "Querido", "Querida")
 GREETED = {"Liebe": "f", "Lieber": "m", "Cher": "m", "Chère": "f", "Estimado": "m", "Estimada": "f", "Querido": "m", "Querida": "f"}
 # Calling codes of two digits; 1 and 7 have one, all others three: fixed values.
@@ -58,19 +69,22 @@ BLOCKS = [
 _NAME = r"[^\W\d_a-z](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
 PATTERNS = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"),
-    ("cloud_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"),
+    ("cloud_key", r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     ("secret", r"(?i:\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key))[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>]{6,})"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w]|\.\d)"),
+    ("ip6", r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
+    ("ip6", r"(?<![\w:.])(?=[0-9A-Fa-f]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"),
     ("phone", r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])"),
     ("phone", r"(?<![\w.+-])\+\d{9,15}(?![\w-])"),
-    ("name", rf"\b(?:{'|'.join((*MALE, *FEMALE))})\b\.?[ \u00a0]{_NAME}(?:[ \u00a0]{_NAME}){{0,2}}"),
-    ("name", rf"\b(?:{'|'.join(GREETING)})[ \u00a0]{_NAME}(?:[ \u00a0]{_NAME}){{1,2}}"),
+    ("phone", r"(?<![\w.+-])00[1-9]\d{0,2}[ .-]\d{2,4}[ .-]\d{4,8}(?![\w-])"),
+    ("name", rf"\b(?:(?:{'|'.join(FORMS)})\b\.?[ \u00a0]){{1,3}}{_NAME}(?:[ \u00a0]{_NAME}){{0,2}}"),
+    ("name", rf"\b(?:{'|'.join(GREETING)})[ \u00a0](?!(?:{'|'.join(FORMS)})\b){_NAME}(?:[ \u00a0]{_NAME}){{1,2}}"),
 ]
 MASTER = re.compile("|".join(f"(?P<p{i}>{p})" for i, (_, p) in enumerate(PATTERNS)))
-HINT = re.compile(rf"\d|@|[=:]|\b(?:{'|'.join((*MALE, *FEMALE, *GREETING))})\b")
+HINT = re.compile(rf"\d|@|[=:]|\b(?:{'|'.join((*FORMS, *GREETING))})\b")
 NAME = re.compile(_NAME)
 WORD = re.compile(r"(?<![^\W_])[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*(?![^\W_])")
 PART = re.compile(r"[^\W\d_]+")
@@ -102,6 +116,19 @@ def block_of(octets: list[int]) -> tuple[tuple[int, ...], tuple[int, ...]]:
     return next((b for b in BLOCKS if tuple(octets[: len(b[0])]) == b[0]), ((), ()))
 
 
+def script_of(word: str) -> str | None:
+    """The script that a name is spelled in, if names of it are spelled from syllables."""
+    return "cyrillic" if re.search("[\u0400-\u04ff]", word) else "greek" if re.search("[\u0370-\u03ff]", word) else "latin" if all(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in word) else None
+
+
+@functools.cache
+def letters_like(c: str) -> str:
+    """The letters of a letter's kind in its block of 256 code points: replacements that keep the script."""
+    first = ord(c) >> 8 << 8
+    kind = unicodedata.category(c)
+    return "".join(x for x in map(chr, range(first, first + 256)) if unicodedata.category(x) == kind)
+
+
 class Surrogates:
     """Keyed replacements of one key version."""
 
@@ -112,20 +139,33 @@ class Surrogates:
         return int.from_bytes(hashlib.blake2b(repr((tweak, *values)).encode(), key=self.key, digest_size=32).digest(), "big")
 
     def permute(self, tweak: str, digits: list[int], radices: list[int]) -> list[int]:
-        """A keyed permutation of the numbers with these radices (256 at most): Feistel rounds on two halves, in linear time."""
+        """A keyed permutation of the numbers with these radices (256 at most) in one cycle, so that none stays; in linear time."""
         if len(digits) < 2:
-            return [(d + self._number(tweak, i)) % r for i, (d, r) in enumerate(zip(digits, radices, strict=True))]
+            return [(d + 1 + self._number(tweak, i) % (r - 1)) % r if r > 1 else d for i, (d, r) in enumerate(zip(digits, radices, strict=True))]
+        there = self._feistel(tweak, digits, radices)
+        for i in reversed(range(len(there))):  # the next number, and the first one after the last
+            there[i] = (there[i] + 1) % radices[i]
+            if there[i]:
+                break
+        return self._feistel(tweak, there, radices, back=True)
+
+    def _feistel(self, tweak: str, digits: list[int], radices: list[int], back: bool = False) -> list[int]:
+        """Rounds on two halves, or those rounds undone."""
         half = len(digits) // 2
         left, right, n, m = digits[:half], digits[half:], radices[:half], radices[half:]
         for k in range(ROUNDS):
-            left = self._shift(f"{tweak} {2 * k}", left, n, right)
-            right = self._shift(f"{tweak} {2 * k + 1}", right, m, left)
+            if back:
+                right = self._shift(f"{tweak} {2 * (ROUNDS - k) - 1}", right, m, left, -1)
+                left = self._shift(f"{tweak} {2 * (ROUNDS - k) - 2}", left, n, right, -1)
+            else:
+                left = self._shift(f"{tweak} {2 * k}", left, n, right)
+                right = self._shift(f"{tweak} {2 * k + 1}", right, m, left)
         return left + right
 
-    def _shift(self, tweak: str, digits: list[int], radices: list[int], other: list[int]) -> list[int]:
-        """Each digit moved on by a number that depends on the other half."""
+    def _shift(self, tweak: str, digits: list[int], radices: list[int], other: list[int], sign: int = 1) -> list[int]:
+        """Each digit moved on (or back) by a number that depends on the other half."""
         stream = hashlib.shake_256(self.key + tweak.encode() + b"\0" + bytes(other)).digest(4 * len(digits))
-        return [(d + x) % r for d, x, r in zip(digits, struct.unpack(f"<{len(digits)}I", stream), radices, strict=True)]
+        return [(d + sign * x) % r for d, x, r in zip(digits, struct.unpack(f"<{len(digits)}I", stream), radices, strict=True)]
 
     def by_class(self, kind: str, text: str, hexadecimal: bool = False) -> str:
         """Each digit and letter for one of its class; other characters stay."""
@@ -142,8 +182,13 @@ class Surrogates:
         return "".join(map(str, self.permute(f"{kind} {len(digits)}", list(map(int, digits)), [10] * len(digits))))
 
     def word(self, word: str, gender: str) -> str:
-        """A name word for a name word: script, case and gender stay."""
-        script = "cyrillic" if re.search("[\u0400-\u04ff]", word) else "greek" if re.search("[\u0370-\u03ff]", word) else "latin"
+        """A name word for a name word: script, case, gender, hyphens and apostrophes stay."""
+        if not word.isalpha():
+            return PART.sub(lambda m: self.word(m.group(), gender) if len(m.group()) > 1 else m.group(), word)
+        script = script_of(word)
+        if script is None:
+            sets = [letters_like(c) for c in word]
+            return "".join(s[i] for s, i in zip(sets, self.permute(f"name {[s[0] for s in sets]}", [s.index(c) for s, c in zip(sets, word, strict=True)], [len(s) for s in sets]), strict=True))
         consonants, vowels, *endings = SPELLING[script]
         x = self._number(f"name {script} {gender}", word.lower())
         out = ""
@@ -157,8 +202,12 @@ class Surrogates:
 
     def normal(self, kind: str, entity: str) -> str:
         """What is the same in all spellings of an entity."""
+        if kind == "phone" and entity.startswith("00"):
+            return "+" + re.sub(r"\D", "", entity)[2:]
         if kind in ("card", "ssn", "phone"):
             return ("+" if entity.startswith("+") else "") + re.sub(r"\D", "", entity)
+        if kind == "ip6":
+            return ipaddress.IPv6Address(entity).exploded
         if kind == "email" or kind.startswith("name"):
             return entity.lower()
         return entity.replace(" ", "") if kind == "iban" else entity
@@ -174,6 +223,10 @@ class Surrogates:
                 octets = self.permute(kind, octets, [256] * 4)
                 if not block_of(octets)[0]:
                     return ".".join(map(str, octets))
+        if kind == "ip6":
+            raw = ipaddress.IPv6Address(entity).packed
+            new = ipaddress.IPv6Address(raw[:2] + bytes(self.permute(f"{kind} {raw[:2].hex()}", list(raw[2:]), [256] * 14)))
+            return new.compressed if "::" in entity else new.exploded
         if kind == "email":
             local, _, domain = entity.lower().partition("@")
             host, dot, top = domain.rpartition(".")
@@ -198,14 +251,34 @@ class Surrogates:
                 if luhn(new) == valid:
                     break
         elif kind == "phone":
-            keep = 0 if not entity.startswith("+") else 1 if raw[0] in "17" else 2 if raw[:2] in TWO_DIGITS else 3
-            new = raw[:keep] + self.digits(f"{kind} {raw[:keep]}", raw[keep:])
+            out = "00" if entity.startswith("00") else ""
+            raw = raw.removeprefix(out)
+            keep = 0 if not out and not entity.startswith("+") else 1 if raw[0] in "17" else 2 if raw[:2] in TWO_DIGITS else 3
+            new = out + raw[:keep] + self.digits(f"{kind} {raw[:keep]}", raw[keep:])
         else:
             new = self.digits(kind, raw)
         at = iter(new)
         return "".join(next(at) if c.isdigit() else c for c in entity)
 
 
+def addressed(words: list[str]) -> tuple[str, list[str]]:
+    """Gender and name after a greeting or forms of address, the last of which may be a name itself."""
+    gender = "-"
+    for k, w in enumerate(words):
+        if w not in FORMS and w not in GREETING or k == len(words) - 1:
+            return gender, [x for x in words[k:] if x not in ROLES]
+        if gender == "-":
+            gender = "f" if w in FEMALE else "m" if w in MALE else GREETED.get(w, "-")
+    return gender, []
+
+
+def is_ip6(text: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(first, end, type) of all entities, in order; for names, of each word with its part: name-m, name-f or name--."""
     if not HINT.search(text):
@@ -221,10 +294,13 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if 13 <= len(raw) <= 19 and luhn(raw):
                 out.append((*m.span(), kind))
         elif kind == "name":
-            title, *own = (w.group() for w in NAME.finditer(text, *m.span()))
-            gender = "f" if title in FEMALE else "m" if title in MALE else GREETED.get(title, "-")
+            gender, own = addressed([w.group() for w in NAME.finditer(text, *m.span())])
             for k, w in enumerate(own):
-                words.setdefault(w, f"name-{gender if k < len(own) - 1 else '-'}")
+                for x in (w, *(p for p in PART.findall(w) if len(p) > 1)):
+                    words.setdefault(x, f"name-{gender if k < len(own) - 1 else '-'}")
+        elif kind == "ip6":
+            if is_ip6(m.group()):
+                out.append((*m.span(), kind))
         else:
             out.append((*m.span(), kind))
     return merge(out, named(text, words)) if words else out
@@ -305,7 +381,7 @@ def choose_key(docs: DataFrame, key: bytes = KEY, text: str = "text") -> int:
 
 
 def key_for(known: DataFrame, key: bytes = KEY) -> int:
-    """The first key version under which no two entities (kind, entity) share a replacement, none has several, and none stays."""
+    """The first key version under which no two entities (kind, entity) share a replacement, none has several, and no name stays."""
     for version in range(VERSIONS):
 
         def run(batch, version=version):
@@ -316,7 +392,7 @@ def key_for(known: DataFrame, key: bytes = KEY) -> int:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (kinds, old, new)], names=["kind", "old", "new"])
 
         mapped = known.mapInArrow(_bounded(run, "entity"), "kind string, old string, new string").distinct()
-        shared = mapped.groupBy("kind", "new").agg(F.count("*").alias("n"), F.max((F.col("old") == F.col("new")).cast("int")).alias("stays")).filter("n > 1 or stays = 1")
+        shared = mapped.groupBy("kind", "new").agg(F.count("*").alias("n"), F.max((F.col("kind").startswith("name") & (F.col("old") == F.col("new"))).cast("int")).alias("stays")).filter("n > 1 or stays = 1")
         several = mapped.groupBy("kind", "old").agg(F.count("*").alias("n"), F.lit(0).alias("stays")).filter("n > 1")
         if shared.select("kind").unionByName(several.select("kind")).limit(1).count() == 0:
             return version
