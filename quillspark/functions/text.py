@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,12 +48,43 @@ def error_rate(edits: Column, characters: Column) -> Column:
     return F.try_divide(F.sum(edits).cast("double"), F.sum(characters))
 
 
+def sequence_edits(a: list, b: list) -> int:
+    """Edits between two sequences, by bit vectors over the first one: a few operations on integers for each item of the second."""
+    first = 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    masks = {x: sum(1 << i for i in own) for x, own in places.items()}
+    full, top, edits = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    more, less = full, 0  # where a column's value is one more, or one less, than the value above it
+    for x in b:
+        match = masks.get(x, 0)
+        down = match | less
+        across = (((match & more) + more) ^ more) | match
+        up = less | ~(across | more) & full
+        drop = more & across
+        edits += bool(up & top) - bool(drop & top)
+        up, drop = (up << 1 | 1) & full, drop << 1 & full
+        more, less = drop | ~(down | up) & full, up & down
+    return edits
+
+
 def word_edits(a: Column, b: Column) -> Column:
-    """Edits between two arrays of words: each different word as one character, up to 20,000 of them."""
-    known = F.array_distinct(F.concat(a, b))
-    letter = lambda w: F.decode(F.unhex(F.hex(F.array_position(known, w) + 0x4DFF)), "UTF-16BE")
-    spelled = lambda x: F.array_join(F.transform(x, letter), "")
-    return F.levenshtein(spelled(a), spelled(b))
+    """Edits between two arrays of words, of any number; null where one of them is."""
+
+    @F.pandas_udf("int")
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else sequence_edits(list(x), list(y)) for x, y in zip(left, right, strict=True)], dtype="Int32")
+
+    return run(a, b)
 
 
 def ascii_fold(c: Column) -> Column:

@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import components, coverage, geometry, library, matching, sessions, sources, text  # noqa: F401
+    from . import components, coverage, geometry, library, matching, sessions, sources, speech, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
