@@ -27,8 +27,9 @@ def flip(top: Column, bottom: Column, height: Column, origin: Column) -> tuple[C
 
 
 def area(box: Column) -> Column:
+    """Area of a box; 0 for one that is inverted."""
     a, b, c, d = parts(box)
-    return (c - a) * (d - b)
+    return F.greatest(F.lit(0.0), c - a) * F.greatest(F.lit(0.0), d - b)
 
 
 def contained(gold: Column, other: Column) -> Column:

@@ -139,7 +139,7 @@ def satisfies(version: Column, spec: Column) -> Column:
     def clause(raw: Column) -> Column:
         part = F.trim(raw)
         op = F.regexp_extract(part, r"^(~=|==|!=|<=|>=|<|>)\s*[0-9]\S*$", 1)
-        rest = F.trim(F.substring(part, F.length(op) + F.lit(1), F.lit(1000)))
+        rest = F.trim(F.substring(part, F.length(op) + F.lit(1), F.length(part)))
         star = rest.endswith(".*")
         want = _release(F.regexp_replace(rest, r"\.\*$", ""))
         n = F.greatest(F.size(have), F.size(want))

@@ -6,11 +6,17 @@ Duplicate and unknown keys are errors, found by guards that run before the plan.
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import normalize
+from ..functions.text import normalize, whole_number
 from ..storage import materialize
+from .ordered import in_order
 
 COUNTERS = (
     "characters", "edits", "blocks", "correctSources", "numbers", "correctNumbers", "cells", "correctCells", "correctCellTexts",
@@ -59,9 +65,7 @@ def counters(gold: DataFrame, actual: DataFrame, provisional: bool = False) -> D
     got, is_cell = F.col("a_text").isNotNull(), F.col("cell").isNotNull()
     key = F.coalesce("key_number", F.lit(False))
     tokens = F.coalesce("numbers", F.array().cast("array<string>"))
-    quoted = lambda t: F.concat(F.lit(r"(?<![\d.,])\Q"), normalize(t), F.lit(r"\E(?![\d.,%])"))
-    # patterns that differ by row are compiled for each, so only texts that hold more than the number come to that
-    holds = lambda t: F.when(have == normalize(t), True).when(~F.contains(have, normalize(t)), False).otherwise(F.regexp_like(have, quoted(t)))
+    holds = lambda t: F.when(have == normalize(t), True).when(~F.contains(have, normalize(t)), False).otherwise(stands_alone(have, normalize(t)))
     whole = F.size(F.filter(tokens, holds))
     order = Window.partitionBy("page_id").orderBy("pos")
     rows = rows.withColumns({
@@ -78,10 +82,10 @@ def counters(gold: DataFrame, actual: DataFrame, provisional: bool = False) -> D
         n(F.col("has_next")).alias("orderPairs"), n(F.coalesce(F.col("a_ord") < F.col("next_ord"), F.lit(False))).alias("correctOrderPairs"),
     )
     slim = rows.select("category", "page_id", "pos", "a_ord", "cell", "a_cell")
-    x, y = slim.alias("x"), slim.alias("y")
+    pairs = later_pairs(slim, "page_id", "pos", "a_ord", "category").groupBy("category").agg(F.sum("pairs").alias("allOrderPairs"), F.sum("rising").alias("correctAllOrderPairs"))
+    cells = slim.filter("cell is not null").repartition("page_id")  # one exchange for both neighbours
+    x, y = cells.alias("x"), cells.alias("y")
     same = F.col("x.page_id") == F.col("y.page_id")
-    pairs = x.join(y, same & (F.col("x.pos") < F.col("y.pos"))).groupBy(F.col("x.category").alias("category")).agg(
-        F.count("*").alias("allOrderPairs"), n(F.coalesce(F.col("x.a_ord") < F.col("y.a_ord"), F.lit(False))).alias("correctAllOrderPairs"))
     right = (F.col("y.cell.row") == F.col("x.cell.row")) & (F.col("y.cell.col") == F.col("x.cell.col") + F.col("x.cell.colSpan"))
     down = (F.col("y.cell.col") == F.col("x.cell.col")) & (F.col("y.cell.row") == F.col("x.cell.row") + F.col("x.cell.rowSpan"))
     keeps = lambda a, b, c, s: (F.col(f"y.a_cell.{a}") == F.col(f"x.a_cell.{a}")) & (F.col(f"y.a_cell.{b}") == F.col(f"x.a_cell.{b}") + F.col(f"x.a_cell.{s}"))
@@ -91,6 +95,51 @@ def counters(gold: DataFrame, actual: DataFrame, provisional: bool = False) -> D
     return out.select("category", *(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS))
 
 
+def stands_alone(text: Column, number: Column) -> Column:
+    """Whether a normalised text holds a normalised number that no digits, points or commas go on from, nor a per cent sign.
+
+    A number of digits, points and commas is marked and looked for by one pattern for all rows: where two of its
+    places overlap, the second one is preceded by such a character.  Any other number needs a pattern of its own.
+    """
+    marked = F.regexp_like(F.replace(text, number, F.lit("\1")), F.lit("(?<![\\d.,\1])\1(?![\\d.,%\1])"))
+    return F.when(number.rlike(r"^\d[\d.,]*$") & ~F.contains(text, F.lit("\1")), marked).otherwise(whole_number(text, number))
+
+
+def later_pairs(rows: DataFrame, by: str, order: str, value: str, kind: str | None = None) -> DataFrame:
+    """Of each group (and kind of the earlier row): pairs of rows in their order, and those whose value rises.
+
+    Rows are streamed from the last to the first, and the values so far are kept sorted, so a row is compared with all
+    later ones by one search.  Missing values rise to nothing and from nothing.
+    """
+    each = rows.select(by, F.col(order).alias("o"), F.col(value).cast("double").alias("v"), (F.col(kind) if kind else F.lit("")).cast("string").alias("kind"), (-F.col(order)).alias("back"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, at, seen, held, waiting, counts = object(), None, 0, [], [], {}
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                if r[0] != now:
+                    out += [(now, k, *n) for k, n in counts.items()]
+                    now, at, seen, held, waiting, counts = r[0], None, 0, [], [], {}
+                if r.o != at:  # rows of the same order are no pairs
+                    at = r.o
+                    for v in waiting:
+                        bisect.insort(held, v)
+                    waiting, seen_before = [], seen
+                own = counts.setdefault(r.kind, [0, 0])
+                own[0] += seen_before
+                seen += 1
+                if r.v == r.v and r.v is not None:
+                    own[1] += len(held) - bisect.bisect_right(held, r.v)
+                    waiting.append(r.v)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([(now, k, *n) for k, n in counts.items()], columns=names)
+
+    names = [by, kind or "kind", "pairs", "rising"]
+    schema = T.StructType([each.schema[by], T.StructField(names[1], T.StringType()), T.StructField("pairs", T.LongType()), T.StructField("rising", T.LongType())])
+    return in_order(each, [by], ["back"], run, schema)
+
+
 def ratios(counts: DataFrame) -> DataFrame:
     """The eight ratios of summed counters; null where there is nothing to count."""
     return counts.select("*", *(F.try_divide(F.col(a).cast("double"), F.col(b)).alias(k) for k, (a, b) in RATIOS.items()))

@@ -39,6 +39,16 @@ def _condition(df: DataFrame, step: Mapping) -> Column:
 
 def transform(df: DataFrame, steps: Sequence[Mapping], tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """Applies select, filter, cast, join, group and deduplicate steps in turn."""
+    return traced(df, steps, tables)[0]
+
+
+def traced(df: DataFrame, steps: Sequence[Mapping], tables: Mapping[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """What ``transform`` gives, and its lineage: a table (_row of the result, _source row) if the input has a column ``_row`` and a step groups.
+
+    The lineage has a row for each contributing row, so a group of any size is spread over tasks; steps that drop
+    ``_row`` end it.  A group's ``_row`` is its keys as JSON.
+    """
+    links = None
     for step in steps:
         kind = step.get("step")
         if kind == "select":
@@ -64,15 +74,22 @@ def transform(df: DataFrame, steps: Sequence[Mapping], tables: Mapping[str, Data
             _known(df, *step["by"], *(a["column"] for a in step["aggregates"]))
             if any(a["function"] not in AGGREGATES for a in step["aggregates"]):
                 raise StepError("unknown aggregate")
-            rows = [F.sort_array(F.collect_list(LINEAGE)).alias("_rows")] if LINEAGE in df.columns else []
-            df = df.groupBy(*step["by"]).agg(*(AGGREGATES[a["function"]](F.col(f"`{a['column']}`")).alias(a["as"]) for a in step["aggregates"]), *rows)
+            keys = F.to_json(F.struct(*(F.col(f"`{c}`") for c in step["by"])), {"ignoreNullFields": "false"})
+            if LINEAGE in df.columns:
+                own = df.select(keys.alias("_to"), F.col(LINEAGE).cast("string").alias("_from"))
+                through = links.select(F.col(LINEAGE).alias("_from"), "_source") if links is not None else None
+                links = (own.join(through, "_from").select(F.col("_to").alias(LINEAGE), "_source") if links is not None else own.select(F.col("_to").alias(LINEAGE), F.col("_from").alias("_source")))
+            grouped = df.groupBy(*step["by"]).agg(*(AGGREGATES[a["function"]](F.col(f"`{a['column']}`")).alias(a["as"]) for a in step["aggregates"]))
+            df = grouped.withColumn(LINEAGE, keys) if LINEAGE in df.columns else grouped
         elif kind == "deduplicate":
             _known(df, *step["by"], step["order"])
             ranked = F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.struct(F.col(f"`{step['order']}`"), *(F.col(f"`{c}`") for c in df.columns if c != step["order"])))
             df = df.groupBy(*step["by"]).agg(ranked.alias("_first")).select("_first.*")
         else:
             raise StepError(f"unknown step {kind!r}")
-    return df
+    if links is not None and LINEAGE in df.columns:
+        links = links.join(df.select(LINEAGE), LINEAGE, "left_semi")
+    return df, links
 
 
 def inflation(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

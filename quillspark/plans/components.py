@@ -12,6 +12,7 @@ from ..operators import retrieval, transform
 from ..sources import tabular
 from ..sources.documents import read_journal, read_json
 from ..storage import discard, materialize, shared_dir
+from ..streaming import journal
 from .registry import register
 from .tables import sql_literal, table
 
@@ -202,11 +203,13 @@ def src_json(spark, d):
 
 @register("snk_journal", "SELECT doc_id, quality, toxic FROM labels")
 def snk_journal(spark, d):
-    """A journal that three appends made, replayed."""
-    path, labels = _back(spark, d, "journal")
-    for part in range(3):
-        tabular.append_journal(labels.filter(F.col("doc_id") % 3 == part), path)
-    return read_journal(spark, path, "doc_id long, quality int, toxic int").select("record.*")
+    """A journal that a stream wrote in batches, replayed after a restart that finds nothing new."""
+    path = shared_dir(spark, "journal")
+    table(spark, d, "labels").repartition(3).write.parquet(f"{path}/in")
+    rows = spark.readStream.schema("doc_id long, quality int, toxic int").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    for _ in range(2):
+        journal.write_journal(rows, f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return journal.read_journal(spark, f"{path}/rows", "doc_id long, quality int, toxic int").select("doc_id", "quality", "toxic")
 
 
 @register("snk_export", """
@@ -368,20 +371,21 @@ def jn_transform(spark, d):
 
 @register("jn_reconcile", """
     WITH l AS (SELECT o_orderkey AS k, count(*) AS n, sum(o_totalprice::DECIMAL(18,2)) AS a FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1),
-    r AS (SELECT l_orderkey AS k, count(*) AS n, sum(l_extendedprice::DECIMAL(18,2)) AS a FROM lineitem WHERE l_linenumber < 4 GROUP BY 1)
+    r AS (SELECT l_orderkey AS k, count(*) AS n, sum(l_extendedprice::DECIMAL(18,2)) AS a FROM lineitem GROUP BY 1)
     SELECT CASE WHEN l.n IS NULL THEN 'missing_left' WHEN r.n IS NULL THEN 'missing_right' WHEN l.n > 1 OR r.n > 1 THEN 'duplicate' WHEN abs(l.a - r.a) <= 0.01 THEN 'matched' ELSE 'different' END AS status, count(*)::BIGINT AS keys,
            sum(coalesce(l.a, 0))::DECIMAL(38,2) AS left_amount FROM l FULL JOIN r USING (k) GROUP BY 1""")
 def jn_reconcile(spark, d):
     left = table(spark, d, "orders").filter("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("a"))
-    right = table(spark, d, "lineitem").filter("l_linenumber < 4").select(F.col("l_orderkey").alias("k"), F.col("l_extendedprice").alias("a"))
+    right = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_extendedprice").alias("a"))
     return transform.reconcile(left, right, ["k"], "a").groupBy("status").agg(F.count("*").alias("keys"), F.sum(F.coalesce("left_amount", F.lit(0))).cast("decimal(38,2)").alias("left_amount"))
 
 
-@register("ag_group", "SELECT o_custkey, max(o_totalprice) AS top, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS rows FROM orders GROUP BY 1")
+@register("ag_group", "SELECT o_custkey, top, o_orderkey::VARCHAR AS source FROM orders JOIN (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY 1) USING (o_custkey)")
 def ag_group(spark, d):
+    """Groups with the rows that contributed to them, a row each."""
     steps = [{"step": "group", "by": ["o_custkey"], "aggregates": [{"function": "max", "column": "o_totalprice", "as": "top"}]}]
-    out = transform.transform(table(spark, d, "orders").withColumn(transform.LINEAGE, F.col("o_orderkey")), steps)
-    return out.select("o_custkey", "top", F.array_join(F.col("_rows").cast("array<string>"), ",").alias("rows"))
+    out, links = transform.traced(table(spark, d, "orders").withColumn(transform.LINEAGE, F.col("o_orderkey")), steps)
+    return out.join(links, transform.LINEAGE).select("o_custkey", "top", F.col("_source").alias("source"))
 
 
 @register("dedupe_report", "SELECT count(*)::BIGINT AS before, count(DISTINCT text)::BIGINT AS after FROM documents")

@@ -29,6 +29,14 @@ def geo_contained(spark, d):
     return boxes(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(g.contained(F.col("x"), F.col("y")), 6).alias("share"))
 
 
+@register("geo_area", f"{BOXES} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((c - a) * (d - b), 6) AS area, round(greatest(0, e - a) * greatest(0, f - b), 6) AS between_corners FROM b")
+def geo_area(spark, d):
+    """Areas of boxes, and of those from one's first corner to another's, which have none where they are inverted."""
+    x, y = F.col("x"), F.col("y")
+    between = F.array(x[0], x[1], y[0], y[1])
+    return boxes(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(g.area(x), 6).alias("area"), F.round(g.area(between), 6).alias("between_corners"))
+
+
 @register("geo_location_ok", f"""{BOXES} SELECT l_orderkey, count(*)::BIGINT AS n, count(*) FILTER ({CONTAINED} >= 0.5 AND (l_linenumber % 2 = 0 OR (g - e) * (h - f) <= 12 * (c - a) * (d - b)))::BIGINT AS located FROM b GROUP BY 1""")
 def geo_location_ok(spark, d):
     ok = g.located(F.col("x"), F.col("y"), F.col("l_linenumber") % 2 == 0, g.area(F.col("x")))

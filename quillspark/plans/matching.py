@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import absent_share
-from ..operators import scoring
+from ..operators import relations, scoring
 from ..operators.manifests import pick_files
 from ..operators.spans import assign
 from ..sources import documents
@@ -123,19 +123,18 @@ def score_report(spark, d):
 
 @register("jn_gold_actual", "SELECT d.doc_id, l.quality, coalesce(l.toxic, 0)::INT AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
 def jn_gold_actual(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    return relations.with_defaults(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id", toxic=0).select("doc_id", "quality", "toxic")
 
 
 @register("jn_unknown", "SELECT DISTINCT o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 0)")
 def jn_unknown(spark, d):
     known = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").select("o_custkey").join(known, "o_custkey", "left_anti").distinct()
+    return relations.unknown(table(spark, d, "orders"), known, "o_custkey")
 
 
 @register("jn_leakage", "SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE lang = 'en'")
 def jn_leakage(spark, d):
-    selected = table(spark, d, "documents").filter("lang = 'en'").select("doc_id")
-    return table(spark, d, "labels").select("doc_id").distinct().join(selected, "doc_id", "left_anti")
+    return relations.unknown(table(spark, d, "labels"), table(spark, d, "documents").filter("lang = 'en'"), "doc_id")
 
 
 @register("jn_pages", "SELECT o_orderkey AS id, CASE WHEN n > 0 THEN 'succeeded' ELSE 'missing' END AS status FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
@@ -147,8 +146,8 @@ def jn_pages(spark, d):
 
 @register("jn_complete", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'failed/timeout' ELSE 'succeeded' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
 def jn_complete(spark, d):
-    done = table(spark, d, "labels").select("doc_id", F.lit("succeeded").alias("s"))
-    return table(spark, d, "documents").select("doc_id").join(done, "doc_id", "left").select("doc_id", F.coalesce("s", F.lit("failed/timeout")).alias("status"))
+    done = table(spark, d, "labels").select("doc_id", F.lit("succeeded").alias("status"))
+    return relations.with_defaults(table(spark, d, "documents").select("doc_id"), done, "doc_id", status="failed/timeout")
 
 
 @register("ag_failures", """
@@ -169,25 +168,18 @@ def ag_failures(spark, d):
     SELECT 'right' AS side, count(*)::BIGINT AS pairs, count(*) FILTER (x.part < y.part)::BIGINT AS rising FROM g x JOIN g y ON y.l_orderkey = x.l_orderkey AND y.l_linenumber = x.l_linenumber + 1
     UNION ALL SELECT 'down', count(*), count(*) FILTER (x.part < y.part) FROM g x JOIN g y ON y.l_linenumber = x.l_linenumber AND y.l_orderkey = x.l_orderkey + 1""")
 def jn_neighbour(spark, d):
-    g = _gold(spark, d)
-    x, y = g.alias("x"), g.alias("y")
-    one = lambda a, b: (F.col(f"y.{a}") == F.col(f"x.{a}")) & (F.col(f"y.{b}") == F.col(f"x.{b}") + 1)
-    side = lambda name, on: x.join(y, on).agg(F.lit(name).alias("side"), F.count("*").alias("pairs"), F.count_if(F.col("x.part") < F.col("y.part")).alias("rising"))
-    return side("right", one("l_orderkey", "l_linenumber")).unionByName(side("down", one("l_linenumber", "l_orderkey")))
+    return relations.beside(_gold(spark, d), "l_orderkey", "l_linenumber", "part")
 
 
 @register("jn_pairs_adj", "SELECT conv_id, turn, lead(turn) OVER w AS next, (length(text) < lead(length(text)) OVER w) AS longer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def jn_pairs_adj(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    n = F.length("text")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.lead("turn").over(w).alias("next"), (n < F.lead(n).over(w)).alias("longer"))
+    return relations.followed(table(spark, d, "conversations"), "conv_id", "turn", F.length("text")).select("conv_id", "turn", "next", "longer")
 
 
 @register("jn_pairs_all", "SELECT a.conv_id, count(*)::BIGINT AS pairs, count(*) FILTER (length(a.text) < length(b.text))::BIGINT AS rising FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY 1")
 def jn_pairs_all(spark, d):
     t = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
-    a, b = t.alias("a"), t.alias("b")
-    return a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.turn") < F.col("b.turn"))).groupBy(F.col("a.conv_id").alias("conv_id")).agg(F.count("*").alias("pairs"), F.count_if(F.col("a.n") < F.col("b.n")).alias("rising"))
+    return scoring.later_pairs(t, "conv_id", "turn", "n").filter("pairs > 0").select("conv_id", "pairs", "rising")
 
 
 @register("jn_candidate", """
@@ -203,24 +195,21 @@ def jn_candidate(spark, d):
 
 @register("jn_specs", "SELECT p_partkey, lower(p_brand) AS norm, CASE WHEN s.k IS NULL THEN 'missing' ELSE 'local' END AS status FROM part LEFT JOIN (SELECT DISTINCT lower(p_brand) AS k FROM part WHERE p_size > 49) s ON s.k = lower(p_brand)")
 def jn_specs(spark, d):
-    part = table(spark, d, "part")
-    have = part.filter("p_size > 49").select(F.lower("p_brand").alias("norm")).distinct().withColumn("here", F.lit(True))
-    return part.select("p_partkey", F.lower("p_brand").alias("norm")).join(have, "norm", "left").select("p_partkey", "norm", F.when(F.col("here"), "local").otherwise("missing").alias("status"))
+    part = table(spark, d, "part").withColumn("norm", F.lower("p_brand"))
+    return relations.availability(part.select("p_partkey", "norm"), part.filter("p_size > 49"), "norm").select("p_partkey", "norm", "status")
 
 
 @register("jn_models", "SELECT s_suppkey, coalesce(n_name, 'default') AS model FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey < 3")
 def jn_models(spark, d):
-    catalog = table(spark, d, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    return table(spark, d, "supplier").join(catalog, "s_nationkey", "left").select("s_suppkey", F.coalesce("n_name", F.lit("default")).alias("model"))
+    catalog = table(spark, d, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("model"))
+    return relations.with_defaults(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), catalog, "s_nationkey", model="default").select("s_suppkey", "model")
 
 
 @register("jn_bundle", "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON r_regionkey = n_regionkey WHERE r_name IN ('ASIA', 'EUROPE') UNION ALL SELECT v, NULL FROM (VALUES ('NOWHERE')) t(v)")
 def jn_bundle(spark, d):
     wanted = spark.createDataFrame([("ASIA",), ("EUROPE",), ("NOWHERE",)], "r_name string")
-    region = table(spark, d, "region")
-    found = region.join(wanted, "r_name").join(table(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).select("n_name", "r_name")
-    unknown = wanted.join(region, "r_name", "left_anti").select(F.col("r_name").alias("n_name"), F.lit(None).cast("string").alias("r_name"))
-    return found.unionByName(unknown)
+    nations = table(spark, d, "nation").withColumnRenamed("n_regionkey", "r_regionkey")
+    return relations.members(wanted, table(spark, d, "region"), nations, "r_name", "r_regionkey", "n_name").withColumnRenamed("member", "n_name")
 
 
 def _listed(spark, d):
@@ -291,7 +280,7 @@ def pred_cell_exact(spark, d):
 
 @register("wn_first_wins", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
 def wn_first_wins(spark, d):
-    return table(spark, d, "documents").groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return relations.first_of_equal(table(spark, d, "documents"), F.col("text"), "doc_id")
 
 
 @register("wn_order_key", "SELECT conv_id, turn, turn * 100000 + length(text) AS ord FROM conversations")
@@ -301,14 +290,13 @@ def wn_order_key(spark, d):
 
 @register("wn_priority", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY (length(text) < 100), length(text) % 7, (role <> 'user'), turn)::INT AS place FROM conversations")
 def wn_priority(spark, d):
-    w = Window.partitionBy("conv_id").orderBy(F.length("text") < 100, F.length("text") % 7, F.col("role") != "user", "turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(w).alias("place"))
+    order = F.length("text") < 100, F.length("text") % 7, F.col("role") != "user", "turn"
+    return relations.placed(table(spark, d, "conversations"), "conv_id", *order).select("conv_id", "turn", "place")
 
 
 @register("wn_topk_one", "SELECT p_brand, coalesce(max(p_partkey) FILTER (p_size = m), min(p_partkey)) AS pick FROM (SELECT *, max(p_size) FILTER (p_size <= 30) OVER (PARTITION BY p_brand) AS m FROM part) GROUP BY 1")
 def wn_topk_one(spark, d):
-    fits = F.when(F.col("p_size") <= 30, F.struct("p_size", "p_partkey"))
-    return table(spark, d, "part").groupBy("p_brand").agg(F.coalesce(F.max(fits)["p_partkey"], F.min("p_partkey")).alias("pick"))
+    return relations.largest_fitting(table(spark, d, "part"), "p_brand", "p_size", 30, "p_partkey")
 
 
 @register("wn_pick_file", """
@@ -324,20 +312,18 @@ def wn_pick_file(spark, d):
 
 @register("wn_vendor", "SELECT o_custkey, CASE WHEN bool_or(o_orderpriority LIKE '1-%') THEN 'nvidia' WHEN bool_or(o_orderpriority LIKE '2-%') THEN 'amd' ELSE 'cpu' END AS vendor FROM orders GROUP BY 1")
 def wn_vendor(spark, d):
-    any_of = lambda p: F.bool_or(F.col("o_orderpriority").rlike(p))
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.when(any_of("^1-"), "nvidia").when(any_of("^2-"), "amd").otherwise("cpu").alias("vendor"))
+    rules = [(F.col("o_orderpriority").startswith("1-"), "nvidia"), (F.col("o_orderpriority").startswith("2-"), "amd")]
+    return relations.by_precedence(table(spark, d, "orders"), "o_custkey", rules, "cpu", "vendor")
 
 
 @register("wn_dedupe_adj", "SELECT event_id FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type")
 def wn_dedupe_adj(spark, d):
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, d, "events").withColumn("p", before).filter(~F.col("p").eqNullSafe(F.col("event_type"))).select("event_id")
+    return relations.changes(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id")
 
 
 @register("set_equal", "SELECT side, doc_id FROM (SELECT 'missing' AS side, * FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels) UNION ALL SELECT 'extra', * FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents))")
 def set_equal(spark, d):
-    a, b = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
-    return a.exceptAll(b).select(F.lit("missing").alias("side"), "doc_id").unionByName(b.exceptAll(a).select(F.lit("extra").alias("side"), "doc_id"))
+    return relations.both_ways(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id"))
 
 
 @register("ag_shape", """
@@ -352,12 +338,12 @@ def ag_shape(spark, d):
 @register("set_exclude", "SELECT n_name FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%')")
 def set_exclude(spark, d):
     out = table(spark, d, "region").filter("r_name like 'A%'").select(F.col("r_regionkey").alias("n_regionkey"))
-    return table(spark, d, "nation").join(out, "n_regionkey", "left_anti").select("n_name")
+    return relations.excluded(table(spark, d, "nation"), out, "n_regionkey").select("n_name")
 
 
 @register("set_union_cat", "SELECT 0::INT AS place, 'auto' AS name UNION ALL SELECT row_number() OVER (ORDER BY r_name)::INT, r_name FROM region")
 def set_union_cat(spark, d):
-    named = table(spark, d, "region").select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("r_name")).alias("place"), F.col("r_name").alias("name"))
+    named = relations.numbered(table(spark, d, "region").select(F.col("r_name").alias("name")), "name")
     return spark.createDataFrame([(0, "auto")], "place int, name string").unionByName(named)
 
 

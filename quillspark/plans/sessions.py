@@ -7,9 +7,10 @@ import struct
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import jobs
 from ..streaming import sessions as s
 from .registry import register
-from .tables import sql_values, table
+from .tables import sql_literal, sql_values, table
 
 ISLANDS = """
     m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
@@ -205,15 +206,51 @@ def st_close(spark, d):
     return s.segment_batch(rows).groupBy("session_id").agg(at(1).alias("first"), at(2).alias("second"), at(3).alias("again"))
 
 
-STATES = "CASE WHEN bool_or(event_type = 'purchase') THEN 'succeeded' WHEN bool_or(event_type = 'error') THEN 'failed' WHEN count(*) > 3 THEN 'running' ELSE 'queued' END"
+#: Events as those of jobs: every user's of a day are one log.
+JOB_EVENTS = tuple(jobs.EVENTS)
+LEGAL = " OR ".join(f"(event = '{e}' AND state IN ({', '.join(map(sql_literal, sources))}))" for e, (_, sources) in jobs.EVENTS.items())
+ASKED = "CASE event " + " ".join(f"WHEN '{e}' THEN '{state}'" for e, (state, _) in jobs.EVENTS.items()) + " END"
+JOBS = f"""
+    v AS (SELECT user_id || ' ' || ts::DATE AS job_id, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS seq, [{", ".join(map(sql_literal, JOB_EVENTS))}][event_id % 7 + 1] AS event FROM events),
+    r AS (
+      SELECT job_id, 0::BIGINT AS seq, 'none' AS state, '' AS verdict FROM (SELECT DISTINCT job_id FROM v)
+      UNION ALL
+      SELECT job_id, seq, CASE WHEN legal AND asked <> state THEN asked ELSE state END, CASE WHEN asked = state THEN 'repeated' WHEN legal THEN 'applied' ELSE 'illegal' END FROM (
+        SELECT v.job_id, v.seq, r.state, {ASKED} AS asked, ({LEGAL}) AS legal FROM r JOIN v ON v.job_id = r.job_id AND v.seq = r.seq + 1))"""
+
+
+def _job_log(spark, d):
+    seq = F.row_number().over(Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id"))
+    event = F.element_at(F.array(*map(F.lit, JOB_EVENTS)), (F.col("event_id") % 7 + 1).cast("int"))
+    return table(spark, d, "events").select(F.concat_ws(" ", "user_id", F.to_date("ts")).alias("job_id"), seq.cast("long").alias("seq"), event.alias("event"))
 
 
-@register("st_job", f"SELECT user_id, ts::DATE AS day, {STATES} AS state FROM events GROUP BY 1, 2")
+@register("st_job", f"""
+    WITH RECURSIVE {JOBS}
+    SELECT job_id, max_by(state, seq) AS state, count(*) FILTER (verdict = 'applied')::BIGINT AS applied, count(*) FILTER (verdict = 'repeated')::BIGINT AS repeated, count(*) FILTER (verdict = 'illegal')::BIGINT AS illegal FROM r GROUP BY 1""")
 def st_job(spark, d):
-    """From the design specification: the state of a job from its event log."""
-    has = lambda k: F.bool_or(F.col("event_type") == k)
-    state = F.when(has("purchase"), "succeeded").when(has("error"), "failed").when(F.count("*") > 3, "running").otherwise("queued")
-    return table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(state.alias("state"))
+    """From the design specification: the state of every job after its log, and how many events were applied, repeated or illegal."""
+    return jobs.states(_job_log(spark, d))
+
+
+@register("st_job_recovery", f"""
+    WITH RECURSIVE {JOBS}, z AS (SELECT job_id, max_by(state, seq) AS state, max(seq) AS last FROM r GROUP BY 1)
+    SELECT job_id, last + k AS seq, CASE k WHEN 1 THEN 'interrupt' ELSE 'queue' END AS event FROM z, (VALUES (1), (2)) t(k) WHERE state = 'running'""")
+def st_job_recovery(spark, d):
+    """From the design specification: what a restart adds to the logs of jobs that were running."""
+    return jobs.recover(_job_log(spark, d))
+
+
+@register("st_job_requests", """
+    SELECT request_id, first AS job_id, request_id <> first AS repeats FROM (
+      SELECT o_orderkey AS request_id, arg_min(o_orderkey, (o_orderdate, o_orderkey)) OVER (PARTITION BY o_custkey, o_orderpriority) AS first FROM orders)""")
+def st_job_requests(spark, d):
+    """From the design specification: requests with equal input and options, which are one job; the options' order does not count."""
+    k = F.col("o_orderkey")
+    pairs = [F.lit("priority"), F.col("o_orderpriority")], [F.lit("profile"), F.lit("cpu")]
+    options = F.when(k % 2 == 0, F.create_map(*pairs[0], *pairs[1])).otherwise(F.create_map(*pairs[1], *pairs[0]))
+    rows = table(spark, d, "orders").select(k.alias("request_id"), F.col("o_orderdate").alias("at"), F.sha2(F.col("o_custkey").cast("string"), 256).alias("input_hash"), options.alias("options"))
+    return jobs.identified(rows).select("request_id", "job_id", "repeats")
 
 
 @register("library_index", "SELECT min(doc_id) AS doc_id, sha256(text) AS digest FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0) GROUP BY text")

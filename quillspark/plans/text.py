@@ -292,11 +292,12 @@ def txt_wrap(spark, d):
 
 
 @register("txt_mask", """
-    SELECT doc_id, sha256(left(text, 3) || repeat('#', 5) || substr(text, 9, 12) || repeat('#', 10) || substr(text, 31)) AS digest FROM documents WHERE length(text) >= 30""")
+    SELECT doc_id, sha256(left(text, 3) || repeat('#', greatest(0, least(5, length(text) - 3))::INT) || substr(text, 9, 12) || repeat('#', greatest(0, least(10, length(text) - 20))::INT) || substr(text, 31)) AS digest FROM documents""")
 def txt_mask(spark, d):
-    """Two claimed spans of every text replaced."""
-    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((3, 8), (20, 30))))
-    return table(spark, d, "documents").filter(F.length("text") >= 30).select("doc_id", F.sha2(t.masked(F.col("text"), spans, "#"), 256).alias("digest"))
+    """Two claimed spans of every text replaced, as far as the text goes."""
+    n = F.length("text")
+    spans = F.array(*(F.struct(F.least(F.lit(a), n).alias("start"), F.least(F.lit(b), n).alias("end")) for a, b in ((3, 8), (20, 30))))
+    return table(spark, d, "documents").select("doc_id", F.sha2(t.masked(F.col("text"), spans, "#"), 256).alias("digest"))
 
 
 @register("txt_bound", f"""

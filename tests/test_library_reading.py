@@ -221,3 +221,40 @@ def test_admission_over_many_batches(spark):
             assert got[name] == ("open" if len(busy) < 2 else "rejected")
             if len(busy) < 2:
                 busy.append(b)
+
+
+def test_later_pairs_equal_all_pairs(spark):
+    from quillspark.operators.scoring import later_pairs
+
+    r = random.Random(7)
+    rows = [(p, r.randint(0, 30), r.choice((None, r.randint(0, 9))), r.choice("ab")) for p in range(4) for _ in range(40)]
+    got = {(x.page, x.kind): (x.pairs, x.rising) for x in later_pairs(spark.createDataFrame(rows, "page long, pos long, ord long, kind string"), "page", "pos", "ord", "kind").collect()}
+    for p in range(4):
+        for k in "ab":
+            pairs = [(x, y) for x in rows for y in rows if x[0] == y[0] == p and x[3] == k and x[1] < y[1]]
+            assert got.get((p, k), (0, 0)) == (len(pairs), sum(x[2] is not None and y[2] is not None and x[2] < y[2] for x, y in pairs))
+
+
+def test_numbers_that_stand_alone(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.functions.text import whole_number
+    from quillspark.operators.scoring import stands_alone
+
+    r = random.Random(2)
+    rows = [("".join(r.choice("11,.%(a-") for _ in range(r.randint(0, 9))), r.choice(("1", "11", "1,1", "1.1", "(1)", "-1", "1%", "1,", r"\E1"))) for _ in range(1500)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.filter(stands_alone(F.col("a"), F.col("b")) != whole_number(F.col("a"), F.col("b"))).collect() == []
+
+
+def test_numbering_and_relations(spark):
+    from quillspark.operators import relations
+
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 AS v").repartition(7)
+    assert sorted((x.v, x.place) for x in relations.numbered(df, "v").collect()) == [(i, i + 1) for i in range(1000)]
+    a, b = spark.createDataFrame([(1,), (1,), (2,)], "k long"), spark.createDataFrame([(1,), (3,)], "k long")
+    assert sorted(map(tuple, relations.both_ways(a, b).collect())) == [(1, "missing"), (2, "missing"), (3, "extra")]
+    nulls = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, "x"), (1, 4, "x"), (1, 5, None)], "k long, o long, v string")
+    assert [x.o for x in relations.changes(nulls, "k", ["o"], "v").orderBy("o").collect()] == [1, 3, 5]
+    cells = spark.createDataFrame([(0, 0, 5), (0, 1, 7), (1, 0, 4), (1, 2, 9)], "r long, c long, v long")
+    assert {x.side: (x.pairs, x.rising) for x in relations.beside(cells, "r", "c", "v").collect()} == {"right": (1, 1), "down": (1, 0)}
