@@ -2,7 +2,7 @@
 
 The shares p of the sources' tokens are exponentiated and normalised: w ~ p**alpha.  The exponent is
 found by bisection (GRID points a pass), either so that the entropy of w meets a target, for which it is
-any number from 0 on and an entropy that no exponent gives is an error, or as the smallest (flattest) in
+any number from 0 on and an entropy that no exponent gives is an error, as is one that shows a source more than MOST_EPOCHS times, or as the smallest (flattest) in
 0..1 under which no source is repeated more than ``max_repeat`` times.  The budget of tokens is given,
 or is the smallest that shows every document at least once.  Sources stay a table: a pass sums powers
 over it, and only sums reach the driver.
@@ -39,6 +39,8 @@ from .shared import materialize
 BLOCKS = 1024
 BLOCK_TOKENS = 20_000
 MAX_REPEAT = 2.0
+#: Epochs of a source beyond which a target is an error.
+MOST_EPOCHS = 1000
 #: Plan rows that may be broadcast: about 60 bytes each.
 SMALL = 200_000
 SEED = 20240229
@@ -159,6 +161,9 @@ def mix(docs: DataFrame, tokens: Column, budget: float | None = None, max_repeat
     fine = materialize(packed.groupBy("s", "fine").agg(F.sum("t").alias("t")), "mixing-blocks")
     totals = materialize(fine.groupBy("s").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("t")), "mixing-totals")
     by_source = materialize(source_targets(totals, budget, max_repeat, entropy).select("s", "parts", "wanted", "epochs"), "mixing-sources")
+    most = by_source.agg(F.max("epochs")).first()[0] or 0
+    if most > MOST_EPOCHS:
+        raise ValueError(f"the target shows a source {most:.6g} times, more than {MOST_EPOCHS}")
     by_source = F.broadcast(by_source) if by_source.count() <= SMALL else by_source
     blocks = fine.join(by_source, "s").groupBy("s", "parts", "wanted", "epochs", F.pmod("fine", F.col("parts")).alias("block")).agg(F.sum("t").alias("t"))
     each = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("epochs"), F.lit(1)).cast("int") - 1)))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize, shared_dir
 
 CELLS = 256
 BLOCK = 4096
@@ -192,7 +192,8 @@ def search(rows: DataFrame, is_query, k: int = K, block: int = BLOCK) -> DataFra
     edges = grid(*extremes(vectors, dim))
     cells = materialize(approximate(vectors, edges), "topk-cells")
     blocks = math.ceil(n_q / block)
-    results = []
+    path = shared_dir(spark, "topk-found")
+    empty.write.parquet(path)  # blocks are added to one folder, so that the plan stays one scan however many there are
     for b in range(blocks):
         own = kept.filter(is_query & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).groupBy("vec_id").agg(F.min("ints").alias("ints")).collect()
         if not own:
@@ -214,11 +215,9 @@ def search(rows: DataFrame, is_query, k: int = K, block: int = BLOCK) -> DataFra
         both = first.unionByName(exact(rest.join(vectors, "vid"), ids, queries)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         found = both.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        results.append(materialize(found, "topk-block"))
-    out = results[0] if results else empty
-    for x in results[1:]:
-        out = out.unionByName(x)
-    return out
+        found.write.mode("append").parquet(path)
+        discard(bounds, first)
+    return spark.read.schema(empty.schema).parquet(path)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
