@@ -96,7 +96,13 @@ def join_transcript(parts: Column) -> Column:
     """Segments in one text: a blank between two of them unless one of the neighbours is CJK; blank ones are left out."""
     kept = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
     tight = lambda a, b: F.right(a, F.lit(1)).rlike(CJK) | F.left(b, F.lit(1)).rlike(CJK)
-    return F.aggregate(kept, F.lit(""), lambda a, x: F.when(a == "", x).when(tight(a, x), F.concat(a, x)).otherwise(F.concat(a, F.lit(" "), x)))
+    before = F.concat(F.array(F.lit("")), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+    return F.array_join(F.zip_with(kept, before, lambda x, b: F.when((b == "") | tight(b, x), x).otherwise(F.concat(F.lit(" "), x))), "")
+
+
+def modeling_unit(cjk: Column, others: Column) -> Column:
+    """Unit of a recogniser by its tokens: whether any is CJK, and whether any other is a word piece; null without tokens."""
+    return F.when(cjk & others, "cjkchar+bpe").when(cjk, "cjkchar").when(others, "bpe")
 
 
 def hotwords(words: Column, most: int = 200, chars: int = 40) -> Column:
@@ -223,8 +229,8 @@ def search_terms(c: Column) -> Column:
 
 def absent_share(gold: Column, block: Column) -> Column:
     """Share of the gold text's characters that the block has nowhere: a lower bound of the edit cost."""
-    chars, own = F.split(gold, ""), F.split(block, "")
-    return F.try_divide(F.size(F.filter(chars, lambda x: ~F.array_contains(own, x))).cast("double"), F.length(gold))
+    absent = F.call_function("translate", gold, block, F.lit(""))  # without the characters that the block has
+    return F.try_divide(F.length(absent).cast("double"), F.length(gold))
 
 
 def sniff(data: Column) -> Column:

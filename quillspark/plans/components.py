@@ -250,10 +250,16 @@ def snk_audio_export(spark, d):
     return out
 
 
-@register("snk_html_sheet", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing' WHEN l.quality = 1 THEN 'ok' ELSE 'diff' END AS class FROM documents d LEFT JOIN labels l USING (doc_id)")
+@register("snk_html_sheet", """
+    WITH r AS (SELECT o_orderkey AS k, '<' || o_orderpriority || '>' AS want, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'a & b' ELSE '<' || o_orderpriority || '>' END AS have FROM orders),
+    c AS (SELECT *, CASE WHEN have IS NULL THEN 'missing' WHEN want = have THEN 'ok' ELSE 'diff' END AS kind FROM r)
+    SELECT '<tr class="' || kind || '"><td>' || k || '</td><td>' || replace(replace(want, '<', '&lt;'), '>', '&gt;') || '</td><td>' || coalesce(replace(replace(replace(have, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '') || '</td></tr>' AS line FROM c""")
 def snk_html_sheet(spark, d):
-    labels = table(spark, d, "labels").select("doc_id", "quality")
-    return table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.when(F.col("quality").isNull(), "missing").when(F.col("quality") == 1, "ok").otherwise("diff").alias("class"))
+    """Comparison sheets of all orders, written and read back: every row is on one of the pages."""
+    k, want, path = F.col("o_orderkey"), F.concat(F.lit("<"), "o_orderpriority", F.lit(">")), shared_dir(spark, "sheet")
+    rows = table(spark, d, "orders").select(k.alias("k"), want.alias("want"), F.when(k % 7 != 0, F.when(k % 5 == 0, "a & b").otherwise(want)).alias("have"))
+    tabular.write_sheet(rows, path, "k", "want", "have")
+    return spark.read.text(path).filter(F.col("value").startswith("<tr")).select(F.col("value").alias("line"))
 
 
 @register("src_progress", """
@@ -294,23 +300,25 @@ def src_text_pdf(spark, d):
     return pages.unionByName(bare).select("page_id", F.when(layer == "", "unsupported/no_text_layer").otherwise("succeeded").alias("status"), F.length(layer).alias("chars"))
 
 
-CATEGORIES = ("text", "scan", "skew", "merged", "mixed", "table")
-
-
-@register("src_synth", f"""
-    SELECT c || '-' || i AS id, CASE WHEN i < CASE WHEN c IN ('text', 'scan') THEN 6 ELSE 7 END THEN 'dev' ELSE 'holdout' END AS split, i < 2 AS pilot FROM unnest({sql_literal(CATEGORIES)}) t(c), range(0, 10) r(i)""")
+@register("src_synth", """
+    SELECT lang || '-' || n AS id, CASE WHEN n % 10 < CASE WHEN lang IN ('en', 'de') THEN 6 ELSE 7 END THEN 'dev' ELSE 'holdout' END AS split, n % 10 < 2 AS pilot
+    FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS n FROM documents)""")
 def src_synth(spark, d):
-    rows = spark.range(10).select("id", F.explode(F.array(*map(F.lit, CATEGORIES))).alias("c"))
-    dev = F.when(F.col("c").isin("text", "scan"), 6).otherwise(7)
-    return rows.select(F.concat_ws("-", "c", "id").alias("id"), F.when(F.col("id") < dev, "dev").otherwise("holdout").alias("split"), (F.col("id") < 2).alias("pilot"))
+    """Pages of each category in tens: the first six or seven for development, the rest held out, the first two a pilot."""
+    rows = table(spark, d, "documents").select("lang", (F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).alias("n"))
+    dev = F.when(F.col("lang").isin("en", "de"), 6).otherwise(7)
+    return rows.select(F.concat_ws("-", "lang", "n").alias("id"), F.when(F.col("n") % 10 < dev, "dev").otherwise("holdout").alias("split"), (F.col("n") % 10 < 2).alias("pilot"))
 
 
-@register("src_synth_text")
+@register("src_synth_text", """
+    WITH h AS (SELECT p_partkey AS id, ('0x' || substr(md5('a' || p_partkey), 1, 8))::BIGINT AS a, ('0x' || substr(md5('b' || p_partkey), 1, 8))::BIGINT AS b, ('0x' || substr(md5('m' || p_partkey), 1, 8))::BIGINT AS m FROM part)
+    SELECT id, ['revenue', 'cost', 'margin'][a % 3 + 1] || ' ' || ['rose', 'fell'][b % 2 + 1] || ' to ' || format('{:,.2f}', (m % 10000000 / 100)::DOUBLE) AS sentence FROM h""")
 def src_synth_text(spark, d):
     """Sentences and amounts that depend on their key alone."""
-    pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (1 + F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(words)))).cast("int"))
-    money = F.format_number(F.pmod(F.xxhash64("id", F.lit("m")), F.lit(10_000_000)) / 100, 2)
-    return spark.range(60).select("id", F.concat_ws(" ", pick(("revenue", "cost", "margin"), "a"), pick(("rose", "fell"), "b"), F.lit("to"), money).alias("sentence"))
+    digest = lambda salt: F.conv(F.substring(F.md5(F.concat(F.lit(salt), "p_partkey").cast("binary")), 1, 8), 16, 10).cast("long")
+    pick = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (1 + digest(salt) % len(words)).cast("int"))
+    money = F.format_number(digest("m") % 10_000_000 / 100, 2)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", pick(("revenue", "cost", "margin"), "a"), pick(("rose", "fell"), "b"), F.lit("to"), money).alias("sentence"))
 
 
 ORDERS = """

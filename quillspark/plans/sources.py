@@ -46,9 +46,9 @@ def src_wav_strict(spark, d):
     return _recordings(spark, d).select("p_partkey", media.wav_frames("content", strict=True).alias("r")).select("p_partkey", "r.status", F.round("r.seconds", 6).alias("seconds"))
 
 
-@register("src_soundfile", sql_values("name, status", [("flac", "unsupported")]))
+@register("src_soundfile", "SELECT p_partkey, 'unsupported' AS status FROM part")
 def src_soundfile(spark, d):
-    """Compressed audio is decoded by an optional library only; this literal is no valid file for it either."""
+    """Compressed audio is decoded by an optional library only; these are no valid files for it either, and every one is reported."""
 
     @F.pandas_udf("string")
     def status(values: pd.Series) -> pd.Series:
@@ -61,7 +61,8 @@ def src_soundfile(spark, d):
                 out.append("unsupported")
         return pd.Series(out)
 
-    return spark.createDataFrame([("flac", bytearray(b"fLaC" + bytes(20)))], "name string, content binary").select("name", status("content").alias("status"))
+    content = F.concat(F.lit(b"fLaC"), F.col("p_name").cast("binary"))
+    return table(spark, d, "part").select("p_partkey", status(content).alias("status"))
 
 
 @register("aud_pcm16", "SELECT p_partkey, round(((p_partkey * 7919) % 65536 - 32768) / 32768.0::DOUBLE, 6) AS first, round(-(p_size::DOUBLE) / 32768, 6) AS last FROM part")

@@ -221,12 +221,17 @@ def txt_pref_alias(spark, d):
 
 
 @register("txt_modeling_unit", """
-    WITH c AS (SELECT lang, bool_or(regexp_matches(text, '[一-鿿]')) AS cjk, bool_or(regexp_matches(text, '[A-Z]')) AS up, bool_or(regexp_matches(text, '[a-z]')) AS low FROM documents GROUP BY lang)
-    SELECT lang, CASE WHEN cjk THEN 'cjkchar+bpe' ELSE 'bpe' END AS unit, up AND NOT low AS upper_only FROM c""")
+    WITH t AS (SELECT l_suppkey AS model, CASE WHEN l_suppkey % 3 = 0 OR l_suppkey % 3 = 2 AND l_partkey % 2 = 0 THEN chr(19968 + (l_partkey % 20000)::INT) ELSE '▁' || l_returnflag || l_linestatus || CASE WHEN l_suppkey % 2 = 0 THEN 'x' ELSE '' END END AS token FROM lineitem),
+    c AS (SELECT model, bool_or(regexp_matches(token, '[一-鿿]')) AS cjk, bool_or(NOT regexp_matches(token, '[一-鿿]')) AS other, bool_or(regexp_matches(token, '[A-Z]')) AS up, bool_or(regexp_matches(token, '[a-z]')) AS low FROM t GROUP BY model)
+    SELECT model, CASE WHEN cjk AND other THEN 'cjkchar+bpe' WHEN cjk THEN 'cjkchar' ELSE 'bpe' END AS unit, up AND NOT low AS upper_only FROM c""")
 def txt_modeling_unit(spark, d):
-    has = lambda p: F.bool_or(F.col("text").rlike(p))
-    rows = table(spark, d, "documents").groupBy("lang").agg(has("[一-鿿]").alias("cjk"), has("[A-Z]").alias("up"), has("[a-z]").alias("low"))
-    return rows.select("lang", F.when(F.col("cjk"), "cjkchar+bpe").otherwise("bpe").alias("unit"), (F.col("up") & ~F.col("low")).alias("upper_only"))
+    """Units of models from their token tables: characters, word pieces or both; and whether letters are all upper case."""
+    m, k = F.col("l_suppkey"), F.col("l_partkey")
+    token = F.when((m % 3 == 0) | (m % 3 == 2) & (k % 2 == 0), F.decode(F.unhex(F.hex(19968 + k % 20000)), "UTF-16BE")).otherwise(F.concat(F.lit("▁"), "l_returnflag", "l_linestatus", F.when(m % 2 == 0, "x").otherwise("")))
+    has = lambda test: F.bool_or(test)
+    is_cjk = F.col("token").rlike("[一-鿿]")
+    rows = table(spark, d, "lineitem").select(m.alias("model"), token.alias("token")).groupBy("model").agg(has(is_cjk).alias("cjk"), has(~is_cjk).alias("other"), has(F.col("token").rlike("[A-Z]")).alias("up"), has(F.col("token").rlike("[a-z]")).alias("low"))
+    return rows.select("model", t.modeling_unit(F.col("cjk"), F.col("other")).alias("unit"), (F.col("up") & ~F.col("low")).alias("upper_only"))
 
 
 @register("txt_format_bytes", """

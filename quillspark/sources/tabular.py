@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,6 +131,39 @@ def export(df: DataFrame, path: str, kind: str = "csv") -> DataFrame:
     return df.sparkSession.read.schema(made.schema).json(f"{path}/manifest")
 
 
+SHEET = "<!doctype html><meta charset=utf-8><style>.diff{background:#fdd}.missing{background:#eee}</style><table>"
+
+
+def escaped(c: Column) -> Column:
+    """A text for HTML; null is empty."""
+    out = F.coalesce(c.cast("string"), F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def sheet_rows(rows: DataFrame, key: str, want: str, have: str) -> DataFrame:
+    """key, class (ok, diff or missing) and html, a row of a comparison sheet for each row; nulls are missing."""
+    kind = F.when(F.col(have).isNull(), "missing").when(F.col(want).eqNullSafe(F.col(have)), "ok").otherwise("diff")
+    cells = F.concat(*(F.concat(F.lit("<td>"), escaped(F.col(c)), F.lit("</td>")) for c in (key, want, have)))
+    return rows.select(key, kind.alias("class"), F.concat(F.lit('<tr class="'), kind, F.lit('">'), cells, F.lit("</tr>")).alias("html"))
+
+
+def write_sheet(rows: DataFrame, path: str, key: str, want: str, have: str) -> None:
+    """Comparison sheets of many rows: a file for each range of keys, each a page of its own; the path must not exist."""
+    made = sheet_rows(rows, key, want, have).repartitionByRange(key).sortWithinPartitions(key).select(key, "html")
+
+    def page(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begun = False
+        for frame in frames:
+            yield pd.DataFrame({"value": ([] if begun else [SHEET]) + frame.html.tolist()})
+            begun = True
+        if begun:
+            yield pd.DataFrame({"value": ["</table>"]})
+
+    made.mapInPandas(page, "value string").write.mode("errorifexists").text(path)
+
+
 def subtitles(rows: DataFrame, kind: str, key: str = "doc", first: str = "first_ms", last: str = "last_ms", text: str = "text", order: str = "no") -> DataFrame:
     """One text per ``key`` of its segments, in order: kind txt, json, srt or vtt."""
     comma = "," if kind == "srt" else "."

@@ -258,3 +258,11 @@ def test_numbering_and_relations(spark):
     assert [x.o for x in relations.changes(nulls, "k", ["o"], "v").orderBy("o").collect()] == [1, 3, 5]
     cells = spark.createDataFrame([(0, 0, 5), (0, 1, 7), (1, 0, 4), (1, 2, 9)], "r long, c long, v long")
     assert {x.side: (x.pairs, x.rising) for x in relations.beside(cells, "r", "c", "v").collect()} == {"right": (1, 1), "down": (1, 0)}
+
+
+def test_spans_of_many_pairs_equal_those_of_each():
+    r = random.Random(21)
+    pairs = [("".join(r.choice("abc") for _ in range(r.randint(1, 6))), "".join(r.choice("abcd") for _ in range(r.randint(0, 15)))) for _ in range(800)]
+    codes = [(spans._codes(a), spans._codes(b)) for a, b in pairs]
+    for cells in (1, 40, 1 << 20):
+        assert spans.span_search_many([a for a, _ in codes], [b for _, b in codes], cells) == [spans.span_search(a, b) for a, b in codes]

