@@ -16,7 +16,9 @@ an id has their payload; an empty table gives an empty result; further columns a
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -33,6 +35,12 @@ ARCHIVE_BYTES = 64 << 20
 DICTIONARY_PAGES, DICTIONARY_BYTES = 300, 32 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SMALL = 200_000  # digests that may be broadcast, with an id each: 28 bytes
+#: Forms of header values.
+FORMS = {
+    "warc-record-id": r"<urn:uuid:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}>", "warc-date": r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d{1,9})?Z", "warc-target-uri": r"\S+",
+    "warc-payload-digest": r"sha1:[A-Z2-7]{32}", "warc-block-digest": r"sha1:[A-Z2-7]{32}", "x-payload-length": r"\d+",
+}
+RECORD_BYTES = 1 << 30  # most that a frame may inflate to
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -74,9 +82,13 @@ def parse_record(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
         if not colon or not name or name != name.strip() or name.lower() in fields:
             raise ValueError(f"bad or repeated header {line[:60]!r}")
         fields[name.lower()] = value.strip()
-    for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
+    for name in ("warc-type", "warc-record-id", "warc-date", "warc-target-uri", "warc-payload-digest", "x-payload-length", "content-length"):
         if not fields.get(name):
             raise ValueError(f"no {name}")
+    for name, pattern in FORMS.items():
+        if not re.fullmatch(pattern, fields.get(name, "")):
+            raise ValueError(f"bad {name} {fields.get(name, '')[:60]!r}")
+    datetime.datetime.fromisoformat(fields["warc-date"])  # a day that is one
     kind, size = fields["warc-type"], fields["content-length"]
     if kind not in ("response", "revisit") or not size.isdecimal():
         raise ValueError("bad type or length")
@@ -97,13 +109,26 @@ def parse_record(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
         if len(payload) != said or base32_sha1(payload) != digest:
             raise ValueError("the payload doesn't have its length or digest")
     else:
+        if not re.fullmatch(r"-?\d+", fields.get("x-refers-to-page-id", "")):
+            raise ValueError("a revisit must say what it refers to")
         refers = int(fields["x-refers-to-page-id"])
         if payload or fields.get("warc-profile") != PROFILE or fields.get("warc-refers-to") != record_id(refers):
             raise ValueError("bad revisit record")
     page = fields.get("x-page-id")
+    if page is not None and (not re.fullmatch(r"-?\d+", page) or fields["warc-record-id"] != record_id(int(page))):
+        raise ValueError("the record's id isn't that of its page")
     return None if page is None else int(page), said, digest, kind, refers
 
 
+def inflated(reader: zstandard.ZstdDecompressor, frame: bytes, most: int | None = None) -> bytes:
+    """A frame's content, ``most`` bytes at most (RECORD_BYTES): more is an error before it is in memory."""
+    most = RECORD_BYTES if most is None else most
+    out = reader.stream_reader(frame).read(most + 1)
+    if len(out) > most:
+        raise ValueError(f"a frame inflates to more than {most} bytes")
+    return out
+
+
 def frame_length(data: memoryview, at: int) -> int:
     """Bytes of the Zstandard frame at a position, from its header and block headers."""
     head = bytes(data[at : at + 18])
@@ -142,7 +167,7 @@ def read_archive(data: bytes) -> Iterator[bytes]:
             at += 8 + struct.unpack("<I", data[at + 4 : at + 8])[0]  # other skippable frames carry no record
             continue
         n = frame_length(view, at)
-        yield reader.decompressobj().decompress(bytes(view[at : at + n]))
+        yield inflated(reader, bytes(view[at : at + n]))
         at += n
 
 

@@ -58,3 +58,30 @@ def test_many_query_blocks_make_one_scan(spark):
     for q in range(0, 400, 4):
         want = sorted(((-score(q, v), v) for v, _ in rows if v != q))[:5]
         assert [(-x.score, x.vec_id) for x in sorted(many.filter(F.col("query_id") == q).collect(), key=lambda x: x.rank)] == want if q % 80 == 0 else True
+
+
+def test_records_with_bad_headers_and_large_frames(monkeypatch):
+    import zstandard
+
+    from quillspark.llm import warc
+
+    record = warc.build_record(5, "http://a b/", b"<html>", None, False)
+    assert warc.parse_record(record)[0] == 5
+    changes = [(b"2024-01-01", b"2024-13-01"), (b"01T00", b"01 00"), (b"urn:uuid", b"urn:x"), (b"WARC-Target-URI: http://a%20b/\r\n", b""), (b"X-Page-ID: 5", b"X-Page-ID: 6"), (b"X-Payload-Length: 6", b"X-Payload-Length: x"), (b"WARC-Payload-Digest: sha1:", b"WARC-Payload-Digest: md5:")]
+    for old, new in changes:
+        assert old in record
+        with pytest.raises(ValueError):
+            warc.parse_record(record.replace(old, new))
+    revisit = warc.build_record(7, None, b"x", 3, True)
+    assert warc.parse_record(revisit)[4] == 3
+    with pytest.raises(ValueError):
+        warc.parse_record(revisit.replace(b"X-Refers-To-Page-ID: 3", b"X-Refers-To-Page-ID: 4"))
+    for writer in (zstandard.ZstdCompressor(), zstandard.ZstdCompressor(write_content_size=False)):
+        frame = writer.compress(b"a" * 100_000)
+        assert warc.inflated(zstandard.ZstdDecompressor(), frame) == b"a" * 100_000
+        with pytest.raises(ValueError, match="inflates"):
+            warc.inflated(zstandard.ZstdDecompressor(), frame, 99_999)
+    broken = bytearray(zstandard.ZstdCompressor(write_checksum=True).compress(bytes(range(256)) * 9))
+    broken[20] ^= 1
+    with pytest.raises(zstandard.ZstdError):
+        warc.inflated(zstandard.ZstdDecompressor(), bytes(broken))
