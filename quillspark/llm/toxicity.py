@@ -210,26 +210,29 @@ def _lexicon(named: np.ndarray, times: np.ndarray, counts: np.ndarray, totals: n
     return scorer, scores
 
 
-def _statistics(sample: DataFrame, words: pa.Array, by_fold: list[tuple[Scorer, np.ndarray]]) -> list:
-    """Of each sampled document, by the scores counted without its fold: label, fold, words, scores of segments."""
+def _statistics(sample: DataFrame, words: pa.Array, by_fold: list[tuple[Scorer, np.ndarray]], log_k: float = 0.0) -> list:
+    """Of each sampled document, by the scores counted without its fold: label, fold, words, the best segment's score, and the evidence of all."""
     table = np.stack([scores for _, scores in by_fold])
     kept = np.flatnonzero(~np.isnan(table).all(axis=0))
-    sent = sample.sparkSession.sparkContext.broadcast((words.take(pa.array(kept)), [x.gap for x, _ in by_fold], table[:, kept]))
+    scorers = [Scorer({}, x.gap, x.lam, log_k) for x, _ in by_fold]
+    sent = sample.sparkSession.sparkContext.broadcast((words.take(pa.array(kept)), scorers, table[:, kept]))
 
     def run(batches):
-        words, gaps, scores = sent.value
+        words, scorers, scores = sent.value
         row = {w: i for i, w in enumerate(words.to_pylist())}  # the folds share the words
         for batch in by_size(batches, "text"):
             rows = []
             for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
                 tokens, own = words_of(text or ""), scores[fold]
                 hits = [(i, x) for i, t in enumerate(tokens) if (j := row.get(t)) is not None and (x := float(own[j])) == x]
-                rows.append((label, fold, len(tokens), [s for s, _, _ in segments(hits, gaps[fold])]))
-            cols = zip(*rows, strict=True) if rows else ([], [], [], [])
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["label", "fold", "n", "found"])
-
-    found = sample.select("text", "toxic", "fold").mapInArrow(run, "label int, fold int, n long, found array<double>").collect()
+                found = segments(hits, scorers[fold].gap)
+                rows.append((label, fold, len(tokens), max([0.0, *(s for s, _, _ in found)]), evidence(scorers[fold].strengths(len(tokens), found))))
+            cols = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["label", "fold", "n", "best", "evidence"])
+
+    # a row of numbers for each of the sample's documents, however long they are
+    found = sample.select("text", "toxic", "fold").mapInArrow(run, "label int, fold int, n long, best double, evidence double").collect()
     sent.destroy()
     return found
 
@@ -272,18 +275,12 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> Scorer:
         return Scorer()
     final, scores = whole
     folds = [_lexicon(named, times, by_word.sum(axis=2) - by_word[:, :, f], totals.sum(axis=1) - totals[:, f]) or whole for f in range(FOLDS)]
-    by_fold = [Scorer({}, x.gap, x.lam) for x, _ in folds]
-    rows = _statistics(sample, words.combine_chunks(), folds)
     kept = np.flatnonzero(~np.isnan(scores))
     final.words = dict(zip(words.take(pa.array(kept)).to_pylist(), scores[kept].tolist(), strict=True))
-    clean = [by_fold[r.fold].lam * max([0.0, *r.found]) - math.log(max(r.n, 1)) for r in rows if r.label == 0]
+    clean = [folds[r.fold][0].lam * r.best - math.log(max(r.n, 1)) for r in _statistics(sample, words.combine_chunks(), folds) if r.label == 0]
     log_k = float(np.clip(np.mean(clean) - 0.5772156649, -12, 0)) if clean else 0.0
-    stats, y = [], []
-    for r in rows:
-        scorer = by_fold[r.fold]
-        scorer.log_k = log_k
-        stats.append(evidence(scorer.strengths(r.n, [(s, 0, 0) for s in r.found])))
-        y.append(r.label)
+    rows = _statistics(sample, words.combine_chunks(), folds, log_k)
+    stats, y = [r.evidence for r in rows], [r.label for r in rows]
     final.log_k = log_k
     weight = {k: counts[k] / max(1, y.count(k)) for k in (0, 1)}
     x, y = np.array(stats), np.array(y, float)
