@@ -11,11 +11,17 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def in_order(rows: DataFrame, by: list[str], order: list[str], kernel: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema) -> DataFrame:
-    """Applies a kernel to partitions sorted by ``by`` and ``order``; no key is in two partitions."""
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(kernel, schema)
+    """Applies a kernel to partitions sorted by ``by`` and ``order``; no key is in two partitions.
+
+    Rows are dealt by a hash of the keys, never by the keys themselves: where rows lie by their keys already, Spark drops
+    such a step from the plan, and as a kernel asks for no distribution, adaptive execution may then merge the parts of
+    a union one by one, or cut those of a skewed join, so that a key's rows are worked through apart.
+    """
+    return rows.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *order).mapInPandas(kernel, schema)
 
 
 def by_key(start: Callable, step: Callable, names: list[str], key: str) -> Callable:
