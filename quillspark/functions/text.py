@@ -222,7 +222,7 @@ def guard_formula(c: Column) -> Column:
 
 def search_terms(c: Column) -> Column:
     """CJK bigrams and lower-cased ASCII words, the same for texts and queries."""
-    runs = F.regexp_extract_all(c, F.lit(r"[一-鿿]{2,}"), F.lit(0))
+    runs = F.when(F.octet_length(c) > F.length(c), F.regexp_extract_all(c, F.lit(r"[一-鿿]{2,}"), F.lit(0))).otherwise(F.array().cast("array<string>"))  # plain ASCII has none
     pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
     return F.concat(pairs, F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0)))
 

@@ -5,8 +5,9 @@ publishes a generation: a small file that lists the folders that count.  A chang
 seen, and of two changes made at once one gets an error and nothing is mixed.  What a document is follows
 from its content's digest: equal content is not indexed again, other content replaces the older.
 
-Postings are sorted by term and document, and range partitions may cut within a term, so a term in every document
-is no task of its own.  A search reads the postings of its queries' terms, scores them (BM25) and says that
+Postings are dealt by term and document together, so a term in every document is no task of its own, and sorted by
+term within each file.  They move once, when they are counted; of the texts of a change, those move once that are
+compared with documents known before.  A search reads the postings of its queries' terms, scores them (BM25) and says that
 it was lexical.
 
 Rows: document ids are unique in one change (others are an error) and not null; null texts are not indexed and
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import search_terms
 from ..storage import create_text, delete, names, read_text
-from .scoring import require_unique
+from .scoring import GuardError
 
 #: Saturation of repeated terms and weight of a text's length.
 K1, B = 1.2, 0.75
@@ -61,31 +62,34 @@ class Library:
         """doc_id, digest, size (terms) and text of all documents."""
         return self._live(self._state(), "docs", DOCS).drop("seq")
 
-    def _write(self, docs: DataFrame, postings: DataFrame, name: str) -> None:
-        docs.write.parquet(f"{self.path}/{name}/docs")
-        postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{self.path}/{name}/postings")
+    def _write_postings(self, postings: DataFrame, name: str) -> None:
+        postings.select("term", "doc_id", "tf", "size", "seq").sortWithinPartitions("term", "doc_id").write.parquet(f"{self.path}/{name}/postings")
 
     def add(self, docs: DataFrame) -> dict:
         """Indexes documents (doc_id, text) that are new or whose content changed; returns how many were which."""
         state = self._state()
         seq = state["generation"] + 1
-        require_unique(docs, "doc_id")
-        known = self._live(state, "docs", DOCS).select(F.col("doc_id").alias("k"), F.col("digest").alias("was"))
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2("text", 256).alias("digest"))
-        status = F.when(F.col("text").isNull(), "failed").when(F.col("was").isNull(), "added").when(F.col("was") == F.col("digest"), "unchanged").otherwise("changed")
-        rows = rows.join(known, F.col("doc_id") == F.col("k"), "left").withColumn("status", status)
-        counts = {"added": 0, "changed": 0, "unchanged": 0, "failed": 0} | {r.status: r.n for r in rows.groupBy("status").agg(F.count("*").alias("n")).collect()}
+        seen = docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.count("text").alias("full")).agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("full").alias("full")).collect()[0]
+        if (seen.most or 0) > 1:
+            raise GuardError("doc_id repeat")
+        rows = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2("text", 256).alias("digest"))
+        if state["segments"]:
+            known = self._live(state, "docs", DOCS).select(F.col("doc_id").alias("k"), F.col("digest").alias("was"))
+            rows = rows.join(known, F.col("doc_id") == F.col("k"), "left").filter("k is null or was <> digest").withColumn("changed", F.col("k").isNotNull())
+        else:
+            rows = rows.withColumn("changed", F.lit(False))
         name = f"segment-{seq:010d}-{uuid.uuid4().hex}"
-        new = rows.filter(F.col("status").isin("added", "changed")).withColumn("terms", search_terms(F.col("text")))
-        new.select("doc_id", "digest", F.size("terms").alias("size"), "text", F.lit(seq).cast("long").alias("seq")).write.parquet(f"{self.path}/{name}/docs")
-        written = self.spark.read.schema(DOCS).parquet(f"{self.path}/{name}/docs")
+        rows.select("doc_id", "digest", F.size(search_terms(F.col("text"))).alias("size"), "text", F.lit(seq).cast("long").alias("seq"), "changed").write.parquet(f"{self.path}/{name}/docs")
+        written = self.spark.read.schema(f"{DOCS}, changed boolean").parquet(f"{self.path}/{name}/docs")
         postings = written.select("doc_id", "size", "seq", F.explode(search_terms(F.col("text"))).alias("term")).groupBy("term", "doc_id", "size", "seq").agg(F.count("*").cast("int").alias("tf"))
-        postings.select("term", "doc_id", "tf", "size", "seq").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{self.path}/{name}/postings")
+        self._write_postings(postings, name)
+        new = {r.changed: r.n for r in written.groupBy("changed").agg(F.count("*").alias("n")).collect()}
+        counts = {"added": new.get(False, 0), "changed": new.get(True, 0), "unchanged": (seen.full or 0) - sum(new.values()), "failed": (seen.n or 0) - (seen.full or 0)}
         gone = state["gone"]
         if counts["changed"]:
             gone = [*gone, f"gone-{seq:010d}-{uuid.uuid4().hex}"]
             # documents of the same id in earlier segments
-            rows.filter("status = 'changed'").select("doc_id", F.lit(seq).cast("long").alias("before")).write.parquet(f"{self.path}/{gone[-1]}")
+            written.filter("changed").select("doc_id", F.lit(seq).cast("long").alias("before")).write.parquet(f"{self.path}/{gone[-1]}")
         self._publish(state, segments=[*state["segments"], name], gone=gone, failed=state["failed"] + counts["failed"])
         return counts
 
@@ -107,7 +111,8 @@ class Library:
         """Writes all that counts as one segment without tombstones; older generations stay until ``clean``."""
         state = self._state()
         name = f"segment-{state['generation'] + 1:010d}-{uuid.uuid4().hex}"
-        self._write(self._live(state, "docs", DOCS), self._live(state, "postings", POSTINGS), name)
+        self._live(state, "docs", DOCS).write.parquet(f"{self.path}/{name}/docs")
+        self._write_postings(self._live(state, "postings", POSTINGS), name)
         self._publish(state, segments=[name], gone=[])
 
     def clean(self) -> None:
@@ -138,13 +143,13 @@ class Library:
 
     def read(self, ids: DataFrame, most: int = 12_000) -> DataFrame:
         """doc_id, digest, the first ``most`` characters and whether there are more, for ids (doc_id, and digest if its version is to be checked)."""
-        own = self.documents()
+        own = self.documents().select("doc_id", "digest", F.left("text", F.lit(most)).alias("text"), (F.length("text") > most).alias("more"))
         if "digest" in ids.columns:
             ids = ids.select("doc_id", F.col("digest").alias("wanted"))
             own = own.join(ids, "doc_id", "right").withColumn("status", F.when(F.col("digest").isNull(), "source_unavailable").when(F.col("digest") != F.col("wanted"), "stale").otherwise("ok"))
         else:
             own = own.join(ids.select("doc_id"), "doc_id", "right").withColumn("status", F.when(F.col("digest").isNull(), "source_unavailable").otherwise("ok"))
-        return own.select("doc_id", "digest", "status", F.when(F.col("status") == "ok", F.left("text", F.lit(most))).alias("text"), (F.length("text") > most).alias("more"))
+        return own.select("doc_id", "digest", "status", F.when(F.col("status") == "ok", F.col("text")).alias("text"), "more")
 
     def status(self) -> DataFrame:
         """One row: generation, segments, sets of tombstones, documents, terms, texts that failed, mode."""
