@@ -1,7 +1,7 @@
 """Scores aligned blocks against gold blocks: counters per category and the ratios of their sums.
 
 Gold is always the left side: what an engine did not return keeps its place in every denominator.
-Duplicate and unknown keys are errors, found by guards that run before the plan.
+Duplicate and unknown keys are errors: counters find them while they pair blocks, before anything is summed.
 """
 
 from __future__ import annotations
@@ -56,11 +56,14 @@ def counters(gold: DataFrame, actual: DataFrame, provisional: bool = False) -> D
     gold: page_id, category, sha, pos, gold_id, text, cell, key_number, numbers; actual: page_id, gold_id,
     text, ord, sha, page, cell, verified, proposed (pages that failed simply have no rows here).
     """
-    require_unique(gold, "page_id", "gold_id")
-    require_unique(actual, "page_id", "gold_id")
-    require_known(actual, gold, "page_id", "gold_id")
-    a = actual.select("page_id", "gold_id", *(F.col(c).alias(f"a_{c}") for c in ("text", "ord", "sha", "page", "cell", "verified", "proposed")))
-    rows = gold.join(a, ["page_id", "gold_id"], "left")
+    keys = "page_id", "gold_id"
+    g = F.struct(*("category", "sha", "pos", "text", "cell", "key_number", "numbers"))
+    a = F.struct(*("text", "ord", "sha", "page", "cell", "verified", "proposed"))
+    g, a = gold.select(*keys, g.alias("g")), actual.select(*keys, a.alias("a"))
+    both = g.withColumn("a", F.lit(None).cast(a.schema["a"].dataType)).unionByName(a.withColumn("g", F.lit(None).cast(g.schema["g"].dataType)))
+    # dealt once by page: pairing, guards and windows below need no more
+    each = both.repartition("page_id").groupBy(*keys).agg(F.first("g", True).alias("g"), F.first("a", True).alias("a"), F.count("g").alias("n_gold"), F.count("a").alias("n_actual"))
+    rows = each.select(*keys, "g.*", *(F.col(f"a.{c}").alias(f"a_{c}") for c in ("text", "ord", "sha", "page", "cell", "verified", "proposed")), "n_gold", "n_actual")
     want, have = normalize(F.col("text")), F.coalesce(normalize(F.col("a_text")), F.lit(""))
     got, is_cell = F.col("a_text").isNotNull(), F.col("cell").isNotNull()
     key = F.coalesce("key_number", F.lit(False))
@@ -72,14 +75,21 @@ def counters(gold: DataFrame, actual: DataFrame, provisional: bool = False) -> D
         "want": want, "have": have, "next_ord": F.lead("a_ord").over(order), "has_next": F.lead(F.lit(True)).over(order).isNotNull(),
         "text_ok": got & (want == have), "n_num": key.cast("int") + F.size(tokens), "ok_num": (key & got & (want == have)).cast("int") + F.when(got, whole).otherwise(0),
     })
-    rows = materialize(rows, "score-rows")  # read by the sums and by both sides of the pairs
+    rows = rows.select(
+        "category", "page_id", "pos", "a_ord", "cell", "a_cell", "text_ok", "n_num", "ok_num", "has_next", F.length("want").alias("n_want"), F.levenshtein("want", "have").alias("edits"),
+        located(F.col("a_verified"), F.col("a_proposed"), provisional, F.col("a_sha"), F.col("sha"), F.col("a_page")).alias("right_source"), F.coalesce(F.col("a_ord") < F.col("next_ord"), F.lit(False)).alias("rises"),
+        ((F.col("n_gold") > 1) | (F.col("n_actual") > 1)).alias("repeats"), ((F.col("n_actual") > 0) & ((F.col("n_gold") == 0) | F.col("page_id").isNull() | F.col("gold_id").isNull())).alias("unknown"),
+    )
+    rows = materialize(rows, "score-rows")  # read by the guards, by the sums and by both sides of the pairs; texts stay behind
+    broken = rows.agg(F.bool_or("repeats").alias("repeats"), F.bool_or("unknown").alias("unknown")).collect()[0]
+    if broken.repeats or broken.unknown:
+        raise GuardError("page_id, gold_id repeat" if broken.repeats else "unknown page_id, gold_id")
     n = lambda c: F.sum(c.cast("long"))
     blocks = rows.groupBy("category").agg(
-        n(F.length("want")).alias("characters"), n(F.levenshtein("want", "have")).alias("edits"), F.count("*").alias("blocks"),
-        n(located(F.col("a_verified"), F.col("a_proposed"), provisional, F.col("a_sha"), F.col("sha"), F.col("a_page"))).alias("correctSources"),
+        n(F.col("n_want")).alias("characters"), n(F.col("edits")).alias("edits"), F.count("*").alias("blocks"), n(F.col("right_source")).alias("correctSources"),
         n(F.col("n_num")).alias("numbers"), n(F.col("ok_num")).alias("correctNumbers"), n(is_cell).alias("cells"),
         n(is_cell & F.col("text_ok") & F.coalesce(F.col("cell") == F.col("a_cell"), F.lit(False))).alias("correctCells"), n(is_cell & F.col("text_ok")).alias("correctCellTexts"),
-        n(F.col("has_next")).alias("orderPairs"), n(F.coalesce(F.col("a_ord") < F.col("next_ord"), F.lit(False))).alias("correctOrderPairs"),
+        n(F.col("has_next")).alias("orderPairs"), n(F.col("rises")).alias("correctOrderPairs"),
     )
     slim = rows.select("category", "page_id", "pos", "a_ord", "cell", "a_cell")
     pairs = later_pairs(slim, "page_id", "pos", "a_ord", "category").groupBy("category").agg(F.sum("pairs").alias("allOrderPairs"), F.sum("rising").alias("correctAllOrderPairs"))
