@@ -118,10 +118,11 @@ def st_feed(spark, d):
 def _audio(spark, d, unit: int = 480):
     """Every user's events as chunks of audio of 30 to 240 ms, two in five without sound, after an opening and before a finish."""
     e = table(spark, d, "events")
-    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    # events are numbered before their audio is made: what stands in one select with a window moves through its sort
+    numbered = e.select("user_id", "event_id", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"))
     n = ((1 + F.col("event_id") % 8) * unit).cast("int")
     still = F.col("event_type").isin("error", "view")
-    chunks = e.select(F.col("user_id").cast("string").alias("session_id"), seq.cast("long").alias("seq"), F.lit("audio").alias("control"), F.unhex(F.repeat(F.when(still, "0000").otherwise("401F"), n)).alias("pcm16"))
+    chunks = numbered.select(F.col("user_id").cast("string").alias("session_id"), F.col("seq").cast("long").alias("seq"), F.lit("audio").alias("control"), F.unhex(F.repeat(F.when(still, "0000").otherwise("401F"), n)).alias("pcm16"))
     control = lambda at, name: e.select(F.col("user_id").cast("string").alias("session_id")).distinct().select("session_id", F.lit(at).cast("long").alias("seq"), F.lit(name).alias("control"), F.lit(None).cast("binary").alias("pcm16"))
     return chunks.unionByName(control(0, "open")).unionByName(control(1 << 40, "finish")).unionByName(control((1 << 40) + 1, "audio")).unionByName(control((1 << 40) + 2, "delete"))
 

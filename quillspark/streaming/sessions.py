@@ -63,15 +63,14 @@ class Segmenter:
 
     def feed(self, data: bytes, rules: Rules) -> tuple[str, list[tuple[str, int, int]]]:
         """Partial text and finished segments after a chunk of PCM16."""
-        samples = np.frombuffer(data, "<i2")
+        return self.hear(*measure(data), rules)
+
+    def hear(self, total: int, speech: int, tail: int, rules: Rules) -> tuple[str, list[tuple[str, int, int]]]:
+        """As ``feed``, of a chunk's samples, those with speech, and those of the silence it ends with."""
         self.chunks += 1
-        self.total += len(samples)
-        for a in range(0, len(samples), FRAME):
-            frame = samples[a : a + FRAME]
-            if frame.any():
-                self.speech, self.trailing = self.speech + len(frame), 0
-            else:
-                self.trailing += len(frame)
+        self.total += total
+        self.speech += speech
+        self.trailing = tail if speech else self.trailing + tail
         quiet = self.trailing >= (rules.silence if self.speech else rules.still) * RATE
         if quiet or self.total - self.start >= rules.longest * RATE:
             return "", self._close(rules)
@@ -81,20 +80,43 @@ class Segmenter:
         return self._close(rules)
 
 
+def measure(data: bytes) -> tuple[int, int, int]:
+    """A chunk of PCM16 by frames: samples, samples of frames with speech, samples after the last of these."""
+    samples = np.frombuffer(data, "<i2")
+    n = len(samples)
+    loud = np.flatnonzero(samples) // FRAME
+    if not len(loud):
+        return n, 0, n
+    frames = np.unique(loud)
+    end = min(n, (int(frames[-1]) + 1) * FRAME)
+    return n, (len(frames) - 1) * FRAME + end - int(frames[-1]) * FRAME, n - end
+
+
+def measured(pcm16):
+    """Column of ``measure`` of a column; nulls for what is no PCM16."""
+
+    @F.pandas_udf("total int, speech int, tail int")
+    def run(chunks: pd.Series) -> pd.DataFrame:
+        rows = [(None,) * 3 if x is None or len(x) % 2 else measure(x) for x in chunks]
+        return pd.DataFrame(rows, columns=["total", "speech", "tail"]).astype("Int32")
+
+    return run(pcm16)
+
+
 OUT = "session_id string, seq long, status string, partial string, finals array<struct<text:string,startMs:long,endMs:long>>"
 STATE = T.StructType([*(T.StructField(n, T.LongType()) for n in ("total", "start", "speech", "trailing", "chunks", "finals")), T.StructField("open", T.BooleanType())])
 
 
-def _step(state: Segmenter | None, control: str, data: bytes | None, rules: Rules) -> tuple[Segmenter | None, str, str, list]:
+def _step(state: Segmenter | None, control: str, chunk: tuple[int, int, int] | None, rules: Rules) -> tuple[Segmenter | None, str, str, list]:
     """The next state, status, partial text and finals of a row: open, audio, finish or delete."""
     if control == "open":
         return (state, "exists", "", []) if state else (Segmenter(), "open", "", [])
     if state is None:
         return None, "unknown_session", "", []
     if control == "audio":
-        if data is None or len(data) % 2:
+        if chunk is None:
             return state, "bad_audio", "", []
-        partial, finals = state.feed(bytes(data), rules)
+        partial, finals = state.hear(*chunk, rules)
         return state, "ok", partial, finals
     if control == "finish":
         return None, "finished", "", state.finish(rules)
@@ -111,15 +133,17 @@ NAMES = ["session_id", "seq", "status", "partial", "finals"]
 def segment_batch(rows: DataFrame, rules: Rules | None = None) -> DataFrame:
     """Replays rows (session_id, seq, control, pcm16) of each session in order of seq.
 
-    Rows are streamed in that order and only the segmenter's six numbers are kept from one to the next.
+    Chunks are measured where they lie, so that three numbers of each move and are sorted instead of its audio.  Rows
+    are streamed in their order and only the segmenter's six numbers are kept from one to the next.
     """
     own = rules or Rules()
 
     def step(state: Segmenter | None, r) -> tuple[Segmenter | None, tuple]:
-        state, *rest = _step(state, r.control, r.pcm16, own)
+        state, *rest = _step(state, r.control, (int(r.total), int(r.speech), int(r.tail)) if r.total == r.total and r.total is not None else None, own)
         return state, _row(r.session_id, r.seq, *rest)
 
-    return in_order(rows.select("session_id", "seq", "control", "pcm16"), ["session_id"], ["seq"], by_key(lambda: None, step, NAMES, "session_id"), OUT)
+    heard = rows.select("session_id", "seq", "control", measured("pcm16").alias("heard")).select("session_id", "seq", "control", "heard.*")
+    return in_order(heard, ["session_id"], ["seq"], by_key(lambda: None, step, NAMES, "session_id"), OUT)
 
 
 class SessionProcessor(StatefulProcessor):
@@ -140,7 +164,8 @@ class SessionProcessor(StatefulProcessor):
         state = Segmenter(*map(int, held[:6])) if held and held[6] else None
         out = []
         for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            state, *rest = _step(state, r.control, r.pcm16, self.rules)
+            good = r.pcm16 is not None and len(r.pcm16) % 2 == 0
+            state, *rest = _step(state, r.control, measure(bytes(r.pcm16)) if good else None, self.rules)
             out.append(_row(key[0], r.seq, *rest))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
