@@ -11,7 +11,6 @@ from ..operators.manifests import pick_files
 from ..operators.spans import assign
 from ..sources import documents
 from ..sources.media import html_cells
-from ..storage import materialize
 from .registry import register
 from .tables import table
 
@@ -116,7 +115,6 @@ def score_report(spark, d):
     gold, engine = _aligned(spark, d)
     found = assign(gold, engine).filter("status = 'proposed'")
     actual = found.select("page_id", "gold_id", "text", "ord", F.lit("h").alias("sha"), F.lit(1).alias("page"), "cell", F.lit(None).cast("boolean").alias("verified"), F.col("located").alias("proposed"))
-    actual = materialize(actual, "score-actual")  # read by the guards and by the counters
     report = scoring.ratios(scoring.counters(gold, actual, provisional=True))
     return report.select("category", *scoring.COUNTERS, *(F.round(k, 6).alias(k) for k in scoring.RATIOS))
 
