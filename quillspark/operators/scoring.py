@@ -174,9 +174,18 @@ def rising_pairs(rows: DataFrame, by: list[str], order: str, value: str) -> Data
     return rows.withColumn("rising", F.coalesce(F.col(value) < after, F.lit(False)))
 
 
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Different rows that one table alone has, with ``only``: 1 for those of the first, 2 for those of the second.
+
+    Nulls are equal, as in EXCEPT. Both tables' rows are summed up by tasks, move once and meet in one aggregation.
+    """
+    both = a.select("*", F.lit(1).alias("only")).unionByName(b.select("*", F.lit(2).alias("only")))
+    return both.groupBy(*a.columns).agg(F.bit_or("only").alias("only")).filter("only < 3")
+
+
 def minus(a: DataFrame, b: DataFrame) -> DataFrame:
     """Different rows of the first table that the second hasn't."""
-    return a.distinct().join(b.distinct(), a.columns, "left_anti")
+    return differences(a, b).filter("only = 1").drop("only")
 
 
 def shape_differences(have: DataFrame, want: DataFrame, key: str) -> DataFrame:

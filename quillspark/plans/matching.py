@@ -401,7 +401,7 @@ def wn_lead_pair(spark, d):
 def set_minus(spark, d):
     """Keys that one table has and the other hasn't, both ways."""
     lines, orders = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")), table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
-    return scoring.minus(lines, orders).select(F.lit("unknown").alias("side"), "k").unionByName(scoring.minus(orders, lines).select(F.lit("unused").alias("side"), "k"))
+    return scoring.differences(lines, orders).select(F.when(F.col("only") == 1, "unknown").otherwise("unused").alias("side"), "k")
 
 
 @register("guard_manifest", """
