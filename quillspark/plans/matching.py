@@ -213,7 +213,9 @@ def jn_bundle(spark, d):
 def _listed(spark, d):
     """Each order as the raw JSON of a parsing list: a line of text, then a table of its lines; odd orders lack the last cell's box."""
     line = F.col("l_linenumber")
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(line, "part"))).alias("lines"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(line, F.isnull("l_partkey").alias("none"), F.col("l_partkey").alias("part")))).alias("all"))
+    first = F.filter("all", lambda x, i: (i == 0) | ~x["l_linenumber"].eqNullSafe(F.get("all", i - 1)["l_linenumber"]))  # the smallest part of each line
+    rows = rows.select("l_orderkey", first.alias("lines"))
     html = F.concat(F.lit("<table>"), F.array_join(F.transform("lines", lambda x: F.concat(F.lit("<tr><td>"), x["part"].cast("string"), F.lit("</td></tr>"))), ""), F.lit("</table>"))
     boxes = F.transform("lines", lambda x: F.array(F.lit(0), x["l_linenumber"] * 10, F.lit(50), x["l_linenumber"] * 10 + 10))
     boxes = F.when(F.col("l_orderkey") % 2 == 0, boxes).otherwise(F.slice(boxes, F.lit(1), F.size(boxes) - 1))
