@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,6 +56,7 @@ _STEP = np.uint64(0xA0761D6478BD642F)
 BLOCK = 1 << 19  # bytes hashed at once
 LANES = 64  # bytes of a word that are hashed in lanes; longer words are hashed one by one
 WORK = 1 << 24  # pairs of a bucket that may be compared one by one; the members of others meet by prefixes
+LINKS = 1 << 18  # links that a task contracts at once
 CELLS = 18  # bits of the cells in which items are counted to order them
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
@@ -240,29 +241,72 @@ def confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return materialize(both.filter(same * 100 >= percent * (F.size("of_a") + F.size("of_b") - same)).select("a", "b"), "neardup-links")
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every id of the links (u, v) but the smallest of its component, with that smallest id."""
+    ids, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        x, y = label[a], label[b]
+        if np.array_equal(x, y):
+            break
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, further := label[label]):
+            label = further
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[own], ids[label[own]]
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (u, v) that reach the same ids: each LINKS of a partition are replaced by stars around their smallest ids."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([x.to_numpy(zero_copy_only=False) for x in batch.columns])
+            n += batch.num_rows
+            if n >= LINKS:
+                held = [forest(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                if 2 * len(held[0][0]) > n:  # few links were spared, so more of them would only fill the memory
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["u", "v"])
+                n = sum(len(x[0]) for x in held)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*(np.concatenate(x) for x in zip(*held, strict=True)))], names=["u", "v"])
+
+    return links.mapInArrow(run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): the smallest id reachable.
 
     Alternates large and small stars until the links stay as they are; a few rounds, each two
-    aggregations and joins over what is left of the links.
+    aggregations and joins over what is left of the links.  What a task holds of them is contracted before
+    and after each round, so most rounds have little to do but to see that nothing changes.  Joins are merged: the
+    smallest ids of a round never go through the driver as a broadcast.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "components")
-    state = None
-    while True:
+    links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+    edges, state = _contracted_table(links)
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        before, edges = edges, materialize(small, "components")
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        before, last = edges, state
+        edges, state = _contracted_table(small)
         discard(before)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).collect()[0]
-        if now == state or not now.n:
+        if state == last:
             break
-        state = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _contracted_table(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The contracted links as a table, and their number and a sum of their hashes, observed as they are written."""
+    seen = Observation()
+    edges = materialize(contracted(links).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "components")
+    return edges, (seen.get["n"], seen.get["h"])
+
+
 def _near_pairs(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose sizes and sketches allow a link."""
     cells = [f"s{i}" for i in range(WORDS)]
@@ -387,8 +431,8 @@ def link_components(docs: DataFrame, table: DataFrame, k: int, percent: int, one
     sizes = places.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     shared = materialize(places.join(sizes, "bucket"), "neardup-buckets")
     stars = materialize(_near_pairs(hub_pairs(shared), entries, percent), "neardup-stars")
-    ids = materialize(shared.select("eid").distinct(), "neardup-ids")
-    sets = full_sets(docs, entries.join(_few(ids), "eid", "left_semi"), k)
+    chosen = materialize(entries.select("eid", "key", "rep").join(shared.select("eid").hint("merge"), "eid", "left_semi"), "neardup-chosen")
+    sets = full_sets(docs, chosen, k)
     links = confirm(sets, stars, percent)
     known = materialize(components(links), "neardup-known")
 
@@ -412,7 +456,7 @@ def link_components(docs: DataFrame, table: DataFrame, k: int, percent: int, one
     found = known
     if edges.limit(1).count():
         found = materialize(components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(edges)), "neardup-known")
-    discard(shared, stars, ids, sets, links, mixed, hot)
+    discard(shared, stars, chosen, sets, links, mixed, hot)
     label = F.coalesce("component", "eid")
     own = entries.join(found, entries.eid == found.id, "left").select("key", "eid", "rep", label.alias("c"))
     least = own.groupBy("c").agg(F.min("rep").alias("least"))
