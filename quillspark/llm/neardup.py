@@ -198,9 +198,18 @@ def _near(a: str, b: str, limit: int, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart <= limit)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """Marks a table that grows with the input for a merge join, whatever Spark takes its size for.
+
+    Spark sizes a table by its compressed files and an array by one element, also where it is exploded next: ten million
+    places in buckets count as less than 10 MB and would go through the driver as a broadcast.
+    """
+    return df.hint("merge")
+
+
 def _few(df: DataFrame) -> DataFrame:
-    """Marks a table of ids for broadcasting if it is proven small."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+    """Marks a table of ids for broadcasting if it is proven small, else for a merge join."""
+    return F.broadcast(df) if df.count() <= SMALL else merged(df)
 
 
 def full_sets(docs: DataFrame, entries: DataFrame, k: int) -> DataFrame:
@@ -236,7 +245,7 @@ def confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     ``b`` may be a hub: its set is joined last and so never moves once per pair.
     """
-    both = pairs.join(sets.select(F.col("eid").alias("a"), F.col("items").alias("of_a")), "a").join(sets.select(F.col("eid").alias("b"), F.col("items").alias("of_b")), "b")
+    both = merged(pairs).join(sets.select(F.col("eid").alias("a"), F.col("items").alias("of_a")), "a").join(sets.select(F.col("eid").alias("b"), F.col("items").alias("of_b")), "b")
     same = F.size(F.array_intersect("of_a", "of_b"))
     return materialize(both.filter(same * 100 >= percent * (F.size("of_a") + F.size("of_b") - same)).select("a", "b"), "neardup-links")
 
@@ -289,9 +298,9 @@ def components(links: DataFrame) -> DataFrame:
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(merged(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = large.join(merged(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         before, last = edges, state
         edges, state = _contracted_table(small)
         discard(before)
@@ -311,14 +320,14 @@ def _near_pairs(pairs: DataFrame, entries: DataFrame, percent: int) -> DataFrame
     """Of pairs (a, b), those whose sizes and sketches allow a link."""
     cells = [f"s{i}" for i in range(WORDS)]
     of = lambda c: entries.select(F.col("eid").alias(c), F.struct("n", *cells).alias(f"x{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").filter(_near("xa", "xb", distance_limit(percent), percent)).select("a", "b")
+    return merged(pairs).join(of("a"), "a").join(of("b"), "b").filter(_near("xa", "xb", distance_limit(percent), percent)).select("a", "b")
 
 
 def hub_pairs(shared: DataFrame) -> DataFrame:
     """(a, b) of each member (bucket, eid, size) and the hub of its bucket, once."""
     weight = shared.groupBy("eid").agg(F.sum("size").alias("weight"))
-    hubs = shared.join(weight, "eid").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("eid")).alias("eid"))).alias("h")).select("bucket", (-F.col("h.eid")).alias("b"))
-    return shared.join(hubs, "bucket").select(F.col("eid").alias("a"), "b").filter("a <> b").distinct()
+    hubs = shared.join(merged(weight), "eid").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("eid")).alias("eid"))).alias("h")).select("bucket", (-F.col("h.eid")).alias("b"))
+    return shared.join(merged(hubs), "bucket").select(F.col("eid").alias("a"), "b").filter("a <> b").distinct()
 
 
 def count_cells(sets: DataFrame) -> np.ndarray:
@@ -383,13 +392,13 @@ def crossing_links(mixed: DataFrame, entries: DataFrame, sets: DataFrame, percen
     lost items as chance would take, and what passes is confirmed on the whole hashes.
     """
     cells = [f"s{i}" for i in range(WORDS)]
-    rows = materialize(mixed.join(entries.select("eid", "n", "bands", *cells), "eid").join(sets.select("eid", "low"), "eid"), "neardup-crossing")
+    rows = materialize(merged(mixed).join(entries.select("eid", "n", "bands", *cells), "eid").join(sets.select("eid", "low"), "eid"), "neardup-crossing")
     x, y = rows.filter("c <> main").alias("x"), rows.alias("y")
     apart = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
     once = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.bucket")  # in the first bucket that a pair shares
     slack = 2 + F.shiftright(F.col("x.n") * F.col("y.n"), 27)
     link = (F.size(F.array_intersect("x.low", "y.low")) + slack) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-    joined = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & _near("x", "y", distance_limit(percent), percent) & once & link)
+    joined = merged(x).join(y, (F.col("x.bucket") == F.col("y.bucket")) & apart & _near("x", "y", distance_limit(percent), percent) & once & link)
     pairs = materialize(joined.select(F.col("x.eid").alias("a"), F.col("y.eid").alias("b")), "neardup-pairs")
     links = confirm(sets, pairs, percent)
     discard(rows, pairs)
@@ -406,12 +415,12 @@ def crossing_pairs(postings: DataFrame, percent: int) -> DataFrame:
     mixed = postings.groupBy("item").agg(several.alias("x")).filter("x").select("item")
     live = materialize(postings.join(_few(mixed), "item"), "neardup-items")
     main = live.groupBy("item", "c").agg(F.count("*").alias("m")).groupBy("item").agg(F.max(F.struct("m", "c")).alias("x")).select("item", F.col("x.c").alias("main"))
-    live = materialize(live.join(main, "item"), "neardup-items")
+    live = materialize(live.join(merged(main), "item"), "neardup-items")
 
     def meet(x: DataFrame, y: DataFrame) -> DataFrame:
         x, y = x.alias("x"), y.alias("y")
         alike = (F.col("x.c") != F.col("y.c")) & F.col("x.n").between(F.ceil(F.col("y.n") * percent / 100), F.col("y.n"))
-        return x.join(y, (F.col("x.item") == F.col("y.item")) & alike).select(F.least("x.eid", "y.eid").alias("a"), F.greatest("x.eid", "y.eid").alias("b"))
+        return merged(x).join(y, (F.col("x.item") == F.col("y.item")) & alike).select(F.least("x.eid", "y.eid").alias("a"), F.greatest("x.eid", "y.eid").alias("b"))
 
     other, same = F.col("c") != F.col("main"), F.col("c") == F.col("main")
     return meet(live.filter(F.col("low") & other), live).unionByName(meet(live.filter(F.col("low") & same), live.filter(other))).distinct()
@@ -426,20 +435,20 @@ def link_components(docs: DataFrame, table: DataFrame, k: int, percent: int, one
     full = table.filter("key is not null and doc_id is not null")
     entries = full.groupBy("key").agg(F.min_by(F.struct("n", *cells, "bands"), "doc_id").alias("x"), F.min("doc_id").alias("rep"))
     entries = materialize(entries.select(F.monotonically_increasing_id().alias("eid"), "key", "rep", "x.*"), "neardup-entries")
-    rows = materialize(full.select("doc_id", "key").join(entries.select("key", "eid"), "key").select("doc_id", "eid"), "neardup-rows")
+    rows = materialize(full.select("doc_id", "key").join(merged(entries.select("key", "eid")), "key").select("doc_id", "eid"), "neardup-rows")
     places = entries.select("eid", F.explode("bands").alias("bucket"))
     sizes = places.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = materialize(places.join(sizes, "bucket"), "neardup-buckets")
+    shared = materialize(merged(places).join(sizes, "bucket"), "neardup-buckets")
     stars = materialize(_near_pairs(hub_pairs(shared), entries, percent), "neardup-stars")
-    chosen = materialize(entries.select("eid", "key", "rep").join(shared.select("eid").hint("merge"), "eid", "left_semi"), "neardup-chosen")
+    chosen = materialize(entries.select("eid", "key", "rep").join(merged(shared.select("eid")), "eid", "left_semi"), "neardup-chosen")
     sets = full_sets(docs, chosen, k)
     links = confirm(sets, stars, percent)
     known = materialize(components(links), "neardup-known")
 
-    named = shared.select("bucket", "eid").join(known, shared.eid == known.id, "left").select("bucket", "eid", F.coalesce("component", "eid").alias("c"))
+    named = shared.select("bucket", "eid").join(merged(known), shared.eid == known.id, "left").select("bucket", "eid", F.coalesce("component", "eid").alias("c"))
     groups = named.groupBy("bucket", "c").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max(F.struct("m", "c")).alias("x"), F.sum("m").alias("size"), F.count("*").alias("parts"))
     groups = groups.filter("parts > 1").select("bucket", F.col("x.c").alias("main"), ((F.col("size") - F.col("x.m")) * F.col("size")).alias("work"))
-    mixed = materialize(named.join(groups, "bucket"), "neardup-mixed")
+    mixed = materialize(named.join(merged(groups), "bucket"), "neardup-mixed")
     more = crossing_links(mixed.filter(F.col("work") <= WORK).select("bucket", "eid", "c", "main"), entries, sets, percent)
     hot = materialize(mixed.filter(F.col("work") > WORK).select("eid", "c").distinct(), "neardup-hot")
     if hot.limit(1).count():
@@ -458,18 +467,18 @@ def link_components(docs: DataFrame, table: DataFrame, k: int, percent: int, one
         found = materialize(components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(edges)), "neardup-known")
     discard(shared, stars, chosen, sets, links, mixed, hot)
     label = F.coalesce("component", "eid")
-    own = entries.join(found, entries.eid == found.id, "left").select("key", "eid", "rep", label.alias("c"))
+    own = entries.join(merged(found), entries.eid == found.id, "left").select("key", "eid", "rep", label.alias("c"))
     least = own.groupBy("c").agg(F.min("rep").alias("least"))
-    return rows, own.join(least, "c").select("key", "eid", "c", F.col("least").alias("rep"))
+    return rows, own.join(merged(least), "c").select("key", "eid", "c", F.col("least").alias("rep"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
     table = materialize(sketch_table(docs, k), "neardup-sketches")
     rows, named = link_components(docs, table, k, percent)
-    of_id = rows.join(named.select("eid", "rep"), "eid").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    of_id = rows.join(merged(named.select("eid", "rep")), "eid").groupBy("doc_id").agg(F.min("rep").alias("rep"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
-    return table.select("doc_id", "n").join(of_id, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return table.select("doc_id", "n").join(merged(of_id), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def with_set_key(docs: DataFrame, k: int) -> DataFrame:
@@ -496,12 +505,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, named = link_components(docs, table, k, percent, one_id=False)
     named = materialize(named, "neardup-named")
     times = materialize(table.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "neardup-repeated")
-    gone = rows.join(named.select("eid", "rep"), "eid").filter("rep <> doc_id").select("doc_id").unionByName(times).distinct()
+    gone = rows.join(merged(named.select("eid", "rep")), "eid").filter("rep <> doc_id").select("doc_id").unionByName(times).distinct()
     gone = materialize(gone, "neardup-gone")
     rest = docs.join(_few(gone), docs.doc_id.cast("long") == gone.doc_id, "left_anti")
     if not times.limit(1).count():
         return rest
-    own = with_set_key(docs.join(_few(times), docs.doc_id.cast("long") == times.doc_id, "left_semi"), k).join(named, "key", "left")
+    own = with_set_key(docs.join(_few(times), docs.doc_id.cast("long") == times.doc_id, "left_semi"), k).join(merged(named), "key", "left")
     empty = own.filter("key is null").select("row.*")
     full = own.filter("rep = doc_id").groupBy("c").agg(F.first("row").alias("row")).select("row.*")
     return rest.unionByName(empty).unionByName(full)
