@@ -11,6 +11,8 @@ WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 NARROW = "".join(map(chr, range(0x21, 0x7F)))
 #: White space as Unicode has it, with the four separators that Java leaves out.
 SPACES = r"(?U)[\s\x1c-\x1f]+"
+#: What a normalised text has none of.
+ODD = r"(?U)[\s\x1c-\x1f\uff01-\uff5e]"
 #: A signed or parenthesised amount with group commas, a fraction and a per cent sign. Fixed value.
 NUMBER = r"[-+(]?\d[\d,]*(?:\.\d+)?%?\)?"
 #: Ranges counted as CJK where transcripts are joined. Fixed value.
@@ -28,8 +30,8 @@ def widen_digits(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """Full-width forms folded, white space deleted; everything else stays."""
-    return F.regexp_replace(narrow(c), SPACES, "")
+    """Full-width forms folded, white space deleted; everything else stays, and a text with nothing of both is only read."""
+    return F.when(F.regexp_like(c, F.lit(ODD)), F.regexp_replace(narrow(c), SPACES, "")).otherwise(c)
 
 
 def numbers(c: Column) -> Column:

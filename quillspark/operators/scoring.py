@@ -71,12 +71,14 @@ def counters(gold: DataFrame, actual: DataFrame, provisional: bool = False) -> D
     holds = lambda t: F.when(have == normalize(t), True).when(~F.contains(have, normalize(t)), False).otherwise(stands_alone(have, normalize(t)))
     whole = F.size(F.filter(tokens, holds))
     order = Window.partitionBy("page_id").orderBy("pos")
+    rows = rows.withColumns({"want": want, "have": have})
+    want, have = F.col("want"), F.col("have")
     rows = rows.withColumns({
-        "want": want, "have": have, "next_ord": F.lead("a_ord").over(order), "has_next": F.lead(F.lit(True)).over(order).isNotNull(),
+        "next_ord": F.lead("a_ord").over(order), "has_next": F.lead(F.lit(True)).over(order).isNotNull(),
         "text_ok": got & (want == have), "n_num": key.cast("int") + F.size(tokens), "ok_num": (key & got & (want == have)).cast("int") + F.when(got, whole).otherwise(0),
     })
     rows = rows.select(
-        "category", "page_id", "pos", "a_ord", "cell", "a_cell", "text_ok", "n_num", "ok_num", "has_next", F.length("want").alias("n_want"), F.levenshtein("want", "have").alias("edits"),
+        "category", "page_id", "pos", "a_ord", "cell", "a_cell", "text_ok", "n_num", "ok_num", "has_next", F.length("want").alias("n_want"), F.when(want == have, 0).otherwise(F.levenshtein("want", "have")).alias("edits"),
         located(F.col("a_verified"), F.col("a_proposed"), provisional, F.col("a_sha"), F.col("sha"), F.col("a_page")).alias("right_source"), F.coalesce(F.col("a_ord") < F.col("next_ord"), F.lit(False)).alias("rises"),
         ((F.col("n_gold") > 1) | (F.col("n_actual") > 1)).alias("repeats"), ((F.col("n_actual") > 0) & ((F.col("n_gold") == 0) | F.col("page_id").isNull() | F.col("gold_id").isNull())).alias("unknown"),
     )

@@ -11,6 +11,7 @@ from ..operators.manifests import pick_files
 from ..operators.spans import assign
 from ..sources import documents
 from ..sources.media import html_cells
+from ..storage import materialize
 from .registry import register
 from .tables import table
 
@@ -81,9 +82,10 @@ def _aligned(spark, d):
     cells, some a column off and some with a box elsewhere.
     """
     rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("category"))
+    rows = materialize(rows, "aligned-lines")  # four short columns that gold and engine blocks are made from, each more than once
     line, part, odd = F.col("l_linenumber"), F.col("part"), F.col("l_orderkey") % 2 == 1
     letters = [F.translate("digest", "0123456789abcdef", "".join(chr(0x4E00 + 16 * n + i) for i in range(16))) for n in range(1, 8)]
-    rows = rows.withColumn("digest", F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber").cast("binary"))).withColumn("text", F.element_at(F.array(*letters), line.cast("int")))
+    rows = rows.withColumn("digest", F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber").cast("binary"))).withColumn("text", F.coalesce(*(F.when(line == n, x) for n, x in enumerate(letters, 1))))
     rows = rows.withColumn("read", F.when(part % 3 == 0, F.concat(F.left("text", F.lit(28)), F.lit("XXXX"))).otherwise(F.col("text"))).withColumn("ord", F.when(part % 7 == 0, 100 - line).otherwise(line))
     box = F.array(F.lit(0.0), (line - 1) / F.lit(10.0), F.lit(1.0), line / F.lit(10.0))
     cell = lambda col: F.when(odd, F.struct(line.cast("int").alias("row"), F.lit(col).cast("int").alias("col") if isinstance(col, int) else col.alias("col"), F.lit(1).alias("rowSpan"), F.lit(1).alias("colSpan")))
